@@ -5,9 +5,10 @@
    bin borrows from a bin that a random sequence, fixed per (bin, attempt), reaches first. ``BINS / ROWS`` bands of
    ``ROWS`` bins are the bucket keys: a pair at similarity 0.75 shares no bucket with probability (1 - .75^4)^32 = 5e-6.
 3. Each bucket yields a star: its smallest member against all others, so candidates grow with members, not with pairs.
-4. Candidates are verified on the full sets. Where a bucket's members are still in several components, further stars
-   are drawn around members outside its largest component until every such member has been a centre: no link between
-   members of a bucket is lost, and pairs that are connected already are never compared.
+4. Candidates are verified on the full sets. Where the members of a bucket are still in several components, a sweep
+   compares those outside its largest component with all other members, so no link between members of a bucket is
+   lost. It counts intersections through an inverted index of up to ``SWEEP`` sets, past which the members stream;
+   pairs are counted, not emitted: at most one link per member and component comes out.
 
 A centre with many candidates is dealt over several tasks, each of which holds the centre's set and streams the others.
 """
@@ -31,8 +32,8 @@ LINKED, OF = 75, 100
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 ATTEMPTS = 1024
-#: Centres drawn per bucket in a further round, and members that are compared with a centre in one group.
-CENTRES, GROUP = 8, 256
+#: Members that are compared with a centre in one group, and sets that one group of the sweep indexes.
+GROUP, SWEEP = 256, 512
 
 _random = np.random.default_rng(20)
 _BORROW = _random.integers(0, BINS, (ATTEMPTS, BINS))
@@ -130,6 +131,58 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(0).type) for k in (0, 1)], ["a", "b"])
 
 
+class _Sets:
+    """Inverted index of some documents' sets: intersection sizes with all of them by one search per document."""
+
+    def __init__(self, ids: list, roots: list, sets: list[np.ndarray]):
+        self.ids, self.roots, self.sizes = ids, np.array(roots), np.array([len(x) for x in sets])
+        hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.keys, first = np.unique(hashes[order], return_index=True)
+        self.edges = np.append(first, len(hashes))
+
+    def linked(self, own: np.ndarray) -> np.ndarray:
+        """Places of the indexed documents that ``own`` is linked with."""
+        if not len(self.keys) or not len(own):
+            return np.zeros(0, int)
+        place = np.searchsorted(self.keys, own)
+        place[place == len(self.keys)] = 0
+        place = place[self.keys[place] == own]
+        size = self.edges[place + 1] - self.edges[place]
+        at = np.repeat(self.edges[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(place) else np.zeros(0, int)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (OF * both >= LINKED * (len(own) + self.sizes - both)))
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, part, member, id, root, text) come sorted by group, the sets to index before the members."""
+    group, waiting, index, told = None, ([], [], []), None, set()
+    for batch in batches:
+        at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        member, ids, roots = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        found = []
+        for text in texts(batch.column(5)):
+            hashes, rows = shingle_sets(text)
+            edges = np.searchsorted(rows, np.arange(text.rows + 1))
+            for k in range(text.rows):
+                own, i = hashes[edges[k] : edges[k + 1]], text.first_row + k
+                if at[i] != group:
+                    group, waiting, index, told = at[i], ([], [], []), None, set()
+                if not member[i]:
+                    for kept, x in zip(waiting, (ids[i], roots[i], own.copy()), strict=True):
+                        kept.append(x)
+                    continue
+                index = index or _Sets(*waiting)
+                for j in index.linked(own):
+                    bond = (roots[i], index.roots[j])
+                    if bond[0] != bond[1] and bond not in told:
+                        told.add(bond)
+                        found.append((index.ids[j], ids[i]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(3).type) for k in (0, 1)], ["a", "b"])
+
+
 def _links(scratch: Scratch, pairs: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
     """Those of ``pairs(c, x)`` that the full sets confirm, as ``(a, b)``."""
     id_type = pairs.schema["c"].dataType
@@ -142,6 +195,21 @@ def _links(scratch: Scratch, pairs: DataFrame, bodies: DataFrame, name: str) ->
     return scratch.table(name, rows.mapInArrow(_verified, kind))
 
 
+def _sweep(scratch: Scratch, members: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links between members of a bucket that are not connected yet; every member has met the bucket's centre already."""
+    id_type = members.schema["rep"].dataType
+    rest = members.where("rep != centre").select("bucket", "rep")
+    placed = rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"))
+    placed = scratch.table("open", placed.join(main, "bucket").select("bucket", "rep", "root", "main", "parts"))
+    indexed = placed.where("root != main").select("bucket", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(False).alias("member"), F.col("rep").alias("id"), "root")
+    streamed = placed.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), F.col("rep").alias("id"), "root")
+    rows = indexed.union(streamed).join(bodies, "id").select("bucket", "part", "member", "id", "root", "text").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "member")
+    return scratch.table("swept", rows.mapInArrow(_swept, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` per row of ``docs``; every link has similarity 0.75 or more.
 
@@ -167,23 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.where("rep != centre").select(F.col("centre").alias("c"), F.col("rep").alias("x")).distinct()
     links = _links(scratch, pairs, bodies, "links0")
     labels = components(scratch, links, "components0")
-    open_, turn = members.select("bucket", "rep", (F.col("rep") == F.col("centre")).alias("used")), 0
-    while True:
-        turn += 1
-        placed = open_.join(labels, open_["rep"] == labels["node"], "left").select("bucket", "rep", "used", F.coalesce("root", "rep").alias("root"))
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-        placed = scratch.table(f"open{turn}", placed.join(main, "bucket"))
-        picked = placed.where("not used and root != main").groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("slot")).agg(F.min("rep").alias("c"))
-        picked = scratch.table(f"centres{turn}", picked.select("bucket", "c"))
-        if not picked.take(1):
-            break
-        roots = placed.select("bucket", F.col("rep").alias("c"), F.col("root").alias("c_root"))
-        stars = picked.join(roots, ["bucket", "c"]).join(placed, "bucket").where("root != c_root").select("c", F.col("rep").alias("x")).distinct()
-        links = links.union(_links(scratch, scratch.table(f"pairs{turn}", stars), bodies, f"links{turn}"))
-        labels = components(scratch, links, f"components{turn}")
-        marks = picked.select("bucket", F.col("c").alias("rep"), F.lit(True).alias("now"))
-        open_ = scratch.table(f"left{turn}", placed.join(marks, ["bucket", "rep"], "left").select("bucket", "rep", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+    extra = _sweep(scratch, members, labels, bodies)
+    if extra.take(1):
+        labels = components(scratch, links.union(extra), "components1")
     scratch.drop("members", "bodies")
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").where("rep != last or root is not null").select("set1", "set2", F.coalesce("root", "rep").alias("component"))
