@@ -5,16 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .near_dedup import near_duplicates
+from . import ann, labelled, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _judged(docs: DataFrame, scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(labelled.fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality_classifier.train(docs, labels, labelled.fold(F.col("id"), 4) != 2)
+    return _judged(docs, quality_classifier.score(docs, weights), 4, 2)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, labelled.fold(F.col("id"), 3) != 1)
+    return _judged(docs, toxicity.score(docs, model), 3, 1)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(_documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
+def op5_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
+def op6_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(_documents(spark, sf_dir))
+
+
+def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixed(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    placed = mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.positions", F.lit(0)).alias("first_position"), F.get("mix.positions", F.lit(1)).alias("second_position"))
+    return placed.orderBy(F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+
+
+def op8_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return packing.pack(docs, [docs["doc_id"]])
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS rules(host, path, verdict)")
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return clean.select("row.doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_minhash_near_dedup, op5_collision_counting_ann, op6_offset_token_counts, op7_curriculum_mixing, op8_dynamic_packing, op9_url_filters, op10_line_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": url_filter.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+}
