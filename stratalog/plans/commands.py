@@ -19,6 +19,7 @@ from ..operators import catalog, doctor, ledger, sidecars
 from ..sources import ledger as ledger_files
 from ..sources import tree as trees
 from ..sources.store import Store
+from ..workdir import shared_folder
 from . import execute, ingest, verify
 
 LEDGER, IGNORE = ".stratalog-ledger.jsonl", ".stratalogignore"
@@ -65,7 +66,14 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     )
     ids = store.files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).collect()[0]["n"]
     numbered = dated.orderBy("rel_path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*dated.columns, "seq"]).withColumns({"id": F.col("seq") + 1 + ids, "error": F.lit(None).cast("string")})
-    numbered = numbered.cache()
+    kept = shared_folder(spark, "ingest")
+
+    def table(name: str, df: DataFrame) -> DataFrame:
+        """Written out, so that neither a lost executor nor the catalogue's growth changes what was decided."""
+        df.write.parquet(f"{kept}/{name}")
+        return spark.read.parquet(f"{kept}/{name}")
+
+    numbered = table("numbered", numbered)
     plan = ingest.planned(numbered, store.files, stamp, options.algorithm, options.template, options.language, options.since, options.before, options.skip_duplicates)
     found_sidecars = rows.where("format = 'sidecar'").select("path", "dir", "name")
     attached = sidecars.attached_on_ingest(numbered, found_sidecars)
@@ -74,14 +82,13 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     rights = parse_copyright(options.copyright).column(date, None, options.language) if options.copyright else F.lit("")
     plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": xmp.packet(rights, F.lit(options.owner))})
     skipped = rows.where("reason is not null").select("path", "rel_path", "reason").unionByName(sidecars.orphans(attached).join(rows.select("path", "rel_path"), "path").select("path", "rel_path", "reason"))
-    plan = plan.cache()
+    plan = table("plan", plan)
     counts = ingest.counters(plan).collect()[0].asDict()
     counts["skipped"] += skipped.count()
     if options.dry_run:
         return {"run_id": run_id, **counts, "plan": plan}
 
-    done = execute.executed(plan, archive, options.algorithm, "sidecars", "packet").cache()
-    done.count()  # copies happen once
+    done = table("done", execute.executed(plan, archive, options.algorithm, "sidecars", "packet"))
     result = plan.join(done, "id", "left").withColumns({
         "final": F.coalesce("status", F.when(F.col("outcome") == "error", "failed").when(F.col("outcome") == "skip", "skipped").otherwise("complete")),
         "problem": F.coalesce(done["error"], plan["error"]),
@@ -105,8 +112,6 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
         lines = lines.unionByName(skipped.select("rel_path", F.lit("skip").alias("status"), "reason"), allowMissingColumns=True)
         for r in lines.orderBy("rel_path").toLocalIterator():
             writer.write({"path": r["rel_path"], "status": r["status"], "checksum": r["checksum"], "destination": r["destination"], "matches": r["matches"], "reason": r["reason"], "sidecars": r["carried"] or None})
-    for df in (done, plan, numbered):
-        df.unpersist()
     return {"run_id": run_id, **counts}
 
 

@@ -1,0 +1,179 @@
+"""Catalogue operators on small literal relations."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import Row
+
+from stratalog import schemas
+from stratalog.operators import catalog
+from stratalog.sources import store
+
+AT = dt.datetime(2026, 1, 1, 10)
+
+
+def run(id_, day=1, source="/src/a", status="running", finished=None):
+    return (id_, "1.0.0", source, "/dst", "sha256", 2, True, AT.replace(day=day), finished, status)
+
+
+def runs(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.RUNS)
+
+
+def files(spark, *rows):
+    """Rows as dicts over defaults."""
+    base = dict.fromkeys((f.name for f in schemas.FILES)) | {"run_id": "r1", "status": "complete", "is_duplicate": False}
+    full = [base | {"id": k, "source_path": f"/src/{k}.jpg"} | r for k, r in enumerate(rows, 1)]
+    return spark.createDataFrame([tuple(r[f.name] for f in schemas.FILES) for r in full], schemas.FILES)
+
+
+def ids(df):
+    return [r["id"] for r in df.collect()]
+
+
+def test_list_runs_counts_and_order(spark):
+    r = runs(spark, run("lr-run-1", 1), run("lr-run-2", 2), run("lr-run-3", 3))
+    f = files(spark, {"run_id": "lr-run-2"}, {"run_id": "lr-run-2"}, {"run_id": "lr-run-3"})
+    assert [(x["id"], x["file_count"]) for x in catalog.list_runs(r, f).collect()] == [("lr-run-3", 1), ("lr-run-2", 2), ("lr-run-1", 0)]
+
+
+def test_archive_stats(spark):
+    a, b = dt.datetime(2024, 1, 15), dt.datetime(2025, 6, 20)
+    f = files(
+        spark, *[{"file_size": 1000, "capture_date": a}] * 3, *[{"file_size": 500, "capture_date": b, "is_duplicate": True, "status": "duplicate"}] * 2,
+        {"file_size": 200, "status": "failed"}, {"file_size": 300, "status": "mismatch"}, {"status": "skipped"},
+    )
+    got = catalog.archive_stats(f, runs(spark, run("a"), run("b"))).collect()[0]
+    assert (got["total"], got["complete"], got["duplicates"], got["failed"], got["mismatches"], got["skipped"], got["total_size"], got["runs"]) == (8, 3, 2, 1, 1, 1, 4500, 2)
+    assert (got["earliest"], got["latest"]) == (a, b)
+    empty = catalog.archive_stats(files(spark), runs(spark)).collect()[0]
+    assert (empty["total"], empty["total_size"], empty["earliest"]) == (0, 0, None)
+
+
+def test_capture_range_is_inclusive_and_complete_only(spark):
+    f = files(spark, *({"capture_date": dt.datetime(2026, m, 15)} for m in (1, 2, 3)), {"capture_date": dt.datetime(2026, 1, 20), "status": "failed"})
+    assert ids(catalog.captured_between(f, dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 28, 23, 59, 59))) == [1, 2]
+
+
+def test_duplicate_pairs(spark):
+    f = files(spark, {"checksum": "c", "dest_rel": "2026/01-Jan/original.jpg"}, {"checksum": "c", "dest_rel": None, "is_duplicate": True}, {"checksum": None, "is_duplicate": True}, {"checksum": "c", "is_duplicate": False, "status": "failed"})
+    assert [(r["duplicate_id"], r["original_id"], r["duplicate_dest"]) for r in catalog.duplicate_pairs(f).collect()] == [(2, 1, "")]
+
+
+def test_inventory_skips_copies_and_failures(spark):
+    f = files(spark, {"dest_rel": "b"}, {"dest_rel": "a"}, {"dest_rel": None}, {"is_duplicate": True}, {"status": "failed"})
+    assert [r["dest_rel"] for r in catalog.inventory(f).collect()] == ["", "a", "b"]
+
+
+def test_import_check_needs_path_and_checksum(spark):
+    f = files(spark, {"source_path": "/p", "checksum": "h"}, {"source_path": "/q", "checksum": "h", "status": "failed"})
+    want = spark.createDataFrame([("/p", "h"), ("/p", "x"), ("/r", "h"), ("/q", "h"), ("/p", None)], "source_path string, checksum string")
+    assert [tuple(r) for r in catalog.imported_before(want, f).collect()] == [("/p", "h")]
+    assert catalog.not_imported_before(want, f).count() == 4
+
+
+def test_known_copies_sentinel(spark):
+    f = files(spark, {"checksum": "a", "dest_rel": None}, {"checksum": "b", "dest_rel": ""}, {"checksum": "c", "dest_rel": "x"})
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "checksum string")
+    got = {r["checksum"]: r["existing"] for r in catalog.known_copies(asked, f).collect()}
+    assert got == {"a": "<duplicate>", "b": "<duplicate>", "c": "x", "d": None, None: None}
+
+
+def test_incomplete_files(spark):
+    f = files(spark, *({"status": s} for s in schemas.FILE_STATUSES))
+    assert [r["status"] for r in catalog.incomplete_files(f, "r1").collect()] == ["pending", "extracted", "hashed", "copied", "verified", "tagged"]
+
+
+def test_prefix(spark):
+    r = runs(spark, run("abc1", 1), run("ABC2", 2), run("x_z", 3), run("xyz", 4))
+    assert ids(catalog.runs_by_prefix(r, "aBc")) == ["ABC2", "abc1"]
+    assert ids(catalog.runs_by_prefix(r, "x_z")) == ["xyz", "x_z"]  # a pattern character stays one
+    assert catalog.resolve_run(r, "abc1") == "abc1"
+    for bad in ("abc", "nope"):
+        with pytest.raises(LookupError):
+            catalog.resolve_run(r, bad)
+
+
+def test_latest_run(spark):
+    r = runs(spark, run("a", 1, status="completed"), run("b", 2, status="interrupted", source="/src/b"), run("c", 3))
+    assert ids(catalog.latest_run(r)) == ["b"] and ids(catalog.latest_run(r, "/src/a")) == ["a"] and ids(catalog.latest_interrupted(r)) == ["c"]
+    assert catalog.has_active_runs(r).collect()[0]["active"] and not catalog.has_active_runs(r.where("id = 'a'")).collect()[0]["active"]
+
+
+def test_format_breakdown_takes_the_first_dot(spark):
+    f = files(spark, {"dest_rel": "a.b/c.jpg"}, {"dest_rel": "x.JPG"}, {"dest_rel": "y.jpg"}, {"dest_rel": "none"})
+    assert [(r["extension"], r["files"]) for r in catalog.format_breakdown(f).collect()] == [(".jpg", 2), (".b/c.jpg", 1)]
+    assert [round(r["percent"], 1) for r in catalog.format_shares(f).orderBy("percent").collect()] == [33.3, 66.7]
+
+
+def test_query_files_wants_one_filter(spark):
+    with pytest.raises(ValueError):
+        catalog.query_files(files(spark), runs(spark), captured=(None, None), source="/x")
+
+
+def test_first_writers_without_checksum(spark):
+    f = files(spark, {"checksum": "a"}, {"checksum": "a"}, {"checksum": None}, {"checksum": None})
+    assert sorted((r["id"], r["is_first"]) for r in catalog.first_writers(f).collect()) == [(1, True), (2, False), (3, True), (4, True)]
+
+
+def test_completion_with_dedup(spark):
+    f = files(spark, {"checksum": "old"}, *({"status": "verified"} for _ in range(3)))
+    finishing = spark.createDataFrame([(2, "new"), (3, "new"), (4, "old")], "id bigint, checksum string")
+    got = {r["id"]: (r["status"], r["is_duplicate"]) for r in store.completed(f, finishing).collect()}
+    assert got == {1: ("complete", False), 2: ("complete", False), 3: ("complete", True), 4: ("complete", True)}
+
+
+def test_status_events(spark):
+    f = files(spark, {"status": "pending"}, {"status": "pending"})
+    events = spark.createDataFrame([(1, 1, "hashed", AT, "c1"), (1, 2, "copied", AT.replace(hour=11), None), (9, 1, "failed", AT, None)], "id bigint, seq bigint, status string, at timestamp_ntz, checksum string")
+    got = store.applied(f, events).orderBy("id").collect()
+    assert (got[0]["status"], got[0]["hashed_at"], got[0]["copied_at"].hour, got[0]["checksum"]) == ("copied", AT, 11, "c1")
+    assert got[1]["status"] == "pending" and len(got) == 2
+
+
+def test_store_round_trip(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "catalog"))
+    s.append("runs", runs(spark, run("a")))
+    s.insert_files(spark.createDataFrame([Row(run_id="a", source_path=p) for p in ("/2", "/1")]), "source_path")
+    s.insert_files(spark.createDataFrame([Row(run_id="a", source_path="/0")]), "source_path")
+    assert [(r["id"], r["source_path"], r["status"]) for r in s.files.orderBy("id").collect()] == [(1, "/1", "pending"), (2, "/2", "pending"), (3, "/0", "pending")]
+    with pytest.raises(RuntimeError):
+        s.compact()
+    s.finish_run("a", "completed", AT)
+    s.compact()
+    assert store.Store(spark, str(tmp_path / "catalog"), create=False).runs.collect()[0]["status"] == "completed"
+    with pytest.raises(LookupError):
+        s.finish_run("zz", "completed", AT)
+    with pytest.raises(FileNotFoundError):
+        store.Store(spark, str(tmp_path / "none"), create=False)
+
+
+def test_migration_backfills(spark):
+    old_runs = runs(spark, run("r1")).drop("recursive")
+    old_files = files(spark, {}).drop("skip_reason", "carried_sidecars", "algorithm")
+    r, f = store.migrated(old_runs, old_files)
+    assert r.columns == [x.name for x in schemas.RUNS] and f.columns == [x.name for x in schemas.FILES]
+    assert f.collect()[0]["algorithm"] == "sha256"
+    again = store.migrated(r, f)
+    assert again[1].columns == f.columns
+
+
+def test_sqlite_import(spark, tmp_path):
+    import sqlite3
+
+    db = sqlite3.connect(tmp_path / "c.db")
+    db.execute("CREATE TABLE runs (id TEXT, version TEXT, source TEXT, destination TEXT, algorithm TEXT, workers INT, started_at TEXT, finished_at TEXT, status TEXT)")
+    db.execute("INSERT INTO runs VALUES ('r1', '1', '/s', '/d', 'sha1', 2, '2026-01-01T10:00:00Z', NULL, 'running')")
+    db.execute("CREATE TABLE files (id INTEGER, run_id TEXT, source_path TEXT, dest_path TEXT, dest_rel TEXT, checksum TEXT, status TEXT, is_duplicate INT, capture_date TEXT, file_size INT, extracted_at TEXT, hashed_at TEXT, copied_at TEXT, verified_at TEXT, tagged_at TEXT, error TEXT, carried_sidecars TEXT)")
+    db.execute("INSERT INTO files (id, run_id, source_path, status, is_duplicate, capture_date, carried_sidecars) VALUES (1, 'r1', '/s/a', 'complete', 1, '2024-01-15T00:00:00Z', '[\".xmp\"]')")
+    db.commit()
+    r, f = store.import_sqlite(spark, str(tmp_path / "c.db"))
+    got = f.collect()[0]
+    assert (got["is_duplicate"], got["capture_date"], got["carried_sidecars"], got["algorithm"]) == (True, dt.datetime(2024, 1, 15), [".xmp"], "sha1")
+    assert r.collect()[0]["started_at"] == AT
+
+
+def test_violations(spark):
+    r = runs(spark, run("a"), run("a"), run("b", status="odd"))
+    f = files(spark, {"run_id": "a"}, {"run_id": "zz"}, {"run_id": "a", "status": "odd"})
+    assert sorted(x["kind"] for x in schemas.violations(f, r).collect()) == ["file status", "repeated run", "run status", "unknown run"]
