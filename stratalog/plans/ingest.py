@@ -25,14 +25,13 @@ def planned(
     """
     done = files.where(F.col("status").isin("complete", "duplicate")).select("source_path", "checksum").distinct().withColumn("imported", F.lit(True))
     known = files.where("status = 'complete' and checksum is not null").groupBy("checksum").agg(F.min_by("dest_rel", F.struct(F.col("dest_rel").isNull(), "id")).alias("existing"), F.lit(True).alias("known"))
-    rows = candidates.withColumn("gate", gate_reason(F.col("capture_date"), since, before))
-    rows = rows.join(done, ["source_path", "checksum"], "left").join(known, "checksum", "left")
-    competes = F.col("error").isNull() & F.col("gate").isNull() & F.col("imported").isNull()
-    rows = rows.withColumn("competes", competes)
+    rows = candidates.withColumn("gate", gate_reason(F.col("capture_date"), since, before)).join(done, ["source_path", "checksum"], "left")
+    rows = rows.withColumn("competes", F.col("error").isNull() & F.col("gate").isNull() & F.col("imported").isNull())
 
+    # What is known of a checksum meets the rows in one join, the plan's last: a checksum that a third of all rows share can be split there.
     name = destination(F.col("capture_date"), algorithm, F.col("checksum"), F.col("ext"), F.lit(False), F.lit(stamp), template, language)
     first = rows.where("competes").groupBy("checksum").agg(F.min("id").alias("first_id"), F.min_by(name, "id").alias("first_dest"))
-    rows = rows.join(first, "checksum", "left")
+    rows = rows.join(known.join(first, "checksum", "full"), "checksum", "left")
     duplicate = F.col("competes") & (F.coalesce("known", F.lit(False)) | (F.col("id") != F.col("first_id")))
     rows = rows.withColumn("is_duplicate", F.coalesce(duplicate, F.lit(False)))
     outcome = (
