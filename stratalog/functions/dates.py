@@ -31,15 +31,13 @@ def container_date(seconds: Column) -> Column:
 
 
 def text_chunk_date(text: Column) -> Column:
-    """Creation times of image text chunks in the layouts that writers use; the clock time as written."""
-    trimmed = F.trim(text)
-    zone = r"(Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
-    bare = F.trim(F.regexp_replace(trimmed, zone, ""))
-    layouts = ((r"^\d{4}-\d{2}-\d{2}T", "yyyy-MM-dd'T'HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2} \d", "yyyy-MM-dd HH:mm:ss"), (r"^\d{4}:\d{2}:\d{2} ", "yyyy:MM:dd HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"))
-    found = [F.when(bare.rlike(p), F.try_to_timestamp(bare, F.lit(f))) for p, f in layouts]
-    mail = F.regexp_replace(bare, r"^[A-Z][a-z]{2}, ", "")
-    found.append(F.when(mail.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4} "), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss"))))
-    return F.coalesce(*found).cast("timestamp_ntz")
+    """Creation times of image text chunks in the layouts that writers use; the clock time as written, whatever its zone."""
+    at = F.trim(text)
+    days, months = "(Mon|Tue|Wed|Thu|Fri|Sat|Sun)", "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+    mail = F.when(at.rlike(rf"^{days}, \d{{2}} {months} \d{{4}} \d{{2}}:\d{{2}}:\d{{2}} ([A-Z]{{3,4}}|[+-]\d{{4}})$"), F.try_to_timestamp(F.substring(at, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
+    iso = F.when(at.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"), F.try_to_timestamp(F.left(at, F.lit(19)), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    plain = F.when(at.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm:ss")))
+    return F.coalesce(mail.cast("timestamp_ntz"), iso.cast("timestamp_ntz"), exif_date(at), plain.cast("timestamp_ntz"))
 
 
 def gate_reason(captured: Column, since: dt.date | None, before: dt.date | None) -> Column:

@@ -162,7 +162,7 @@ def png_dates(data: bytes) -> tuple[str | None, str | None, str | None]:
         body = data[at + 8 : at + 8 + size]
         if kind == b"eXIf":
             exif = _quiet(tiff_dates)(body)
-        elif kind == b"tEXt" and body.startswith(b"Creation Time\0"):
+        elif kind == b"tEXt" and body.lower().startswith(b"creation time\0"):
             created = created or body.split(b"\0", 1)[1].decode("latin-1")
         at += 12 + size
     return *exif, created

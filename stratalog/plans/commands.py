@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media, xmp
-from ..functions.formats import SIDECARS, Registry
+from ..functions.formats import SIDECARS
 from ..functions.hashing import content_hash
 from ..functions.paths import DEFAULT_TEMPLATE, parse_copyright
 from ..operators import catalog, doctor, ledger, sidecars
@@ -35,6 +35,7 @@ class IngestOptions:
     dry_run: bool = False
     ledger: bool = True
     carry_sidecars: bool = True
+    overwrite_sidecar_tags: bool = False
     template: str = DEFAULT_TEMPLATE
     language: str = "en"
     copyright: str = ""
@@ -80,7 +81,7 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     of_media = attached.where("media_path is not null").groupBy(F.col("media_path").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("sidecars"))
     date = F.col("capture_date")
     rights = parse_copyright(options.copyright).column(date, None, options.language) if options.copyright else F.lit("")
-    plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": xmp.packet(rights, F.lit(options.owner))})
+    plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": xmp.packet(rights, F.lit(options.owner)), "rights": rights, "owner": F.lit(options.owner)})
     skipped = rows.where("reason is not null").select("path", "rel_path", "reason").unionByName(sidecars.orphans(attached).join(rows.select("path", "rel_path"), "path").select("path", "rel_path", "reason"))
     plan = table("plan", plan)
     counts = ingest.counters(plan).collect()[0].asDict()
@@ -88,7 +89,7 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     if options.dry_run:
         return {"run_id": run_id, **counts, "plan": plan}
 
-    done = table("done", execute.executed(plan, archive, options.algorithm, "sidecars", "packet"))
+    done = table("done", execute.executed(plan, archive, options.algorithm, options.overwrite_sidecar_tags))
     result = plan.join(done, "id", "left").withColumns({
         "final": F.coalesce("status", F.when(F.col("outcome") == "error", "failed").when(F.col("outcome") == "skip", "skipped").otherwise("complete")),
         "problem": F.coalesce(done["error"], plan["error"]),
@@ -208,5 +209,3 @@ def as_table(results: DataFrame) -> str:
 def as_list(results: DataFrame) -> list[str]:
     return [r["source_path"] for r in results.select("source_path").toLocalIterator()]
 
-
-REGISTRY = Registry()

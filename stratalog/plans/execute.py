@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import blake3_hex
+from ..functions.xmp import merged_text
 from ..sources.store import replace_text
 
 BLOCK = 1 << 20
@@ -82,10 +83,26 @@ def copy_sidecars(sidecars: list[str], dest: str) -> list[str]:
     return done
 
 
-def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", sidecars: str | None = None, packet: str | None = None) -> DataFrame:
-    """``RESULT`` for the rows of ``plan`` that have a ``dest_rel``; optional columns name a row's sidecars and XMP text."""
-    extra = [F.col(sidecars).alias("sidecars") if sidecars else F.array().cast("array<string>").alias("sidecars"), F.col(packet).alias("packet") if packet else F.lit(None).cast("string").alias("packet")]
-    rows = plan.where("dest_rel is not null").select("id", "source_path", "dest_rel", "checksum", *extra)
+def tag(dest: str, carried: list[str], packet: str | None, rights: str, owner: str, overwrite: bool) -> str | None:
+    """Tags beside a media file: merged into its carried XMP sidecar, else a packet of its own. Returns what went wrong."""
+    try:
+        if ".xmp" in carried and (rights or owner):
+            with open(dest + ".xmp", encoding="utf-8") as f:
+                old = f.read()
+            new = merged_text(old, rights, owner, overwrite)
+            if new != old:
+                replace_text(dest + ".xmp", new)
+        elif packet and ".xmp" not in carried:
+            replace_text(dest + ".xmp", packet)
+    except (OSError, UnicodeDecodeError) as e:
+        return f"tag {dest}: {e}"
+    return None
+
+
+def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_tags: bool = False) -> DataFrame:
+    """``RESULT`` for the rows of ``plan`` that have a ``dest_rel``; ``sidecars``, ``packet``, ``rights`` and ``owner`` may be missing."""
+    defaults = {"sidecars": F.array().cast("array<string>"), "packet": F.lit(None).cast("string"), "rights": F.lit(""), "owner": F.lit("")}
+    rows = plan.withColumns({k: v for k, v in defaults.items() if k not in plan.columns}).where("dest_rel is not null").select("id", "source_path", "dest_rel", "checksum", *defaults)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -94,11 +111,8 @@ def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", sidecars: s
                 dest = os.path.join(archive, r.dest_rel)
                 status, error, size = copy_file(r.source_path, dest, r.checksum, algorithm)
                 carried = copy_sidecars(list(r.sidecars), dest) if status == "complete" else []
-                if status == "complete" and r.packet and ".xmp" not in carried:
-                    try:
-                        replace_text(dest + ".xmp", r.packet)
-                    except OSError as e:
-                        error = f"tag {dest}: {e}"
+                if status == "complete":
+                    error = tag(dest, carried, r.packet, r.rights or "", r.owner or "", overwrite_tags)
                 out.append((r.id, status, error, size, carried))
             yield pd.DataFrame(out, columns=["id", "status", "error", "copied_bytes", "carried"])
 
