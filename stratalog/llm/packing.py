@@ -26,7 +26,7 @@ from .textarrays import texts
 from .tokens import encoder, ids_of, token_bytes
 
 LENGTH = 1024
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 END = 0
 #: What a cut costs, in tokens of padding: at a document's end, at a sentence's, elsewhere.
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0.0, 1.0, 6.0
