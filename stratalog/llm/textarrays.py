@@ -74,11 +74,19 @@ class Text:
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-        data = self.data if data is None else data
-        powers, inverses = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+        return Spans(self.data if data is None else data)(starts, ends)
+
+
+class Spans:
+    """Hashes of any spans of some bytes, from one running sum over them."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverses = _power_tables(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
 Words are compared in a normal form: ASCII lower case, common digit-for-letter substitutions undone, everything that is
-not a letter dropped, so ``L0ser!`` and ``lo*ser`` meet ``loser``. The lexicon holds the words and word beginnings that the
-labelled sample ties to label 1. Features: lexicon densities (whole words, beginnings, the densest 32 words, all hits),
-hits near a second-person word, capitals, exclamation, punctuation and obfuscation rates, and length.
+not a letter dropped, so ``L0ser!`` and ``lo*ser`` meet ``loser``. The lexicon holds common insults and the words and word
+beginnings that the labelled sample ties to label 1, each with its log-odds. Features: lexicon densities (hits, strong
+hits, weights, the densest 32 words), hits near a second-person word, capitals, exclamation, punctuation and
+obfuscation rates, and length.
 """
 
 from __future__ import annotations
@@ -17,19 +18,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample
-from .textarrays import ASCII_LOWER, SPACE, Text, mix, texts
+from .scratch import Scratch
+from .textarrays import ASCII_LOWER, SPACE, Spans, Text, mix, texts
 
 #: Bounds of the training sample (labelled rows of class 0 and 1) and of the lexicon.
 SAMPLE = (7500, 2500)
 LEXICON = 4096
 #: Lengths of word beginnings in bytes; for a term, least texts of label 1 with it, label 1's least share of
 #: all texts with it, and the log-likelihood by which that share must beat the sample's.
-STEMS = (4, 5, 6)
-LEAST, PURITY, EVIDENCE = 4, 0.9, 13.0
+STEMS = (4, 5, 6, 7, 8, 9)
+LEAST, PURITY, EVIDENCE = 3, 0.4, 9.0
+#: Log-odds of common insults, and those from which a hit counts as strong.
+GIVEN, STRONG = 4.0, 3.0
+FOLDS = 4
 NEAR, SPAN = 6, 32
 #: Second-person words of the corpus's languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti contigo usted ustedes vosotros vuestro"
-FEATURES = ("words", "hits", "density", "stem_hits", "densest", "near_second_person", "second_person", "capitals", "exclamation", "punctuation", "obfuscation")
+#: Common insults that the lexicon holds from the start, for small sets of labels.
+INSULTS = (
+    "idiot moron stupid dumb loser scum trash garbage clown pathetic worthless disgusting fool jerk imbecile coward filth vermin degenerate "
+    "dumm trottel abschaum versager widerlich feigling imbécile crétin abruti ordure minable estúpido imbécil basura asqueroso patético"
+)
+FEATURES = ("words", "hits", "strong_hits", "density", "weight", "mean_weight", "densest", "near_second_person", "second_person", "capitals", "exclamation", "punctuation", "obfuscation")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(ord("a"), ord("z") + 1)) + list(range(0x80, 0x100))] = True
@@ -52,7 +62,6 @@ def _hash_words(words: str) -> np.ndarray:
     return np.sort(text.span_hashes(starts, ends))
 
 
-_SECOND = _hash_words(SECOND_PERSON)
 
 
 def normal_words(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -65,35 +74,47 @@ def normal_words(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray,
     starts, ends, rows = plain.words()
     if not len(starts):
         return plain, starts, ends, rows, [np.zeros(0, np.uint64)] * (1 + len(STEMS))
-    out = [plain.span_hashes(starts, ends)]
+    spans = Spans(plain.data)
+    out = [spans(starts, ends)]
     for n in STEMS:
         long = ends - starts > n
-        stem = mix(plain.span_hashes(starts, np.where(long, starts + n, ends)) + np.uint64(n))
-        out.append(np.where(long, stem, np.uint64(0)))
+        out.append(np.where(long, mix(spans(starts, np.where(long, starts + n, ends)) + np.uint64(n)), np.uint64(0)))
     return plain, starts, ends, rows, out
 
 
-def _member(keys: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    if not len(lexicon):
-        return np.zeros(len(keys), bool)
-    place = np.searchsorted(lexicon, keys)
-    place[place == len(lexicon)] = 0
-    return lexicon[place] == keys
+class Lexicon:
+    """Terms by hash with a weight each; the top 16 bits rule most words out before the search."""
 
+    def __init__(self, terms: np.ndarray, weights: np.ndarray):
+        order = np.argsort(terms)
+        self.terms, self.weights = terms[order], weights[order]
+        self.first = np.zeros(1 << 16, bool)
+        self.first[(terms >> np.uint64(48)).astype(np.int64)] = True
 
-def features(text: Text, lexicon: np.ndarray) -> np.ndarray:
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The weight of each key, 0 for others."""
+        out = np.zeros(len(keys))
+        if len(self.terms):
+            at = np.flatnonzero(self.first[(keys >> np.uint64(48)).astype(np.int64)])
+            place = np.searchsorted(self.terms, keys[at])
+            place[place == len(self.terms)] = 0
+            same = self.terms[place] == keys[at]
+            out[at[same]] = self.weights[place[same]]
+        return out
+
+
+def features(text: Text, lexicon: Lexicon) -> np.ndarray:
     """One row of ``FEATURES`` per text; all zero for a text without words."""
     n = text.rows
     _, _, _, rows, keys = normal_words(text)
     raw_starts, raw_ends, raw_rows = text.words()
     total = np.bincount(raw_rows, minlength=n)
     size = np.maximum(total, 1)
-    whole = _member(keys[0], lexicon)
-    stems = np.zeros(len(rows), bool)
+    weight = lexicon.of(keys[0])
     for k in keys[1:]:
-        stems |= _member(k, lexicon)
-    hit = whole | stems
-    second = _member(keys[0], _SECOND)
+        np.maximum(weight, lexicon.of(k), out=weight)
+    hit = weight > 0
+    second = SECOND.of(keys[0]) > 0
     where = np.flatnonzero(hit)
     near = np.zeros(len(where), bool)
     densest = np.zeros(n)
@@ -120,45 +141,68 @@ def features(text: Text, lexicon: np.ndarray) -> np.ndarray:
     edges = _PLAIN[text.data[a]].astype(bool) & _PLAIN[text.data[b - 1]].astype(bool)
     mixed = edges & (letters[b] - letters[a] < b - a)
     count = lambda flags, of: np.bincount(of[flags], minlength=n)
-    hits = count(hit, rows)
+    hits, weighed = count(hit, rows), np.bincount(rows, weights=weight, minlength=n)
     return np.column_stack(
-        [np.log1p(total), np.log1p(hits), hits / size, np.log1p(count(stems, rows)), densest, np.bincount(rows[where][near], minlength=n), count(second, rows) / size, capitals, bangs, punctuation, np.bincount(raw_rows[inside][mixed], minlength=n) / size]
+        [np.log1p(total), np.log1p(hits), np.log1p(count(weight >= STRONG, rows)), hits / size, np.log1p(weighed), weighed / size, densest, np.bincount(rows[where][near], minlength=n), count(second, rows) / size, capitals, bangs, punctuation, np.bincount(raw_rows[inside][mixed], minlength=n) / size]
     )
 
 
-def _terms(known: np.ndarray | None):
-    """How many of a task's texts hold each term (of ``known`` ones)."""
+SECOND = Lexicon(_hash_words(SECOND_PERSON), np.ones(len(SECOND_PERSON.split())))
+
+
+def _terms(known: Lexicon | None):
+    """How many of a task's texts in each fold hold each term (of ``known`` ones); columns text, fold."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            folds = batch.column(1).to_numpy(zero_copy_only=False)
             for text in texts(batch.column(0)):
                 _, _, _, rows, keys = normal_words(text)
+                own = folds[text.first_row : text.first_row + text.rows].astype(np.uint64)
                 parts = []
                 for k in keys:
-                    full = k != 0 if known is None else (k != 0) & _member(k, known)
+                    full = k != 0 if known is None else (k != 0) & (known.of(k) > 0)
                     pairs = np.stack([k[full], rows[full].astype(np.uint64)], 1)
-                    parts.append(np.unique(pairs, axis=0)[:, 0] if len(pairs) else pairs[:, 0])
-                terms, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])
+                    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+                    parts.append(np.stack([pairs[:, 0], own[pairs[:, 1].astype(np.int64)]], 1))
+                found, counts = np.unique(np.concatenate(parts), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), pa.array(found[:, 1].astype(np.int32)), pa.array(counts)], ["term", "fold", "n"])
 
     return counted
 
 
-def lexicon_of(chosen: DataFrame) -> np.ndarray:
-    """Terms that the sample ``chosen(text, y)`` ties to label 1; at most ``LEXICON``, the most frequent."""
-    sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    base = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    count = lambda y, known: chosen.where(F.col("y") == y).select("text").mapInArrow(_terms(known), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    often = count(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(16 * LEXICON).collect()
-    ones = {r["term"]: r["n"] for r in often}
-    zeros = {r["term"]: r["n"] for r in count(0, np.sort(np.array(list(ones), np.int64).view(np.uint64))).collect()} if ones else {}
-    found = []
-    for term, n in ones.items():
-        share = n / (n + zeros.get(term, 0))
-        beats = n * np.log(share / base) + (zeros[term] * np.log((1 - share) / (1 - base)) if zeros.get(term) else 0)
-        if share >= PURITY and beats >= EVIDENCE:
-            found.append((-n, term))
-    return np.sort(np.array([t for _, t in sorted(found)[:LEXICON]], np.int64).view(np.uint64))
+def lexicons(chosen: DataFrame) -> list[Lexicon]:
+    """From the sample ``chosen(text, y, fold)``: for each fold the lexicon of the others, and last that of all."""
+    sizes = np.zeros((2, FOLDS))
+    for r in chosen.groupBy("y", "fold").agg(F.count("*").alias("n")).collect():
+        sizes[r["y"], r["fold"]] = r["n"]
+
+    def count(y: int, known: Lexicon | None) -> DataFrame:
+        found = chosen.where(F.col("y") == y).select("text", "fold").mapInArrow(_terms(known), "term bigint, fold int, n bigint")
+        return found.groupBy("term").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
+
+    table = lambda df: {r["term"]: np.array([r[f"n{f}"] for f in range(FOLDS)], float) for r in df.collect()}
+    ones = table(count(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(16 * LEXICON))
+    known = Lexicon(np.array(list(ones), np.int64).view(np.uint64), np.ones(len(ones)))
+    zeros = table(count(0, known)) if ones else {}
+    terms = list(ones)
+    hits = np.stack([np.array([ones[t] for t in terms]).reshape(-1, FOLDS), np.array([zeros.get(t, np.zeros(FOLDS)) for t in terms]).reshape(-1, FOLDS)])
+    left_out = [np.arange(FOLDS) != f for f in range(FOLDS)] + [np.ones(FOLDS, bool)]
+    return [_weighted(terms, hits[0][:, part].sum(1), hits[1][:, part].sum(1), sizes[:, part].sum(1)) for part in left_out]
+
+
+def _weighted(terms: list[int], ones: np.ndarray, zeros: np.ndarray, sizes: np.ndarray) -> Lexicon:
+    """Common insults, and the at most ``LEXICON`` terms with most evidence for label 1."""
+    base = sizes[1] / max(1, sizes.sum())
+    share = ones / np.maximum(1, ones + zeros)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = np.where(ones > 0, ones * np.log(share / base), 0) + np.where(zeros > 0, zeros * np.log((1 - share) / (1 - base)), 0)
+    odds = np.maximum(0.1, np.log((ones + 0.5) / (zeros + 0.5) * (sizes[0] + 1) / (sizes[1] + 1)))
+    good = np.flatnonzero((ones >= LEAST) & (share >= PURITY) & (share > base) & (evidence >= EVIDENCE))
+    good = sorted(good, key=lambda k: (-evidence[k], terms[k]))[:LEXICON]
+    weights = dict.fromkeys(_hash_words(INSULTS).tolist(), GIVEN)
+    weights |= dict(zip(np.array([terms[k] for k in good], np.int64).view(np.uint64).tolist(), odds[good] if good else [], strict=True))
+    return Lexicon(np.array(list(weights), np.uint64), np.array(list(weights.values())))
 
 
 class Forest:
@@ -228,7 +272,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 class Model:
-    def __init__(self, lexicon: np.ndarray, forest: Forest, knots: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, lexicon: Lexicon, forest: Forest, knots: tuple[np.ndarray, np.ndarray]):
         self.lexicon, self.forest, self.knots = lexicon, forest, knots
 
     def probability(self, text: Text) -> np.ndarray:
@@ -238,33 +282,43 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = SAMPLE) -> Model:
-    """A model learnt from the bounded sample: lexicon and trees from three quarters of it, calibration from the rest.
+    """A model learnt from the bounded sample, which is written out once.
 
-    Where a class has no labelled rows the model gives 0.5 for every text.
+    Cross-fitting keeps it honest on little data: a row's features come from the lexicon of the other folds, and the
+    calibration from forests that haven't seen the row. Where a class has no labelled rows the model gives 0.5.
     """
     chosen, totals = sample(docs, labels, label, usable, id_col, text_col, most)
     if min(totals.get(0, 0), totals.get(1, 0)) < 1:
-        return Model(np.zeros(0, np.uint64), Forest(), (np.zeros(1), np.zeros(1)))
-    calibration = F.pmod(F.xxhash64("order"), F.lit(4)) == 0
-    lexicon = lexicon_of(chosen.where(~calibration))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), Forest(), (np.zeros(1), np.zeros(1)))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    chosen = scratch.table("sample", chosen.withColumn("fold", F.pmod(F.xxhash64("order"), F.lit(FOLDS)).cast("int")))
+    known = lexicons(chosen)
+    shared = docs.sparkSession.sparkContext.broadcast(known[:-1])
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            folds = batch.column(3).to_numpy(zero_copy_only=False)
             for text in texts(batch.column(0)):
-                got = features(text, shared.value)
-                own = [batch.column(k).slice(text.first_row, text.rows) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(c, float)) for c in got.T)], ["y", "order", "held", *FEATURES])
-
-    kind = "y int, order bigint, held boolean, " + ", ".join(f"{c} double" for c in FEATURES)
-    got = chosen.select("text", "y", "order", calibration.alias("held")).mapInArrow(dense, kind).toPandas().sort_values(["order", "y"])
-    x, y, held = got[list(FEATURES)].to_numpy(), got["y"].to_numpy(float), got["held"].to_numpy(bool)
-    share = {k: totals[k] / max(1, (y == k).sum()) for k in (0, 1)}
-    weight = np.where(y == 1, share[1], share[0])
+                own = folds[text.first_row : text.first_row + text.rows]
+                got = np.zeros((text.rows, len(FEATURES)))
+                for f, lexicon in enumerate(shared.value):
+                    if (own == f).any():
+                        got[own == f] = features(text, lexicon)[own == f]
+                kept = [batch.column(k).slice(text.first_row, text.rows) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["y", "order", "fold", *FEATURES])
+
+    kind = "y int, order bigint, fold int, " + ", ".join(f"{c} double" for c in FEATURES)
+    got = chosen.select("text", "y", "order", "fold").mapInArrow(dense, kind).toPandas().sort_values(["order", "y"], kind="stable")
+    scratch.drop("sample")
+    x, y, fold = got[list(FEATURES)].to_numpy(), got["y"].to_numpy(float), got["fold"].to_numpy()
+    if not 0 < y.sum() < len(y):
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), Forest(), (np.zeros(1), np.zeros(1)))
+    weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
     weight *= len(y) / weight.sum()
-    forest = Forest().fit(x[~held], y[~held], weight[~held])
-    part = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
-    return Model(lexicon, forest, isotonic(forest.margin(x[part]), y[part], weight[part]))
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        margin[fold == f] = Forest().fit(x[fold != f], y[fold != f], weight[fold != f]).margin(x[fold == f])
+    return Model(known[-1], Forest().fit(x, y, weight), isotonic(margin, y, weight))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep_text: bool = False) -> DataFrame:
