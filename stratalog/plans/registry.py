@@ -319,7 +319,20 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("id", formats.Registry().detect(F.col("ext"), header).alias("format"))
 
 
-@query("xmp_packet")
+def _quoted(part: str) -> str:
+    return "'" + part.replace("'", "''") + "'"
+
+
+_DECLARED = {p: f'\n      xmlns:{p}="{u}"' for p, u in xmp.NAMESPACES.items()}
+_PACKET_SQL = (
+    f"WITH {FILES_SQL}, o AS (SELECT id, strftime(capture_date, '%Y') AS y, CASE WHEN id % 2 = 0 THEN run_id END AS owner FROM files) SELECT id, md5("
+    + _quoted(xmp.HEAD + _DECLARED["dc"] + _DECLARED["xmpRights"]) + " || CASE WHEN coalesce(owner, '') <> '' THEN " + _quoted(_DECLARED["aux"]) + " ELSE '' END || "
+    + _quoted(">\n      " + xmp.RIGHTS[0] + "(c) ") + " || y || " + _quoted(" &amp; heirs" + xmp.RIGHTS[1] + "\n      " + xmp.MARKED)
+    + " || CASE WHEN coalesce(owner, '') <> '' THEN " + _quoted("\n      <aux:OwnerName>") + " || owner || '</aux:OwnerName>' ELSE '' END || " + _quoted(xmp.TAIL) + ") AS packet_md5 FROM o"
+)
+
+
+@query("xmp_packet", _PACKET_SQL)
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rights = paths.parse_copyright("(c) {year} & heirs").column(F.col("capture_date"))
     return files(spark, sf_dir).select("id", F.md5(xmp.packet(rights, F.when(F.col("id") % 2 == 0, F.col("run_id")))).alias("packet_md5"))
