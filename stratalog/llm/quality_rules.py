@@ -1,8 +1,9 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Every line that holds a word is judged by itself: navigation (separators between its words), boilerplate phrases, symbols,
-shouting, one word over and over, no sentence punctuation, repetition of an earlier line. Failed lines are removed, and a
-document that loses more than ``MOST_LOST`` percent of its text is rejected, as is one that fails the base rules.
+Every line that holds a word is judged by itself: repetition of an earlier line, no sentence punctuation, shouting, navigation
+(separators between its words), symbols, few different words, boilerplate phrases. Failed lines are removed, and a
+document that loses more than ``MOST_LOST`` percent of its text is rejected, as is one that fails the base rules. Rules
+that need a closer look at a line run only on documents that could fail them at all.
 """
 
 from __future__ import annotations
@@ -19,22 +20,18 @@ BOILERPLATE = (
 
 _BLANKS = "' \\t\\n\\u000B\\f\\r'"
 _WORD = r"'[^\\x20\\x09-\\x0D]+'"
-_LINES = "split(coalesce(text, ''), '\\n', -1)"
+_LINES = "split(text, '\\n', -1)"
 
 
-def _flagged(lines: str = "lines") -> str:
-    """Lines that stay, from the trimmed lines with a word, first occurrences only."""
-    phrases = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
-    bare = "length(replace(replace(replace(x, '|', ''), '>', ''), '\\u00BB', ''))"
-    symbols = "length(regexp_replace(x, '[^#*$%&|<>{}=~^\\\\\\\\]', ''))"
-    spaces = "(length(x) - length(replace(x, ' ', '')) + 1)"
-    return f"""filter(array_distinct({lines}), x -> NOT (
-        (length(x) - {bare} >= 2 AND 5 * (length(x) - {bare}) >= {spaces})
-        OR 10 * {symbols} >= length(x)
-        OR (x = upper(x) AND x != lower(x) AND length(x) >= 12)
-        OR NOT rlike(x, '[.!?:;\\u2026]')
-        OR ({spaces} >= 10 AND 4 * size(array_distinct(split(x, ' '))) <= {spaces})
-        OR {phrases}))"""
+#: Lines stay where these hold, for documents on which the guard holds.
+_SEPARATORS = "length(x) - length(translate(x, '|>\\u00BB', ''))"
+_SPACES = "(length(x) - length(replace(x, ' ', '')) + 1)"
+_GUARDED = (
+    ("contains(text, '|') OR contains(text, '>') OR contains(text, '\\u00BB')", f"NOT ({_SEPARATORS} >= 2 AND 5 * ({_SEPARATORS}) >= {_SPACES})"),
+    ("n_symbols > 0", "10 * length(regexp_replace(x, '[^#*$%&|<>]+', '')) < length(x)"),
+    ("n_repeat_words > 0", f"NOT ({_SPACES} >= 10 AND 4 * size(array_distinct(split(x, ' '))) <= {_SPACES})"),
+    (" OR ".join(f"contains(lowered, '{p}')" for p in BOILERPLATE), "NOT (" + " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE) + ")"),
+)
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -43,21 +40,27 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null or word-less text counts zero everywhere, fails the base rules and isn't kept; rows are judged one by one, so
     repeated rows and null ids come out as they went in.
     """
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
-    rows = rows.select("row", "text", F.expr(f"regexp_extract_all(coalesce(text, ''), {_WORD}, 0)").alias("words"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.select("row", "text", F.expr(f"regexp_extract_all(text, {_WORD}, 0)").alias("words"))
     grams = "CASE WHEN size(words) < 3 THEN array() ELSE transform(slice(words, 1, size(words) - 2), (x, i) -> xxhash64(x, get(words, i + 1), get(words, i + 2))) END"
     rows = rows.select("row", "text", F.size("words").cast("bigint").alias("n_words"), F.expr("aggregate(words, 0L, (a, x) -> a + length(x))").alias("word_chars"), F.expr(grams).cast("array<bigint>").alias("grams"))
+    # Windows by hash, only where some hash repeats; then the places of repeated ones, whose gaps say how many words they cover.
     rows = rows.withColumn("ranked", F.expr("CASE WHEN size(array_distinct(grams)) < size(grams) THEN sort_array(transform(grams, (g, i) -> struct(g as g, i as i))) END"))
     rows = rows.withColumn("places", F.expr("sort_array(transform(filter(ranked, (x, k) -> coalesce(x.g = get(ranked, k - 1).g, false) OR coalesce(x.g = get(ranked, k + 1).g, false)), x -> x.i))"))
     repeat = "coalesce(aggregate(places, struct(-3 as last, 0L as n), (a, x) -> struct(x as last, a.n + least(3, x - a.last) as n), a -> a.n), 0L)"
-    rows = rows.select("row", "text", "n_words", "word_chars", F.expr(repeat).alias("n_repeat_words"), F.expr(f"filter({_LINES}, x -> trim(BOTH {_BLANKS} FROM x) != '')").alias("full"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = rows.select(
-        "row", "n_words", "word_chars", "n_repeat_words",
-        F.expr("coalesce(cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint), 0L)").alias("n_symbols"),
-        F.expr("cast(size(full) - size(array_distinct(full)) as bigint)").alias("n_dup_lines"),
-        F.expr(f"transform(full, x -> trim(BOTH {_BLANKS} FROM x))").alias("lines"),
+        "row", "text", "n_words", "word_chars", F.expr(repeat).alias("n_repeat_words"), F.lower("text").alias("lowered"),
+        F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint)").alias("n_symbols"),
+        F.expr(f"filter({_LINES}, x -> trim(BOTH {_BLANKS} FROM x) != '')").alias("full"),
     )
-    rows = rows.withColumn("good", F.expr(_flagged())).withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
+    rows = rows.withColumns({"n_dup_lines": F.expr("cast(size(full) - size(array_distinct(full)) as bigint)"), "lines": F.expr(f"transform(full, x -> trim(BOTH {_BLANKS} FROM x))")})
+    rows = rows.withColumn("good", F.expr("filter(array_distinct(lines), x -> rlike(x, '[.!?:;\\u2026]') AND (rlike(x, '\\\\p{Ll}') OR length(x) < 12 OR NOT rlike(x, '\\\\p{Lu}')))"))
+    for guard, rule in _GUARDED:
+        rows = rows.withColumn("good", F.expr(f"CASE WHEN {guard} THEN filter(good, x -> {rule}) ELSE good END"))
+    rows = rows.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
     total = lambda c: F.expr(f"aggregate({c}, 0L, (a, x) -> a + length(x))")
     enough = 100 * (total("lines") - total("good")) <= MOST_LOST * total("lines")
-    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & enough).alias("kept"), F.array_join("good", "\n").alias("clean_text"))
+    verdict = F.struct(*counts, "base_failed", (~F.col("base_failed") & enough).alias("kept"), F.array_join("good", "\n").alias("clean_text"))
+    # As a generator's output, so that a filter on the verdict isn't pushed into the projections above and evaluated there anew.
+    return rows.select("row", F.inline(F.array(verdict)))
