@@ -20,12 +20,11 @@ _LINES = "split(coalesce(text, ''), '\\n', -1)"
 def windows(docs: DataFrame) -> DataFrame:
     """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``."""
     lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(f"filter(transform({_LINES}, (x, i) -> struct(i as at, trim(BOTH {_BLANKS} FROM x) as line)), x -> x.line != '')").alias("body"))
-    lines = lines.where("size(body) >= 3")
     each = F.expr(
-        """explode(transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
+        """explode(CASE WHEN size(body) < 3 THEN array() ELSE transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
             x.at as start, get(body, i + 2).at as end,
             xxhash64(x.line, get(body, i + 1).line, get(body, i + 2).line) as h1,
-            xxhash64(get(body, i + 2).line, 3, x.line, get(body, i + 1).line) as h2)))"""
+            xxhash64(get(body, i + 2).line, 3, x.line, get(body, i + 1).line) as h2)) END)"""
     ).alias("w")
     return lines.select("id", "text_key", each).select("id", "text_key", "w.*")
 
