@@ -454,3 +454,11 @@ def test_line_dedup_on_awkward_rows(spark, awkward):
     got = line_dedup.without_repeats(awkward).collect()
     assert len(got) == len(AWKWARD) and next(r["text"] for r in got if r["row"]["doc_id"] == 7) == "l1 a\nl2 b\nl3 c"
     assert line_dedup.without_repeats(awkward.limit(0)).count() == 0
+
+
+def test_filters_on_verdicts_stay_above(spark, small):
+    """Otherwise a filter pulls the split into words into each word's own evaluation."""
+    rows = quality_rules.judged(spark.read.parquet(f"{small}/documents.parquet"))
+    text = rows.where("kept")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter .*kept#", text) and text.index("Filter") < text.index("Generate")
+    assert rows.where("kept").count() == sum(r["kept"] for r in rows.collect())
