@@ -7,8 +7,8 @@
 3. Each bucket yields a star: its smallest member against all others, so candidates grow with members, not with pairs.
 4. Candidates are verified on the full sets. Where the members of a bucket are still in several components, a sweep
    compares those outside its largest component with all other members, so no link between members of a bucket is
-   lost. It counts intersections through an inverted index of up to ``SWEEP`` sets, past which the members stream;
-   pairs are counted, not emitted: at most one link per member and component comes out.
+   lost. It counts intersections through an inverted index of about ``SWEEP`` sets, past which about ``GROUP``
+   members stream per task group; pairs are counted, not emitted: at most one link per member and component comes out.
 
 A centre with many candidates is dealt over several tasks, each of which holds the centre's set and streams the others.
 """
@@ -202,11 +202,15 @@ def _sweep(scratch: Scratch, members: DataFrame, labels: DataFrame, bodies: Data
     placed = rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"))
-    placed = scratch.table("open", placed.join(main, "bucket").select("bucket", "rep", "root", "main", "parts"))
-    indexed = placed.where("root != main").select("bucket", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(False).alias("member"), F.col("rep").alias("id"), "root")
-    streamed = placed.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), F.col("rep").alias("id"), "root")
-    rows = indexed.union(streamed).join(bodies, "id").select("bucket", "part", "member", "id", "root", "text").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "member")
+    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"), F.max(F.ceil(F.col("all") / GROUP)).alias("blocks"))
+    # A merge join, so that a bucket with very many members can be split over tasks.
+    placed = scratch.table("open", placed.join(main.hint("merge"), "bucket").select("bucket", "rep", "root", "main", "parts", "blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    indexed = placed.where("root != main").select("bucket", F.pmod(F.xxhash64("rep"), "parts").alias("part"), every("blocks").alias("block"), F.lit(False).alias("member"), F.col("rep").alias("id"), "root")
+    streamed = placed.select("bucket", every("parts").alias("part"), F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").alias("block"), F.lit(True).alias("member"), F.col("rep").alias("id"), "root")
+    cell = F.xxhash64("part", "block").alias("part")  # a bucket's sets to index by its members to stream, both in bounded parts
+    routes = indexed.union(streamed).select("bucket", cell, "member", "id", "root")
+    rows = routes.join(bodies, "id").select("bucket", "part", "member", "id", "root", "text").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "member")
     return scratch.table("swept", rows.mapInArrow(_swept, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])))
 
 
