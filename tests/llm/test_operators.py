@@ -126,6 +126,17 @@ def test_quality_verdicts(spark):
     assert "Contact" not in quality_rules.judged(docs(spark, good + "\nHome | About | Contact")).collect()[0]["clean_text"]
 
 
+def test_quality_lines_without_symbols_or_repeats_elsewhere(spark):
+    """Rules on lines hold in documents without other symbols and without a repeated window of words."""
+    rng = random.Random(4)
+    good = "\n".join(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12)) + "." for _ in range(8))
+    bad = [f"ab{c}cd. ef{c}" for c in "#*$%&|<>{}=~^\\"] + ["ab." + " " * 30 + "cd", "ab ab ab cd. cd. cd. ab cd. ab ab"]
+    fine = ["ab{cd. ef gh ij kl", "ab." + " " * 8 + "cd", "ab cd ef cd. cd. cd. ab cd. ab ab"]
+    got = {r["row"]["doc_id"]: r for r in quality_rules.judged(docs(spark, *(good + "\n" + x for x in bad + fine))).collect()}
+    assert not any(r["n_repeat_words"] for r in got.values())
+    assert [got[k]["clean_text"] for k in range(len(got))] == [good] * len(bad) + [good + "\n" + x for x in fine]
+
+
 # 4: near-duplicates
 
 
