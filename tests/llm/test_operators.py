@@ -272,6 +272,26 @@ def test_ids_equal_the_tokenizer(small, tokenizer):
             assert ids[edges[k] : edges[k + 1]].tolist() == tokenizer.encode(made[text.first_row + k], add_special_tokens=False).ids
 
 
+def test_special_token_in_texts(spark):
+    """Its string is the special token, as with the tokenizer's default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = [f"{a}<|endoftext|>{b}" for a in ("", "a ", "a  ", "é\n", "it'", "<|endoftext|>") for b in ("", " b", "  b", "\n\nb", "s", "|>")] + ["<|endoftext|", "plain"]
+    want = [default.encode(t, add_special_tokens=False).ids for t in made]
+    assert 50256 in want[0] and len(tokens.token_lengths()) == 50257 and tokens.token_bytes()[50256] == b"<|endoftext|>"
+    for text in textarrays.texts(pa.array(made)):
+        ids, edges = tokens.ids_of(text, tokens.encoder())
+        for k in range(text.rows):
+            assert ids[edges[k] : edges[k + 1]].tolist() == want[text.first_row + k]
+    df = docs(spark, *made)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_tokens(df).collect()}
+    assert [counts[k] for k in range(len(made))] == [len(x) for x in want]
+    pieces = packing.pack(df, [df["doc_id"]], with_ids=True).orderBy("doc_id", "start").collect()
+    assert all([i for r in pieces if r["doc_id"] == k for i in r["ids"]] == [*x, 0] for k, x in enumerate(want))
+
+
 def test_section_tokens(spark, small, tokenizer):
     made = HARD + [t for _, t in rows_of(small, "documents", "doc_id, text")]
     got = defaultdict(list)
