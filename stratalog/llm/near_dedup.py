@@ -236,8 +236,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.table("members", buckets.join(shared, "bucket").select("bucket", "rep", "centre"))
     bodies = scratch.table("bodies", docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
+    # Ids with several sets tie the classes that these belong to.
+    sets = F.struct("set1", "set2")
+    several = scratch.table("several", signed.where("id is not null").groupBy("id").agg(F.min(sets).alias("least"), F.max(sets).alias("most")).where("least != most").select("id"))
+    tied = bool(several.take(1))
+
     pairs = members.where("rep != centre").select(F.col("centre").alias("c"), F.col("rep").alias("x")).distinct()
     links = _links(scratch, pairs, bodies, "links0")
+    if tied:
+        held = signed.select("id", "set1", "set2").distinct().join(several, "id", "left_semi")
+        links = links.union(scratch.table("ties", held.join(classes, ["set1", "set2"]).where("rep != id").select("rep", "id").distinct()))
     labels = components(scratch, links, "components0")
     extra = _sweep(scratch, members, labels, bodies)
     if extra.take(1):
@@ -246,5 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").where("rep != last or root is not null").select("set1", "set2", F.coalesce("root", "rep").alias("component"))
     by_class = signed.select("id", "n_shingles", "set1", "set2").join(of_class, ["set1", "set2"], "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))
+    found = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
+    if tied:  # a text without shingles goes with its id's other texts
+        own = labels.join(several, labels["node"] == several["id"], "left_semi").select(F.col("node").alias("id"), F.col("root").alias("own"))
+        by_class = by_class.join(own, "id", "left")
+        found = F.coalesce(found, "own")
+    component = F.coalesce(found, "id")
     return by_class.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

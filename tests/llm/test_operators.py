@@ -208,6 +208,18 @@ def test_near_duplicates_on_awkward_rows(spark, awkward):
     assert near_dedup.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """An id is one node: its texts tie their classes, and all its rows share the decision."""
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    rows = [(1, text("x")), (2, text("y")), (3, text("x")), (3, text("y")), (4, text("z")), (5, text("z")), (5, ""), (5, None), (6, text("u")), (6, text("v")), (7, text("v")), (8, ""), (8, None), (9, text("w")), (9, ""), (None, text("x")), (None, text("w"))]
+    rows += [(12, text("p")), (12, text("q")), (11, text("q")), (11, text("r")), (10, text("r") + " r40")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = near_dedup.near_duplicates(df).collect()
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9, 10: 10, 11: 10, 12: 10, None: None}
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, c, i == c) for i, c in want.items()}
+
+
 # 5: neighbours
 
 
