@@ -1,8 +1,8 @@
 """Line dedup over overlapping windows of three lines.
 
 Windows are three consecutive lines that hold a word; lines between them without one belong to the window. A window is
-known by two 64-bit hashes of its trimmed lines. Over all documents, the first occurrence of a window by (id, line) stays
-and every later one covers its lines; covered lines are merged per document and removed. Each distinct line therefore
+known by two 64-bit hashes of its trimmed lines. Over all documents, the first occurrence of a window by (id, text, line)
+stays and every later one covers its lines; covered lines are merged per document and removed. Each distinct line therefore
 stays where it stands first.
 """
 
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lines import ORACLE_BLANKS, trimmed
 from .scratch import Scratch
 
-_BLANKS = "' \\t\\n\\u000B\\f\\r'"
 _LINES = "split(coalesce(text, ''), '\\n', -1)"
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(f"filter(transform({_LINES}, (x, i) -> struct(i as at, trim(BOTH {_BLANKS} FROM x) as line)), x -> x.line != '')").alias("body"))
+    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(f"filter(transform({_LINES}, (x, i) -> struct(i as at, {trimmed('x')} as line)), x -> x.line != '')").alias("body"))
     each = F.expr(
         """explode(CASE WHEN size(body) < 3 THEN array() ELSE transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
             x.at as start, get(body, i + 2).at as end,
@@ -33,14 +33,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` as the struct ``row``, with ``n_lines``, ``n_removed`` and the cleaned ``text``.
 
     A text of fewer than three lines with a word stays as it is, a null text stays null (no lines). Rows that share id and
-    text count as one document and get the same result; a null id sorts first.
+    text count as one document and get the same result; rows that share only the id are documents of their own, in the order
+    of their texts' hashes. A null id sorts first. Other columns come back in ``row``, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = scratch.table("windows", windows(rows.select("id", "text")))
-    place = F.struct("id", "start")
+    place = F.struct("id", "text_key", "start")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
-    later = found.join(firsts, ["h1", "h2"]).where(F.struct("id", "start") > F.col("first"))
+    # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
+    firsts = scratch.table("firsts", firsts)
+    later = found.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
     covers = later.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     covers = covers.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.start, s.end))))").alias("covered"))
     joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
@@ -49,13 +52,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("row", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"), clean.alias("text"))
 
 
-ORACLE_SQL = """
+ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), body AS (
-  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
-  FROM lines WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+  SELECT doc_id, pos, trim(line, {ORACLE_BLANKS}) AS line
+  FROM lines WHERE trim(line, {ORACLE_BLANKS}) <> ''
 ), windows AS (
   SELECT doc_id, pos AS first_at, lead(pos, 2) OVER w AS last_at, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
   FROM body WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
