@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lines import ORACLE_BLANKS, trimmed
+
 LEAST_WORDS, MOST_REPEATED, MOST_LOST = 50, 50, 50
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = (
@@ -18,7 +20,6 @@ BOILERPLATE = (
     "sign up for", "log in to", "enable javascript", "share this", "read more", "skip to content", "back to top",
 )
 
-_BLANKS = "' \\t\\n\\u000B\\f\\r'"
 _WORD = r"'[^\\x20\\x09-\\x0D]+'"
 _LINES = "split(text, '\\n', -1)"
 
@@ -54,9 +55,9 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select(
         "row", "text", "n_words", "word_chars", F.expr(repeat).alias("n_repeat_words"), F.lower("text").alias("lowered"),
         F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint)").alias("n_symbols"),
-        F.expr(f"filter({_LINES}, x -> trim(BOTH {_BLANKS} FROM x) != '')").alias("full"),
+        F.expr(f"filter({_LINES}, x -> {trimmed('x')} != '')").alias("full"),
     )
-    rows = rows.withColumns({"n_dup_lines": F.expr("cast(size(full) - size(array_distinct(full)) as bigint)"), "lines": F.expr(f"transform(full, x -> trim(BOTH {_BLANKS} FROM x))")})
+    rows = rows.withColumns({"n_dup_lines": F.expr("cast(size(full) - size(array_distinct(full)) as bigint)"), "lines": F.expr(f"transform(full, x -> {trimmed('x')})")})
     rows = rows.withColumn("good", F.expr("filter(array_distinct(lines), x -> rlike(x, '[.!?:;\\u2026]') AND (rlike(x, '\\\\p{Ll}') OR length(x) < 12 OR NOT rlike(x, '\\\\p{Lu}')))"))
     for guard, rule in _GUARDED:
         rows = rows.withColumn("good", F.expr(f"CASE WHEN {guard} THEN filter(good, x -> {rule}) ELSE good END"))
@@ -66,3 +67,43 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     verdict = F.struct(*counts, "base_failed", (~F.col("base_failed") & enough).alias("kept"), F.array_join("good", "\n").alias("clean_text"))
     # As a generator's output, so that a filter on the verdict isn't pushed into the projections above and evaluated there anew.
     return rows.select("row", F.inline(F.array(verdict)))
+
+
+_ORACLE_SEPARATORS = "length(x) - length(translate(x, '|>' || chr(187), ''))"
+_ORACLE_SPACES = "(length(x) - length(replace(x, ' ', '')) + 1)"
+ORACLE_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts
+), windows AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS three FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), found AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows WHERE three IS NOT NULL
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM found, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY doc_id
+), lined AS (
+  SELECT doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: trim(x, {ORACLE_BLANKS}) <> '') AS full_lines
+  FROM texts
+), lines AS (
+  SELECT *, list_transform(full_lines, lambda x: trim(x, {ORACLE_BLANKS})) AS trimmed FROM lined
+), judged AS (
+  SELECT *, list_filter(list_distinct(trimmed), lambda x: regexp_matches(x, '[.!?:;…]')
+      AND (regexp_matches(x, '\p{{Ll}}') OR length(x) < 12 OR NOT regexp_matches(x, '\p{{Lu}}'))
+      AND NOT ({_ORACLE_SEPARATORS} >= 2 AND 5 * ({_ORACLE_SEPARATORS}) >= {_ORACLE_SPACES})
+      AND 10 * length(regexp_replace(x, '[^#*$%&|<>{{}}=~^\\]+', '', 'g')) < length(x)
+      AND NOT ({_ORACLE_SPACES} >= 10 AND 4 * len(list_distinct(string_split(x, ' '))) <= {_ORACLE_SPACES})
+      AND NOT ({" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)})) AS good
+  FROM lines
+), counted AS (
+  SELECT j.doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+         (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(list_sum(list_transform(trimmed, lambda x: length(x))), 0) AS had, coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) AS has
+  FROM judged j LEFT JOIN repeats r ON j.doc_id = r.doc_id
+), based AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (had - has) <= {MOST_LOST} * had AS kept
+FROM based
+"""

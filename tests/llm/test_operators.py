@@ -116,6 +116,18 @@ def test_quality_counts(spark, small, awkward):
     assert quality_rules.judged(awkward.limit(0)).count() == 0
 
 
+def test_blanks_of_lines(spark):
+    """The six ASCII blanks around a line don't count, and no letter is taken for one of them."""
+    rng = random.Random(12)
+    made = ["f\nf\nff", "\x0c\n\x0c\na", "\x0b\n \x0b\n\x85\n\x85", "for half\nor half\nfor half"]
+    made += ["\n".join("".join(rng.choice("f\x0b\x0c \ta\r") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    got = {r["row"]["doc_id"]: r for r in quality_rules.judged(docs(spark, *made)).collect()}
+    for k, text in enumerate(made):
+        assert (got[k]["n_words"], got[k]["word_chars"], got[k]["n_symbols"], got[k]["n_dup_lines"], got[k]["n_repeat_words"]) == expected_counts(text)
+    whole = "\n".join(f"f{k} ff for half of the wolf, if fluff is stiff f{k}f." for k in range(9))
+    assert quality_rules.judged(docs(spark, "\x0c " + whole.replace("\n", " \x0b\n\x0c") + "\x0c")).collect()[0]["clean_text"] == whole
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(3)
     good = "\n".join(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12)) + "." for _ in range(8))
@@ -493,6 +505,25 @@ def test_line_dedup(spark):
     assert {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()} == brute_lines(rows)
 
 
+def test_line_dedup_blanks(spark):
+    """Lines that differ in a letter at their edge differ; the six ASCII blanks at the edge make no difference."""
+    rng = random.Random(10)
+    made = ["fan\nb\nc", "an\nb\nc", "if\nb\nc", "i\nb\nc", "\x0cp\nq\x0b\nr", "p\nq\nr"]
+    made += ["\n".join(rng.choice(["f", "ff", "af", "a", "\x0c", "\x0b", "\x0ca", "f\x0b", "\x85a"]) for _ in range(rng.randint(0, 20))) for _ in range(80)]
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made)).collect()}
+    assert got == brute_lines(list(enumerate(made))) and [got[k] for k in range(6)] == [*made[:5], ""]
+
+
+def test_line_dedup_of_ids_with_several_texts(spark):
+    """Rows with one id and different texts are documents of their own; repeated rows are one."""
+    rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc"), (3, "u\nv\nw"), (3, "u\nv\nw"), (None, "k\nl\nm"), (None, "k\nl\nm\nn")]
+    got = Counter((r["row"]["doc_id"], r["text"]) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    first = [t for i, t in got if i == 1]
+    assert sorted(first) in (["a\nb\nc\nx", "y"], ["a\nb\nc\ny", "x"])
+    assert sorted(t for i, t in got if i is None) in (["", "k\nl\nm\nn"], ["k\nl\nm", "n"])
+    assert got[2, ""] == 1 and got[3, "u\nv\nw"] == 2
+
+
 def test_line_dedup_on_awkward_rows(spark, awkward):
     got = line_dedup.without_repeats(awkward).collect()
     assert len(got) == len(AWKWARD) and next(r["text"] for r in got if r["row"]["doc_id"] == 7) == "l1 a\nl2 b\nl3 c"
