@@ -14,20 +14,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _judged(docs: DataFrame, scored: DataFrame, folds: int, held: int) -> DataFrame:
-    return scored.select("doc_id", F.coalesce(labelled.fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id, F.coalesce(labelled.fold(doc_id, folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality_classifier.train(docs, labels, labelled.fold(F.col("id"), 4) != 2)
-    return _judged(docs, quality_classifier.score(docs, weights), 4, 2)
+    return _judged(quality_classifier.score(docs, weights), 4, 2)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, labelled.fold(F.col("id"), 3) != 1)
-    return _judged(docs, toxicity.score(docs, model), 3, 1)
+    return _judged(toxicity.score(docs, model), 3, 1)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A word yields two symbols: its bytes (ASCII lower-cased) and its shape (case, digits, non-ASCII letters, last character,
 number of symbols, length, whether it repeats one of the two words before it and whether its 3-gram recurs in the text).
 Features are 1-2-grams of words and 1-3-grams of shapes, hashed to ``DIMENSIONS`` slots, with value ``SCALE * count /
-words``: a score is one sparse dot product. Training takes at most ``2 * PER_CLASS`` labelled rows.
+words``: a score is one sparse dot product. Training takes at most ``2 * PER_CLASS`` labelled rows, of which the driver holds
+the distinct n-grams of the whole texts.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .labelled import sample
+from .labelled import sample, scored
 from .textarrays import ASCII_LOWER, Text, grams, mix, texts
 
 DIMENSIONS = 1 << 18
@@ -119,20 +118,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return follow_leader([(int(y[i]), balance[int(y[i])], slots[edges[i] : edges[i + 1]], values[edges[i] : edges[i + 1]]) for i in np.lexsort((y, order))])
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``: the probability of label 1 for every whole text; a text without words gets the bias's."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = [c for c in docs.columns if c not in (text_col, score_col)]
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text as the struct ``row``, with ``score``: the probability of label 1 for every whole text.
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            out = []
-            for text in texts(batch.column(len(kept))):
-                slots, rows, counts = occurrences(text)
-                logit = w[-1] + SCALE * np.bincount(rows, weights=w[slots], minlength=text.rows) / np.maximum(counts, 1)
-                out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, score_col])
+    A null, empty or word-less text gets the bias's probability (0.5 for a model learnt from nothing). Rows are scored one by
+    one: repeated rows and null ids come out as they went in, equal texts with equal scores.
+    """
+    return scored(docs, text_col, weights, probability)
 
-    kind = T.StructType([*(docs.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())])
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(scored, kind)
+
+def probability(weights: np.ndarray, text: Text) -> np.ndarray:
+    slots, rows, counts = occurrences(text)
+    logit = weights[-1] + SCALE * np.bincount(rows, weights=weights[slots], minlength=text.rows) / np.maximum(counts, 1)
+    return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))

@@ -15,15 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .labelled import sample
+from .labelled import sample, scored
 from .scratch import Scratch
 from .textarrays import ASCII_LOWER, SPACE, Spans, Text, mix, texts
 
-#: Bounds of the training sample (labelled rows of class 0 and 1) and of the lexicon.
+#: Bounds of the training sample: labelled rows of class 0 and 1.
 SAMPLE = (7500, 2500)
-LEXICON = 4096
 #: Lengths of word beginnings in bytes; for a term, least texts of label 1 with it, label 1's least share of
 #: all texts with it, and the log-likelihood by which that share must beat the sample's.
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -62,8 +60,6 @@ def _hash_words(words: str) -> np.ndarray:
     return np.sort(text.span_hashes(starts, ends))
 
 
-
-
 def normal_words(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """The text in normal form, its words, and per word the hashes of the whole and of its beginnings (0: none)."""
     data = _NORMAL[text.data]
@@ -150,58 +146,57 @@ def features(text: Text, lexicon: Lexicon) -> np.ndarray:
 SECOND = Lexicon(_hash_words(SECOND_PERSON), np.ones(len(SECOND_PERSON.split())))
 
 
-def _terms(known: Lexicon | None):
-    """How many of a task's texts in each fold hold each term (of ``known`` ones); columns text, fold."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folds = batch.column(1).to_numpy(zero_copy_only=False)
-            for text in texts(batch.column(0)):
-                _, _, _, rows, keys = normal_words(text)
-                own = folds[text.first_row : text.first_row + text.rows].astype(np.uint64)
-                parts = []
-                for k in keys:
-                    full = k != 0 if known is None else (k != 0) & (known.of(k) > 0)
-                    pairs = np.stack([k[full], rows[full].astype(np.uint64)], 1)
-                    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-                    parts.append(np.stack([pairs[:, 0], own[pairs[:, 1].astype(np.int64)]], 1))
-                found, counts = np.unique(np.concatenate(parts), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), pa.array(found[:, 1].astype(np.int32)), pa.array(counts)], ["term", "fold", "n"])
-
-    return counted
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a chunk's texts in each fold and class hold each term; columns text, group."""
+    for batch in batches:
+        groups = batch.column(1).to_numpy(zero_copy_only=False)
+        for text in texts(batch.column(0)):
+            _, _, _, rows, keys = normal_words(text)
+            own = groups[text.first_row : text.first_row + text.rows]
+            parts = []
+            for k in keys:
+                full = np.flatnonzero(k)
+                full = full[np.lexsort((rows[full], k[full]))]
+                term, row = k[full], rows[full]
+                first = np.ones(len(full), bool)
+                first[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+                parts.append(np.stack([term[first], own[row[first]].astype(np.uint64)], 1))
+            found, counts = np.unique(np.concatenate(parts), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), pa.array(found[:, 1].astype(np.int32)), pa.array(counts)], ["term", "group", "n"])
 
 
 def lexicons(chosen: DataFrame) -> list[Lexicon]:
-    """From the sample ``chosen(text, y, fold)``: for each fold the lexicon of the others, and last that of all."""
+    """From the sample ``chosen(text, y, fold)``: for each fold the lexicon of the others, and last that of all.
+
+    Spark counts and selects; the driver gets the selected terms only, each of which ``LEAST`` sampled texts of label 1 hold.
+    """
     sizes = np.zeros((2, FOLDS))
     for r in chosen.groupBy("y", "fold").agg(F.count("*").alias("n")).collect():
         sizes[r["y"], r["fold"]] = r["n"]
-
-    def count(y: int, known: Lexicon | None) -> DataFrame:
-        found = chosen.where(F.col("y") == y).select("text", "fold").mapInArrow(_terms(known), "term bigint, fold int, n bigint")
-        return found.groupBy("term").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
-
-    table = lambda df: {r["term"]: np.array([r[f"n{f}"] for f in range(FOLDS)], float) for r in df.collect()}
-    ones = table(count(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(16 * LEXICON))
-    known = Lexicon(np.array(list(ones), np.int64).view(np.uint64), np.ones(len(ones)))
-    zeros = table(count(0, known)) if ones else {}
-    terms = list(ones)
-    hits = np.stack([np.array([ones[t] for t in terms]).reshape(-1, FOLDS), np.array([zeros.get(t, np.zeros(FOLDS)) for t in terms]).reshape(-1, FOLDS)])
-    left_out = [np.arange(FOLDS) != f for f in range(FOLDS)] + [np.ones(FOLDS, bool)]
-    return [_weighted(terms, hits[0][:, part].sum(1), hits[1][:, part].sum(1), sizes[:, part].sum(1)) for part in left_out]
-
-
-def _weighted(terms: list[int], ones: np.ndarray, zeros: np.ndarray, sizes: np.ndarray) -> Lexicon:
-    """Common insults, and the at most ``LEXICON`` terms with most evidence for label 1."""
-    base = sizes[1] / max(1, sizes.sum())
-    share = ones / np.maximum(1, ones + zeros)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        evidence = np.where(ones > 0, ones * np.log(share / base), 0) + np.where(zeros > 0, zeros * np.log((1 - share) / (1 - base)), 0)
-    odds = np.maximum(0.1, np.log((ones + 0.5) / (zeros + 0.5) * (sizes[0] + 1) / (sizes[1] + 1)))
-    good = np.flatnonzero((ones >= LEAST) & (share >= PURITY) & (share > base) & (evidence >= EVIDENCE))
-    good = sorted(good, key=lambda k: (-evidence[k], terms[k]))[:LEXICON]
-    weights = dict.fromkeys(_hash_words(INSULTS).tolist(), GIVEN)
-    weights |= dict(zip(np.array([terms[k] for k in good], np.int64).view(np.uint64).tolist(), odds[good] if good else [], strict=True))
+    found = chosen.select("text", (F.col("y") * FOLDS + F.col("fold")).alias("group")).mapInArrow(_terms, "term bigint, group int, n bigint")
+    counted = found.groupBy("term").agg(*(F.sum(F.when(F.col("group") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(2 * FOLDS)))
+    parts = [[g for g in range(FOLDS) if g != f] for f in range(FOLDS)] + [list(range(FOLDS))]
+    terms, in_parts = [], []
+    for part in parts:
+        zeros, ones = (sum((F.col(f"n{y * FOLDS + f}") for f in part), F.lit(0)) for y in (0, 1))
+        in_parts.append(_selected(ones, zeros, *sizes[:, part].sum(1).tolist()))
+    for r in counted.select("term", F.array(*in_parts).alias("odds")).where(F.exists("odds", lambda x: x.isNotNull())).orderBy("term").collect():
+        terms.append((r["term"], r["odds"]))
+    keys, odds = np.array([t for t, _ in terms], np.int64).view(np.uint64), np.array([o for _, o in terms], float).reshape(len(terms), len(parts))
+    return [_with_insults(keys[~np.isnan(o)], o[~np.isnan(o)]) for o in odds.T]
+
+
+def _selected(ones: Column, zeros: Column, all_zeros: float, all_ones: float) -> Column:
+    """Log-odds of a term that so many texts of either label hold, null if it doesn't tell them apart."""
+    base = max(all_ones, 1e-9) / max(1.0, all_zeros + all_ones)
+    share = ones / F.greatest(F.lit(1), ones + zeros)
+    evidence = F.when(ones > 0, ones * F.ln(share / base)).otherwise(0.0) + F.when(zeros > 0, zeros * F.ln((1 - share) / max(1e-9, 1 - base))).otherwise(0.0)
+    odds = F.greatest(F.lit(0.1), F.ln((ones + 0.5) / (zeros + 0.5) * ((all_zeros + 1) / (all_ones + 1))))
+    return F.when((ones >= LEAST) & (share >= PURITY) & (share > base) & (evidence >= EVIDENCE), odds)
+
+
+def _with_insults(keys: np.ndarray, odds: np.ndarray) -> Lexicon:
+    weights = dict.fromkeys(_hash_words(INSULTS).tolist(), GIVEN) | dict(zip(keys.tolist(), odds.tolist(), strict=True))
     return Lexicon(np.array(list(weights), np.uint64), np.array(list(weights.values())))
 
 
@@ -321,16 +316,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     return Model(known[-1], Forest().fit(x, y, weight), isotonic(margin, y, weight))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``score_col`` for every whole text (null: empty); the text itself stays with ``keep_text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != score_col and (keep_text or c != text_col)]
-    at = kept.index(text_col) if keep_text else len(kept)
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` as the struct ``row`` (the text among them with ``keep_text``), with ``score`` for every whole text.
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [shared.value.probability(text) for text in texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, score_col])
-
-    kind = T.StructType([*(docs.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())])
-    return docs.select(*kept, *([] if keep_text else [F.col(text_col).alias("__text")])).mapInArrow(scored, kind)
+    A null text counts as empty; a text without words has no hits and gets the score that such texts have. Rows are scored one
+    by one: repeated rows and null ids come out as they went in, equal texts with equal scores.
+    """
+    return scored(docs, text_col, model, Model.probability, keep_text)

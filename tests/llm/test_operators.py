@@ -32,11 +32,13 @@ def docs(spark, *texts, source="s"):
 AWKWARD = [(None, "a b c d e f", None, None, None), (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, " \n\t\r\n ", "en", None, 5), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (5, "x " * 30000, "en", "t", 60000), (6, "é中😀 a\u00a0b " * 50, "en", "t", 9), (7, "l1 a\nl2 b\nl3 c\nl1 a\nl2 b\nl3 c", "en", "t", 9), (None, None, None, None, None), (8, "\x00\x0b<|endoftext|>\x85", "en", "s", 9)]
 
 
+EXTRA = ("id", "row", "rep", "bucket", "root", "size", "key", "slice", "lines", "words", "host", "path", "rule", "mix", "tie", "of", "score", "__text", "toxicity_score", "position", "y", "order", "one")
+
+
 @pytest.fixture
 def awkward(spark):
     """Nulls anywhere, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
-    extra = {c: F.lit(k).cast("int") for k, c in enumerate(("id", "row", "rep", "bucket", "root", "size", "key", "slice", "lines", "words", "host", "path", "rule", "mix", "tie", "of", "score", "__text"))}
-    return spark.createDataFrame(AWKWARD, DOCS).withColumns(extra)
+    return spark.createDataFrame(AWKWARD, DOCS).withColumns({c: F.lit(k).cast("int") for k, c in enumerate(EXTRA)})
 
 
 def test_words_and_hashes():
@@ -56,30 +58,123 @@ def test_words_and_hashes():
 # 1, 2: classifiers
 
 
-@pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op1_quality_classifier", "quality", 4, 2, 0.95), ("op2_toxicity", "toxic", 3, 1, 0.9)])
-def test_held_out_accuracy(spark, name, label, folds, held, least):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize(
+    ("name", "sf", "label", "folds", "held", "recall", "precision"),
+    [("op1_quality_classifier", "sf0.1", "quality", 4, 2, 0.98, 0.98), ("op2_toxicity", "sf0.1", "toxic", 3, 1, 0.9, 0.97), ("op1_quality_classifier", "sf0.01", "quality", 4, 2, 0.95, 0.95), ("op2_toxicity", "sf0.01", "toxic", 3, 1, 0.6, 0.9)],
+)
+def test_held_out_labels(spark, name, sf, label, folds, held, recall, precision):
+    """About 7 % of the labels of toxic texts stand on texts without any sign of it: no bar of 1."""
+    sf = f"/root/testdata/{sf}"
     got = entry.QUERIES[name](spark, sf).toPandas().set_index("doc_id")
-    assert len(got) == 10000 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
+    assert len(got) == len(rows_of(sf, "documents", "doc_id")) and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
     assert all(got.held_out == [zlib.crc32(str(i).encode()) % folds == held for i in got.index])
     truth = dict(rows_of(sf, "labels", f"doc_id, {label}"))
     judged = [(truth[i], r.predicted) for i, r in got[got.held_out].iterrows() if i in truth]
-    assert sum(a == b for a, b in judged) / len(judged) > least
+    caught = sum(a == b == 1 for a, b in judged)
+    assert caught >= recall * sum(a for a, _ in judged) and caught >= precision * sum(b for _, b in judged)
 
 
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classifiers_on_awkward_rows(spark, small, awkward, module):
     labels, real = spark.read.parquet(f"{small}/labels.parquet"), spark.read.parquet(f"{small}/documents.parquet")
     label = "quality" if module is quality_classifier else "toxic"
-    got = module.score(awkward.drop("score", "__text"), module.train(real, labels, F.lit(True), label)).collect()
+    got = module.score(awkward, module.train(real, labels, F.lit(True), label)).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in got)
+    assert [set(r["row"].asDict()) for r in got] == [set(awkward.columns) - {"text"}] * len(got)
+    extra = {c: k for k, c in enumerate(EXTRA)}
+    assert all(r["row"][c] == k for r in got for c, k in extra.items())
+    assert Counter(r["row"]["doc_id"] for r in got) == Counter(r[0] for r in AWKWARD)
     empty = module.train(real, labels.limit(0), F.lit(True), label)
-    assert {r["score"] for r in module.score(awkward.drop("score", "__text"), empty).collect()} == {0.5}
+    assert {r["score"] for r in module.score(awkward, empty).collect()} == {0.5}
     assert module.score(real.limit(0), empty).count() == 0
     contradictory = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (None, 1, 1), (1, None, None)], "doc_id bigint, quality int, toxic int")
     assert labelled.sample(real, contradictory, label, F.lit(True), "doc_id", "text", (5, 5))[0].count() == 0
 
 
+def test_sample_has_one_row_per_id(spark):
+    df = docs(spark, *(f"t{k}" for k in range(30))).union(docs(spark, *(f"other {k % 7}" for k in range(50))).withColumn("doc_id", F.lit(3)))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
+    chosen, totals = labelled.sample(df, labels, "quality", F.lit(True), "doc_id", "text", (5, 100))
+    assert totals == {0: 15, 1: 15} and Counter(r["y"] for r in chosen.collect()) == {0: 5, 1: 15}
+
+
+def test_follow_leader_against_a_plain_loop():
+    """FTRL-proximal, weight by weight, in plain Python."""
+    rng = random.Random(2)
+    made = []
+    for _ in range(60):
+        y = rng.randint(0, 1)
+        slots = sorted(rng.sample(range(40), 6)) + [100 + y]
+        made.append((y, rng.choice([0.7, 1.3]), np.array(slots, np.int32), np.array([rng.uniform(0.1, 2) for _ in slots], np.float32)))
+    z, n = defaultdict(float), defaultdict(float)
+    q = quality_classifier
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= q.L1 else (math.copysign(q.L1, z[k]) - z[k]) / ((q.BETA + math.sqrt(n[k])) / q.ALPHA + q.L2)
+
+    for _ in range(3):
+        for y, c, slots, values in made:
+            x = {**dict(zip(slots.tolist(), values.tolist(), strict=True)), q.DIMENSIONS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = c * (p - y) * v
+                s = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / q.ALPHA
+                z[k] += g - s * w[k]
+                n[k] += g * g
+    got = q.follow_leader(made, epochs=3)
+    assert got.nonzero()[0].tolist() == sorted(k for k in z if weight(k)) and all(got[k] == pytest.approx(weight(k), rel=1e-5) for k in z)
+
+
+def test_word_ngrams_against_plain_counts():
+    """Word 1- and 2-grams fall into slots by their own text: equal ones together, in the numbers of a plain count."""
+    made = ["Aa b aa B c", "b aa", "", "aa"]
+    text = next(textarrays.texts(pa.array(made)))
+    slots, rows, counts = quality_classifier.occurrences(text)
+    assert counts.tolist() == [5, 2, 0, 1] and len(slots) == len(rows) == sum((n + max(0, n - 1)) + (n + max(0, n - 1) + max(0, n - 2)) for n in counts.tolist())
+    of = lambda r: Counter(slots[rows == r][: counts[r]].tolist())
+    one = slots[: counts.sum()]  # 1-grams of words come first
+    assert one[0] == one[2] == one[6] == one[7] and one[1] == one[3] == one[5] and len(set(one.tolist())) == 3 and sum(of(0).values()) == 5
+    two = slots[counts.sum() : counts.sum() + 5]
+    assert two[0] == two[2] and two[1] == two[4] and len(set(two.tolist())) == 3
+
+
+def test_lexicon_against_plain_counts(spark):
+    """Selected terms and their log-odds from a plain count over the sample; no limit on their number."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        y = int(k % 8 == 0)
+        words = [f"common{chr(97 + rng.randrange(20))}" for _ in range(20)] + ([f"bad{chr(97 + j)}" for j in rng.sample(range(26), 13)] if y else [])
+        rows.append((" ".join(words), y, k // 8 % toxicity.FOLDS))
+    rows.append((None, 0, 0))
+    got = toxicity.lexicons(spark.createDataFrame(rows, "text string, y int, fold int"))
+    for f, lexicon in enumerate(got):
+        own = [(set((t or "").split()), y) for t, y, fold in rows if f == toxicity.FOLDS or fold != f]
+        sizes = Counter(y for _, y in own)
+        base = sizes[1] / len(own)
+        want = {}
+        for word in {w for s, _ in own for w in s}:
+            n = Counter(y for s, y in own if word in s)
+            share = n[1] / (n[0] + n[1])
+            evidence = (n[1] * math.log(share / base) if n[1] else 0) + (n[0] * math.log((1 - share) / (1 - base)) if n[0] else 0)
+            if n[1] >= 3 and share >= 0.4 and share > base and evidence >= 9:
+                want[word] = max(0.1, math.log((n[1] + 0.5) / (n[0] + 0.5) * (sizes[0] + 1) / (sizes[1] + 1)))
+        keys = {w: toxicity.normal_words(next(textarrays.texts(pa.array([w]))))[4][0][0] for w in {w for s, _ in own for w in s}}
+        weights = lexicon.of(np.array([keys[w] for w in keys], np.uint64))
+        assert len(want) == 26 and {w: v for w, v in zip(keys, weights, strict=True) if v} == pytest.approx(want)
+
+
+def test_dense_features():
+    text = next(textarrays.texts(pa.array(["You IDIOT, you st*pid fool!! and a b c d e f g h moron", "Fine words."])))
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity._with_insults(np.zeros(0, np.uint64), np.zeros(0))).T, strict=True))
+    raw = "You IDIOT, you st*pid fool!! and a b c d e f g h moron"
+    assert got["words"].tolist() == pytest.approx([math.log1p(15), math.log1p(2)]) and got["hits"].tolist() == pytest.approx([math.log1p(3), 0])
+    assert got["density"].tolist() == pytest.approx([3 / 15, 0]) and got["near_second_person"].tolist() == [2, 0] and got["second_person"].tolist() == pytest.approx([2 / 15, 0])
+    assert got["capitals"][0] == pytest.approx(sum(c.isupper() for c in raw) / len(raw)) and got["exclamation"][0] == pytest.approx(2 / len(raw))
+    assert got["punctuation"][0] == pytest.approx(sum(c in "*,!" for c in raw) / len(raw)) and got["obfuscation"].tolist() == pytest.approx([1 / 15, 0])
+
+
 def test_isotonic_and_forest():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
