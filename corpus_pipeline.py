@@ -13,22 +13,21 @@ REJECT = 0.7
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the labels, scores below ``REJECT``."""
+    """Documents that the toxicity model, learnt from the labels, scores below ``REJECT``; null texts count as empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, labelled.fold(F.col("id"), 3) != 1)
-    return toxicity.score(docs, model, score_col="toxicity_score", keep_text=True).where(F.col("toxicity_score") < REJECT).select(docs.columns)
+    return toxicity.score(docs, model, keep_text=True).where(F.col("score") < REJECT).select("row.*")
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of repeated three-line windows; ``n_chars`` follows the text."""
-    clean = line_dedup.without_repeats(docs).select("row.*", F.col("text").alias("clean_text"), "n_removed")
-    changed = F.col("n_removed") > 0
-    clean = clean.withColumns({"text": F.col("clean_text"), "n_chars": F.when(changed, F.length("clean_text").cast("bigint")).otherwise(F.col("n_chars"))})
-    return clean.select(docs.columns)
+    """All documents, without the lines of repeated three-line windows; ``n_chars`` follows the text where lines go."""
+    clean = line_dedup.without_repeats(docs)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return clean.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, and all others."""
+    """The document with the smallest id of each group of near-duplicates, and all others; rows that share an id go or stay together."""
     copies = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
@@ -39,12 +38,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _stored_order(docs: DataFrame) -> list[Column]:
-    """Where a row stands in its files, or in the frame if it doesn't come from files."""
+    """Where a row stands in its files, whose names begin with the writing task's number, or in the frame if it has no files."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         return [F.monotonically_increasing_id()]
-    return [docs["_metadata.file_path"], docs["_metadata.row_index"]]
+    name = docs["_metadata.file_name"]
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), name, docs["_metadata.row_index"]]
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
