@@ -1,7 +1,7 @@
 """Packing into sequences of at most 1024 tokens, in order, by dynamic programming over cut positions.
 
-Candidate cuts are document ends, sentence ends (a token that ends in ``. ! ? ,`` or a line end) and, inside longer
-stretches, every ``STRETCH``-th token. With p the positions of the cuts, f(j) = penalty(j) + min over i of
+Candidate cuts are document ends and sentence ends: line ends, and ``. ! ?`` (closing quotes and brackets after them included)
+before a blank. Only where a stretch of more than ``LENGTH`` tokens has neither, every ``STRETCH``-th of its tokens is one. With p the positions of the cuts, f(j) = penalty(j) + min over i of
 f(i) + padding(p_j - p_i), where the window may hold ``LENGTH`` tokens at most. Padding is ``LENGTH - (p_j - p_i)``, so the
 minimum is a sliding minimum of f(i) + p_i, which a monotone queue gives in constant time per cut; a window whose length
 is a power of two has no padding, and those few transitions are looked up by position.
@@ -36,21 +36,26 @@ STRETCH = 32
 _POWERS = [1 << k for k in range(LENGTH.bit_length())]
 
 
-def sentence_ends(vocabulary: str | None = None) -> np.ndarray:
-    return np.array([t.rstrip(b" ")[-1:] in (b".", b"!", b"?", b",", b"\n") for t in token_bytes(vocabulary)], bool)
+def token_kinds(vocabulary: str | None = None) -> np.ndarray:
+    """By id, whether the token ends a line (1) or may end a sentence (2), and whether it begins with a blank (4)."""
+    out = []
+    for token in token_bytes(vocabulary):
+        closes = token.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
+        out.append((token[-1:] == b"\n") + 2 * closes + 4 * (token[:1] in (b" ", b"\t", b"\n", b"\r")))
+    return np.array(out, np.uint8)
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a sequence may end, ascending from 0, and each one's penalty."""
-    total = len(ids)
-    cost = np.full(total + 1, -1.0)
-    natural = np.flatnonzero(ends_sentence[ids]) + 1
-    cost[natural] = AT_SENTENCE
+    cost = np.full(len(ids) + 1, -1.0)
+    of = kinds[ids]
+    cost[np.flatnonzero(of & 1) + 1] = AT_SENTENCE
+    cost[np.flatnonzero((of[:-1] & 2 > 0) & (of[1:] & 4 > 0)) + 1] = AT_SENTENCE
     cost[doc_ends] = AT_DOCUMENT
     cost[0] = 0.0
     fixed = np.flatnonzero(cost >= 0)
     gaps = np.diff(fixed)
-    wide = np.flatnonzero(gaps > STRETCH)
+    wide = np.flatnonzero(gaps > LENGTH)
     for a, n in zip(fixed[wide], gaps[wide], strict=True):
         cost[a + STRETCH : a + n : STRETCH] = ELSEWHERE
     at = np.flatnonzero(cost >= 0)
@@ -101,9 +106,9 @@ def best_cuts(at: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
-def pack_block(ids: np.ndarray, doc_edges: np.ndarray, ends_sentence: np.ndarray, first_sequence: int) -> tuple[dict[str, np.ndarray], int]:
+def pack_block(ids: np.ndarray, doc_edges: np.ndarray, kinds: np.ndarray, first_sequence: int) -> tuple[dict[str, np.ndarray], int]:
     """Pieces of a block of documents: each lies in one document and one sequence. Also the next free sequence number."""
-    at, cost = candidates(ids, doc_edges[1:], ends_sentence)
+    at, cost = candidates(ids, doc_edges[1:], kinds)
     cuts = at[best_cuts(at, cost)]
     starts = np.unique(np.concatenate([[0], cuts, doc_edges]))
     starts = starts[starts < len(ids)]
@@ -126,7 +131,8 @@ def pack(docs: DataFrame, order: list[Column], id_col: str = "doc_id", text_col:
 
     Documents are packed in the order of ``order`` (then text): the rows are range-partitioned, and each partition numbers
     its sequences from its own range. A null or empty text is the single id 0. Repeated rows are packed as often as
-    they come, null ids like others; other columns of ``docs`` are ignored.
+    they come, null ids like others; other columns of ``docs`` are ignored. ``sequence_id`` and the cuts follow the number of
+    partitions and so may differ from run to run; every piece's place in its document and its ids don't depend on them.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(c.alias(f"by{k}") for k, c in enumerate(order)))
     keys = [f"by{k}" for k in range(len(order))]
@@ -136,14 +142,14 @@ def pack(docs: DataFrame, order: list[Column], id_col: str = "doc_id", text_col:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ends_sentence = encoder(vocabulary), sentence_ends(vocabulary)
+        encode, kinds = encoder(vocabulary), token_kinds(vocabulary)
         sequence, held = TaskContext.get().partitionId() << 32, []
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, held
             ids = np.concatenate([x for _, x in held])
             edges = np.concatenate([[0], np.cumsum([len(x) for _, x in held])])
-            out, sequence = pack_block(ids, edges, ends_sentence, sequence)
+            out, sequence = pack_block(ids, edges, kinds, sequence)
             names = pa.concat_arrays([x for x, _ in held]).take(pa.array(out["doc"]))
             columns = [names, *(pa.array(out[c].astype(np.int64)) for c in PIECES)]
             if with_ids:

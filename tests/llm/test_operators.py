@@ -375,12 +375,10 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-HARD = ["", " ", "a" * 5000, "é中😀" * 300, "\n\n \n x", "  leading", "it's  we'll\t\t9999", "\x00\x0b\x85\u00a0", "x\n" * 400, "!?" * 3000]
+HARD = ["x <|endoftext|> y<|endoftext|>", "", " ", "a" * 5000, "é中😀" * 300, "\n\n \n x", "  leading", "it's  we'll\t\t9999", "\x00\x0b\x85\u00a0", "x\n" * 400, "!?" * 3000]
 
 
 def test_ids_equal_the_tokenizer(small, tokenizer):
@@ -458,6 +456,24 @@ def test_packing_round_trip(spark, small, tokenizer):
     assert padding < 0.03 * pieces["length"].sum()
 
 
+def test_cuts_lie_at_sentence_ends(spark, small):
+    """Inside a document a cut follows a line end or a sentence's end, unless more than 1024 tokens hold neither."""
+    made = [t for _, t in rows_of(small, "documents", "doc_id, text")] + ["a, b " * 3000 + ". " + "word. " * 50, 'He said "no." Then (yes!) 3.14 e.g.x ' * 400]
+    df = docs(spark, *made)
+    pieces, forced = packing.pack(df, [df["doc_id"]], with_ids=True).collect(), 0
+    bodies = defaultdict(dict)
+    for r in pieces:
+        bodies[r["doc_id"]][r["start"]] = b"".join(tokens.token_bytes()[i] for i in r["ids"])
+    for k, parts in bodies.items():
+        starts = sorted(parts)
+        for a, b in itertools.pairwise(starts):
+            before, after = b"".join(parts[s] for s in starts if s <= a), parts[b]
+            if not (before.endswith(b"\n") or re.search(rb"[.!?][\"')\]}]*$", before) and after[:1] in (b" ", b"\n", b"\t", b"\r")):
+                forced += 1
+                assert k == len(made) - 2 or max(map(len, re.split(r"\n|[.!?](?=\s)", made[k]))) > 1024
+    assert forced > 0
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(2)
     for _ in range(30):
