@@ -1,105 +1,124 @@
 """Approximate nearest neighbours by largest inner product: query-aware collision counting.
 
 A block of rows is projected on ``PROJECTIONS`` random directions, each of which is one sorted array. A query's window of
-half-width ``WINDOW * R`` around its own projection holds the rows that collide with it; rows that collide at least
-``threshold`` times are verified by their exact inner products. Virtual rehashing widens all windows by enlarging R, until
-the k-th best verified row lies within R: whatever lies within R passes the threshold with probability ``PASS`` or more.
-
-Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the block's largest norm. Windows are
-found by binary search in the sorted arrays and compared by rank, for a batch of queries at a time.
-
-The query set meets all rows in blocks: every group holds ``ROWS`` rows and ``QUERIES`` queries at most.
+half-width ``WINDOW * R`` around its own projection holds the rows that collide with it. Virtual rehashing enlarges R: the
+window's two edges move outward in the same arrays, and only the rows they pass are counted. Rows that collide
+``threshold`` times are verified by their exact inner products, until the k-th best verified row lies within R: whatever
+lies within R passes the threshold with probability ``PASS`` or more. Inner products become distances by one more
+coordinate, sqrt(M^2 - |x|^2) with M the block's largest norm.
+
+Rows are placed by the nearest of at most ``PIVOTS`` pivots, taken from the rows in the order of a hash: a bounded sample that
+decides only where rows lie. Each pivot's rows are dealt over blocks of about ``ROWS``. A query first meets the block it
+would lie in itself. Its k-th score there bounds what other blocks have to beat: by |x - c| <= r, no row of a pivot c with
+radius r has a larger inner product than q.c + |q| r, so pivots below that bound are left out, without loss; in the other
+blocks the bound is the one radius that has to be counted. A block's index is built once for ``QUERIES`` queries that
+stream past it, so rows are copied once per that many queries and queries once per block that they must meet.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS, QUERIES, BATCH = 8192, 2048, 32
-PROJECTIONS, WINDOW, PASS = 160, 1.2, 0.97
+from .scratch import Scratch
+
+#: Rows of a block and bytes of its vectors; queries that one task streams past a block; queries counted at a time.
+ROWS, BLOCK_BYTES, QUERIES, BATCH = 4096, 1 << 25, 1 << 16, 64
+PIVOTS = 256
+PROJECTIONS, WINDOW, PASS = 64, 1.2, 0.97
+GROWTH = 1.5
 SEED = 7
+_Z = {0.9: 1.2816, 0.95: 1.6449, 0.97: 1.8808, 0.99: 2.3263}
 
 
 def threshold() -> int:
     """Collisions that a row at distance R reaches with probability ``PASS`` (normal approximation of the binomial)."""
     p = math.erf(WINDOW / math.sqrt(2))
-    z = {0.9: 1.2816, 0.95: 1.6449, 0.97: 1.8808, 0.99: 2.3263}[PASS]
-    return max(1, math.floor(PROJECTIONS * p - z * math.sqrt(PROJECTIONS * p * (1 - p))))
+    return max(1, math.floor(PROJECTIONS * p - _Z[PASS] * math.sqrt(PROJECTIONS * p * (1 - p))))
+
+
+@lru_cache(8)
+def _directions(size: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((size + 1, PROJECTIONS))
 
 
 class Index:
-    """Sorted projections of one block of rows of equal dimension."""
+    """Sorted projections of one block of rows of equal dimension; ``counted`` and ``verified`` tell the work of all searches."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        norms = np.einsum("ij,ij->i", rows, rows)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
+        norms = np.einsum("ij,ij->i", vectors, vectors)
         self.top = float(norms.max())
-        extra = np.sqrt(np.maximum(self.top - norms, 0))
-        self.directions = np.random.default_rng(SEED).standard_normal((rows.shape[1] + 1, PROJECTIONS))
-        projected = np.column_stack([rows, extra]) @ self.directions
+        projected = np.column_stack([vectors, np.sqrt(np.maximum(self.top - norms, 0))]) @ _directions(vectors.shape[1])
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
-        self.ranks = np.empty((PROJECTIONS, len(rows)), np.uint16)
-        np.put_along_axis(self.ranks, order.T, np.broadcast_to(np.arange(len(rows), dtype=np.uint16), self.ranks.shape).copy(), 1)
-
-    def start(self, queries: np.ndarray, k: int) -> float:
-        """A first R: the distance within which k rows are expected, from a sample of the block."""
-        rng = np.random.default_rng(SEED)
-        some = self.rows[rng.integers(0, len(self.rows), 512)]
-        asked = queries[rng.integers(0, len(queries), 128)]
-        square = np.einsum("ij,ij->i", asked, asked)[:, None] + self.top - 2 * asked @ some.T
-        square = np.sqrt(np.maximum(square, 0))
-        middle = float(np.median(square))
-        return max(float(np.quantile(square, min(1.0, k / len(self.rows)))), 0.5 * middle, 1e-9)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its place, and the ids and exact scores of the k best rows found."""
-        least, n = threshold(), len(self.rows)
-        centre = queries @ self.directions[:-1]
-        lengths = np.einsum("ij,ij->i", queries, queries)
-        first = self.start(queries, k) if n > k + 1 else math.inf
+        self.order = np.ascontiguousarray(order.T)
+        self.some = vectors[np.random.default_rng(SEED).integers(0, len(vectors), 256)]
+        self.counted = self.verified = 0
+
+    def _start(self, queries: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+        """A first R for each query: half the distance within which k rows are expected, by a sample of the block."""
+        square = lengths[:, None] + self.top - 2 * queries @ self.some.T
+        return np.sqrt(np.maximum(np.quantile(square, min(1.0, k / len(self.ids)), axis=1), 0)) / 2
+
+    def search(self, own: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its place, and the ids and exact scores of the k best rows found, the row ``own`` left out.
+
+        With a finite bound only rows whose score reaches it are of interest.
+        """
         for at in range(0, len(queries), BATCH):
-            open_ = np.arange(at, min(at + BATCH, len(queries)))
-            radius, growth = first, 1.06
-            while len(open_):
-                if math.isfinite(radius):
-                    counts = np.zeros((len(open_), n), np.uint8)
-                    half = WINDOW * radius
-                    for p in range(PROJECTIONS):
-                        low = np.searchsorted(self.sorted[p], centre[open_, p] - half, "left")
-                        size = np.searchsorted(self.sorted[p], centre[open_, p] + half, "right") - low
-                        counts += (self.ranks[p] - low.astype(np.uint16)[:, None]) < size[:, None].astype(np.uint16)
-                    passed = counts >= least
-                else:
-                    passed = np.ones((len(open_), n), bool)
-                left = []
-                for i, row in zip(open_, passed, strict=True):
-                    found = np.flatnonzero(row)
-                    found = found[self.ids[found] != query_ids[i]]
-                    scores = (self.rows[found] * queries[i]).sum(1)
-                    if len(found) > k:
-                        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                        within = lengths[i] + self.top - 2 * edge <= radius * radius
-                        keep = scores >= edge
-                        found, scores = found[keep], scores[keep]
-                    else:
-                        within = False
-                    if not within and math.isfinite(radius):
-                        left.append(i)
-                        continue
-                    best = np.lexsort((self.ids[found], -scores))[:k]
-                    yield int(i), self.ids[found][best], scores[best]
-                radius, growth = radius * growth, growth * 1.03
-                if radius > 4 * math.sqrt(self.top + lengths.max()):
-                    radius = math.inf
-                open_ = np.array(left, int)
+            part = slice(at, at + BATCH)
+            for i, ids, scores in self._batch(own[part], queries[part], bounds[part], k):
+                yield at + i, ids, scores
+
+    def _batch(self, own: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        least, n = threshold(), len(self.ids)
+        centre = queries @ _directions(queries.shape[1])[:-1]
+        lengths = np.einsum("ij,ij->i", queries, queries)
+        smallest = 1e-6 * np.sqrt(lengths + self.top)
+        bounded = np.isfinite(bounds)
+        radius = np.where(bounded, np.sqrt(np.maximum(lengths + self.top - 2 * np.where(bounded, bounds, 0), 0)), self._start(queries, lengths, k))
+        radius = np.maximum(radius, smallest)
+        low = np.stack([np.searchsorted(s, centre[:, p]) for p, s in enumerate(self.sorted)], 1)
+        high = low.copy()
+        counts, best = np.zeros((len(queries), n), np.int64), [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        open_ = np.arange(len(queries))
+        while len(open_):
+            half = WINDOW * radius[open_] + smallest[open_] * 1e-3
+            before_low, before_high = low[open_], high[open_]
+            for p, s in enumerate(self.sorted):
+                low[open_, p] = np.minimum(before_low[:, p], np.searchsorted(s, centre[open_, p] - half, "left"))
+                high[open_, p] = np.maximum(before_high[:, p], np.searchsorted(s, centre[open_, p] + half, "right"))
+            left = []
+            for j, i in enumerate(open_):
+                edges = zip(self.order, low[i].tolist(), before_low[j].tolist(), before_high[j].tolist(), high[i].tolist(), strict=True)
+                passed = np.concatenate([part for o, a, b, c, d in edges for part in (o[a:b], o[c:d])])
+                self.counted += len(passed)
+                was = counts[i] >= least
+                counts[i] += np.bincount(passed, minlength=n)
+                new = np.flatnonzero((counts[i] >= least) & ~was)
+                self.verified += len(new)
+                new = new[self.rows[new] != own[i]]
+                found = np.concatenate([best[i][0], new])
+                scores = np.concatenate([best[i][1], (self.vectors[new] * queries[i]).sum(1)])
+                if bounded[i]:
+                    found, scores = found[scores >= bounds[i]], scores[scores >= bounds[i]]
+                keep = np.lexsort((self.ids[found], -scores))[:k]
+                best[i] = found[keep], scores[keep]
+                reach = lengths[i] + self.top - 2 * best[i][1][-1] if len(keep) == k else math.inf
+                if bounded[i] or reach <= radius[i] ** 2 or (high[i] - low[i]).min() == n:
+                    yield int(i), self.ids[best[i][0]], best[i][1]
+                    continue
+                left.append(i)
+                radius[i] = min(math.sqrt(max(reach, 0)) * (1 + 1e-9), GROWTH * radius[i]) if reach <= (GROWTH * radius[i]) ** 2 else GROWTH * radius[i]
+            open_ = np.array(left, int)
 
 
 def usable(vector: Column) -> Column:
@@ -108,38 +127,128 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _places(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _runs(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that agree in all columns."""
+    values = [c.to_numpy(zero_copy_only=False) for c in columns]
+    if len(values[0]):
+        edges = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(values[0])], strict=True)
+
+
+def _placed(rows: DataFrame, pivots: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """``rows(row, id, vector, asked, size)`` with the nearest pivot of equal size (-1: there is none) and the distance from it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = {size: ([k for k, p in enumerate(shared.value) if len(p) == size], np.stack([p for p in shared.value if len(p) == size])) for size in {len(p) for p in shared.value}}
+        for batch in batches:
+            sizes = batch.column(4).to_numpy()
+            cell, distance = np.full(len(sizes), -1), np.zeros(len(sizes))
+            for size in set(sizes.tolist()) & set(centres):
+                at, (names, centre) = np.flatnonzero(sizes == size), centres[size]
+                x = _matrix(batch.column(2).take(pa.array(at)))
+                near = ((centre * centre).sum(1) - 2 * x @ centre.T).argmin(1)
+                cell[at], distance[at] = np.array(names)[near], np.sqrt(((x - centre[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)], [*batch.schema.names, "cell", "distance"])
+
+    return rows.mapInArrow(place, T.StructType([*rows.schema, T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
+
+
+def _open_cells(asked: DataFrame, pivots: list[np.ndarray], radii: dict[int, float]) -> DataFrame:
+    """``asked(row, id, vector, size, bound)`` with ``cell``, once for each pivot whose rows could reach the bound."""
+    shared = asked.sparkSession.sparkContext.broadcast((pivots, radii))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radii = shared.value
+        for batch in batches:
+            sizes, bounds = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            at, cells = [np.zeros(0, int)], [np.zeros(0, int)]
+            for size in set(sizes.tolist()):
+                own = np.flatnonzero(sizes == size)
+                names = [k for k, p in enumerate(pivots) if len(p) == size]
+                if not names:
+                    at.append(own)
+                    cells.append(np.full(len(own), -1))
+                    continue
+                names = np.array([k for k in names if k in radii])
+                x, centre, radius = _matrix(batch.column(2).take(pa.array(own))), np.stack([pivots[k] for k in names]), np.array([radii[k] for k in names])
+                reach = np.sqrt((x * x).sum(1))[:, None] * (radius + 1e-9 * (radius + np.sqrt((centre * centre).sum(1))))
+                i, j = np.nonzero(x @ centre.T + reach >= bounds[own][:, None])
+                at.append(own[i])
+                cells.append(names[j])
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(np.concatenate(cells).astype(np.int32))], [*batch.schema.names, "cell"])
+
+    return asked.mapInArrow(route, T.StructType([*asked.schema, T.StructField("cell", T.IntegerType())]))
+
+
+def _found(index: DataFrame, routes: DataFrame, chunks: int, k: int) -> DataFrame:
+    """``(row, query_id, vec_id, score)`` of ``routes(row, id, vector, bound, size, cell, part)`` in the blocks of ``index``."""
+    place = ["size", "cell", "part", "chunk"]
+    rows = index.select("size", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "row", "id", "vector", F.lit(0.0).alias("bound"))
+    asks = routes.select("size", "cell", "part", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "row", "id", "vector", "bound")
+    met = rows.union(asks).repartition(*place).sortWithinPartitions(*place, "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, built = None, [], None
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for a, b in _runs(*(columns[c] for c in (*place, "asks"))):
+                key = tuple(columns[c][a].as_py() for c in place)
+                own, ids, vectors = columns["row"].slice(a, b - a).to_numpy(), columns["id"].slice(a, b - a).to_numpy(), _matrix(columns["vector"].slice(a, b - a))
+                if key != block:
+                    block, parts, built = key, [], None
+                if not columns["asks"][a].as_py():
+                    parts.append((own, ids, vectors))
+                    continue
+                if built is None and parts:
+                    built, parts = Index(*(np.concatenate(x) for x in zip(*parts, strict=True))), []
+                if built is not None:
+                    bounds, out = columns["bound"].slice(a, b - a).to_numpy(), []
+                    for i, near, scores in built.search(own, vectors, bounds, k):
+                        out.append((np.full(len(near), own[i]), np.full(len(near), ids[i]), near, scores))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["row", "query_id", "vec_id", "score"])
+
+    return met.mapInArrow(search, "row bigint, query_id bigint, vec_id bigint, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: up to k rows for each row that ``is_query`` (a condition on ``id``) selects.
 
-    Ties go to the smaller id; a query's own id is no candidate. Rows with a null id or an unusable vector take no part,
-    and vectors meet only those of their own dimension. Where a query's dimension has no other row it has no result.
+    Ties go to the smaller id. A query's own row is no candidate, but other rows are, also those that repeat its id or vector; each
+    row that asks gets its own result, so an id that asks twice has two. Rows with a null id or an unusable vector take no part,
+    and vectors meet only those of their own size. Where a query has no other row it has no result. Other columns are ignored.
     """
-    rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    asked = rows.where(is_query)
-    sizes = rows.agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).collect()[0]
-    blocks, chunks = max(1, math.ceil(sizes["rows"] / ROWS)), max(1, math.ceil(sizes["queries"] / QUERIES))
-    block, chunk = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks))
-    index = rows.select("id", "vector", block.alias("block"), F.explode(_places(chunks)).alias("chunk"))
-    queries = asked.select("id", "vector", F.explode(_places(blocks)).alias("block"), chunk.alias("chunk"))
-
-    def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
-        own, asks = left["vector"].map(len), right["vector"].map(len)
-        for size in sorted(set(own) & set(asks)):
-            mine, theirs = left[own == size].sort_values("id"), right[asks == size].sort_values("id").drop_duplicates("id")
-            for first in range(0, len(mine), 1 << 15):  # ranks are 16 bits wide; hashing keeps blocks well below
-                part = mine.iloc[first : first + (1 << 15)]
-                found = Index(part["id"].to_numpy(), np.stack(part["vector"].to_numpy()))
-                ids, vectors_ = theirs["id"].to_numpy(), np.stack(theirs["vector"].to_numpy())
-                for i, near, scores in found.search(ids, vectors_, k):
-                    out.append(pd.DataFrame({"query_id": ids[i], "vec_id": near, "score": scores}))
-        return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    kind = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = index.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInPandas(local, kind)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "neighbours")
+    element = vectors.schema[vector_col].dataType.elementType
+    vector = vectors[vector_col] if isinstance(element, (T.FloatType, T.DoubleType)) else vectors[vector_col].cast("array<double>")
+    rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    sizes = rows.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(is_query, F.lit(False))).alias("asked")).collect()[0]
+    chosen = rows.orderBy(F.xxhash64("id", "vector"), "id").limit(min(PIVOTS, max(1, math.ceil(sizes["rows"] / ROWS)))).collect()
+    pivots = [np.array(r["vector"], float) for r in chosen]
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked"), F.size("vector").alias("size"))
+    placed = scratch.table("placed", _placed(numbered, pivots))
+
+    most = F.greatest(F.lit(256), F.least(F.lit(ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size")))))
+    cells = scratch.table("cells", placed.groupBy("size", "cell").agg(F.max("distance").alias("radius"), F.ceil(F.count("*") / F.max(most)).alias("parts")))
+    radii = {r["cell"]: r["radius"] for r in cells.where("cell >= 0").collect()}  # at most PIVOTS
+    chunks = max(1, math.ceil(sizes["asked"] / QUERIES))
+    parts = cells.select("size", "cell", "parts")
+    index = scratch.table("index", placed.join(parts, ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("distance", "parts"))
+    scratch.drop("placed")
+
+    asked = index.where("asked").select("row", "id", "vector", "size", "cell", "part")
+    home = scratch.table("home", _found(index, asked.withColumn("bound", F.lit(float("-inf"))), chunks, k))
+    bounds = home.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    bounded = asked.join(bounds, "row", "left").select("row", "id", "vector", "size", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.struct("cell", "part").alias("home"))
+    routes = _open_cells(bounded, pivots, radii).join(parts, ["size", "cell"])
+    routes = routes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where(F.struct("cell", "part") != F.col("home"))
+    found = home.union(_found(index, routes, chunks, k))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -359,6 +359,58 @@ def test_nearest_of_clusters_and_lengths(spark):
     check_recall(ann.nearest(df, F.col("id") % 20 == 0), vectors, 20, 0.9)
 
 
+def clustered(rng, clusters, each, size, spread):
+    return np.repeat(rng.standard_normal((clusters, size)), each, 0) + spread * rng.standard_normal((clusters * each, size))
+
+
+def test_windows_pass_fewer_rows_than_a_scan():
+    """On clustered rows the windows' mean size and the verified rows stay well below all rows, at full recall."""
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 100, 40, 32, 0.02)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.Index(np.arange(4000), np.arange(4000), x)
+    asked = np.arange(0, 4000, 20)
+    found = {i: ids for i, ids, _ in index.search(asked, x[asked], np.full(200, -np.inf), 20)}
+    score = x[asked] @ x.T
+    score[np.arange(200), asked] = -9
+    hits = sum(len(set(found[i]) & set(np.argsort(-score[i])[:20])) for i in range(200))
+    assert hits >= 0.95 * 4000 and index.counted / ann.PROJECTIONS + index.verified < 0.25 * 200 * 4000
+
+
+def test_search_within_a_bound():
+    """A bound that a home block gives leads to one round, and to nothing below it."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((500, 8))
+    index = ann.Index(np.arange(500), np.arange(500), x)
+    score = x[:50] @ x.T
+    bounds = np.sort(score, 1)[:, -10]
+    for i, ids, got in index.search(np.full(50, -1), x[:50], bounds, 20):
+        assert len(ids) <= 10 and (got >= bounds[i]).all() and set(ids) <= set(np.flatnonzero(score[i] >= bounds[i] - 1e-12))
+
+
+def test_pivots_that_cannot_reach_the_bound_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 100)
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 20, 100, 16, 0.05)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    routed = []
+    route = ann._open_cells
+    monkeypatch.setattr(ann, "_open_cells", lambda *a: routed.append(route(*a)) or routed[-1])
+    vectors = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = ann.nearest(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0)
+    check_recall(df, vectors, 20, 0.95)
+    assert routed[0].count() < 0.5 * 100 * 20
+
+
+def test_every_row_that_asks_is_answered(spark):
+    """Two rows with one id ask twice; repeated rows are candidates of each other."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0]), (40, [1.0, 1.0]), (40, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("id") % 20 == 0, k=2).collect()
+    assert Counter(tuple(r) for r in got) == Counter([
+        (20, 1, 1, 2.0), (20, 2, 40, 1.0), (20, 1, 2, 3.0), (20, 2, 2, 3.0), (40, 1, 2, 3.0), (40, 2, 2, 3.0), (40, 1, 2, 3.0), (40, 2, 2, 3.0),
+    ])
+
+
 def test_nearest_on_awkward_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (7, [1.0], 1), (40, [1.0, 2.0, 3.0], 1), (8, [], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id int")
