@@ -49,7 +49,7 @@ def op6_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixed(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    mixed = mixing.mixed(_documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
     placed = mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.positions", F.lit(0)).alias("first_position"), F.get("mix.positions", F.lit(1)).alias("second_position"))
     return placed.orderBy(F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
@@ -80,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_curriculum_mixing": mixing.ORACLE_SQL,
     "op9_url_filters": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -4,7 +4,7 @@ Every source has a weight and a weight schedule over training time 0..1. Its sha
 schedule's integral says which part of that share falls before a time t. A document's copies take consecutive stretches of
 their source's token demand, and the inverse of the integral turns the middle of a stretch into a training position.
 
-Documents of a source stand in the order of a hash of their id. Whole passes take every document once; the last,
+Documents of a source stand in the order of a hash of their id and text. Whole passes take every document once; the last,
 partial pass takes those whose middle lies within the remaining demand. The running sums that this needs are made in two
 levels, by (source, slice of the hash) and within one, so a source with a third of all rows is spread over many tasks.
 """
@@ -17,9 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lines import WORD
 from .scratch import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; share of all sizes that the mix takes; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 #: Schedules of the sources in order, repeating: (time, relative weight), linear between. Steady, rising, falling.
@@ -94,21 +94,26 @@ def targets(scratch: Scratch, sources: DataFrame, mix: Mix) -> DataFrame:
     return placed.select("of", "source_size", "place", F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(rest) / F.lit(open_)).alias("target"))
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``positions`` under the struct column ``mix``.
+def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` as the struct ``row`` (of the columns ``keep``, or all) with ``size``, ``source_size``, ``target``, ``taken`` and
+    ``positions`` under the struct ``mix``.
 
     ``positions`` has a training time in 0..1 for every copy that the mix takes, so its length is 0, 1 or ``passes``.
     A null or word-less text has size 0 and takes nothing. A null source is a source of its own, the last. Ids may be null
-    or repeat: rows with equal id and text may stand in either order, which gives the same rows.
+    or repeat: only rows with equal id and text share a place in the order, stand in either order and lie in one slice.
+    Texts are read for their sizes and hashes alone, unless they are kept.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     id_, text, source = docs[id_col], docs[text_col], docs[source_col]
-    key = F.xxhash64(id_.cast("string"), F.lit("mix"))
+    key = F.md5(F.concat_ws(" ", id_.cast("string"), F.md5(text)))
     named = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")).alias("of")  # never null: joins and windows share one partitioning
-    sized = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), id_.alias("id"), source.alias("source"), named, words(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"))
-    count = docs.count()
-    bits = max(1, math.ceil(math.log2(max(2, count)) / 2))  # about as many slices as rows in one
-    sized = sized.withColumn("slice", F.shiftrightunsigned("key", 64 - bits))
+    row = F.struct(*(docs[c] for c in (docs.columns if keep is None else keep))).alias("row")
+    sized = docs.select(row, source.alias("source"), named, words(text).alias("size"), key.alias("key"))
+    if keep is not None:
+        sized = scratch.table("sized", sized)
+    count = (docs if keep is None else sized).count()
+    bits = min(32, max(1, math.ceil(math.log2(max(2, count)) / 2)))  # about as many slices as rows in one
+    sized = sized.withColumn("slice", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint"), 32 - bits))
 
     slices = scratch.table("slices", sized.groupBy("of", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size")))
     aims = targets(scratch, slices.groupBy("of").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size")), mix)
@@ -116,7 +121,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)))
     starts = starts.join(aims, "of").select("of", "slice", "start", "source_size", "place", "target")
 
-    within = Window.partitionBy("of", "slice").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("of", "slice").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts, ["of", "slice"])
     rows = rows.withColumn("middle", F.col("start") + F.col("ahead") + F.col("size") / 2)
@@ -138,6 +143,43 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
 
 
 def curriculum(docs: DataFrame, mix: Mix = Mix(), **columns: str) -> DataFrame:
-    """A row of ``docs`` for every copy that the mix takes, range-sorted by training position."""
+    """A row of ``docs`` for every copy that the mix takes, range-sorted by training position; ties stand in the order of a hash."""
     taken = mixed(docs, mix, **columns).select("row", F.explode("mix.positions").alias("position"))
     return taken.orderBy("position", F.xxhash64("row")).select("row.*")
+
+
+#: The words of the mix by plain window sums over each whole source; targets by the sources in the order of cap to weight.
+ORACLE_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(concat_ws(' ', doc_id::VARCHAR, md5(text))) AS key FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, [5.0, 2.0, 1.0][(place % 3 + 1)::INT]::DOUBLE AS weight, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM sources
+), prefixes AS (
+  SELECT *, total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+         row_number() OVER o AS n
+  FROM weighted WINDOW o AS (ORDER BY cap / weight, place)
+), level AS (
+  SELECT n, rest, open FROM prefixes WHERE cap > weight * (rest / open) ORDER BY n LIMIT 1
+), aims AS (
+  SELECT p.source, p.source_size, p.place, CASE WHEN l.n IS NULL OR p.n < l.n THEN p.cap::DOUBLE ELSE p.weight * l.rest / l.open END AS target
+  FROM prefixes p LEFT JOIN level l ON true
+), middles AS (
+  SELECT s.doc_id, s.size, a.source_size, a.place, a.target,
+         (coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2)::DOUBLE AS middle
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+), passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::INT ELSE 0 END AS whole FROM middles
+), counted AS (
+  SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN middle <= target - whole * source_size AND whole < 2 THEN 1 ELSE 0 END ELSE 0 END AS copies FROM passes
+), reached AS (
+  SELECT *, least(1.0::DOUBLE, (middle + 0 * source_size) / target) AS one, least(1.0::DOUBLE, (middle + 1 * source_size) / target) AS two FROM counted
+), placed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN one WHEN 1 THEN sqrt(0.25::DOUBLE + 2.0::DOUBLE * one) - 0.5::DOUBLE ELSE (sqrt(2.25::DOUBLE - 2.0::DOUBLE * one) - 1.5::DOUBLE) / -1.0::DOUBLE END AS first_place,
+            CASE place % 3 WHEN 0 THEN two WHEN 1 THEN sqrt(0.25::DOUBLE + 2.0::DOUBLE * two) - 0.5::DOUBLE ELSE (sqrt(2.25::DOUBLE - 2.0::DOUBLE * two) - 1.5::DOUBLE) / -1.0::DOUBLE END AS second_place
+  FROM reached
+)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, CASE WHEN copies > 0 THEN first_place END AS first_position, CASE WHEN copies > 1 THEN second_place END AS second_position
+FROM placed
+"""

@@ -585,7 +585,18 @@ def test_mixing(spark, small):
     assert sorted(map(str, once)) == sorted(map(str, check_mix(entry.QUERIES["op7_curriculum_mixing"](spark, small), rows)))
 
 
+def test_mixing_of_one_id(spark):
+    """Null and repeated ids are mixed like others: their texts spread them over the order and its slices."""
+    rows = [(None if k % 2 else 7, f"w{k} " * (k % 9 + 1), "en", "st"[k % 3 == 0], 0) for k in range(600)]
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS), keep=["source"]).select("row.source", "mix.*").collect()
+    assert len(got) == 600
+    for source in "st":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9 and len({p for r in own for p in r["positions"]}) == sum(len(r["positions"]) for r in own)
+
+
 def test_mixing_on_awkward_rows(spark, awkward):
+    assert mixing.mixed(awkward, keep=["doc_id", "tie"]).select("row.*").columns == ["doc_id", "tie"]
     assert mixing.mixed(awkward).count() == len(AWKWARD)
     assert mixing.mixed(awkward.limit(0)).count() == 0
     assert all(r["taken"] == 0 for r in mixing.mixed(docs(spark, None, "", " ")).select("mix.*").collect())
