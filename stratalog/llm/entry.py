@@ -80,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op7_curriculum_mixing": mixing.ORACLE_SQL,
     "op9_url_filters": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,

@@ -7,10 +7,12 @@
 3. Each bucket yields a star: its smallest member against all others, so candidates grow with members, not with pairs.
 4. Candidates are verified on the full sets. Where the members of a bucket are still in several components, a sweep
    compares those outside its largest component with all other members, so no link between members of a bucket is
-   lost. It counts intersections through an inverted index of about ``SWEEP`` sets, past which about ``GROUP``
-   members stream per task group; pairs are counted, not emitted: at most one link per member and component comes out.
+   lost. It goes through inverted indexes of about ``SWEEP`` shingles, past which members of about ``STREAM`` shingles go
+   per task group. Of a member only its rarest quarter of shingles is looked up first: a linked set holds one of them, so
+   members that share common passages alone cost no more than that. Pairs are counted, not emitted: at most one link per
+   member and component comes out.
 
-A centre with many candidates is dealt over several tasks, each of which holds the centre's set and streams the others.
+Texts are shipped, not shingle hashes: eight random bytes per word don't compress, words do. A centre with many candidates is dealt over several tasks, each of which holds the centre's set and streams the others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .lines import WORD
 from .scratch import Scratch
 from .textarrays import ASCII_LOWER, Text, grams, mix, texts
 
@@ -32,8 +35,8 @@ LINKED, OF = 75, 100
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 ATTEMPTS = 1024
-#: Members that are compared with a centre in one group, and sets that one group of the sweep indexes.
-GROUP, SWEEP = 256, 512
+#: Members that are compared with a centre in one group; shingles that one group of the sweep indexes, and streams.
+GROUP, SWEEP, STREAM = 256, 1 << 20, 1 << 21
 
 _random = np.random.default_rng(20)
 _BORROW = _random.integers(0, BINS, (ATTEMPTS, BINS))
@@ -149,11 +152,21 @@ class _Sets:
         place = np.searchsorted(self.keys, own)
         place[place == len(self.keys)] = 0
         place = place[self.keys[place] == own]
-        size = self.edges[place + 1] - self.edges[place]
-        at = np.repeat(self.edges[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(place) else np.zeros(0, int)
-        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        # A linked set lacks at most a quarter of the shingles of ``own``, so it holds one of any larger part of them.
+        spare = len(own) - -(-LINKED * len(own) // OF)
+        if len(own) - len(place) > spare:
+            return np.zeros(0, int)
+        rarest = place[np.argsort(self.edges[place + 1] - self.edges[place], kind="stable")[: spare + 1 - (len(own) - len(place))]]
+        near = np.unique(self.owner[self._postings(rarest)])
+        if not (np.minimum(self.sizes[near], len(own)) * OF >= np.maximum(self.sizes[near], len(own)) * LINKED).any():
+            return np.zeros(0, int)
+        both = np.bincount(self.owner[self._postings(place)], minlength=len(self.sizes))
         return np.flatnonzero((both > 0) & (OF * both >= LINKED * (len(own) + self.sizes - both)))
 
+    def _postings(self, place: np.ndarray) -> np.ndarray:
+        size = self.edges[place + 1] - self.edges[place]
+        return np.repeat(self.edges[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
 
 def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, part, member, id, root, text) come sorted by group, the sets to index before the members."""
@@ -198,11 +211,11 @@ def _links(scratch: Scratch, pairs: DataFrame, bodies: DataFrame, name: str) ->
 def _sweep(scratch: Scratch, members: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
     """Links between members of a bucket that are not connected yet; every member has met the bucket's centre already."""
     id_type = members.schema["rep"].dataType
-    rest = members.where("rep != centre").select("bucket", "rep")
-    placed = rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    rest = members.where("rep != centre").select("bucket", "rep", "shingles")
+    placed = rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"), "shingles")
+    parts = placed.groupBy("bucket", "root").agg(F.sum("shingles").alias("n"))
     main = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"), F.max(F.ceil(F.col("all") / GROUP)).alias("blocks"))
+    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"), F.max(F.ceil(F.col("all") / STREAM)).alias("blocks"))
     # A merge join, so that a bucket with very many members can be split over tasks.
     placed = scratch.table("open", placed.join(main.hint("merge"), "bucket").select("bucket", "rep", "root", "main", "parts", "blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -229,11 +242,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "set1", "set2", *bands))])
     signed = scratch.table("signed", docs.mapInArrow(_signed, kind))
 
-    classes = signed.where("n_shingles > 0 and id is not null").groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), *(F.max(c).alias(c) for c in bands))
+    classes = signed.where("n_shingles > 0 and id is not null").groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max("n_shingles").alias("shingles"), *(F.max(c).alias(c) for c in bands))
     classes = scratch.table("classes", classes)
-    buckets = classes.select("rep", F.explode(F.array(*bands)).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
-    members = scratch.table("members", buckets.join(shared, "bucket").select("bucket", "rep", "centre"))
+    buckets = classes.select("rep", "shingles", F.explode(F.array(*bands)).alias("bucket"))
+    # Written, so that the join meets a plain table and adaptive execution can split a bucket with very many members.
+    shared = scratch.table("shared", buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre"))
+    members = scratch.table("members", buckets.join(shared, "bucket").select("bucket", "rep", "shingles", "centre"))
+    scratch.drop("shared")
     bodies = scratch.table("bodies", docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
     # Ids with several sets tie the classes that these belong to.
@@ -261,3 +276,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = F.coalesce(found, "own")
     component = F.coalesce(found, "id")
     return by_class.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+#: All pairs that share a shingle are counted, and every document follows its links to the end.
+ORACLE_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                                      ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM texts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT c.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
+FROM components c LEFT JOIN sizes s ON c.doc_id = s.doc_id
+"""

@@ -301,13 +301,38 @@ def test_families_of_edited_copies(spark):
 
 
 def test_sweep_finds_what_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SWEEP", 2)
+    monkeypatch.setattr(near_dedup, "SWEEP", 150)
+    monkeypatch.setattr(near_dedup, "STREAM", 400)
     base = [f"w{k}" for k in range(100)]
     far = lambda n, tag: base[:n] + [f"{tag}{k}" for k in range(100 - n)]
     made = [" ".join(base), *(" ".join([*far(80, "a")[:98], f"t{k}", f"u{k}"]) for k in range(6)), *(" ".join([*far(78, "b")[:98], f"t{k}", f"u{k}"]) for k in range(6))]
     check_groups(near_dedup.near_duplicates(docs(spark, *made)), list(enumerate(made)))
 
 
+def test_sweep_index_against_all_pairs():
+    """Looking up the rarest quarter of a set first loses no link."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 60, rng.integers(1, 60), dtype=np.uint64)
+        for _ in range(8):
+            own = np.where(rng.random(len(base)) < rng.uniform(0, 0.3), rng.integers(0, 1 << 60, len(base), dtype=np.uint64), base)
+            sets.append(np.unique(np.concatenate([own[: rng.integers(max(1, len(own) - 8), len(own) + 1)], rng.integers(0, 12, 2, dtype=np.uint64)])))
+    index = near_dedup._Sets(list(range(len(sets))), [0] * len(sets), sets)
+    plain = [set(s.tolist()) for s in sets]
+    for s, own in zip(sets, plain, strict=True):
+        assert index.linked(s).tolist() == [k for k, other in enumerate(plain) if 100 * len(own & other) >= 75 * len(own | other)]
+    assert len(index.linked(np.zeros(0, np.uint64))) == 0
+
+
+def test_common_passages_without_links(spark):
+    """Many texts that share well below three quarters of their shingles meet in buckets and stay apart."""
+    rng = random.Random(13)
+    common = [f"c{k}" for k in range(90)]
+    made = [" ".join(common + [f"u{k}x{rng.random()}" for _ in range(60)]) for k in range(150)]
+    check_groups(near_dedup.near_duplicates(docs(spark, *made)), list(enumerate(made)))
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward):
     got = near_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD)
