@@ -138,7 +138,7 @@ class _Sets:
     """Inverted index of some documents' sets: intersection sizes with all of them by one search per document."""
 
     def __init__(self, ids: list, roots: list, sets: list[np.ndarray]):
-        self.ids, self.roots, self.sizes = ids, np.array(roots), np.array([len(x) for x in sets])
+        self.ids, self.roots, self.sizes = ids, np.array(roots), np.array([len(x) for x in sets], np.int64)
         hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
