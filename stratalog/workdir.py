@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder stands in only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name under ``spark.checkpoint.dir``; only in local mode a temporary folder stands in for it."""
+    root = spark.conf.get(SETTING, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
