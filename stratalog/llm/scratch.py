@@ -6,21 +6,9 @@ costs one read and never a recomputation of the stages before it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary folder is taken only where the setting is absent (local tests)."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found
+from stratalog.workdir import shared_folder
 
 
 class Scratch:
@@ -28,7 +16,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, what)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -495,13 +495,38 @@ def test_section_tokens(spark, small, tokenizer):
         lines = text.splitlines(keepends=True) if not re.search("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", text) else re.findall("[^\n]*\n|[^\n]+", text)
         ends = list(itertools.accumulate(map(len, lines))) or [0]
         assert [(s[0], s[1], s[2]) for s in got[k]] == [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
-        e = tokenizer.encode(text, add_special_tokens=False)
-        assert sum(s[3] for s in got[k]) == len(e.ids)
-        if text.isascii():  # a token of bytes within a character has that whole character as its offsets
-            owner = Counter(int(np.searchsorted(ends, e.offsets[i][0] if e.offsets[i][0] < ends[-1] else ends[-1] - 1, "right")) for i in range(len(e.ids)))
-            starts = np.concatenate([[0], np.cumsum([len(tokens.token_bytes()[i]) for i in e.ids])])[:-1]
-            owner = Counter(np.searchsorted(ends, starts, "right").tolist())
-            assert {s[0]: s[3] for s in got[k] if s[3]} == dict(owner)
+        spans = token_spans(tokenizer, text)
+        owner, crossing = Counter(), Counter()
+        edges = [len(text[:b].encode()) for b in ends]
+        for first, last in spans:
+            k_line = sum(e <= first for e in edges)
+            owner[k_line] += 1
+            crossing[k_line] += last > edges[k_line]
+        assert [(s[3], s[4]) for s in got[k]] == [(owner[i], crossing[i]) for i in range(len(got[k]))]
+        assert sum(s[3] for s in got[k]) == len(spans)
+    assert sum(s[4] for rows in got.values() for s in rows) > 0
+
+
+def token_spans(tokenizer, text):
+    """Bytes of each token by the tokenizer's own vocabulary: a byte-level token's characters stand for its bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    bytes_of = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in plain)}
+    at, out = 0, []
+    for token in tokenizer.encode(text, add_special_tokens=False).tokens:
+        raw = token.encode() if token == "<|endoftext|>" else bytes(bytes_of[c] for c in token)
+        assert text.encode()[at : at + len(raw)] == raw
+        out.append((at, at + len(raw)))
+        at += len(raw)
+    assert at == len(text.encode())
+    return out
+
+
+def test_tokens_that_cross_sections(spark, tokenizer):
+    """Blank lines make tokens that begin in one line and end in another: the line of the first byte has them."""
+    got = token_counts.section_tokens(docs(spark, "a\n\n\n\nb", "é\n \n é\n\n")).orderBy("doc_id", "section").collect()
+    spans = token_spans(tokenizer, "a\n\n\n\nb")
+    assert any("\n\n" in "a\n\n\n\nb"[a:b] for a, b in spans)
+    assert sum(r["n_crossing"] for r in got if r["doc_id"] == 0) == sum("\n" in "a\n\n\n\nb"[a : b - 1] for a, b in spans) > 0
 
 
 def test_tokens_on_awkward_rows(spark, awkward):
