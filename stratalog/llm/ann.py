@@ -31,8 +31,9 @@ from .scratch import Scratch
 
 #: Rows of a block and bytes of its vectors; queries that one task streams past a block; queries counted at a time.
 ROWS, BLOCK_BYTES, QUERIES, BATCH = 4096, 1 << 25, 1 << 16, 64
-PIVOTS = 256
-PROJECTIONS, WINDOW, PASS = 64, 1.2, 0.97
+#: Most pivots, and most tasks of a search.
+PIVOTS, TASKS = 256, 20000
+PROJECTIONS, WINDOW, PASS = 32, 0.6, 0.97
 GROWTH = 1.5
 SEED = 7
 _Z = {0.9: 1.2816, 0.95: 1.6449, 0.97: 1.8808, 0.99: 2.3263}
@@ -83,6 +84,7 @@ class Index:
         centre = queries @ _directions(queries.shape[1])[:-1]
         lengths = np.einsum("ij,ij->i", queries, queries)
         smallest = 1e-6 * np.sqrt(lengths + self.top)
+        slack = 1e-9 * np.sqrt(lengths * self.top)
         bounded = np.isfinite(bounds)
         radius = np.where(bounded, np.sqrt(np.maximum(lengths + self.top - 2 * np.where(bounded, bounds, 0), 0)), self._start(queries, lengths, k))
         radius = np.maximum(radius, smallest)
@@ -105,7 +107,7 @@ class Index:
                 counts[i] += np.bincount(passed, minlength=n)
                 new = np.flatnonzero((counts[i] >= least) & ~was)
                 self.verified += len(new)
-                new = new[self.rows[new] != own[i]]
+                new = self._reaching(new[self.rows[new] != own[i]], queries[i], max(bounds[i], best[i][1][-1] if len(best[i][1]) == k else -math.inf), k, slack[i])
                 found = np.concatenate([best[i][0], new])
                 scores = np.concatenate([best[i][1], (self.vectors[new] * queries[i]).sum(1)])
                 if bounded[i]:
@@ -121,6 +123,14 @@ class Index:
             open_ = np.array(left, int)
 
 
+    def _reaching(self, new: np.ndarray, query: np.ndarray, bound: float, k: int, slack: float) -> np.ndarray:
+        """Those rows that can be among the k best and reach the bound: by a matrix product, whose last digits may be off."""
+        near = self.vectors.take(new, 0) @ query
+        if len(new) > k:
+            bound = max(bound, np.partition(near, len(new) - k)[len(new) - k])
+        return new[near >= bound - slack]
+
+
 def usable(vector: Column) -> Column:
     """Not null, all components finite, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -187,12 +197,12 @@ def _open_cells(asked: DataFrame, pivots: list[np.ndarray], radii: dict[int, flo
     return asked.mapInArrow(route, T.StructType([*asked.schema, T.StructField("cell", T.IntegerType())]))
 
 
-def _found(index: DataFrame, routes: DataFrame, chunks: int, k: int) -> DataFrame:
+def _found(index: DataFrame, routes: DataFrame, chunks: int, tasks: int, k: int) -> DataFrame:
     """``(row, query_id, vec_id, score)`` of ``routes(row, id, vector, bound, size, cell, part)`` in the blocks of ``index``."""
     place = ["size", "cell", "part", "chunk"]
     rows = index.select("size", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "row", "id", "vector", F.lit(0.0).alias("bound"))
     asks = routes.select("size", "cell", "part", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "row", "id", "vector", "bound")
-    met = rows.union(asks).repartition(*place).sortWithinPartitions(*place, "asks")
+    met = rows.union(asks).repartition(tasks, *place).sortWithinPartitions(*place, "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, built = None, [], None
@@ -239,16 +249,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     cells = scratch.table("cells", placed.groupBy("size", "cell").agg(F.max("distance").alias("radius"), F.ceil(F.count("*") / F.max(most)).alias("parts")))
     radii = {r["cell"]: r["radius"] for r in cells.where("cell >= 0").collect()}  # at most PIVOTS
     chunks = max(1, math.ceil(sizes["asked"] / QUERIES))
+    blocks = cells.agg(F.coalesce(F.sum("parts"), F.lit(1)).alias("n")).collect()[0]["n"]
+    tasks = min(TASKS, 2 * blocks * chunks)  # about a block each, unless there are very many
     parts = cells.select("size", "cell", "parts")
     index = scratch.table("index", placed.join(parts, ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("distance", "parts"))
     scratch.drop("placed")
 
     asked = index.where("asked").select("row", "id", "vector", "size", "cell", "part")
-    home = scratch.table("home", _found(index, asked.withColumn("bound", F.lit(float("-inf"))), chunks, k))
+    home = scratch.table("home", _found(index, asked.withColumn("bound", F.lit(float("-inf"))), chunks, tasks, k))
     bounds = home.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     bounded = asked.join(bounds, "row", "left").select("row", "id", "vector", "size", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.struct("cell", "part").alias("home"))
     routes = _open_cells(bounded, pivots, radii).join(parts, ["size", "cell"])
     routes = routes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where(F.struct("cell", "part") != F.col("home"))
-    found = home.union(_found(index, routes, chunks, k))
+    found = home.union(_found(index, routes, chunks, tasks, k))
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
