@@ -7,8 +7,8 @@
 3. Each bucket yields a star: its smallest member against all others, so candidates grow with members, not with pairs.
 4. Candidates are verified on the full sets. Where the members of a bucket are still in several components, a sweep
    compares those outside its largest component with all other members, so no link between members of a bucket is
-   lost. It goes through inverted indexes of about ``SWEEP`` shingles, past which members of about ``STREAM`` shingles go
-   per task group. Of a member only its rarest quarter of shingles is looked up first: a linked set holds one of them, so
+   lost. It goes through inverted indexes of about ``SWEEP`` shingles, past which the members stream, ``GROUP`` or as many as
+   an index holds per task group. Of a member only its rarest quarter of shingles is looked up first: a linked set holds one of them, so
    members that share common passages alone cost no more than that. Pairs are counted, not emitted: at most one link per
    member and component comes out.
 
@@ -35,8 +35,8 @@ LINKED, OF = 75, 100
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 ATTEMPTS = 1024
-#: Members that are compared with a centre in one group; shingles that one group of the sweep indexes, and streams.
-GROUP, SWEEP, STREAM = 256, 1 << 20, 1 << 21
+#: Members that are compared with a centre in one group; shingles that one group of the sweep indexes.
+GROUP, SWEEP = 256, 1 << 20
 
 _random = np.random.default_rng(20)
 _BORROW = _random.integers(0, BINS, (ATTEMPTS, BINS))
@@ -213,11 +213,14 @@ def _sweep(scratch: Scratch, members: DataFrame, labels: DataFrame, bodies: Data
     id_type = members.schema["rep"].dataType
     rest = members.where("rep != centre").select("bucket", "rep", "shingles")
     placed = rest.join(labels, rest["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"), "shingles")
-    parts = placed.groupBy("bucket", "root").agg(F.sum("shingles").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    main = parts.join(main, "bucket").where("n = most").groupBy("bucket").agg(F.min("root").alias("main"), F.max(F.ceil((F.col("all") - F.col("most")) / SWEEP)).alias("parts"), F.max(F.ceil(F.col("all") / STREAM)).alias("blocks"))
-    # A merge join, so that a bucket with very many members can be split over tasks.
-    placed = scratch.table("open", placed.join(main.hint("merge"), "bucket").select("bucket", "rep", "root", "main", "parts", "blocks"))
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    largest = F.struct("n", "root")
+    main = by_root.groupBy("bucket").agg(F.max_by("root", largest).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots"), (F.sum("s") - F.max_by("s", largest)).alias("open")).where("roots > 1")
+    main = main.withColumn("parts", F.ceil(F.col("open") / SWEEP))
+    # Members stream in blocks of at least as many as a part of the index has, so neither is copied more often than the other.
+    main = main.select("bucket", "main", "parts", F.ceil(F.col("all") / F.greatest(F.lit(GROUP), (F.col("all") - F.col("most")) / F.col("parts"))).alias("blocks"))
+    # Written like the shared buckets, so that a bucket with very many members can be split over tasks.
+    placed = scratch.table("open", placed.join(scratch.table("mains", main), "bucket").select("bucket", "rep", "root", "main", "parts", "blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     indexed = placed.where("root != main").select("bucket", F.pmod(F.xxhash64("rep"), "parts").alias("part"), every("blocks").alias("block"), F.lit(False).alias("member"), F.col("rep").alias("id"), "root")
     streamed = placed.select("bucket", every("parts").alias("part"), F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").alias("block"), F.lit(True).alias("member"), F.col("rep").alias("id"), "root")

@@ -302,7 +302,7 @@ def test_families_of_edited_copies(spark):
 
 def test_sweep_finds_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SWEEP", 150)
-    monkeypatch.setattr(near_dedup, "STREAM", 400)
+    monkeypatch.setattr(near_dedup, "GROUP", 3)
     base = [f"w{k}" for k in range(100)]
     far = lambda n, tag: base[:n] + [f"{tag}{k}" for k in range(100 - n)]
     made = [" ".join(base), *(" ".join([*far(80, "a")[:98], f"t{k}", f"u{k}"]) for k in range(6)), *(" ".join([*far(78, "b")[:98], f"t{k}", f"u{k}"]) for k in range(6))]
