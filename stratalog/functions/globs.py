@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(4096)
 def to_regex(glob: str) -> str | None:
     """``*`` and ``?`` stay within a component, ``**`` spans any number of them; null for a malformed pattern."""
     out, i, braces = [], 0, 0
@@ -57,10 +59,6 @@ def cleaned(patterns: list[str]) -> list[str]:
     return list(dict.fromkeys(p for p in (x.strip() for x in patterns) if p))
 
 
-def cleaned_column(patterns: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(patterns, F.trim), lambda p: p != ""))
-
-
 def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:

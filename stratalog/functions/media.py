@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Callable, Iterator
 
@@ -155,12 +156,12 @@ def raf_dates(data: bytes) -> Found:
 
 
 def png_dates(data: bytes) -> tuple[str | None, str | None, str | None]:
-    """EXIF texts, and the creation time of a text chunk."""
+    """EXIF texts of the first chunk that has any, and the creation time of a text chunk."""
     at, exif, created = 8, (None, None), None
     while at + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + size]
-        if kind == b"eXIf":
+        if kind == b"eXIf" and exif == (None, None):
             exif = _quiet(tiff_dates)(body)
         elif kind == b"tEXt" and body.lower().startswith(b"creation time\0"):
             created = created or body.split(b"\0", 1)[1].decode("latin-1")
@@ -193,29 +194,59 @@ READERS: dict[str, Callable[[bytes], Found]] = {"tiff": tiff_dates, "jpeg": jpeg
 FIELDS = StructType([StructField("original", StringType()), StructField("modified", StringType()), StructField("created", StringType()), StructField("seconds", LongType())])
 
 
+def _fields(kind: str | None, data) -> list:
+    """Date texts and seconds of some media bytes (or a mapped file) by the kind of reader."""
+    row: list = [None, None, None, None]
+    if kind == "mp4":
+        got = _quiet(mp4_seconds)(data)
+        row[3] = got if isinstance(got, int) and got < 1 << 40 else None
+    elif kind == "png":
+        row[:3] = [*_quiet(png_dates)(data), None][:3]
+    elif kind in READERS:
+        row[:2] = _quiet(READERS[kind])(data)
+    return row
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["original", "modified", "created", "seconds"]).astype({"seconds": "Int64"})
+
+
 @F.pandas_udf(FIELDS)
 def media_fields(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for k, data in zip(kind, content, strict=True):
-        row: list = [None, None, None, None]
-        if data is not None and k is not None:
-            data = bytes(data)
-            if k == "mp4":
-                got = _quiet(mp4_seconds)(data)
-                row[3] = got if isinstance(got, int) and got < 1 << 40 else None
-            elif k == "png":
-                row[:3] = [*_quiet(png_dates)(data), None][:3]
-            elif k in READERS:
-                row[:2] = _quiet(READERS[k])(data)
-        rows.append(row)
-    out = pd.DataFrame(rows, columns=["original", "modified", "created", "seconds"])
-    return out.astype({"seconds": "Int64"})
+    return _frame([_fields(k if data is not None else None, data if data is None else bytes(data)) for k, data in zip(kind, content, strict=True)])
 
 
-def captured(format_name: Column, content: Column, registry: Registry | None = None) -> Column:
-    """Capture date of a file's bytes by its detected format; ``dates.UNKNOWN`` where there is none."""
+@F.pandas_udf(FIELDS)
+def file_fields(kind: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """Like ``media_fields`` for files that the executors can open: mapped, so only the parts that are looked at are read."""
+
+    def read(k, p):
+        try:
+            with open(p, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                return _fields(k, data)
+        except (OSError, ValueError, TypeError):  # a file that is missing, empty or not named
+            return _fields(None, b"")
+
+    return _frame([read(k, p) for k, p in zip(kind, path, strict=True)])
+
+
+def _kind(format_name: Column, registry: Registry | None) -> Column:
     readers = {f.name: f.dates for f in (registry or Registry()).formats}
-    kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in readers.items() for x in pair)), format_name)
-    fields = media_fields(kind, content)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in readers.items() for x in pair)), format_name)
+
+
+def _dated(kind: Column, fields: Column) -> Column:
     written = F.coalesce(dates.exif_date(fields["original"]), dates.exif_date(fields["modified"]), dates.text_chunk_date(fields["created"]))
     return F.when(kind == "mp4", dates.container_date(fields["seconds"])).otherwise(F.coalesce(written, F.lit(dates.UNKNOWN).cast("timestamp_ntz")))
+
+
+def captured(format_name: Column, content: Column, registry: Registry | None = None) -> Column:
+    """Capture date of a file's bytes by its detected format; ``dates.UNKNOWN`` where there is none."""
+    kind = _kind(format_name, registry)
+    return _dated(kind, media_fields(kind, content))
+
+
+def captured_in(format_name: Column, path: Column, registry: Registry | None = None) -> Column:
+    """``captured`` for the file at ``path``."""
+    kind = _kind(format_name, registry)
+    return _dated(kind, file_fields(kind, path))

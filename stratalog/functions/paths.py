@@ -130,7 +130,7 @@ def parsed_name(name: Column) -> Column:
 
     Names are ``<15 characters>-<id>-<checksum>`` or, older, ``<15 characters>_<checksum>``, with 8 or more checksum characters.
     """
-    stem = F.when(name.contains("."), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(F.lit(""))
+    stem = F.when(name.contains("."), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(name)
     new = r"^.{15}-([0-9]+)-(.{8,})$"
     old = r"^.{15}_(.{8,})$"
     number = F.regexp_extract(stem, new, 1)

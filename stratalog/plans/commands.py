@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import media, xmp
 from ..functions.formats import SIDECARS
-from ..functions.hashing import content_hash
-from ..functions.paths import DEFAULT_TEMPLATE, parse_copyright
+from ..functions.hashing import file_digest
+from ..functions.paths import DEFAULT_TEMPLATE, extension, is_temporary, parse_copyright
+from ..functions.text import sidecar_note
 from ..operators import catalog, doctor, ledger, sidecars
 from ..sources import ledger as ledger_files
 from ..sources import tree as trees
-from ..sources.store import Store
-from ..workdir import shared_folder
+from ..sources.store import Store, folder_size
+from ..workdir import numbered, tables
 from . import execute, ingest, verify
 
 LEDGER, IGNORE = ".stratalog-ledger.jsonl", ".stratalogignore"
@@ -41,7 +42,8 @@ class IngestOptions:
     copyright: str = ""
     owner: str = ""
     ignore: list[str] = field(default_factory=list)
-    only: list[str] | None = None
+    #: Paths to take, ``(path)``; all others are left alone.
+    only: DataFrame | None = None
 
 
 def _now() -> dt.datetime:
@@ -49,9 +51,9 @@ def _now() -> dt.datetime:
 
 
 def _source(spark: SparkSession, source: str, options: IngestOptions) -> DataFrame:
-    tree = trees.read_tree(spark, source, recursive=options.recursive, content=True, scopefile=IGNORE, prune=options.ignore)
+    tree = trees.read_tree(spark, source, recursive=options.recursive, scopefile=IGNORE, prune=options.ignore)
     rows = trees.classified(tree, ignore=options.ignore, always=(LEDGER, IGNORE), carry_sidecars=options.carry_sidecars)
-    return rows.where(F.col("path").isin(options.only)) if options.only is not None else rows
+    return rows.join(options.only, "path", "left_semi") if options.only is not None else rows
 
 
 def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, options: IngestOptions | None = None) -> dict:
@@ -63,21 +65,15 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     found = rows.where("reason is null and format != 'sidecar'")
     dated = found.select(
         "path", "rel_path", "dir", "name", F.col("path").alias("source_path"), "ext", "length",
-        media.captured(F.col("format"), F.col("content")).alias("capture_date"), content_hash(F.col("content"), options.algorithm).alias("checksum"),
+        media.captured_in(F.col("format"), F.col("path")).alias("capture_date"), file_digest(F.col("path"), F.lit(options.algorithm)).alias("checksum"),
     )
+    table = tables(spark, "ingest")  # neither a lost executor nor the catalogue's growth changes what was decided
+    dated = table("dated", dated.withColumn("error", F.when(F.col("checksum").isNull(), F.lit("open hashable reader: the file can't be read"))))
     ids = store.files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).collect()[0]["n"]
-    numbered = dated.orderBy("rel_path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*dated.columns, "seq"]).withColumns({"id": F.col("seq") + 1 + ids, "error": F.lit(None).cast("string")})
-    kept = shared_folder(spark, "ingest")
-
-    def table(name: str, df: DataFrame) -> DataFrame:
-        """Written out, so that neither a lost executor nor the catalogue's growth changes what was decided."""
-        df.write.parquet(f"{kept}/{name}")
-        return spark.read.parquet(f"{kept}/{name}")
-
-    numbered = table("numbered", numbered)
-    plan = ingest.planned(numbered, store.files, stamp, options.algorithm, options.template, options.language, options.since, options.before, options.skip_duplicates)
+    numbered_ = table("numbered", numbered(table, dated, ["rel_path"]).withColumn("id", F.col("seq") + 1 + ids))
+    plan = ingest.planned(numbered_, store.files, stamp, options.algorithm, options.template, options.language, options.since, options.before, options.skip_duplicates)
     found_sidecars = rows.where("format = 'sidecar'").select("path", "dir", "name")
-    attached = sidecars.attached_on_ingest(numbered, found_sidecars)
+    attached = sidecars.attached_on_ingest(numbered_, found_sidecars)
     of_media = attached.where("media_path is not null").groupBy(F.col("media_path").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("sidecars"))
     date = F.col("capture_date")
     rights = parse_copyright(options.copyright).column(date, None, options.language) if options.copyright else F.lit("")
@@ -108,18 +104,28 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     counts["errors"] = result.where(F.col("final").isin("failed", "mismatch")).count()
     if options.ledger:
         head = {"version": 4, "run_id": run_id, "run": started.isoformat() + "Z", "algorithm": options.algorithm, "destination": archive, "recursive": options.recursive}
-        writer = ledger_files.LedgerWriter(os.path.join(source, LEDGER), head)
         lines = result.select("rel_path", F.when(F.col("final").isin("failed", "mismatch"), "error").otherwise(F.col("outcome")).alias("status"), "checksum", F.col("dest_rel").alias("destination"), "matches", F.coalesce("problem", "reason").alias("reason"), "carried")
         lines = lines.unionByName(skipped.select("rel_path", F.lit("skip").alias("status"), "reason"), allowMissingColumns=True)
-        for r in lines.orderBy("rel_path").toLocalIterator():
-            writer.write({"path": r["rel_path"], "status": r["status"], "checksum": r["checksum"], "destination": r["destination"], "matches": r["matches"], "reason": r["reason"], "sidecars": r["carried"] or None})
+        with ledger_files.LedgerWriter(os.path.join(source, LEDGER), head) as writer:
+            for r in lines.orderBy("rel_path").toLocalIterator():
+                writer.write({"path": r["rel_path"], "status": r["status"], "checksum": r["checksum"], "destination": r["destination"], "matches": r["matches"], "reason": r["reason"], "sidecars": r["carried"] or None})
     return {"run_id": run_id, **counts}
 
 
 def run_verify(spark: SparkSession, archive: str, default: str = "sha1") -> DataFrame:
-    tree = trees.read_tree(spark, archive, content=True)
-    rows = trees.classified(tree.where(~F.col("name").startswith(".")))
-    return verify.verified(rows.where("format is null or format != 'sidecar'").select("path", "name", "content"), default)
+    """Every file of an archive with its status, and the ``sidecars`` of media files as a note.
+
+    What has no known format or no generated name is unrecognised, and so is a sidecar without its media file.
+    """
+    rows = trees.classified(trees.read_tree(spark, archive).where(~F.col("name").startswith(".")))
+    is_sidecar = F.coalesce(F.col("format") == "sidecar", F.lit(False))
+    found = rows.where(~is_sidecar).select("path", "dir", "name", F.col("format").isNotNull().alias("recognised"), F.col("rel_path").alias("seq"))
+    attached = sidecars.attached_in_archive(found, rows.where(is_sidecar).select("path", "dir", "name"))
+    notes = sidecars.extensions_by_media(attached).select(F.col("media_path").alias("path"), sidecar_note(F.col("extensions")).alias("sidecars"))
+    checked = verify.verified_files(found.select("path", "name", "recognised"), default, F.col("recognised")).drop("recognised")
+    checked = checked.join(notes, "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.lit("")))
+    orphans = attached.where("media_path is null").select("path", "name", F.lit("unrecognised").alias("status"), F.lit("").alias("expected"), F.lit("").alias("sidecars"))
+    return checked.unionByName(orphans, allowMissingColumns=True)
 
 
 def run_status(spark: SparkSession, source: str, recursive: bool = True, ignore: list[str] | None = None) -> DataFrame:
@@ -160,22 +166,39 @@ def run_stats(store: Store) -> dict[str, DataFrame]:
 def run_clean(spark: SparkSession, archive: str, store: Store | None = None, dry_run: bool = False) -> dict:
     """Remove leftover temporary files and orphaned sidecars; compact the catalogue unless a run is active."""
     tree = trees.read_tree(spark, archive, dotdirs=True).select("path", "name")
-    temporary = [r["path"] for r in tree.where(F.col("name").contains(execute.TEMPORARY)).toLocalIterator()]
-    orphans = [r["path"] for r in sidecars.orphaned_in_archive(tree).toLocalIterator()]
-    out = {"temporary": execute.cleaned(temporary, dry_run), "orphans": execute.cleaned(orphans, dry_run), "compacted": False}
+    paths = lambda df: (r["path"] for r in df.select("path").toLocalIterator())
+    out = {
+        "temporary": execute.cleaned(paths(tree.where(is_temporary(F.col("name"), execute.TEMPORARY))), dry_run),
+        "orphans": execute.cleaned(paths(sidecars.orphaned_in_archive(tree)), dry_run), "compacted": False, "size_before": None, "size_after": None,
+    }
     if store is not None and not dry_run and not catalog.has_active_runs(store.runs).collect()[0]["active"]:
+        out["size_before"] = folder_size(store.path)
         store.compact()
-        out["compacted"] = True
+        out |= {"compacted": True, "size_after": folder_size(store.path)}
     return out
 
 
+def clean_summary(out: dict) -> str:
+    """What a clean did in one line; counts of nothing are left out."""
+    plural = lambda n, word: f"{n} {word}{'' if n == 1 else 's'}"
+    done = [plural(out[k]["removed"], word) for k, word in (("temporary", "temp file"), ("orphans", "orphaned sidecar")) if out[k]["removed"]]
+    errors = out["temporary"]["errors"] + out["orphans"]["errors"]
+    parts = ["Cleaned " + ", ".join(done) if done else "No orphaned files found"]
+    parts += [plural(errors, "removal error")] if errors else []
+    parts += [f"Reclaimed {out['size_before'] - out['size_after']} B from the catalogue"] if out["compacted"] else []
+    return " | ".join(parts)
+
+
 def run_retry(spark: SparkSession, store: Store, archive: str, run_prefix: str | None = None, options: IngestOptions | None = None) -> dict:
     """Ingest the failed files of a run again, with that run's algorithm, where they still exist."""
     run = store.runs.where(F.col("id") == catalog.resolve_run(store.runs, run_prefix)) if run_prefix else catalog.latest_run(store.runs)
     row = run.collect()[0]
-    bad = [r["source_path"] for r in catalog.errors(store.files, store.runs, row["id"]).select("source_path").toLocalIterator()]
     options = options or IngestOptions()
-    options.algorithm, options.only = row["algorithm"], [p for p in bad if os.path.exists(p) and os.path.splitext(p)[1].lower() not in SIDECARS]
+    bad = catalog.errors(store.files, store.runs, row["id"])
+    there = trees.read_tree(spark, row["source"], recursive=True).select("path")
+    kept = catalog.retryable(bad, there, ~F.lower(extension(F.col("source_path"))).isin(*SIDECARS))
+    only = kept.select(F.col("source_path").alias("path")).distinct()
+    options.algorithm, options.only = row["algorithm"], tables(spark, "retry")("only", only)  # the run itself appends to the catalogue
     return run_ingest(spark, store, row["source"], archive, options)
 
 
@@ -188,10 +211,15 @@ def run_resume(spark: SparkSession, store: Store, options: IngestOptions | None
     options = options or IngestOptions()
     options.algorithm, options.recursive = row["algorithm"], row["recursive"]
     out = run_ingest(spark, store, row["source"], row["destination"], options)
-    store.finish_run(row["id"], "interrupted", _now())
+    interrupt(store, row["id"])
     return out
 
 
+def interrupt(store: Store, run_id: str) -> None:
+    """Mark a run that will not finish."""
+    store.finish_run(run_id, "interrupted", _now())
+
+
 def as_json(name: str, archive: str, results: DataFrame, summary: DataFrame | None = None) -> str:
     """Envelope of a query's results."""
     plain = [json.loads(r) for r in results.toJSON().collect()]

@@ -6,41 +6,22 @@ finds either nothing, a leftover it overwrites, or the finished file.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import shutil
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import blake3_hex
+from ..functions.hashing import file_hash
 from ..functions.xmp import merged_text
 from ..sources.store import replace_text
 
-BLOCK = 1 << 20
 TEMPORARY = ".stratalog-tmp"
 RESULT = "id bigint, status string, error string, copied_bytes bigint, carried array<string>"
 
 
-def file_hash(path: str, algorithm: str) -> str:
-    """Hex digest of a file, read in blocks."""
-    if algorithm == "blake3":
-        with open(path, "rb") as f:
-            return blake3_hex(f.read())
-    if algorithm == "xxhash":
-        import xxhash
-
-        h = xxhash.xxh64(seed=0)
-    else:
-        h = hashlib.new(algorithm)
-    with open(path, "rb") as f:
-        while block := f.read(BLOCK):
-            h.update(block)
-    return h.hexdigest()
-
-
 def _synced(path: str) -> None:
     with open(path, "rb") as f:
         os.fsync(f.fileno())
@@ -119,7 +100,7 @@ def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_t
     return rows.mapInPandas(run, RESULT)
 
 
-def cleaned(paths: list[str], dry_run: bool = False) -> dict[str, int]:
+def cleaned(paths: Iterable[str], dry_run: bool = False) -> dict[str, int]:
     """Remove files; counts of removed files, errors and bytes."""
     out = {"removed": 0, "errors": 0, "bytes": 0}
     for path in paths:

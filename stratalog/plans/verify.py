@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import ALGORITHMS, content_hash
+from ..functions.hashing import NATIVE, content_hash, file_digest, other_digest
 from ..functions.paths import parsed_name
 
 
-def verified(media: DataFrame, default: str = "sha1", content: str = "content") -> DataFrame:
+def _named(media: DataFrame, default: str, recognised: Column | None) -> DataFrame:
+    """``media`` with ``expected``, ``algorithm`` and ``ok``, each evaluated once: a generator's output isn't inlined."""
+    rows = media.withColumn("_known", F.lit(True) if recognised is None else recognised)
+    parsed = F.inline(F.array(parsed_name(F.col("name")))).alias("expected", "algorithm", "ok")
+    rows = rows.select(*media.columns, "_known", parsed)
+    ok = F.coalesce(F.col("ok") & F.col("_known"), F.lit(False))
+    return rows.withColumns({"ok": ok, "algorithm": F.coalesce(F.nullif(F.col("algorithm"), F.lit("")), F.lit(default))}).drop("_known")
+
+
+def _judged(rows: DataFrame, actual: Column, columns: list[str]) -> DataFrame:
+    rows = rows.withColumn("actual", actual)
+    status = F.when(~F.col("ok"), "unrecognised").when(F.coalesce(F.col("actual") == F.col("expected"), F.lit(False)), "verified").otherwise("mismatch")
+    return rows.select(*columns, F.when(F.col("ok"), F.col("algorithm")).alias("algorithm"), "expected", "actual", status.alias("status"))
+
+
+def verified(media: DataFrame, default: str = "sha1", content: str = "content", recognised: Column | None = None) -> DataFrame:
     """``media(path, name, <content>)`` with ``expected``, ``actual`` and ``status``: verified, mismatch or unrecognised.
 
-    A name that can't tell its algorithm is checked by ``default``. Bytes that can't be read (null) are a mismatch. Hashes
-    are computed for the rows of their algorithm only.
+    A name that can't tell its algorithm is checked by ``default``. Bytes that can't be read (null) are a mismatch; rows for
+    which ``recognised`` doesn't hold are unrecognised, whatever their name. One pass: only the bytes of rows whose
+    algorithm has no native form leave the JVM.
     """
-    rows = media.withColumn("parsed", parsed_name(F.col("name")))
-    rows = rows.withColumn("algorithm", F.coalesce(F.nullif(F.col("parsed.algorithm"), F.lit("")), F.lit(default)))
-    native = F.lit(None).cast("string")
-    for name in ("md5", "sha1", "sha256"):
-        native = F.when(F.col("algorithm") == name, content_hash(F.col(content), name)).otherwise(native)
-    native_rows = rows.where(~F.col("parsed.ok") | F.col("algorithm").isin("md5", "sha1", "sha256")).withColumn("actual", F.when(F.col("parsed.ok"), native))
-    out = native_rows
-    for name in sorted(set(ALGORITHMS) - {"md5", "sha1", "sha256"}):  # these leave the JVM, so only their own rows go there
-        own = rows.where(F.col("parsed.ok") & (F.col("algorithm") == name))
-        out = out.unionByName(own.withColumn("actual", content_hash(F.col(content), name)))
-    status = F.when(~F.col("parsed.ok"), "unrecognised").when(F.coalesce(F.col("actual") == F.col("parsed.checksum"), F.lit(False)), "verified").otherwise("mismatch")
-    return out.select(*(c for c in media.columns if c != content), F.when(F.col("parsed.ok"), F.col("algorithm")).alias("algorithm"), F.col("parsed.checksum").alias("expected"), "actual", status.alias("status"))
+    rows, bytes_ = _named(media, default, recognised), F.col(content)
+    other = F.col("ok") & ~F.col("algorithm").isin(*NATIVE)
+    actual = other_digest(F.when(other, bytes_), F.col("algorithm"))
+    for name in NATIVE:
+        actual = F.when(F.col("ok") & (F.col("algorithm") == name), content_hash(bytes_, name)).otherwise(actual)
+    return _judged(rows, actual, [c for c in media.columns if c != content])
+
+
+def verified_files(media: DataFrame, default: str = "sha1", recognised: Column | None = None) -> DataFrame:
+    """``verified`` for ``media(path, name)`` whose files the executors read in blocks, so that their size doesn't matter."""
+    rows = _named(media, default, recognised)
+    return _judged(rows, file_digest(F.when(F.col("ok"), F.col("path")), F.col("algorithm")), media.columns)
 
 
 def counters(result: DataFrame) -> DataFrame:

@@ -41,12 +41,6 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return parsed(spark.createDataFrame(rows, kind))
 
 
-def read_ledgers(spark: SparkSession, pattern: str) -> DataFrame:
-    """Many ledger files at once, distributed; the order of lines is their place in the file."""
-    raw = spark.read.option("wholetext", "true").text(pattern).select(F.col("_metadata.file_path").alias("ledger"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return parsed(raw.withColumn("seq", F.col("seq").cast("bigint")))
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a legacy manifest document, with its header fields."""
     doc = spark.read.option("multiLine", "true").schema(
@@ -57,29 +51,39 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.col("source").alias("run_source"), F.col("destination").alias("run_destination"), "algorithm", "started_at", "workers", "seq", "file.*")
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """Append rows as compact JSON lines, nulls left out."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
-
-
 class LedgerWriter:
-    """Appends one run to a ledger file: a header, then entries. After a failure it warns once and stays quiet."""
+    """Appends one run to a ledger file: a header, then entries; the file is synced when it is closed.
+
+    Ledgers are secondary to the catalogue: after a failure it warns once and stays quiet.
+    """
 
     def __init__(self, path: str, header: dict, warn=print):
-        self.path, self.warn, self.muted = path, warn, False
-        self._append(header)
-
-    def _append(self, row: dict) -> None:
-        if self.muted:
-            return
-        try:
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, separators=(",", ":")) + "\n")
-                f.flush()
-                os.fsync(f.fileno())
-        except OSError as e:
-            self.muted = True
-            self.warn(f"ledger: {e}")
-
-    def write(self, entry: dict) -> None:
-        self._append(entry)
+        self.path, self.warn, self.file, self.muted = path, warn, None, False
+        self._safely(lambda: setattr(self, "file", open(path, "a", encoding="utf-8")))  # noqa: SIM115
+        self.write(header)
+
+    def _safely(self, act) -> None:
+        if not self.muted:
+            try:
+                act()
+            except OSError as e:
+                self.muted = True
+                self.warn(f"ledger: {e}")
+
+    def write(self, row: dict) -> None:
+        line = json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, separators=(",", ":")) + "\n"
+        self._safely(lambda: self.file.write(line))
+
+    def close(self) -> None:
+        def sync():
+            self.file.flush()
+            os.fsync(self.file.fileno())
+            self.file.close()
+
+        self._safely(sync)
+
+    def __enter__(self) -> LedgerWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import slug
 from ..operators.catalog import backfilled_algorithm
 from ..schemas import FILES, RUNS
+from ..workdir import numbered, tables
 
 VERSION = 4
 
@@ -64,8 +66,7 @@ class Store:
     def insert_files(self, rows: DataFrame, order: str) -> None:
         """Append pending files with ids after the largest, in the order of ``order`` (which has no ties)."""
         last = self.files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).collect()[0]["n"]
-        # Ids must be gapless in input order: sort, then number by partition offsets.
-        laid = rows.orderBy(order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + last)).toDF([*rows.columns, "id"])
+        laid = numbered(tables(self.spark, "insert"), rows, [order]).withColumn("id", F.col("seq") + 1 + last)
         missing = {f.name: F.lit(None).cast(f.dataType) for f in FILES if f.name not in laid.columns}
         missing["status"], missing["is_duplicate"] = F.lit("pending"), F.lit(False)
         self.append("files", laid.withColumns(missing).select(*(F.col(f.name).cast(f.dataType) for f in FILES)))
@@ -86,7 +87,9 @@ class Store:
         if self.runs.where("status = 'running'").take(1):
             raise RuntimeError("a run is active")
         for name in ("runs", "files"):
+            old = self._folder(name)
             self.replace(name, self.read(name).repartition(1 if name == "runs" else max(1, self.read(name).rdd.getNumPartitions() // 8)))
+            shutil.rmtree(old)
 
     def migrate(self) -> None:
         """Add what older catalogues lack; a catalogue of the current version is left alone."""
@@ -180,20 +183,58 @@ def import_sqlite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return migrated(*out)
 
 
-def locate(spark: SparkSession, archive: str, explicit: str | None = None, marker: str = ".catalog-location", on_network: bool = False, home: str | None = None) -> str:
+MARKER = ".catalog-location"
+#: File system types that lie on a network.
+NETWORK = ("nfs", "nfs4", "cifs", "smb", "smb2", "smb3", "smbfs")
+
+
+def on_network_mount(path: str, mounts: str = "/proc/mounts") -> bool:
+    """Whether the mount that holds ``path`` is a network file system; False where that can't be told."""
+    path, best = os.path.realpath(path), ("", "")
+    try:
+        with open(mounts, encoding="utf-8", errors="replace") as f:
+            for line in f:
+                parts = line.split()
+                if len(parts) > 2:
+                    point = parts[1].replace("\\040", " ")
+                    if (path == point or path.startswith(point.rstrip("/") + "/")) and len(point) >= len(best[0]):
+                        best = point, parts[2]
+    except OSError:
+        return False
+    return best[1] in NETWORK
+
+
+def locate(spark: SparkSession, archive: str, explicit: str | None = None, marker: str = MARKER, on_network: bool | None = None, home: str | None = None, write_marker: bool = False) -> str:
     """Where an archive's catalogue is: the given path, else what the archive's marker file names, else under the home
-    folder for an archive on a network mount, else inside the archive."""
-    if explicit:
-        return explicit
+    folder for an archive on a network mount, else inside the archive.
+
+    With ``write_marker`` a place outside the archive is noted in the marker, so that later commands find it.
+    """
     named = os.path.join(archive, marker)
-    if os.path.isfile(named):
-        with open(named, encoding="utf-8") as f:
-            if text := f.read().strip():
-                return text
-    if on_network:
+    if explicit:
+        found = os.path.abspath(explicit)
+    else:
+        if os.path.isfile(named):
+            with open(named, encoding="utf-8") as f:
+                if text := f.read().strip():
+                    return text
+        if not (on_network_mount(archive) if on_network is None else on_network):
+            return os.path.join(archive, ".stratalog", "catalog")
         name = spark.range(1).select(slug(F.lit(os.path.abspath(archive))).alias("s")).collect()[0]["s"]
-        return os.path.join(home or os.path.expanduser("~"), ".stratalog", name)
-    return os.path.join(archive, ".stratalog", "catalog")
+        found = os.path.join(home or os.path.expanduser("~"), ".stratalog", name)
+    if write_marker:
+        os.makedirs(archive, exist_ok=True)
+        replace_text(named, found)
+    return found
+
+
+def exported(files: DataFrame) -> DataFrame:
+    """``files`` with the carried sidecars as a JSON array, null for none, as flat catalogue files keep them."""
+    return files.withColumn("carried_sidecars", F.when(F.size("carried_sidecars") > 0, F.to_json("carried_sidecars")))
+
+
+def folder_size(path: str) -> int:
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(path) for name in names)
 
 
 def replace_text(path: str, text: str) -> None:

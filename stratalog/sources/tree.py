@@ -3,28 +3,76 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formats import HEADER_BYTES, SIDECARS, Registry
-from ..functions.globs import ignored_file, to_regex
+from ..functions.globs import cleaned, ignored_file, to_regex
 from ..functions.paths import extension
 
 FORMAT = "stratalog_tree"
 SCHEMA = "path string, rel_path string, dir string, name string, is_symlink boolean, length bigint, header binary, unreadable string, content binary"
 
 
+class _Span(NamedTuple):
+    """Files of one folder from ``first`` to ``last`` in lexical order, and the rules that hold there."""
+
+    folder: str
+    first: str
+    last: str
+    rules: tuple[tuple[str, str], ...]
+
+
 class _Part(InputPartition):
-    def __init__(self, paths: list[str]):
+    def __init__(self, spans: list[_Span]):
         super().__init__(0)
-        self.paths = paths
+        self.spans = spans
+
+
+def _fits(pattern: str, name: str, rel: str) -> bool:
+    regex = to_regex(pattern)
+    return regex is not None and (re.match(regex, name) is not None or re.match(regex, rel) is not None)
+
+
+def _below(rel: str, scope: str) -> str | None:
+    return rel if not scope else rel[len(scope) + 1 :] if rel.startswith(scope + "/") else None
+
+
+def folder_ignored(rel: str, rules: Iterable[tuple[str, str]]) -> bool:
+    """Whether a rule ``(scope, pattern)`` skips a folder: only ``x/`` and ``x/**`` name folders."""
+    for scope, pattern in rules:
+        base = pattern[:-1] if pattern.endswith("/") else pattern[:-3] if pattern.endswith("/**") else ""
+        below = _below(rel, scope)
+        if base and below is not None and _fits(base, os.path.basename(rel), below):
+            return True
+    return False
+
+
+def file_ignored(rel: str, rules: Iterable[tuple[str, str]]) -> bool:
+    """Whether a rule ``(scope, pattern)`` hides a file: by its name or by its path below the scope."""
+    for scope, pattern in rules:
+        below = _below(rel, scope)
+        if below is not None and not pattern.endswith("/") and _fits(pattern, os.path.basename(rel), below):
+            return True
+    return False
+
+
+def scope_rules(scope: str, text: str) -> tuple[tuple[str, str], ...]:
+    """The rules of an ignore file: a trimmed pattern per line, without blank lines and comments."""
+    return tuple((scope, p) for p in cleaned(text.split("\n")) if not p.startswith("#"))
 
 
 class TreeReader(DataSourceReader):
-    """Options: path, recursive, dotdirs (enter them), content (read bytes), files (a partition's files), prune (globs)."""
+    """Options: path, recursive, dotdirs (enter them), content (read bytes), files (a partition's files), prune (globs), scopefile.
+
+    The driver walks the folders, reads their ignore files and cuts their files into spans; it holds one folder's names at a
+    time. Tasks list the span again and open the files.
+    """
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
@@ -32,45 +80,52 @@ class TreeReader(DataSourceReader):
         self.recursive, self.dotdirs, self.content = flag("recursive", "true"), flag("dotdirs", "false"), flag("content", "false")
         self.per_part = int(options.get("files", "2000"))
         self.scope_file = options.get("scopefile", "")
-        self.prune = [p for p in options.get("prune", "").split("\n") if p]
-
-    def _pruned(self, rel: str, rules: list[tuple[str, str]]) -> bool:
-        import re
-
-        for scope, pattern in rules:
-            base = pattern[:-1] if pattern.endswith("/") else pattern[:-3] if pattern.endswith("/**") else ""
-            below = rel if not scope else rel[len(scope) + 1 :] if rel.startswith(scope + "/") else None
-            if base and below and (r := to_regex(base)) and (re.match(r, os.path.basename(rel)) or re.match(r, below)):
-                return True
-        return False
+        self.prune = tuple(("", p) for p in options.get("prune", "").split("\n") if p)
 
-    def _files(self) -> Iterator[str]:
-        """Files in lexical order; the driver lists names only, executors open the files."""
-        stack: list[tuple[str, list[tuple[str, str]]]] = [("", [("", p) for p in self.prune])]
+    def _spans(self) -> Iterator[tuple[int, _Span]]:
+        stack = [("", self.prune)]
         while stack:
             rel, rules = stack.pop()
-            entries = sorted(os.scandir(os.path.join(self.root, rel)), key=lambda e: e.name)
-            if self.scope_file and self.recursive:
-                own = os.path.join(self.root, rel, self.scope_file)
-                if os.path.isfile(own):
-                    with open(own, encoding="utf-8") as f:
-                        rules = rules + [(rel, line.strip()) for line in f if line.strip() and not line.startswith("#")]
-            folders = []
-            for e in entries:
-                path = f"{rel}/{e.name}" if rel else e.name
-                if e.is_dir(follow_symlinks=False):
-                    if self.recursive and (self.dotdirs or not e.name.startswith(".")) and not self._pruned(path, rules):
+            folders, names = [], []
+            if self.scope_file:
+                try:
+                    with open(os.path.join(self.root, rel, self.scope_file), encoding="utf-8", errors="replace") as f:
+                        rules = rules + scope_rules(rel, f.read())
+                except OSError:
+                    pass
+            with os.scandir(os.path.join(self.root, rel)) as entries:
+                for e in entries:
+                    path = f"{rel}/{e.name}" if rel else e.name
+                    if not e.is_dir(follow_symlinks=False):
+                        names.append(e.name)
+                    elif self.recursive and (self.dotdirs or not e.name.startswith(".")) and not folder_ignored(path, rules):
                         folders.append((path, rules))
-                else:
-                    yield path
-            stack.extend(reversed(folders))
+            names.sort()
+            for i in range(0, len(names), self.per_part):
+                part = names[i : i + self.per_part]
+                yield len(part), _Span(rel, part[0], part[-1], rules)
+            stack.extend(sorted(folders, reverse=True))
 
     def partitions(self) -> list[InputPartition]:
-        paths = list(self._files())
-        return [_Part(paths[i : i + self.per_part]) for i in range(0, len(paths), self.per_part)] or [_Part([])]
+        parts, spans, size = [], [], 0
+        for n, span in self._spans():
+            if spans and size + n > self.per_part:
+                parts.append(_Part(spans))
+                spans, size = [], 0
+            spans.append(span)
+            size += n
+        return [*parts, _Part(spans)]
+
+    def _files(self, span: _Span) -> Iterator[str]:
+        with os.scandir(os.path.join(self.root, span.folder)) as entries:
+            names = sorted(e.name for e in entries if span.first <= e.name <= span.last and not e.is_dir(follow_symlinks=False))
+        for name in names:
+            rel = f"{span.folder}/{name}" if span.folder else name
+            if not file_ignored(rel, span.rules):
+                yield rel
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for rel in partition.paths:
+        for rel in (rel for span in partition.spans for rel in self._files(span)):
             path = os.path.join(self.root, rel)
             linked, header, error, size, content = os.path.islink(path), None, None, None, None
             try:

@@ -34,11 +34,12 @@ def test_fold_equals_loop(spark):
 
 def test_ledger_file(spark, tmp_path):
     path = str(tmp_path / ".ledger")
-    w = ledger_files.LedgerWriter(path, {"version": 4, "run_id": "r1", "algorithm": "sha256", "recursive": True})
-    w.write({"path": "<a>.jpg", "status": "copy", "checksum": "c", "reason": None, "sidecars": [".xmp"]})
+    with ledger_files.LedgerWriter(path, {"version": 4, "run_id": "r1", "algorithm": "sha256", "recursive": True}) as w:
+        w.write({"path": "<a>.jpg", "status": "copy", "checksum": "c", "reason": None, "sidecars": [".xmp"]})
     with open(path, "a") as f:
         f.write("\n{broken\n")
-    ledger_files.LedgerWriter(path, {"version": 4, "run_id": "r2"}).write({"path": "b.txt", "status": "skip", "reason": "unsupported format: .txt"})
+    with ledger_files.LedgerWriter(path, {"version": 4, "run_id": "r2"}) as w:
+        w.write({"path": "b.txt", "status": "skip", "reason": "unsupported format: .txt"})
     text = open(path).read()
     assert '"<a>.jpg"' in text and "reason" not in text.split("\n")[1]
     lines = ledger.with_runs(ledger_files.read_ledger(spark, path)).orderBy("seq").collect()
