@@ -11,7 +11,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import settings
 from .functions.hashing import ALGORITHMS
+from .functions.paths import resolve_alias
 from .operators import catalog
 from .plans import commands, verify
 from .sources.store import Store, locate
@@ -25,7 +27,8 @@ def _day(text: str) -> dt.date:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="stratalog")
-    top.add_argument("--algorithm", default="sha1", choices=list(ALGORITHMS))
+    top.add_argument("--algorithm", choices=list(ALGORITHMS))
+    top.add_argument("--config", help="general settings, a JSON object")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *flags: str) -> argparse.ArgumentParser:
@@ -64,6 +67,25 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Settings that files may give, by the argument they stand in for.
+SETTINGS = ("algorithm", "dest", "copyright", "camera_owner", "path_template", "skip_duplicates", "no_carry_sidecars", "overwrite_sidecar_tags", "no_recursive")
+
+
+def with_settings(a: argparse.Namespace) -> argparse.Namespace:
+    """Arguments under the settings files: ignore lists add up, ``+name`` destinations are looked up among the aliases."""
+    given = frozenset(k for k in SETTINGS if getattr(a, k, None))
+    found = settings.of_source(getattr(a, "source", None) or None, a.config, given)
+    for k in SETTINGS:
+        if k not in given and k in found and hasattr(a, k):
+            setattr(a, k, found[k])
+    a.algorithm = a.algorithm or "sha1"
+    if hasattr(a, "ignore"):
+        a.ignore = [*found.get("ignore", []), *a.ignore]
+    if getattr(a, "dest", None):
+        a.dest = resolve_alias(a.dest, found.get("aliases", {}))
+    return a
+
+
 def _query(store: Store, a: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
     files, runs = store.files, store.runs
     run_id = catalog.resolve_run(runs, a.run) if a.run else None
@@ -91,12 +113,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "version":
         print(VERSION)
         return 0
+    a = with_settings(a)
     if getattr(a, "json", False) and getattr(a, "list", False):
         raise SystemExit("--list and --json exclude each other")
     spark = spark or SparkSession.builder.appName("stratalog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = None
     if a.dest and a.command not in ("verify", "status"):
-        path = locate(spark, a.dest, a.db_path)
+        path = locate(spark, a.dest, a.db_path, write_marker=a.command == "sort" and not a.dry_run)
         store = Store(spark, path, create=a.command == "sort" or not os.path.isdir(path) and a.command in ("clean",))
     show = lambda df, summary=None: print(commands.as_json(getattr(a, "what", a.command), a.dest or "", df, summary) if getattr(a, "json", False) else commands.as_table(df))
     if a.command == "sort":
@@ -120,7 +143,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for df in commands.run_stats(store).values():
             show(df)
     elif a.command == "clean":
-        print(json.dumps(commands.run_clean(spark, a.dest, store, a.dry_run)))
+        out = commands.run_clean(spark, a.dest, store, a.dry_run)
+        print(json.dumps(out))
+        print(commands.clean_summary(out))
     elif a.command in ("retry", "resume"):
         out = commands.run_retry(spark, store, a.dest, a.run, commands.IngestOptions(dry_run=a.dry_run)) if a.command == "retry" else commands.run_resume(spark, store)
         print(json.dumps({k: v for k, v in out.items() if k != "plan"}))

@@ -85,3 +85,20 @@ def ignored_directory(name: Column, relative: Column, patterns: list[str]) -> Co
 def within_scope(relative: Column, scope: Column) -> Column:
     """The path below ``scope`` (empty: the root); null where it lies outside."""
     return F.when(F.coalesce(scope, F.lit("")) == "", relative).when(relative.startswith(F.concat(scope, F.lit("/"))), F.substr(relative, F.length(scope) + 2))
+
+
+def _in_scopes(name: Column, relative: Column, scopes: dict[str, list[str]], fits) -> Column:
+    """Whether patterns fit under their scope: the root's ("") or that of the folder whose ignore file gives them."""
+    tests = []
+    for scope, patterns in scopes.items():
+        below = within_scope(relative, F.lit(scope))
+        tests.append(below.isNotNull() & fits(name, below, patterns))
+    return _any(tests)
+
+
+def hidden_file(name: Column, relative: Column, scopes: dict[str, list[str]]) -> Column:
+    return _in_scopes(name, relative, scopes, ignored_file)
+
+
+def hidden_folder(name: Column, relative: Column, scopes: dict[str, list[str]]) -> Column:
+    return _in_scopes(name, relative, scopes, ignored_directory)

@@ -71,18 +71,17 @@ def problem_entries(errors: DataFrame, skipped: DataFrame, duplicates: DataFrame
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """A row per category that has files, in rule order: section, category, severity, count and the sorted paths.
+    """A row per problem file: its path and the order, section, category and severity of its rule.
 
     Successes, duplicates and entries that no rule fits are left out; ``duplicate_count`` has the duplicates.
     """
     found = classified(rows.where(~F.col("status").isin("copy", "complete", "duplicate"))).where("rule_order is not null")
-    return found.groupBy("rule_order", "section", "category", "severity").agg(F.count("*").alias("files"), F.array_sort(F.collect_list("path")).alias("paths")).orderBy("rule_order")
+    return found.select("rule_order", "section", "category", "severity", "path")
 
 
 def report_counts(rows: DataFrame) -> DataFrame:
-    """``report`` without the lists of paths: partial aggregates only."""
-    found = classified(rows.where(~F.col("status").isin("copy", "complete", "duplicate"))).where("rule_order is not null")
-    return found.groupBy("rule_order", "section", "category", "severity").agg(F.count("*").alias("files")).orderBy("rule_order")
+    """How many files each category has, in rule order."""
+    return report(rows).groupBy("rule_order", "section", "category", "severity").agg(F.count("*").alias("files")).orderBy("rule_order")
 
 
 def duplicate_count(rows: DataFrame) -> DataFrame:

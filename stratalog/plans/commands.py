@@ -15,8 +15,8 @@ from ..functions import media, xmp
 from ..functions.formats import SIDECARS
 from ..functions.hashing import file_digest
 from ..functions.paths import DEFAULT_TEMPLATE, extension, is_temporary, parse_copyright
-from ..functions.text import sidecar_note
 from ..operators import catalog, doctor, ledger, sidecars
+from ..settings import LOCAL
 from ..sources import ledger as ledger_files
 from ..sources import tree as trees
 from ..sources.store import Store, folder_size
@@ -24,6 +24,7 @@ from ..workdir import numbered, tables
 from . import execute, ingest, verify
 
 LEDGER, IGNORE = ".stratalog-ledger.jsonl", ".stratalogignore"
+ALWAYS = (LEDGER, IGNORE, LOCAL)
 
 
 @dataclass
@@ -52,7 +53,7 @@ def _now() -> dt.datetime:
 
 def _source(spark: SparkSession, source: str, options: IngestOptions) -> DataFrame:
     tree = trees.read_tree(spark, source, recursive=options.recursive, scopefile=IGNORE, prune=options.ignore)
-    rows = trees.classified(tree, ignore=options.ignore, always=(LEDGER, IGNORE), carry_sidecars=options.carry_sidecars)
+    rows = trees.classified(tree, ignore=options.ignore, always=ALWAYS, carry_sidecars=options.carry_sidecars)
     return rows.join(options.only, "path", "left_semi") if options.only is not None else rows
 
 
@@ -113,23 +114,13 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
 
 
 def run_verify(spark: SparkSession, archive: str, default: str = "sha1") -> DataFrame:
-    """Every file of an archive with its status, and the ``sidecars`` of media files as a note.
-
-    What has no known format or no generated name is unrecognised, and so is a sidecar without its media file.
-    """
+    """Every visible file of an archive with its status; see ``verify.whole_tree``."""
     rows = trees.classified(trees.read_tree(spark, archive).where(~F.col("name").startswith(".")))
-    is_sidecar = F.coalesce(F.col("format") == "sidecar", F.lit(False))
-    found = rows.where(~is_sidecar).select("path", "dir", "name", F.col("format").isNotNull().alias("recognised"), F.col("rel_path").alias("seq"))
-    attached = sidecars.attached_in_archive(found, rows.where(is_sidecar).select("path", "dir", "name"))
-    notes = sidecars.extensions_by_media(attached).select(F.col("media_path").alias("path"), sidecar_note(F.col("extensions")).alias("sidecars"))
-    checked = verify.verified_files(found.select("path", "name", "recognised"), default, F.col("recognised")).drop("recognised")
-    checked = checked.join(notes, "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.lit("")))
-    orphans = attached.where("media_path is null").select("path", "name", F.lit("unrecognised").alias("status"), F.lit("").alias("expected"), F.lit("").alias("sidecars"))
-    return checked.unionByName(orphans, allowMissingColumns=True)
+    return verify.whole_tree(rows.select("path", "dir", "name", "format"), verify.verified_files, default)
 
 
 def run_status(spark: SparkSession, source: str, recursive: bool = True, ignore: list[str] | None = None) -> DataFrame:
-    tree = trees.classified(trees.read_tree(spark, source, recursive=recursive, scopefile=IGNORE, prune=ignore or []), ignore=ignore, always=(LEDGER, IGNORE), carry_sidecars=False)
+    tree = trees.classified(trees.read_tree(spark, source, recursive=recursive, scopefile=IGNORE, prune=ignore or []), ignore=ignore, always=ALWAYS, carry_sidecars=False)
     lines = ledger_files.read_ledger(spark, os.path.join(source, LEDGER))
     if lines is None:
         lines = ledger_files.parsed(spark.createDataFrame([], "ledger string, seq bigint, value string"))
@@ -147,7 +138,7 @@ def run_doctor(spark: SparkSession, store: Store | None = None, source: str | No
         if lines is None:
             raise FileNotFoundError(f"no ledger in {source}")
         rows = ledger.latest_entries(ledger.with_runs(lines)).select("path", "status", F.col("reason").alias("message"))
-        return doctor.report(rows)
+        return doctor.report_counts(rows)
     if run_prefix:
         run_id = catalog.resolve_run(store.runs, run_prefix)
     else:
@@ -155,7 +146,7 @@ def run_doctor(spark: SparkSession, store: Store | None = None, source: str | No
         if not latest:
             raise LookupError("no finished run")
         run_id = latest[0]["id"]
-    return doctor.report(doctor.problem_entries(catalog.errors(store.files, store.runs, run_id), catalog.skipped(store.files, run_id), catalog.duplicates(store.files, run_id)))
+    return doctor.report_counts(doctor.problem_entries(catalog.errors(store.files, store.runs, run_id), catalog.skipped(store.files, run_id), catalog.duplicates(store.files, run_id)))
 
 
 def run_stats(store: Store) -> dict[str, DataFrame]:

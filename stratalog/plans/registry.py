@@ -69,14 +69,14 @@ def over_runs(name: str, sql: str, *columns: str):
 # Filters
 
 over_files("files_by_run", f"SELECT {SHORT_SQL} FROM files WHERE run_id = 'src3'", *SHORT)(lambda f: catalog.files_of_run(f, "src3"))
-over_files("incomplete_files", f"SELECT {SHORT_SQL} FROM files WHERE run_id = 'src0' AND status NOT IN ('complete', 'failed', 'mismatch', 'tag_failed', 'skipped', 'duplicate')", *SHORT)(lambda f: catalog.incomplete_files(f, "src0"))
+over_files("incomplete_files", f"SELECT {SHORT_SQL} FROM files WHERE run_id = 'src4' AND status NOT IN ('complete', 'failed', 'mismatch', 'tag_failed', 'skipped', 'duplicate')", *SHORT)(lambda f: catalog.incomplete_files(f, "src4"))
 over_files("files_by_capture_range", f"SELECT {SHORT_SQL} FROM files WHERE status = 'complete' AND capture_date {RANGE_SQL}", *SHORT)(lambda f: catalog.captured_between(f, START, END))
 over_files("files_by_import_range", f"SELECT {SHORT_SQL}, verified_at FROM files WHERE verified_at {RANGE_SQL}", *SHORT, "verified_at")(lambda f: catalog.imported_between(f, START, END))
 over_files("duplicates", f"SELECT {SHORT_SQL} FROM files WHERE is_duplicate", *SHORT)(catalog.duplicates)
-over_files("duplicates_by_run", f"SELECT {SHORT_SQL} FROM files WHERE is_duplicate AND run_id = 'src0'", *SHORT)(lambda f: catalog.duplicates(f, "src0"))
+over_files("duplicates_by_run", f"SELECT {SHORT_SQL} FROM files WHERE is_duplicate AND run_id = 'src7'", *SHORT)(lambda f: catalog.duplicates(f, "src7"))
 over_files("inventory", "SELECT coalesce(dest_rel, '') AS dest_rel, checksum, capture_date FROM files WHERE status = 'complete' AND NOT is_duplicate")(catalog.inventory)
 over_files("skipped", "SELECT id, source_path, skip_reason FROM files WHERE status = 'skipped'", "id", "source_path", "skip_reason")(catalog.skipped)
-over_files("skipped_by_run", "SELECT id, source_path, skip_reason FROM files WHERE status = 'skipped' AND run_id = 'src0'", "id", "source_path", "skip_reason")(lambda f: catalog.skipped(f, "src0"))
+over_files("skipped_by_run", "SELECT id, source_path, skip_reason FROM files WHERE status = 'skipped' AND run_id = 'src3'", "id", "source_path", "skip_reason")(lambda f: catalog.skipped(f, "src3"))
 over_runs("run_by_id", "SELECT * FROM runs WHERE id = 'src7'")(lambda r: catalog.run_by_id(r, "src7"))
 over_runs("runs_by_prefix", "SELECT * FROM runs WHERE id ILIKE 'SRC1%'")(lambda r: catalog.runs_by_prefix(r, "SRC1"))
 over_runs("running_runs", "SELECT * FROM runs WHERE status = 'running'")(catalog.running_runs)
@@ -97,7 +97,7 @@ over_both("errors_by_run", "SELECT f.id, f.source_path, f.status, f.error, r.sou
 _PAIRS = """SELECT d.checksum, d.id AS duplicate_id, d.source_path AS duplicate_source, coalesce(d.dest_rel, '') AS duplicate_dest, o.id AS original_id, o.source_path AS original_source,
  coalesce(o.dest_rel, '') AS original_dest FROM files d JOIN files o ON d.checksum = o.checksum WHERE d.is_duplicate AND NOT o.is_duplicate AND o.status = 'complete'"""
 over_files("duplicate_pairs", _PAIRS)(catalog.duplicate_pairs)
-over_files("duplicate_pairs_by_run", _PAIRS + " AND d.run_id = 'src0'")(lambda f: catalog.duplicate_pairs(f, "src0"))
+over_files("duplicate_pairs_by_run", _PAIRS + " AND d.run_id = 'src7'")(lambda f: catalog.duplicate_pairs(f, "src7"))
 
 
 @query("previously_imported", f"WITH {FILES_SQL}, {CANDIDATES_SQL} SELECT id, source_path, checksum FROM candidates c WHERE EXISTS (SELECT 1 FROM files f WHERE f.source_path = c.source_path AND f.checksum = c.checksum AND f.status IN ('complete', 'duplicate'))")
@@ -250,10 +250,11 @@ def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("doctor_entries", f"WITH {_ENTRIES_SQL} SELECT * FROM problems")(_problems)
-_NAMES_SQL = "names AS (SELECT unnest([" + ", ".join(str(k) for k in range(1, len(doctor.RULES) + 1)) + "]) AS rule_order, " + ", ".join("unnest([" + ", ".join(f"'{getattr(r, c)}'" for r in doctor.RULES) + f"]) AS {c}" for c in ("category", "section", "severity")) + ")"
-query("doctor_report", f"WITH {_ENTRIES_SQL}, {_RULED_SQL}, {_NAMES_SQL} SELECT CAST(r.rule_order AS INT) AS rule_order, n.section, n.category, n.severity, count(*) AS files, md5(string_agg(r.path, ',' ORDER BY r.path)) AS paths_md5 FROM ruled r JOIN names n ON r.rule_order = n.rule_order GROUP BY ALL")(
-    lambda s, d: doctor.report(_problems(s, d)).select("rule_order", "section", "category", "severity", "files", F.md5(F.array_join("paths", ",")).alias("paths_md5"))
-)
+_NAMES_SQL = """names(rule_order, category, section, severity) AS (VALUES (1, 'Corrupted metadata', 'errors', 'actionable'), (2, 'Corrupt file structure', 'errors', 'actionable'),
+ (3, 'Disk or permission error', 'errors', 'actionable'), (4, 'Copy failure', 'errors', 'actionable'), (5, 'Integrity mismatch', 'errors', 'actionable'), (6, 'Tag injection failed', 'errors', 'actionable'),
+ (7, 'Database error', 'errors', 'actionable'), (8, 'Unsupported format', 'skipped', 'informational'), (9, 'Previously imported', 'skipped', 'informational'), (10, 'Outside date range', 'skipped', 'informational'),
+ (11, 'Symbolic link', 'skipped', 'informational'), (12, 'Hidden file', 'skipped', 'informational'), (13, 'Detection error', 'skipped', 'actionable'), (14, 'Unexpected error', 'errors', 'actionable'))"""
+query("doctor_report", f"WITH {_ENTRIES_SQL}, {_RULED_SQL}, {_NAMES_SQL} SELECT CAST(r.rule_order AS INT) AS rule_order, n.section, n.category, n.severity, r.path FROM ruled r JOIN names n ON r.rule_order = n.rule_order")(lambda s, d: doctor.report(_problems(s, d)))
 query("doctor_counts", f"WITH {_ENTRIES_SQL}, {_RULED_SQL}, {_NAMES_SQL} SELECT CAST(r.rule_order AS INT) AS rule_order, n.section, n.category, n.severity, count(*) AS files FROM ruled r JOIN names n ON r.rule_order = n.rule_order GROUP BY ALL")(lambda s, d: doctor.report_counts(_problems(s, d)))
 query("doctor_duplicates", f"WITH {_ENTRIES_SQL} SELECT count(*) FILTER (WHERE status = 'duplicate') AS duplicates FROM problems")(lambda s, d: doctor.duplicate_count(_problems(s, d)))
 
@@ -310,6 +311,52 @@ query("exif_dates", f"WITH {FILES_SQL} SELECT id, CASE id % 3 WHEN 0 THEN captur
 query("ignore_match", f"WITH {FILES_SQL} SELECT id, regexp_matches(source_path, '/doc_1[0-9]\\.jpg$') OR regexp_matches(source_path, '/[^/]*\\.png$') OR regexp_matches(source_path, '/doc_2[^/]*$') OR regexp_matches(source_path, '^/source/[^/]*7\\.heic$') AS ignored FROM files")(
     lambda s, d: files(s, d).select("id", globs.ignored_file(F.regexp_extract("source_path", "([^/]*)$", 1), F.substring("source_path", 2, 1 << 30), ["doc_1?.jpg", "*.png", "**/doc_2*", "source/*7.heic", "source/"]).alias("ignored"))
 )
+
+
+@query(
+    "ignore_scopes",
+    """WITH t AS (SELECT doc_id, source || '/doc_' || doc_id || '.' || lang AS rel, 'doc_' || doc_id || '.' || lang AS name, source FROM documents)
+ SELECT doc_id, coalesce(regexp_matches(name, '7\\.[a-z]*$') OR regexp_matches(rel, '^src5/doc_[0-9]*\\.en$') OR regexp_matches(rel, '^src1[^/]/') OR (source = 'src3' AND (regexp_matches(name, '\\.de$') OR name LIKE 'doc_1%'))
+   OR (source = 'src4' AND regexp_matches(name, '^doc_2[^/]*$')), false) AS hidden,
+   coalesce(source = 'src6' OR (source LIKE 'src1_'), false) AS folder_hidden FROM t""",
+)
+def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), F.col("lang"))
+    rel = F.concat_ws("/", "source", "name")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", name.alias("name")).withColumn("rel", F.when(F.col("source").isNotNull(), rel))
+    scopes = {"": ["*7.*", "src5/doc_*.en", "src6/", "src1?/**"], "src3": ["*.de", "doc_1*", "other/"], "src4": ["doc_2*"]}
+    return rows.select("doc_id", F.coalesce(globs.hidden_file(F.col("name"), F.col("rel"), scopes), F.lit(False)).alias("hidden"), F.coalesce(globs.hidden_folder(F.col("source"), F.col("source"), scopes), F.lit(False)).alias("folder_hidden"))
+
+
+@query(
+    "path_display",
+    f"""WITH {FILES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN dest_rel ELSE 'A/' || dest_rel END AS shown,
+ CASE WHEN contains(dest_rel, '/') THEN regexp_extract(dest_rel, '^(.*/)', 1) ELSE '' END || '.' || regexp_extract(dest_rel, '([^/]*)$', 1) || '.part' AS temporary,
+ id % 3 = 0 AS is_temporary, string_split(source_path, '/')[2] || '-' || left(sha256(source_path), 8) AS folder_slug FROM files WHERE dest_rel IS NOT NULL""",
+)
+def _path_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, marker = files(spark, sf_dir).where("dest_rel is not null"), ".part"
+    temporary = paths.temporary_path(F.col("dest_rel"), marker)
+    slug = F.regexp_replace(hashing.slug(F.concat(F.lit("/x/"), F.element_at(F.split("source_path", "/"), 2))), "-[0-9a-f]{8}$", "")
+    return rows.select(
+        "id", paths.display_destination(F.when(F.col("id") % 2 == 0, "").otherwise("A"), F.col("dest_rel")).alias("shown"), temporary.alias("temporary"),
+        paths.is_temporary(F.when(F.col("id") % 3 == 0, temporary).otherwise(F.col("dest_rel")), marker).alias("is_temporary"),
+        F.concat(slug, F.substring(hashing.slug(F.col("source_path")), -9, 9)).alias("folder_slug"),
+    )
+
+
+@query(
+    "text_display",
+    f"""WITH {FILES_SQL} SELECT id, left(checksum, 8) || '…' AS short_id, CASE WHEN file_size >= 1048576 THEN printf('%.1f MB', file_size / 1048576) WHEN file_size >= 1024 THEN printf('%.1f KB', file_size / 1024) ELSE printf('%d B', file_size) END AS size,
+ strftime(capture_date, '%Y-%m-%d %H:%M:%S') AS at, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '1 file' ELSE '2 files' END AS counted, 'COPY ' || source_path || ' -> ' || run_id AS line FROM files WHERE run_id IS NOT NULL""",
+)
+def _text_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where("run_id is not null").select(
+        "id", text.short_id(F.col("checksum")).alias("short_id"), text.binary_size(F.col("file_size")).alias("size"), text.day_and_time(F.col("capture_date")).alias("at"),
+        text.counted(F.col("id") % 3, "file").alias("counted"), text.outcome_line(F.lit("COPY"), F.col("source_path"), F.col("run_id")).alias("line"),
+    )
+
+
 _HEADERS = ("FFD8FF00", "00000018667479706865", "89504E470D0A1A0A", "49492A0008000000", "4D4D002A00000008", "00000000", "")
 
 
@@ -319,17 +366,26 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("id", formats.Registry().detect(F.col("ext"), header).alias("format"))
 
 
-def _quoted(part: str) -> str:
-    return "'" + part.replace("'", "''") + "'"
-
-
-_DECLARED = {p: f'\n      xmlns:{p}="{u}"' for p, u in xmp.NAMESPACES.items()}
-_PACKET_SQL = (
-    f"WITH {FILES_SQL}, o AS (SELECT id, strftime(capture_date, '%Y') AS y, CASE WHEN id % 2 = 0 THEN run_id END AS owner FROM files) SELECT id, md5("
-    + _quoted(xmp.HEAD + _DECLARED["dc"] + _DECLARED["xmpRights"]) + " || CASE WHEN coalesce(owner, '') <> '' THEN " + _quoted(_DECLARED["aux"]) + " ELSE '' END || "
-    + _quoted(">\n      " + xmp.RIGHTS[0] + "(c) ") + " || y || " + _quoted(" &amp; heirs" + xmp.RIGHTS[1] + "\n      " + xmp.MARKED)
-    + " || CASE WHEN coalesce(owner, '') <> '' THEN " + _quoted("\n      <aux:OwnerName>") + " || owner || '</aux:OwnerName>' ELSE '' END || " + _quoted(xmp.TAIL) + ") AS packet_md5 FROM o"
-)
+_PACKET_SQL = f"""WITH {FILES_SQL}, o AS (SELECT id, strftime(capture_date, '%Y') AS y, CASE WHEN id % 2 = 0 THEN run_id END AS owner FROM files)
+ SELECT id, md5('<?xpacket begin="' || chr(65279) || '" id="W5M0MpCehiHzreSzNTczkc9d"?>
+<x:xmpmeta xmlns:x="adobe:ns:meta/">
+  <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
+    <rdf:Description rdf:about=""
+      xmlns:dc="http://purl.org/dc/elements/1.1/"
+      xmlns:xmpRights="http://ns.adobe.com/xap/1.0/rights/"' || CASE WHEN coalesce(owner, '') <> '' THEN '
+      xmlns:aux="http://ns.adobe.com/exif/1.0/aux/"' ELSE '' END || '>
+      <dc:rights>
+        <rdf:Alt>
+          <rdf:li xml:lang="x-default">(c) ' || y || ' &amp; heirs</rdf:li>
+        </rdf:Alt>
+      </dc:rights>
+      <xmpRights:Marked>True</xmpRights:Marked>' || CASE WHEN coalesce(owner, '') <> '' THEN '
+      <aux:OwnerName>' || owner || '</aux:OwnerName>' ELSE '' END || '
+    </rdf:Description>
+  </rdf:RDF>
+</x:xmpmeta>
+<?xpacket end="w"?>
+') AS packet_md5 FROM o"""
 
 
 @query("xmp_packet", _PACKET_SQL)
@@ -379,6 +435,31 @@ query("verify_archive", _VERIFY_SQL + " SELECT * FROM v")(lambda s, d: _verified
 query("verify_counters", _VERIFY_SQL + " SELECT " + ", ".join(_C(f"status = '{a}'", b) for a, b in (("verified", "verified"), ("mismatch", "mismatches"), ("unrecognised", "unrecognised"))) + " FROM v")(lambda s, d: verify.counters(_verified(s, d)))
 
 
+@query(
+    "verify_tree",
+    """WITH m AS (SELECT doc_id, '20211225_062223-1-' || CASE WHEN doc_id % 4 = 1 THEN repeat('0', 40) ELSE sha1(coalesce(text, '')) END || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.jpg' ELSE '' END AS name, doc_id % 3 = 1 AS known, doc_id % 4 <> 1 AS good FROM documents)
+ SELECT doc_id, name, CASE WHEN NOT known THEN 'unrecognised' WHEN good THEN 'verified' ELSE 'mismatch' END AS status, CASE WHEN doc_id % 2 = 0 THEN ' [+xmp]' ELSE '' END AS sidecars FROM m
+ UNION ALL SELECT doc_id, 'lone.xmp', 'unrecognised', '' FROM m WHERE doc_id % 2 = 1""",
+)
+def _verified_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, content = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    d = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), F.concat(F.lit("/a/"), k).alias("dir"))
+    checksum = F.when(k % 4 == 1, F.lit("0" * 40)).otherwise(F.sha1("content"))
+    name = F.concat(F.lit("20211225_062223-1-"), checksum, F.when(k % 3 == 0, ".txt").when(k % 3 == 1, ".jpg").otherwise(""))
+    media = d.select("dir", name.alias("name"), F.when(k % 3 == 1, "JPEG").alias("format"), "content")
+    side = d.select("dir", F.when(k % 2 == 0, F.concat(name, F.lit(".xmp"))).otherwise("lone.xmp").alias("name"), F.lit("sidecar").alias("format"), F.lit(None).cast("binary").alias("content"))
+    rows = media.unionByName(side).withColumn("path", F.concat_ws("/", "dir", "name"))
+    return verify.whole_tree(rows, verify.verified).select(F.element_at(F.split("path", "/"), 3).cast("bigint").alias("doc_id"), "name", "status", "sidecars")
+
+
+@query("still_skipped", _SIDECARS_SQL + """, found AS (SELECT DISTINCT s.dir || '/' || s.name AS path FROM side s JOIN media m ON m.dir = s.dir AND (lower(m.name) = lower(s.name[:-5]) OR lower(m.stem) = lower(s.name[:-5])))
+ SELECT s.dir || '/' || s.name AS path FROM side s WHERE s.dir || '/' || s.name NOT IN (SELECT path FROM found)""")
+def _still_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media, side = _sidecar_inputs(spark, sf_dir)
+    side = side.where("dir is not null")
+    return sidecars.still_skipped(side.select("path"), sidecars.attached_on_ingest(media, side))
+
+
 @query("file_status_fold", f"""WITH {FILES_SQL}, ev AS (SELECT user_id AS id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'extracted' WHEN 'click' THEN 'hashed' WHEN 'purchase' THEN 'verified' WHEN 'signup' THEN 'complete' ELSE 'failed' END AS status FROM events),
  last AS (SELECT id, max_by(status, seq) AS status, max_by(ts, seq) FILTER (WHERE status = 'verified') AS verified_at FROM ev GROUP BY id)
  SELECT f.id, coalesce(l.status, f.status) AS status, coalesce(l.verified_at, f.verified_at) AS verified_at FROM files f LEFT JOIN last l ON f.id = l.id""")

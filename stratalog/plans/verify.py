@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import NATIVE, content_hash, file_digest, other_digest
 from ..functions.paths import parsed_name
+from ..functions.text import sidecar_note
+from ..operators import sidecars
 
 
 def _named(media: DataFrame, default: str, recognised: Column | None) -> DataFrame:
@@ -45,5 +49,20 @@ def verified_files(media: DataFrame, default: str = "sha1", recognised: Column |
     return _judged(rows, file_digest(F.when(F.col("ok"), F.col("path")), F.col("algorithm")), media.columns)
 
 
+def whole_tree(rows: DataFrame, check: Callable[..., DataFrame], default: str = "sha1") -> DataFrame:
+    """Every file of ``rows(path, dir, name, format, ...)`` with its status by ``check``, and the ``sidecars`` of media files as a note.
+
+    What has no known format or no generated name is unrecognised, and so is a sidecar without its media file.
+    """
+    is_sidecar = F.coalesce(F.col("format") == "sidecar", F.lit(False))
+    media = rows.where(~is_sidecar)
+    attached = sidecars.attached_in_archive(media.withColumn("seq", F.col("path")), rows.where(is_sidecar).select("path", "dir", "name"))
+    notes = sidecars.extensions_by_media(attached).select(F.col("media_path").alias("path"), sidecar_note(F.col("extensions")).alias("sidecars"))
+    checked = check(media.drop("dir"), default, recognised=F.col("format").isNotNull()).select("path", "name", "algorithm", "expected", "actual", "status")
+    checked = checked.join(notes, "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.lit("")))
+    orphans = attached.where("media_path is null").select("path", "name", F.lit("unrecognised").alias("status"), F.lit("").alias("expected"), F.lit("").alias("sidecars"))
+    return checked.unionByName(orphans, allowMissingColumns=True)
+
+
 def counters(result: DataFrame) -> DataFrame:
     return result.agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("verified", "verified"), ("mismatch", "mismatches"), ("unrecognised", "unrecognised"))))

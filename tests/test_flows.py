@@ -6,7 +6,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from stratalog.functions import hashing
 from stratalog.operators import doctor, ledger, sidecars
 from stratalog.plans import commands, execute, ingest, verify
 from stratalog.sources import ledger as ledger_files
@@ -70,8 +72,11 @@ def test_every_rule(spark):
     rows = [(f"p{k}", s, f"X {p.upper()} y") for k, r in enumerate(doctor.RULES) for s, p in [(r.statuses[0], r.patterns[0] or "strange")]]
     rows += [("o", "skip", "orphan sidecar: no matching media file"), ("d", "duplicate", None), ("c", "copy", None), ("n", "failed", None), ("m", "failed", "verify: copy: checksum")]
     df = spark.createDataFrame(rows, "path string, status string, message string")
-    got = {r["rule_order"]: (r["category"], r["paths"]) for r in doctor.report(df).collect()}
-    assert sorted(got) == list(range(1, 15)) and got[14][1] == ["n", "p13"] and got[4][1] == ["m", "p3"]
+    got = {}
+    for r in doctor.report(df).orderBy("path").collect():
+        got.setdefault(r["rule_order"], []).append(r["path"])
+    assert sorted(got) == list(range(1, 15)) and got[14] == ["n", "p13"] and got[4] == ["m", "p3"]
+    assert {r["rule_order"]: r["files"] for r in doctor.report_counts(df).collect()} == {k: len(v) for k, v in got.items()}
     assert doctor.duplicate_count(df).collect()[0]["duplicates"] == 1
 
 
@@ -186,3 +191,93 @@ def test_worker_states_and_progress(spark):
     assert [(r["bytes_done"], r["final"]) for r in streams.byte_progress(e).orderBy("start").collect()] == [(10, False), (100, True)]
     assert streams.plain_lines(e).orderBy("line").collect()[-1]["line"].endswith("COMPLETE   y: done")
     assert streams.first_of_checksum(e).count() == 0
+
+
+def test_verify_asks_for_formats(spark, tmp_path):
+    """A right checksum in a name doesn't make a file a known one; sidecars without their media file count."""
+    body, other = JPEG + b"x", b"plain text"
+    name = lambda data, ext, algorithm="sha1", n=1: f"20211225_062223-{n}-{_hex(data, algorithm)}{ext}"
+    for n, data in {name(body, ".jpg"): body, name(other, ".txt"): other, name(other, ".jpg"): other, "orphan.xmp": b"<x/>", "photo.jpg": body, name(b"z", ".jpg"): body, name(body, ".jpg", "blake3", 3): body, name(body, ".jpg", "xxhash", 4): body, name(body, ".jpg") + ".XMP": b"<x/>", ".hidden": body}.items():
+        (tmp_path / n).write_bytes(data)
+    got = {r["name"]: (r["status"], r["sidecars"]) for r in commands.run_verify(spark, str(tmp_path)).collect()}
+    assert got == {
+        name(body, ".jpg"): ("verified", " [+xmp]"), name(other, ".txt"): ("unrecognised", ""), name(other, ".jpg"): ("unrecognised", ""), "orphan.xmp": ("unrecognised", ""), "photo.jpg": ("unrecognised", ""),
+        name(b"z", ".jpg"): ("mismatch", ""), name(body, ".jpg", "blake3", 3): ("verified", ""), name(body, ".jpg", "xxhash", 4): ("verified", ""),
+    }
+    assert tuple(verify.counters(commands.run_verify(spark, str(tmp_path))).collect()[0]) == (3, 1, 4)
+
+
+def _hex(data, algorithm):
+    h = hashing.hasher(algorithm)
+    h.update(data)
+    return h.hexdigest()
+
+
+def test_ignore_files_hide_files(spark, tmp_path):
+    files = ["a.jpg", "b.jpg", "keep.txt", "sub/b.jpg", "sub/c.jpg", "sub/deep/c.jpg", "sub/deep/d.jpg", "gone/x.jpg", "tree/y.jpg", "tree/in/z.jpg", "other/c.jpg", "sub/gone2/q.jpg"]
+    for f in files:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_bytes(JPEG)
+    (tmp_path / commands.IGNORE).write_text("  b.jpg  \n\n  # not a pattern\ngone/\ntree/**\n")
+    (tmp_path / "sub" / commands.IGNORE).write_text("c.jpg\ngone2/\ndeep/d.*\n[broken\n")
+    found = lambda **o: {r["rel_path"] for r in trees.read_tree(spark, str(tmp_path), scopefile=commands.IGNORE, **o).collect()} - {commands.IGNORE, f"sub/{commands.IGNORE}"}
+    assert found() == {"a.jpg", "keep.txt", "other/c.jpg"} == found(files=1)
+    assert found(recursive=False) == {"a.jpg", "keep.txt"} and found(prune=["*.txt", "other/"]) == {"a.jpg"}
+
+
+def test_spans_cover_a_tree(spark, tmp_path):
+    names = [f"{d}/{k:03d}.jpg" for d in ("a", "b", "b/c") for k in range(25)] + ["z.jpg"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    reader = trees.TreeReader({"path": str(tmp_path), "files": "10"})
+    parts = reader.partitions()
+    assert len(parts) >= 8 and sorted(row[1] for p in parts for row in reader.read(p)) == sorted(names)
+    assert all(sum(1 for _ in reader.read(p)) <= 10 for p in parts)
+
+
+def test_retry_takes_failed_files_that_are_there(spark, card, tmp_path):
+    archive, store = str(tmp_path / "archive"), stores.Store(spark, str(tmp_path / "catalog"))
+    os.chmod(card / "a.jpg", 0o644)
+    first = commands.run_ingest(spark, store, str(card), archive, commands.IngestOptions(ignore=["*.tmp"], algorithm="sha256", ledger=False))
+    broken = F.when(F.col("source_path").rlike("/(a|sub/c)[.]jpg$"), "failed").otherwise(F.col("status"))
+    store.replace("files", store.files.withColumn("status", broken).withColumn("checksum", F.when(broken == "failed", None).otherwise(F.col("checksum"))))
+    os.remove(card / "sub" / "c.jpg")
+    out = commands.run_retry(spark, store, archive)
+    assert (out["processed"], out["errors"]) == (1, 0) and out["run_id"] != first["run_id"]
+    new = store.files.where(F.col("run_id") == out["run_id"]).collect()
+    assert [(os.path.basename(r["source_path"]), r["status"], r["algorithm"]) for r in new] == [("a.jpg", "complete", "sha256")]
+
+
+def test_resume_interrupts_the_old_run(spark, card, tmp_path):
+    archive, store = str(tmp_path / "archive"), stores.Store(spark, str(tmp_path / "catalog"))
+    with pytest.raises(LookupError):
+        commands.run_resume(spark, store)
+    at = dt.datetime(2026, 1, 1)
+    store.append("runs", spark.createDataFrame([("old", "1", str(card), archive, "md5", 0, False, at, None, "running")], store.runs.schema))
+    out = commands.run_resume(spark, store, commands.IngestOptions(ledger=False))
+    assert {r["id"]: (r["status"], r["algorithm"], r["recursive"]) for r in store.runs.collect()} == {"old": ("interrupted", "md5", False), out["run_id"]: ("completed", "md5", False)}
+    assert out["processed"] == 3 and not store.files.where("source_path like '%/sub/%'").count()
+    assert out["run_id"] != "old" and store.runs.where("status = 'running'").count() == 0
+
+
+def test_clean_summary():
+    none = {"temporary": {"removed": 0, "errors": 0}, "orphans": {"removed": 0, "errors": 0}, "compacted": False}
+    assert commands.clean_summary(none) == "No orphaned files found"
+    some = {"temporary": {"removed": 1, "errors": 1}, "orphans": {"removed": 2, "errors": 0}, "compacted": True, "size_before": 9, "size_after": 4}
+    assert commands.clean_summary(some) == "Cleaned 1 temp file, 2 orphaned sidecars | 1 removal error | Reclaimed 5 B from the catalogue"
+
+
+def test_catalogue_location(spark, tmp_path):
+    archive, mounts = tmp_path / "a b", tmp_path / "mounts"
+    archive.mkdir()
+    point = str(archive).replace(" ", "\\040")
+    mounts.write_text(f"/dev/sda / ext4 rw 0 0\nserver:/x {point} nfs4 rw 0 0\n/dev/sdb {point}/local xfs rw 0 0\n")
+    assert stores.on_network_mount(str(archive / "x"), str(mounts)) and not stores.on_network_mount(str(archive / "local" / "y"), str(mounts))
+    assert not stores.on_network_mount(str(tmp_path), str(mounts)) and not stores.on_network_mount("/", str(tmp_path / "none"))
+    assert stores.locate(spark, str(archive), on_network=False) == str(archive / ".stratalog" / "catalog")
+    far = stores.locate(spark, str(archive), on_network=True, home="/home/u", write_marker=True)
+    assert far.startswith("/home/u/.stratalog/ab-") and stores.locate(spark, str(archive)) == far
+    assert stores.locate(spark, str(archive), "/else/where", write_marker=True) == "/else/where" == stores.locate(spark, str(archive))
+    files = spark.createDataFrame([(1, [".xmp", ".aae"]), (2, []), (3, None)], "id bigint, carried_sidecars array<string>")
+    assert [r["carried_sidecars"] for r in stores.exported(files).orderBy("id").collect()] == ['[".xmp",".aae"]', None, None]

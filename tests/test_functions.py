@@ -29,6 +29,13 @@ def test_hashes(spark):
     assert got[3] == (None,) * 5 and len(got[2][3]) == 64
     with pytest.raises(ValueError):
         hashing.content_hash(F.col("c"), "crc")
+    known = {1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7", 31744: "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47", 102400: "bc3e3d41a1146b069abffad3c0d44860cf664390afce4d9661f7902e7943e085"}
+    made = lambda n: (bytes(range(251)) * (n // 251 + 1))[:n]
+    assert {n: hashing.blake3_hex(made(n)) for n in known} == known
+    long, h = made((2 << 20) + 777), hashing.Blake3()
+    for k in range(0, len(long), 300_001):
+        h.update(long[k : k + 300_001])
+    assert h.hexdigest() == hashing.blake3_hex(long)
     assert [one(spark, hashing.algorithm_name(F.lit(k))) for k in (0, 4, 9)] == ["md5", "xxhash", ""]
 
 
@@ -72,7 +79,7 @@ def test_parsed_names(spark):
     cases = {
         f"20211225_062223-1-{c40}.jpg": (c40, "sha1", True), f"20211225_062223-0-{c32}.jpg": (c32, "md5", True), f"20211225_062223-3-{c64}.jpg": (c64, "blake3", True),
         f"20211225_062223_{c40}.jpg": (c40, "sha1", True), f"20211225_062223_{c64}.jpg": (c64, "sha256", True), "20220202_123101_abcdef0123456789.heic": ("abcdef0123456789", "", True),
-        "19020220_000000_12345678.dng": ("12345678", "", True), "random_photo.jpg": ("", "", False), "20211225_062223_short.jpg": ("", "", False), "noextension": ("", "", False),
+        "19020220_000000_12345678.dng": ("12345678", "", True), "random_photo.jpg": ("", "", False), "20211225_062223_short.jpg": ("", "", False), "noextension": ("", "", False), f"20211225_062223-1-{c40}": (c40, "sha1", True), f"20211225_062223_{c40}": (c40, "sha1", True),
         "20211225_062223.jpg": ("", "", False), "": ("", "", False), "../../etc/passwd": ("", "", False), f"20211225_062223-9-{c40}.jpg": ("", "", False),
     }
     got = values(spark, [(n,) for n in cases], paths.parsed_name(F.col("n")).alias("p"), schema="n string")
