@@ -712,12 +712,14 @@ def brute_lines(rows):
             out[i] = None
             continue
         lines, gone = text.split("\n"), set()
-        body = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        units = [(i, u) for i, x in enumerate(lines) for u in (re.split(r"(?<=[.!?])(?=[ \t])", x) if len(WORD.findall(x)) > 50 else [x])]
+        body = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, (_, x) in enumerate(units) if x.strip(" \t\n\x0b\x0c\r")]
         for (a, x), (_, y), (c, z) in zip(body, body[1:], body[2:], strict=False):
             if (x, y, z) in seen:
                 gone |= set(range(a, c + 1))
             seen.add((x, y, z))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        left = itertools.groupby(((at, x) for k, (at, x) in enumerate(units) if k not in gone), key=lambda u: u[0])
+        out[i] = "\n".join("".join(x for _, x in part) for _, part in left)
     return out
 
 
@@ -738,6 +740,19 @@ def test_line_dedup_blanks(spark):
     assert got == brute_lines(list(enumerate(made))) and [got[k] for k in range(6)] == [*made[:5], ""]
 
 
+def test_line_dedup_of_long_lines(spark):
+    """A passage of over 50 words on one line loses its later occurrences, what stands around it stays; short lines aren't taken apart."""
+    rng = random.Random(14)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passage = ". ".join(words(15) for _ in range(5)) + "."
+    made = [passage, f"{words(60)}. {passage}\t{words(20)}.", f"{words(9)}\n{passage}\n{words(9)}", words(70), words(70) + ".  3.14 e.g.x", "a. b. c.", "a. b. c.", "x! " * 60, "x! " * 60]
+    made += [" ".join(rng.choice(["a b.", "c d! ", "e f?", "g.h", "\ti j.", "..."]) for _ in range(rng.randint(20, 40))) for _ in range(60)]
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made)).collect()}
+    assert got == brute_lines(list(enumerate(made)))
+    assert [passage in got[k] for k in range(3)] == [True, False, False] and got[2].split("\n") == made[2].split("\n")[::2] and got[1] == made[1].replace(" " + passage, "")
+    assert all(got[k] == made[k] for k in (0, 3, 4, 5, 6))
+
+
 def test_line_dedup_of_ids_with_several_texts(spark):
     """Rows with one id and different texts are documents of their own; repeated rows are one."""
     rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc"), (3, "u\nv\nw"), (3, "u\nv\nw"), (None, "k\nl\nm"), (None, "k\nl\nm\nn")]
