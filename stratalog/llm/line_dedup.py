@@ -18,15 +18,22 @@ from .scratch import Scratch
 #: Words from which a line is taken apart; sentences end with ``. ! ?`` before a space or tab.
 LONG = 50
 _SENTENCES = r"split(regexp_replace(x, '([.!?])([ \t])', '$1\n$2'), '\n', -1)"
-#: So many words need at least a character and a blank each: most lines aren't counted.
-_UNITS = f"""flatten(transform(split(coalesce(text, ''), '\\n', -1), (x, i) -> CASE
-    WHEN length(x) > {2 * LONG} AND regexp_count(x, '{WORD.replace(chr(92), chr(92) * 2)}') > {LONG} THEN transform({_SENTENCES}, s -> struct(i as i, s as unit))
-    ELSE array(struct(i as i, x as unit)) END))"""
+_LINES = "split(coalesce(text, ''), '\\n', -1)"
 
 
-def windows(docs: DataFrame) -> DataFrame:
+def _units(long: int | None) -> str:
+    """The text's lines, those of over ``long`` words as their sentences, each with its line's number."""
+    if long is None:
+        return f"transform({_LINES}, (x, i) -> struct(i as i, x as unit))"
+    word = WORD.replace("\\", "\\\\")  # so many words need at least a character and a blank each: most lines aren't counted
+    return f"""flatten(transform({_LINES}, (x, i) -> CASE
+        WHEN length(x) > {2 * long} AND regexp_count(x, '{word}') > {long} THEN transform({_SENTENCES}, s -> struct(i as i, s as unit))
+        ELSE array(struct(i as i, x as unit)) END))"""
+
+
+def windows(docs: DataFrame, long: int | None = LONG) -> DataFrame:
     """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(_UNITS).alias("units"))
+    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(_units(long)).alias("units"))
     lines = lines.select("id", "text_key", F.expr(f"filter(transform(units, (x, i) -> struct(i as at, {trimmed('x.unit')} as line)), x -> x.line != '')").alias("body"))
     each = F.expr(
         """explode(CASE WHEN size(body) < 3 THEN array() ELSE transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
@@ -37,18 +44,18 @@ def windows(docs: DataFrame) -> DataFrame:
     return lines.select("id", "text_key", each).select("id", "text_key", "w.*")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int | None = LONG) -> DataFrame:
     """``docs`` as the struct ``row``, with ``n_lines``, ``n_removed`` and the cleaned ``text``.
 
-    ``n_removed`` counts removed lines, and removed sentences of lines of over ``LONG`` words: what is left of such a line
-    stays, a line that loses all of them goes. A text of fewer than three such parts with a word stays as it is, a null text
+    ``n_removed`` counts removed lines, and removed sentences of lines of over ``long`` words: what is left of such a line
+    stays, a line that loses all of them goes; with ``long`` None no line is taken apart. A text of fewer than three such parts with a word stays as it is, a null text
     stays null (no lines). Rows that share id and text count as one document and get the same result; rows that share only
     the id are documents of their own, in the order of their texts' hashes. A null id sorts first. Other columns come back
     in ``row``, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = scratch.table("windows", windows(rows.select("id", "text")))
+    found = scratch.table("windows", windows(rows.select("id", "text"), long))
     place = F.struct("id", "text_key", "start")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
     # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
@@ -59,7 +66,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
     n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0))
     kept = F.when(F.col("covered").isNotNull(), F.expr("transform(array_except(sequence(0, size(units) - 1), covered), k -> get(units, k))"))
-    joined = joined.withColumn("units", F.when(F.col("covered").isNotNull(), F.expr(_UNITS))).withColumn("kept", kept)
+    joined = joined.withColumn("units", F.when(F.col("covered").isNotNull(), F.expr(_units(long)))).withColumn("kept", kept)
     whole = "array_join(transform(kept, (x, k) -> concat(CASE WHEN k > 0 AND x.i != get(kept, k - 1).i THEN '\\n' ELSE '' END, x.unit)), '')"
     clean = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.expr(whole))
     return joined.select("row", n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"), clean.alias("text"))

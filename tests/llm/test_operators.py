@@ -704,7 +704,7 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(asked, more.limit(0)).collect()} == {"allow"} and url_filter.judge(asked.limit(0), more).count() == 0
 
 
-def brute_lines(rows):
+def brute_lines(rows, long=50):
     """Cleaned texts by (id, text), for ids without repeats."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
@@ -712,7 +712,7 @@ def brute_lines(rows):
             out[i] = None
             continue
         lines, gone = text.split("\n"), set()
-        units = [(i, u) for i, x in enumerate(lines) for u in (re.split(r"(?<=[.!?])(?=[ \t])", x) if len(WORD.findall(x)) > 50 else [x])]
+        units = [(i, u) for i, x in enumerate(lines) for u in (re.split(r"(?<=[.!?])(?=[ \t])", x) if long is not None and len(WORD.findall(x)) > long else [x])]
         body = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, (_, x) in enumerate(units) if x.strip(" \t\n\x0b\x0c\r")]
         for (a, x), (_, y), (c, z) in zip(body, body[1:], body[2:], strict=False):
             if (x, y, z) in seen:
@@ -751,6 +751,8 @@ def test_line_dedup_of_long_lines(spark):
     assert got == brute_lines(list(enumerate(made)))
     assert [passage in got[k] for k in range(3)] == [True, False, False] and got[2].split("\n") == made[2].split("\n")[::2] and got[1] == made[1].replace(" " + passage, "")
     assert all(got[k] == made[k] for k in (0, 3, 4, 5, 6))
+    whole = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made), long=None).collect()}
+    assert whole == brute_lines(list(enumerate(made)), None) and whole[1] == made[1]
 
 
 def test_line_dedup_of_ids_with_several_texts(spark):

@@ -31,7 +31,7 @@ def test_stages(spark):
     assert all(i in first for i in toxic if toxic[i] == 0)
 
     lines = {r["doc_id"]: (r["text"], r["n_chars"]) for r in seen[1].collect()}
-    want = brute_lines(list(first.items()))
+    want = brute_lines(list(first.items()), None)
     assert {i: t for i, (t, _) in lines.items()} == want and all(n == len(t) for t, n in lines.values())
 
     root = groups({i: shingles(t) for i, t in want.items()})
