@@ -20,8 +20,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of repeated three-line windows; ``n_chars`` follows the text where lines go."""
-    clean = line_dedup.without_repeats(docs)
+    """All documents, without the lines of repeated three-line windows; ``n_chars`` follows the text where lines go.
+
+    Long lines stay whole here: near-duplicates are judged next, and sentences cut out of a near copy would leave a stump that
+    isn't near anything and so stays in the corpus.
+    """
+    clean = line_dedup.without_repeats(docs, long=None)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return clean.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
