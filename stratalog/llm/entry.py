@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables."""
+"""The thirteen operators as queries over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, labelled, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from . import ann, bpe, divergence, labelled, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("row.doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id"])
+    each = rows.select("row.vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "value"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir)).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_minhash_near_dedup, op5_collision_counting_ann, op6_offset_token_counts, op7_curriculum_mixing, op8_dynamic_packing, op9_url_filters, op10_line_dedup)
+    for f in (op1_quality_classifier, op2_toxicity, op3_quality_rules, op4_minhash_near_dedup, op5_collision_counting_ann, op6_offset_token_counts, op7_curriculum_mixing, op8_dynamic_packing, op9_url_filters, op10_line_dedup, op11_byte_bpe, op12_embedding_whitening, op13_source_divergence)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_curriculum_mixing": mixing.ORACLE_SQL,
     "op9_url_filters": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
