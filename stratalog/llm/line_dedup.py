@@ -1,10 +1,11 @@
 """Line dedup over overlapping windows of three lines.
 
 Windows are three consecutive lines that hold a word; lines between them without one belong to the window. A window is
-known by two 64-bit hashes of its trimmed lines. A line of more than ``LONG`` words counts as its sentences, one after another,
-so that a passage on a single line has windows too. Over all documents, the first occurrence of a window by (id, text, line)
+known by two 64-bit hashes of its trimmed lines. Over all documents, the first occurrence of a window by (id, text, line)
 stays and every later one covers its lines; covered lines are merged per document and removed. Each distinct line therefore
 stays where it stands first.
+
+Windows are first counted; only the repeated ones' first places are written, and the windows, read again from the texts, meet them.
 """
 
 from __future__ import annotations
@@ -12,28 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import ORACLE_BLANKS, WORD, trimmed
+from .lines import ORACLE_BLANKS, trimmed
 from .scratch import Scratch
 
-#: Words from which a line is taken apart; sentences end with ``. ! ?`` before a space or tab.
-LONG = 50
-_SENTENCES = r"split(regexp_replace(x, '([.!?])([ \t])', '$1\n$2'), '\n', -1)"
 _LINES = "split(coalesce(text, ''), '\\n', -1)"
+_SENTENCES = r"split(regexp_replace(x, '([.!?])([ \t])', '$1\n$2'), '\n', -1)"
 
 
-def _units(long: int | None) -> str:
-    """The text's lines, those of over ``long`` words as their sentences, each with its line's number."""
-    if long is None:
+def _units(sentences: bool) -> str:
+    """The text's lines, or every line's sentences, with their line's number."""
+    if not sentences:
         return f"transform({_LINES}, (x, i) -> struct(i as i, x as unit))"
-    word = WORD.replace("\\", "\\\\")  # so many words need at least a character and a blank each: most lines aren't counted
-    return f"""flatten(transform({_LINES}, (x, i) -> CASE
-        WHEN length(x) > {2 * long} AND regexp_count(x, '{word}') > {long} THEN transform({_SENTENCES}, s -> struct(i as i, s as unit))
-        ELSE array(struct(i as i, x as unit)) END))"""
+    return f"flatten(transform({_LINES}, (x, i) -> transform({_SENTENCES}, s -> struct(i as i, s as unit))))"
 
 
-def windows(docs: DataFrame, long: int | None = LONG) -> DataFrame:
+def windows(docs: DataFrame, sentences: bool = False) -> DataFrame:
     """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(_units(long)).alias("units"))
+    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(_units(sentences)).alias("units"))
     lines = lines.select("id", "text_key", F.expr(f"filter(transform(units, (x, i) -> struct(i as at, {trimmed('x.unit')} as line)), x -> x.line != '')").alias("body"))
     each = F.expr(
         """explode(CASE WHEN size(body) < 3 THEN array() ELSE transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
@@ -44,19 +40,21 @@ def windows(docs: DataFrame, long: int | None = LONG) -> DataFrame:
     return lines.select("id", "text_key", each).select("id", "text_key", "w.*")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int | None = LONG) -> DataFrame:
-    """``docs`` as the struct ``row``, with ``n_lines``, ``n_removed`` and the cleaned ``text``.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
+    """``docs`` as the struct ``row``, with ``n_lines``, ``n_removed`` (lines) and the cleaned ``text``.
+
+    A text of fewer than three lines with a word stays as it is, a null text stays null (no lines), an empty one is one line.
+    Rows that share id and text count as one document and get the same result; rows that share only the id are documents of
+    their own, in the order of their texts' hashes. A null id sorts first. Very long texts are windows like others; an
+    empty table gives an empty one. Other columns come back in ``row``, whatever their names.
 
-    ``n_removed`` counts removed lines, and removed sentences of lines of over ``long`` words: what is left of such a line
-    stays, a line that loses all of them goes; with ``long`` None no line is taken apart. A text of fewer than three such parts with a word stays as it is, a null text
-    stays null (no lines). Rows that share id and text count as one document and get the same result; rows that share only
-    the id are documents of their own, in the order of their texts' hashes. A null id sorts first. Other columns come back
-    in ``row``, whatever their names.
+    With ``sentences`` every line is taken apart at ``. ! ?`` before a space or tab, and windows are of three sentences: then
+    ``n_removed_sentences`` counts these, and ``n_removed`` the lines that lose all of theirs.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = scratch.table("windows", windows(rows.select("id", "text"), long))
     place = F.struct("id", "text_key", "start")
+    found = windows(rows.select("id", "text"), sentences)
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
     # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
     firsts = scratch.table("firsts", firsts)
@@ -64,24 +62,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covers = later.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     covers = covers.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.start, s.end))))").alias("covered"))
     joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
-    n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0))
+    n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0)).cast("bigint")
     kept = F.when(F.col("covered").isNotNull(), F.expr("transform(array_except(sequence(0, size(units) - 1), covered), k -> get(units, k))"))
-    joined = joined.withColumn("units", F.when(F.col("covered").isNotNull(), F.expr(_units(long)))).withColumn("kept", kept)
+    joined = joined.withColumn("units", F.when(F.col("covered").isNotNull(), F.expr(_units(sentences)))).withColumn("kept", kept)
     whole = "array_join(transform(kept, (x, k) -> concat(CASE WHEN k > 0 AND x.i != get(kept, k - 1).i THEN '\\n' ELSE '' END, x.unit)), '')"
     clean = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.expr(whole))
-    return joined.select("row", n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"), clean.alias("text"))
+    n_units = F.coalesce(F.size("covered"), F.lit(0)).cast("bigint")
+    if not sentences:
+        return joined.select("row", n_lines.alias("n_lines"), n_units.alias("n_removed"), clean.alias("text"))
+    n_gone = F.coalesce(n_lines - F.expr("size(array_distinct(transform(kept, x -> x.i)))"), F.lit(0)).cast("bigint")
+    return joined.select("row", n_lines.alias("n_lines"), n_gone.alias("n_removed"), n_units.alias("n_removed_sentences"), clean.alias("text"))
 
 
 ORACLE_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line_at, unnest(l) AS line
+WITH units AS (
+  SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS unit
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-), taken_apart AS (
-  SELECT doc_id, line_at, CASE WHEN len(regexp_extract_all(line, '{WORD}')) > {LONG}
-    THEN string_split(regexp_replace(line, '([.!?])([ \\t])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) ELSE [line] END AS parts FROM lines
-), units AS (
-  SELECT doc_id, line_at, unit_at, unit, row_number() OVER (PARTITION BY doc_id ORDER BY line_at, unit_at) AS pos
-  FROM (SELECT doc_id, line_at, generate_subscripts(parts, 1) AS unit_at, unnest(parts) AS unit FROM taken_apart)
 ), body AS (
   SELECT doc_id, pos, trim(unit, {ORACLE_BLANKS}) AS line FROM units WHERE trim(unit, {ORACLE_BLANKS}) <> ''
 ), windows AS (
@@ -92,11 +88,9 @@ WITH lines AS (
   FROM windows WHERE last_at IS NOT NULL
 ), covered AS (
   SELECT DISTINCT doc_id, unnest(generate_series(first_at, last_at)) AS pos FROM ranked WHERE n > 1
-), left_over AS (
-  SELECT u.doc_id, u.line_at, string_agg(u.unit, '' ORDER BY u.pos) FILTER (WHERE c.pos IS NULL) AS line, count(c.pos) AS n_removed
-  FROM units u LEFT JOIN covered c ON u.doc_id = c.doc_id AND u.pos = c.pos GROUP BY u.doc_id, u.line_at
 ), per_doc AS (
-  SELECT doc_id, count(*) AS n_lines, sum(n_removed) AS n_removed, string_agg(line, chr(10) ORDER BY line_at) FILTER (WHERE line IS NOT NULL) AS kept FROM left_over GROUP BY doc_id
+  SELECT u.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed, string_agg(u.unit, chr(10) ORDER BY u.pos) FILTER (WHERE c.pos IS NULL) AS kept
+  FROM units u LEFT JOIN covered c ON u.doc_id = c.doc_id AND u.pos = c.pos GROUP BY u.doc_id
 )
 SELECT d.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_removed, 0)::BIGINT AS n_removed,
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(p.kept, '')) END AS text_md5

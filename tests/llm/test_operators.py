@@ -704,7 +704,7 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(asked, more.limit(0)).collect()} == {"allow"} and url_filter.judge(asked.limit(0), more).count() == 0
 
 
-def brute_lines(rows, long=50):
+def brute_lines(rows, sentences=False):
     """Cleaned texts by (id, text), for ids without repeats."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
@@ -712,7 +712,7 @@ def brute_lines(rows, long=50):
             out[i] = None
             continue
         lines, gone = text.split("\n"), set()
-        units = [(i, u) for i, x in enumerate(lines) for u in (re.split(r"(?<=[.!?])(?=[ \t])", x) if long is not None and len(WORD.findall(x)) > long else [x])]
+        units = [(i, u) for i, x in enumerate(lines) for u in (re.split(r"(?<=[.!?])(?=[ \t])", x) if sentences else [x])]
         body = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, (_, x) in enumerate(units) if x.strip(" \t\n\x0b\x0c\r")]
         for (a, x), (_, y), (c, z) in zip(body, body[1:], body[2:], strict=False):
             if (x, y, z) in seen:
@@ -740,19 +740,21 @@ def test_line_dedup_blanks(spark):
     assert got == brute_lines(list(enumerate(made))) and [got[k] for k in range(6)] == [*made[:5], ""]
 
 
-def test_line_dedup_of_long_lines(spark):
-    """A passage of over 50 words on one line loses its later occurrences, what stands around it stays; short lines aren't taken apart."""
+def test_line_dedup_of_sentences(spark):
+    """A line is a line whatever its length; with ``sentences`` a passage on one line loses its later occurrences, and lines of any length are taken apart."""
     rng = random.Random(14)
     words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
     passage = ". ".join(words(15) for _ in range(5)) + "."
     made = [passage, f"{words(60)}. {passage}\t{words(20)}.", f"{words(9)}\n{passage}\n{words(9)}", words(70), words(70) + ".  3.14 e.g.x", "a. b. c.", "a. b. c.", "x! " * 60, "x! " * 60]
-    made += [" ".join(rng.choice(["a b.", "c d! ", "e f?", "g.h", "\ti j.", "..."]) for _ in range(rng.randint(20, 40))) for _ in range(60)]
-    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made)).collect()}
-    assert got == brute_lines(list(enumerate(made)))
+    made += [" ".join(rng.choice(["a b.", "c d! ", "e f?", "g.h", "\ti j.", "..."]) for _ in range(rng.randint(3, 40))) for _ in range(60)]
+    rows = line_dedup.without_repeats(docs(spark, *made), sentences=True).collect()
+    got = {r["row"]["doc_id"]: r["text"] for r in rows}
+    assert got == brute_lines(list(enumerate(made)), True)
     assert [passage in got[k] for k in range(3)] == [True, False, False] and got[2].split("\n") == made[2].split("\n")[::2] and got[1] == made[1].replace(" " + passage, "")
-    assert all(got[k] == made[k] for k in (0, 3, 4, 5, 6))
-    whole = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made), long=None).collect()}
-    assert whole == brute_lines(list(enumerate(made)), None) and whole[1] == made[1]
+    counts = {r["row"]["doc_id"]: (r["n_removed"], r["n_removed_sentences"]) for r in rows}
+    assert [counts[k] for k in (0, 1, 2, 6)] == [(0, 0), (0, 5), (1, 5), (1, 3)] and got[6] == ""
+    whole = {r["row"]["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, *made)).collect()}
+    assert whole == brute_lines(list(enumerate(made))) == dict(enumerate(made))
 
 
 def test_line_dedup_of_ids_with_several_texts(spark):
