@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.skew import salted
+
 from .scratch import Scratch
 from .textarrays import ASCII_LOWER, Text, mix, texts
 
@@ -179,12 +181,6 @@ def _f(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
-def _salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``few`` on ``on``, of which ``few`` has few rows each: its rows are repeated for every part of ``rows``."""
-    many = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [*on, "salt"]).drop("salt")
-
-
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST, top: int = TOP, width: int = WIDTH) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: how every source differs from the others of its language, and by which terms.
 
@@ -207,14 +203,14 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "m", "v", "n_lang")))
     groups = scratch.table("groups", groups.withColumn("p0", F.when(F.col("v") > 0, _p("0", "n", "v"))))
 
-    in_source = _salted(kept.select("lang", "source", "term", "count"), "term", groups, ["lang", "source"])
+    in_source = salted(kept.select("lang", "source", "term", "count"), groups, ["lang", "source"], ["term"], SALTS, "inner")
     in_source = scratch.table("shares", in_source.select("lang", "source", "term", "v", "n_lang", "p0", _p("count", "n", "v").alias("p"), "count"))
 
     a, b = (groups.select("lang", F.col("source").alias(f"source_{x}"), F.col("p0").alias(f"p0_{x}"), F.col("m").alias(f"m_{x}"), *(["v"] if x == "a" else [])) for x in "ab")
-    pairs = scratch.table("pairs", _salted(a, "source_a", b, ["lang"]).where("source_a != source_b"))  # as many rows as the result has
+    pairs = scratch.table("pairs", salted(a, b, ["lang"], ["source_a"], SALTS, "inner").where("source_a != source_b"))  # as many rows as the result has
     histogram = scratch.table("histogram", in_source.groupBy("lang", "source", "p").agg(F.count("*").alias("k")))
     others = groups.where("v > 0").select("lang", F.col("source").alias("other"), F.col("p0").alias("q"))
-    alone = _salted(histogram.select("lang", "source", "p", "k"), "p", others, ["lang"]).where("source != other")
+    alone = salted(histogram.select("lang", "source", "p", "k"), others, ["lang"], ["source", "p"], SALTS, "inner").where("source != other")
     alone = alone.groupBy("lang", "source", "other").agg(F.expr(f"sum(k * {_f('p', 'q')})").alias("up"), F.expr(f"sum(k * {_f('q', 'p')})").alias("down"))
     left, right = (in_source.select("lang", "term", F.col("source").alias(f"source_{x}"), F.col("p").alias(f"p_{x}"), F.col("p0").alias(f"p0_{x}")) for x in "ab")
     both = left.join(right, ["lang", "term"]).where("source_a != source_b")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.skew import salted
+
 from .components import components
 from .lines import WORD
 from .scratch import Scratch
@@ -37,6 +39,8 @@ BANDS = BINS // ROWS
 ATTEMPTS = 1024
 #: Members that are compared with a centre in one group; shingles that one group of the sweep indexes.
 GROUP, SWEEP = 256, 1 << 20
+#: Parts that a centre's candidates are dealt over while they learn how many there are.
+SALTS = 64
 
 _random = np.random.default_rng(20)
 _BORROW = _random.integers(0, BINS, (ATTEMPTS, BINS))
@@ -199,8 +203,8 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(scratch: Scratch, pairs: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
     """Those of ``pairs(c, x)`` that the full sets confirm, as ``(a, b)``."""
     id_type = pairs.schema["c"].dataType
-    sized = pairs.groupBy("c").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = pairs.join(sized, "c").select("c", F.pmod(F.xxhash64("x"), "groups").alias("part"), "x")
+    sized = pairs.groupBy("c").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1")
+    dealt = salted(pairs, sized, ["c"], ["x"], SALTS).select("c", F.pmod(F.xxhash64("x"), F.coalesce("groups", F.lit(1))).alias("part"), "x")
     routes = dealt.select("c", "part", F.lit(True).alias("member"), F.col("x").alias("id"))
     routes = routes.union(dealt.select("c", "part").distinct().select("c", "part", F.lit(False), "c"))
     rows = routes.join(bodies, "id").select("c", "part", "member", "id", "text").repartition("c", "part").sortWithinPartitions("c", "part", "member")
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id_col, n_shingles, component_id, kept)`` per row of ``docs``; every link has similarity 0.75 or more.
 
     A null, empty or word-less text has no shingles and is linked with nothing. Rows with a null id take no part: their
-    component is null and they are kept. Rows that share an id are one node, linked by any of their texts, and share the
+    component is null and they are kept. Very long texts are compared whole; an empty table gives an empty one. Rows that share an id are one node, linked by any of their texts, and share the
     decision. Other columns of ``docs`` are ignored, whatever their names.
     """
     spark = docs.sparkSession

@@ -129,14 +129,16 @@ PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 def pack(docs: DataFrame, order: list[Column], id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(id_col, *PIECES)``, one row per piece, and the piece's ``ids`` with ``with_ids``.
 
-    Documents are packed in the order of ``order`` (then text): the rows are range-partitioned, and each partition numbers
-    its sequences from its own range. A null or empty text is the single id 0. Repeated rows are packed as often as
-    they come, null ids like others; other columns of ``docs`` are ignored. ``sequence_id`` and the cuts follow the number of
-    partitions and so may differ from run to run; every piece's place in its document and its ids don't depend on them.
+    Documents are packed in the order of ``order``, then of their texts' hashes: the rows are range-partitioned by both, and
+    each partition numbers its sequences from its own range. Null and repeated ids are therefore spread by their texts;
+    rows that are equal in order and text lie together, in one partition. A null or empty text is the single id 0. Repeated
+    rows are packed as often as they come; very long texts are packed whole; an empty table gives an empty one; other columns
+    of ``docs`` are ignored, whatever their names. ``sequence_id`` and the cuts follow the number of partitions and so may
+    differ from run to run; every piece's place in its document and its ids don't depend on them.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(c.alias(f"by{k}") for k, c in enumerate(order)))
     keys = [f"by{k}" for k in range(len(order))]
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys, "tie").select("id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie").select("id", "text")
     fields = [T.StructField(id_col, rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in PIECES)]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Digest characters that the join uses, and the most rules that are broadcast (about 150 bytes each).
 SHORT, BROADCAST_RULES = 8, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,7 +26,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """``pages`` as the struct ``row`` with ``host``, ``path``, ``rule`` (null: none) and ``verdict``.
 
     ``rules(host, path, verdict)``; host and path must be given as they are compared, nulls never match. A null url or one
-    without ``://`` has empty host and path, which no rule fits. Repeated rows and urls get the same verdict.
+    without ``://`` has empty host and path, which no rule fits. Repeated rows and urls get the same verdict; very long urls
+    are expanded to as many labels and such lengths as rules have; an empty table gives an empty one; other columns come
+    back in ``row``, whatever their names.
+
+    Rows without a host are dealt by a hash of the row, and what was found for a url is written before rows meet it, so that
+    adaptive execution can split a url that very many rows share.
     """
     host, path = host_and_path(pages[url_col])
     rows = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("row"), host.alias("host"), path.alias("path"))
@@ -51,7 +58,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     matches = expressions.join(known, "short").where("digest = rule_digest")
     best = matches.groupBy("host", "path").agg(F.max_by(F.struct("rule", "blocks"), F.struct(F.length("rule"), "blocks", "rule")).alias("best"))
     best = best.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best")
-    judged = rows.join(best, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
+    best = Scratch(pages.sparkSession, "url-filter").table("best", best)
+    dealt = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("row")))  # no host holds a slash
+    judged = rows.withColumn("dealt", dealt).join(best, (F.col("dealt") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
     verdict = F.when(F.col("best").isNull(), F.lit(default)).otherwise(F.when(F.col("best.blocks"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("row", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 

@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import AWKWARD, DOCS, EXTRA, rows_of
 
-from stratalog.llm import bpe, divergence, entry, textarrays, whitening
+from stratalog import skew
+from stratalog.llm import bpe, divergence, entry, near_dedup, packing, textarrays, url_filter, whitening
 from stratalog.llm.scratch import Scratch
 
 # 11: byte-level BPE
@@ -244,3 +245,46 @@ def test_divergence_on_awkward_rows(spark):
     frame = spark.createDataFrame(AWKWARD, DOCS)
     assert sorted(map(tuple, divergence.divergence(frame).collect())) == brute_divergence([(r[2], r[3], r[1]) for r in AWKWARD])
     assert divergence.divergence(frame.limit(0)).count() == 0
+
+
+# Hot keys: a third of all rows on one id, url or centre
+
+
+def largest_share(df):
+    """Of the rows, the largest task's; all columns are read, so that none is pruned before the shuffle."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), *(F.max(F.hash(c)) for c in df.columns)).collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.fixture
+def finely_split(spark):
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_packing_spreads_null_ids(spark, finely_split):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text")).repartition(8)
+    assert largest_share(packing.pack(rows, [rows["doc_id"]])) < 0.1
+
+
+@pytest.mark.parametrize("hot", [None, "no address", "http://a.example.net/en/x"])
+def test_url_filters_spread_one_url(spark, finely_split, hot):
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("http://h.example.org/"), F.col("id"), F.lit("/" + "y" * 40))).alias("url"), *(F.sha2(F.concat(F.lit(k), "id"), 512).alias(f"html{k}") for k in "abc")).repartition(24)
+    rules = spark.createDataFrame([("net", "/", "block"), ("org", "/", "allow")], "host string, path string, verdict string")
+    assert largest_share(url_filter.judge(pages, rules)) < 0.1
+
+
+def test_links_spread_one_centre(spark, finely_split, monkeypatch):
+    """All candidates of one centre, a third of all pairs; its groups of candidates meet the texts in more than one task."""
+    seen = []
+    monkeypatch.setattr(near_dedup, "GROUP", 16)
+    monkeypatch.setattr(near_dedup, "salted", lambda *a, **b: seen.append(skew.salted(*a, **b)) or seen[-1])
+    pairs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.floor(F.col("id") / 7)).cast("bigint").alias("c"), (F.col("id") + 10000).alias("x"))
+    bodies = spark.range(17000).select("id", F.lit("one two three four five six").alias("text"))
+    links = near_dedup._links(Scratch(spark, "hot"), pairs, bodies, "links")
+    assert links.count() == 6000 and largest_share(seen[0]) < 0.1
