@@ -1,7 +1,7 @@
 """Questions to the catalogue: filters, joins and aggregates over ``files`` and ``runs``.
 
-Every operator is a lazy plan. Small sides are left to Spark's size estimates; skewed checksums or runs are left to
-partial aggregation and adaptive join splitting.
+Every operator is a lazy plan. Small sides are left to Spark's size estimates. A checksum may hold a third of all rows: what is
+known of it is aggregated in parts, and rows meet it again by ``skew.with_known``, which never sends a checksum to one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import gate_reason
 from ..schemas import ERROR_STATUSES, FINISHED_STATUSES
+from ..skew import with_known
 
 NO_DESTINATION = "<duplicate>"
 
@@ -130,21 +131,32 @@ def not_imported_before(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return candidates.join(done, ["source_path", "checksum"], "left_anti")
 
 
+def first_complete(files: DataFrame) -> DataFrame:
+    """``(checksum, dest, known)``: where each checksum's first complete file lies; ``known`` is true."""
+    rows = files.where((F.col("status") == "complete") & F.col("checksum").isNotNull())
+    return rows.groupBy("checksum").agg(F.min_by("dest_rel", F.struct(F.col("dest_rel").isNull(), "id")).alias("dest"), F.lit(True).alias("known"))
+
+
 def known_copies(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    """``candidates`` with ``existing``: where the checksum's first complete file lies, null for a new checksum."""
-    first = files.where((F.col("status") == "complete") & F.col("checksum").isNotNull()).groupBy("checksum").agg(F.min_by("dest_rel", F.struct(F.col("dest_rel").isNull(), "id")).alias("dest"), F.lit(True).alias("known"))
-    joined = candidates.join(first, "checksum", "left")
+    """``candidates`` with ``existing``: where the checksum's first complete file lies, null for a new checksum.
+
+    The catalogue meets the batch's distinct checksums, both aggregated, before it meets its rows.
+    """
+    asked = candidates.where("checksum is not null").groupBy("checksum").agg(F.count("*").alias("n"))
+    found = asked.join(first_complete(files), "checksum", "left").where("known or n > 1")  # a new checksum may be frequent too
     place = F.coalesce(F.nullif("dest", F.lit("")), F.lit(NO_DESTINATION))
-    return joined.withColumn("existing", F.when(F.col("known"), place)).drop("dest", "known")
+    return with_known(candidates, found, "checksum", candidates.columns).withColumn("existing", F.when(F.col("known"), place)).drop("dest", "known")
 
 
 def first_writers(files: DataFrame) -> DataFrame:
     """``files`` with ``is_first`` and ``first_id``: of equal checksums the smallest id came first. A null checksum has no copies.
 
-    An aggregate and a join instead of a window, so a checksum that a third of all rows share isn't sorted in one task.
+    An aggregate and a join instead of a window: a checksum that a third of all rows share is neither sorted nor joined in
+    one task, and checksums held once aren't brought back at all.
     """
-    first = files.where("checksum is not null").groupBy("checksum").agg(F.min("id").alias("first_id"))
-    return files.join(first, "checksum", "left").withColumns({"first_id": F.coalesce("first_id", "id"), "is_first": F.coalesce("first_id", "id") == F.col("id")})
+    first = files.where("checksum is not null").groupBy("checksum").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    first_id = F.coalesce("first_id", "id")
+    return with_known(files, first, "checksum", ["id"]).withColumns({"first_id": first_id, "is_first": first_id == F.col("id")})
 
 
 def backfilled_algorithm(files: DataFrame, runs: DataFrame) -> DataFrame:

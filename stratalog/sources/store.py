@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import slug
 from ..operators.catalog import backfilled_algorithm
 from ..schemas import FILES, RUNS
+from ..skew import with_known
 from ..workdir import numbered, tables
 
 VERSION = 4
@@ -126,10 +127,13 @@ def applied(files: DataFrame, events: DataFrame) -> DataFrame:
 def completed(files: DataFrame, finishing: DataFrame) -> DataFrame:
     """``files`` with those of ``finishing(id, checksum)`` completed: of equal checksums the first by id stays an original,
     unless the catalogue has a complete file of that checksum already; all others are complete duplicates."""
-    first = finishing.groupBy("checksum").agg(F.min("id").alias("first"))
+    finishing = finishing.where("checksum is not null")
+    first = finishing.groupBy("checksum").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     known = files.where("status = 'complete' and checksum is not null").select("checksum").distinct().withColumn("known", F.lit(True))
-    verdict = finishing.join(first, "checksum").join(known, "checksum", "left")
-    verdict = verdict.select("id", F.col("checksum").alias("new_checksum"), (F.coalesce("known", F.lit(False)) | (F.col("id") != F.col("first"))).alias("dup"))
+    shared = first.join(known, "checksum", "left").where("n > 1 or known")  # the others are alone and new
+    verdict = with_known(finishing, shared, "checksum", ["id"])
+    dup = F.coalesce("known", F.lit(False)) | F.coalesce(F.col("id") != F.col("first"), F.lit(False))
+    verdict = verdict.select("id", F.col("checksum").alias("new_checksum"), dup.alias("dup"))
     joined = files.join(verdict, "id", "left")
     hit = F.col("dup").isNotNull()
     return joined.withColumns({"status": F.when(hit, F.lit("complete")).otherwise(F.col("status")), "checksum": F.coalesce("new_checksum", "checksum"), "is_duplicate": F.when(hit, F.col("dup")).otherwise(F.col("is_duplicate"))}).select(files.columns)
