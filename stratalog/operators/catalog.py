@@ -145,7 +145,7 @@ def known_copies(candidates: DataFrame, files: DataFrame) -> DataFrame:
     asked = candidates.where("checksum is not null").groupBy("checksum").agg(F.count("*").alias("n"))
     found = asked.join(first_complete(files), "checksum", "left").where("known or n > 1")  # a new checksum may be frequent too
     place = F.coalesce(F.nullif("dest", F.lit("")), F.lit(NO_DESTINATION))
-    return with_known(candidates, found, "checksum", candidates.columns).withColumn("existing", F.when(F.col("known"), place)).drop("dest", "known")
+    return with_known(candidates, found, "checksum", candidates.columns, counts=asked).withColumn("existing", F.when(F.col("known"), place)).drop("dest", "known")
 
 
 def first_writers(files: DataFrame) -> DataFrame:

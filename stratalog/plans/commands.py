@@ -22,6 +22,7 @@ from ..sources import tree as trees
 from ..sources.store import Store, folder_size
 from ..workdir import numbered, tables
 from . import execute, ingest, verify
+from .progress import Observed
 
 LEDGER, IGNORE = ".stratalog-ledger.jsonl", ".stratalogignore"
 ALWAYS = (LEDGER, IGNORE, LOCAL)
@@ -81,12 +82,17 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": xmp.packet(rights, F.lit(options.owner)), "rights": rights, "owner": F.lit(options.owner)})
     skipped = rows.where("reason is not null").select("path", "rel_path", "reason").unionByName(sidecars.orphans(attached).join(rows.select("path", "rel_path"), "path").select("path", "rel_path", "reason"))
     plan = table("plan", plan)
-    counts = ingest.counters(plan).collect()[0].asDict()
-    counts["skipped"] += skipped.count()
+    n_skipped = skipped.count()
     if options.dry_run:
-        return {"run_id": run_id, **counts, "plan": plan}
+        counts = ingest.counters(plan).collect()[0].asDict()
+        return {"run_id": run_id, **counts, "skipped": counts["skipped"] + n_skipped, "plan": plan}
 
-    done = table("done", execute.executed(plan, archive, options.algorithm, options.overwrite_sidecar_tags))
+    copied = Observed()
+    attempt = lambda rows: copied.watch("copy", execute.executed(rows, archive, options.algorithm, options.overwrite_sidecar_tags), execute.counters())
+    plan, done = ingest.settled(plan, attempt, table)
+    counts = ingest.counters(plan).collect()[0].asDict()
+    counts["skipped"] += n_skipped
+    counts |= {f"{k}_observed": v for k, v in copied.totals("copy").items()}
     result = plan.join(done, "id", "left").withColumns({
         "final": F.coalesce("status", F.when(F.col("outcome") == "error", "failed").when(F.col("outcome") == "skip", "skipped").otherwise("complete")),
         "problem": F.coalesce(done["error"], plan["error"]),

@@ -11,7 +11,7 @@ import shutil
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import file_hash
@@ -100,6 +100,11 @@ def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_t
     return rows.mapInPandas(run, RESULT)
 
 
+def counters() -> dict[str, Column]:
+    """What is observed of a copy stage while it runs."""
+    return {"files": F.count("*"), "bytes": F.sum("copied_bytes"), "failed": F.count_if(F.col("status") != "complete")}
+
+
 def cleaned(paths: Iterable[str], dry_run: bool = False) -> dict[str, int]:
     """Remove files; counts of removed files, errors and bytes."""
     out = {"removed": 0, "errors": 0, "bytes": 0}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, formats, globs, hashing, paths, text, xmp
 from ..operators import catalog, doctor, ledger, sidecars
-from ..sources import store
+from ..sources import index, store
 from ..streaming import events as streams
-from ..workdir import shared_folder
-from . import ingest, verify, views
+from ..workdir import shared_folder, tables
+from . import execute, ingest, progress, verify, views
 from .views import CANDIDATES_SQL, FILES_SQL, LEDGER_SQL, RUNS_SQL, files, runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,13 @@ def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.known_copies(views.candidates(spark, sf_dir).select("id", "checksum"), files(spark, sf_dir)).select("id", "checksum", "existing")
 
 
+@query("duplicate_lookup_indexed", f"WITH {FILES_SQL}, {CANDIDATES_SQL}, {_KNOWN} SELECT c.id, c.checksum, k.existing FROM candidates c LEFT JOIN known k ON c.checksum = k.checksum")
+def _indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = "checksums_" + uuid.uuid4().hex
+    index.write(files(spark, sf_dir), name, shared_folder(spark, "index"), 16)
+    return index.lookup(spark, views.candidates(spark, sf_dir).select("id", "checksum"), name, 16).select("id", "checksum", "existing")
+
+
 over_files("first_writer_dedup", "SELECT f.id, coalesce(m.first_id, f.id) AS first_id, coalesce(m.first_id, f.id) = f.id AS is_first FROM files f LEFT JOIN (SELECT checksum, min(id) AS first_id FROM files WHERE checksum IS NOT NULL GROUP BY checksum) m ON f.checksum = m.checksum", "id", "first_id", "is_first")(catalog.first_writers)
 over_both("algorithm_backfill", "SELECT f.id, coalesce(f.algorithm, r.algorithm) AS algorithm FROM files f LEFT JOIN runs r ON f.run_id = r.id", "id", "algorithm")(catalog.backfilled_algorithm)
 
@@ -398,14 +406,15 @@ query("xml_escape", "SELECT conv_id, turn, replace(replace(replace(replace(repla
 
 # Whole commands
 
-_PLAN_SQL = f"""WITH {FILES_SQL}, {CANDIDATES_SQL}, {_KNOWN},
+_PLAN_PARTS = f"""{FILES_SQL}, {CANDIDATES_SQL}, {_KNOWN},
  state AS (SELECT c.*, CASE WHEN c.capture_date < TIMESTAMP '2021-02-01' THEN 'outside date range: before 2021-02-01' END AS gate,
    EXISTS (SELECT 1 FROM files f WHERE f.source_path = c.source_path AND f.checksum = c.checksum AND f.status IN ('complete', 'duplicate')) AS imported, k.existing
    FROM candidates c LEFT JOIN known k ON c.checksum = k.checksum),
  firsts AS (SELECT checksum, min(id) AS first_id FROM state WHERE error IS NULL AND gate IS NULL AND NOT imported GROUP BY checksum),
  placed AS (SELECT s.*, s.error IS NULL AND s.gate IS NULL AND NOT s.imported AS competes, f.first_id, strftime(s.capture_date, '%Y/%m-%b/%Y%m%d_%H%M%S') || '-1-' || s.checksum || lower(s.ext) AS place
    FROM state s LEFT JOIN firsts f ON s.checksum = f.checksum),
- plan AS (SELECT p.*, p.competes AND coalesce(p.existing IS NOT NULL OR p.id <> p.first_id, false) AS dup FROM placed p)
+ plan AS (SELECT p.*, p.competes AND coalesce(p.existing IS NOT NULL OR p.id <> p.first_id, false) AS dup FROM placed p)"""
+_PLAN_SQL = f"""WITH {_PLAN_PARTS}
  SELECT p.id, CASE WHEN p.error IS NOT NULL THEN 'error' WHEN p.gate IS NOT NULL OR p.imported THEN 'skip' WHEN p.dup THEN 'duplicate' ELSE 'copy' END AS outcome,
    CASE WHEN p.error IS NOT NULL THEN p.error WHEN p.gate IS NOT NULL THEN p.gate WHEN p.imported THEN 'previously imported' END AS reason,
    p.dup AS is_duplicate, CASE WHEN p.dup THEN coalesce(p.existing, o.place) END AS matches,
@@ -413,12 +422,49 @@ _PLAN_SQL = f"""WITH {FILES_SQL}, {CANDIDATES_SQL}, {_KNOWN},
  FROM plan p LEFT JOIN placed o ON o.id = p.first_id"""
 
 
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.planned(views.candidates(spark, sf_dir), files(spark, sf_dir), views.STAMP, since=dt.date(2021, 2, 1))
+
+
 def _sort_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.planned(views.candidates(spark, sf_dir), files(spark, sf_dir), views.STAMP, since=dt.date(2021, 2, 1)).select("id", "outcome", "reason", "is_duplicate", "matches", "dest_rel")
+    return _planned(spark, sf_dir).select("id", "outcome", "reason", "is_duplicate", "matches", "dest_rel")
 
 
 query("sort_plan", _PLAN_SQL)(_sort_plan)
 query("sort_counters", f"SELECT count(*) FILTER (WHERE outcome IN ('copy', 'duplicate')) AS processed, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, count(*) FILTER (WHERE outcome = 'skip') AS skipped, count(*) FILTER (WHERE outcome = 'error') AS errors FROM ({_PLAN_SQL})")(lambda s, d: ingest.counters(_sort_plan(s, d)))
+
+
+@query("copy_takeover", f"""WITH RECURSIVE {_PLAN_PARTS},
+ competing AS (SELECT id, checksum, place, row_number() OVER (PARTITION BY checksum ORDER BY id) AS n FROM plan WHERE competes AND existing IS NULL AND checksum IS NOT NULL),
+ tried AS (SELECT checksum, n, id, place, id % 5 < 3 AS failed FROM competing WHERE n = 1
+   UNION ALL SELECT c.checksum, c.n, c.id, c.place, c.id % 5 < 3 FROM tried t JOIN competing c ON c.checksum = t.checksum AND c.n = t.n + 1 WHERE t.failed),
+ stayed AS (SELECT checksum, place FROM tried WHERE NOT failed),
+ ended AS (SELECT p.*, p.dup AND t.id IS NULL AS still_dup, s.place AS stayed FROM plan p LEFT JOIN tried t ON p.id = t.id LEFT JOIN stayed s ON p.checksum = s.checksum)
+ SELECT id, CASE WHEN error IS NOT NULL THEN 'error' WHEN gate IS NOT NULL OR imported THEN 'skip' WHEN still_dup THEN 'duplicate' ELSE 'copy' END AS outcome, still_dup AS is_duplicate,
+   CASE WHEN still_dup THEN coalesce(existing, stayed) END AS matches, CASE WHEN competes THEN (CASE WHEN still_dup THEN 'duplicates/20260306_103000/' ELSE '' END) || place END AS dest_rel,
+   CASE WHEN competes AND place IS NOT NULL THEN CASE WHEN id % 5 < 3 THEN 'failed' ELSE 'complete' END END AS copied
+ FROM ended""")
+def _takeover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of five copies fail, so that firsts fail several times in a row."""
+    table_ = tables(spark, "takeover")
+    attempt = lambda rows: rows.where("dest_rel is not null").select("id", F.when(F.col("id") % 5 < 3, "failed").otherwise("complete").alias("status"))
+    plan, done = ingest.settled(table_("plan", _planned(spark, sf_dir)), attempt, table_)
+    return plan.join(done.withColumnRenamed("status", "copied"), "id", "left").select("id", "outcome", "is_duplicate", "matches", "dest_rel", "copied")
+
+
+_OBSERVED_SQL = "count(*) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE status <> 'complete') AS failed"
+
+
+@query("observed_counters", f"WITH {FILES_SQL} SELECT {_OBSERVED_SQL} FROM files")
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a stage over all files, observed while it writes its table."""
+    seen = progress.Observed()
+    rows = files(spark, sf_dir).select("id", "status", F.col("file_size").alias("copied_bytes"))
+    tables(spark, "observed")("done", seen.watch("copy", rows, execute.counters()))
+    totals = seen.totals("copy")
+    return spark.createDataFrame([(totals["files"], totals["bytes"], totals["failed"])], "files bigint, bytes bigint, failed bigint")
+
+
 _VERIFY_SQL = """WITH named AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN md5(text) WHEN 1 THEN sha1(text) WHEN 2 THEN sha256(text) WHEN 3 THEN repeat('0', 40) ELSE '' END AS expected, CASE doc_id % 5 WHEN 0 THEN 'md5' WHEN 2 THEN 'sha256' ELSE 'sha1' END AS algorithm,
  CASE doc_id % 5 WHEN 0 THEN md5(text) WHEN 2 THEN sha256(text) ELSE sha1(text) END AS actual FROM documents),
  v AS (SELECT id, CASE WHEN id % 5 <> 4 THEN algorithm END AS algorithm, coalesce(CASE WHEN id % 5 = 4 THEN '' ELSE expected END, '') AS expected, CASE WHEN id % 5 <> 4 THEN actual END AS actual, CASE WHEN id % 5 = 4 THEN 'unrecognised' WHEN expected = actual THEN 'verified' ELSE 'mismatch' END AS status FROM named)"""

@@ -21,25 +21,23 @@ def salted(rows: DataFrame, known: DataFrame, on: list[str], by: list[str], salt
     return rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(many, [*on, salt], how).drop(salt)
 
 
-#: A key that holds more than this part of all rows is broadcast: there are fewer than this many such keys.
-HOT_PARTS = 1000
+#: A key that holds more than this part of all rows is hot: there are fewer than this many such keys.
+HOT_PARTS, HOT_SALTS = 1000, 64
 
 
-def with_known(rows: DataFrame, known: DataFrame, on: str, by: list[str], n: str = "n") -> DataFrame:
+def with_known(rows: DataFrame, known: DataFrame, on: str, by: list[str], n: str = "n", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` left-joined with ``known``, which has one row per key ``on`` and in ``n`` how many of ``rows`` hold it.
 
-    The keys that hold more than a thousandth of what ``n`` adds up to, fewer than a thousand, meet their rows by a broadcast
-    join; these rows and those with a null key are dealt by a hash of the columns ``by`` when the others are joined. Nothing is
-    repeated, and the plan stays lazy.
+    The keys that hold more than a thousandth of what ``n`` adds up to, fewer than a thousand, are broadcast to the rows: these
+    rows, and those with a null key, are dealt by a hash of the columns ``by``, and only what is known of hot keys is repeated
+    for the salts. ``counts`` may give keys and ``n`` where ``known`` itself is dear to compute. The plan stays lazy.
     """
+    counts = known.select(on, n) if counts is None else counts.select(on, n)
+    hot = F.col(n) * HOT_PARTS > counts.agg(F.sum(n)).scalar()
+    keys = F.broadcast(counts.where(hot).select(F.col(on).alias("_hot_key"), F.lit(True).alias("_hot")))
+    deal = lambda salts: F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    salt = F.when(F.col(on).isNull(), deal(1 << 16)).when(F.col("_hot"), deal(HOT_SALTS)).otherwise(0)
+    dealt = rows.join(keys, F.col(on) == F.col("_hot_key"), "left").withColumn("_salt", salt)
+    repeated = known.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))))
     values = [c for c in known.columns if c not in (on, n)]
-    hot = F.col(n) * HOT_PARTS > known.agg(F.sum(n)).scalar()
-    few = known.where(hot).select(F.col(on).alias("_hot_key"), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
-    # Always 0, but not a literal: that would be folded into the condition, and the join left with its nullable key alone.
-    zero = F.pmod(F.xxhash64(on), F.lit(1))
-    rest = known.where(~hot).select(F.col(on).alias("_key"), zero.alias("_salt"), *(F.col(c).alias(f"_rest_{c}") for c in values))
-    out = rows.join(F.broadcast(few), F.col(on) == F.col("_hot_key"), "left")
-    apart = F.coalesce(F.col("_hot"), F.col(on).isNull())
-    out = out.withColumns({"_key": F.when(~apart, F.col(on)), "_salt": F.when(apart, F.pmod(F.xxhash64(*by), F.lit(1 << 16))).otherwise(F.lit(0))})
-    out = out.join(rest, ["_key", "_salt"], "left")
-    return out.select(*(F.col(c) for c in rows.columns), *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in values))
+    return dealt.join(repeated.drop(n), [on, "_salt"], "left").select(*rows.columns, *values)

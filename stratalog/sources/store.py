@@ -131,7 +131,7 @@ def completed(files: DataFrame, finishing: DataFrame) -> DataFrame:
     first = finishing.groupBy("checksum").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     known = files.where("status = 'complete' and checksum is not null").select("checksum").distinct().withColumn("known", F.lit(True))
     shared = first.join(known, "checksum", "left").where("n > 1 or known")  # the others are alone and new
-    verdict = with_known(finishing, shared, "checksum", ["id"])
+    verdict = with_known(finishing, shared, "checksum", ["id"], counts=first)
     dup = F.coalesce("known", F.lit(False)) | F.coalesce(F.col("id") != F.col("first"), F.lit(False))
     verdict = verdict.select("id", F.col("checksum").alias("new_checksum"), dup.alias("dup"))
     joined = files.join(verdict, "id", "left")

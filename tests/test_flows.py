@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import hashing
 from stratalog.operators import doctor, ledger, sidecars
-from stratalog.plans import commands, execute, ingest, verify
+from stratalog.plans import commands, execute, ingest, progress, verify
 from stratalog.sources import ledger as ledger_files
 from stratalog.sources import store as stores
 from stratalog.sources import tree as trees
@@ -158,9 +158,66 @@ def test_copy_is_checked(tmp_path):
     assert {execute.file_hash(str(source), a)[:4] for a in ("md5", "blake3", "xxhash")}
 
 
-def test_next_copy_takes_over(spark):
-    plan = spark.createDataFrame([(1, "c", "copy"), (2, "c", "duplicate"), (3, "c", "duplicate"), (4, "d", "copy")], "id bigint, checksum string, outcome string")
-    assert [tuple(r) for r in ingest.reranked(plan, spark.createDataFrame([(1,)], "id bigint")).collect()] == [("c", 2)]
+def test_next_copies_take_over(spark):
+    """Firsts fail once, twice in a row and always; a checksum that the catalogue holds has no first here."""
+    fails = {1, 4, 5, 8, 9, 12}
+    sums = {"a": (1, 2, 3), "b": (4, 5, 6, 7), "c": (8, 9), "d": (10, 11), "e": (12, 13)}
+    rows = [(k, f"/s/{k}", ".jpg", c, dt.datetime(2021, 1, k), None) for c, ids in sums.items() for k in ids]
+    candidates = spark.createDataFrame(rows, "id bigint, source_path string, ext string, checksum string, capture_date timestamp_ntz, error string")
+    files = spark.createDataFrame([(900, "/old", "e", "complete", "kept/e.jpg")], "id bigint, source_path string, checksum string, status string, dest_rel string")
+    attempts = []
+
+    def attempt(part):
+        ids = sorted(r["id"] for r in part.where("dest_rel is not null").collect())
+        attempts.append(ids)
+        return part.where("dest_rel is not null").select("id", F.when(F.col("id").isin(*fails), "failed").otherwise("complete").alias("status"), F.col("dest_rel").alias("went_to"))
+
+    written = {}
+
+    def table(name, df):
+        written[name] = spark.createDataFrame(df.collect(), df.schema)
+        return written[name]
+
+    for skip in (False, True):
+        attempts.clear()
+        plan, done = ingest.settled(ingest.planned(candidates, files, "R", skip_duplicates=skip), attempt, table)
+        got = {r["id"]: r for r in plan.collect()}
+        place = {k: r["place"] for k, r in got.items()}
+        assert attempts[:4] == [[1, 4, 8, 10], [2, 5, 9], [6], attempts[-1]] and attempts[-1] == ([] if skip else [3, 7, 11, 12, 13])
+        assert sorted(k for k, r in got.items() if r["is_duplicate"]) == sorted(k for k, r in got.items() if r["outcome"] == "duplicate") == [3, 7, 11, 12, 13]
+        assert {k: got[k]["matches"] for k in (3, 7, 11, 12, 13)} == {3: place[2], 7: place[6], 11: place[10], 12: "kept/e.jpg", 13: "kept/e.jpg"}
+        assert all(got[k]["dest_rel"] == place[k] and got[k]["matches"] is None for k in (1, 2, 4, 5, 6, 8, 9, 10))
+        assert {r["id"]: r["status"] for r in done.collect()} == {k: "failed" if k in fails else "complete" for k in (range(1, 14) if not skip else (1, 2, 4, 5, 6, 8, 9, 10))}
+
+
+def test_ingest_replaces_a_copy_that_fails(spark, tmp_path, monkeypatch):
+    """The first two of four equal files can't be read any more when they are copied; what was observed is what the catalogue says."""
+    source, archive, store = tmp_path / "card", str(tmp_path / "archive"), stores.Store(spark, str(tmp_path / "catalog"))
+    source.mkdir()
+    for name in ("a.jpg", "b.jpg", "c.jpg", "d.jpg", "e.jpg"):
+        (source / name).write_bytes(JPEG + (b"same" if name != "e.jpg" else b"other"))
+    planned = ingest.planned
+
+    def lose(*args, **options):
+        plan = planned(*args, **options)
+        return plan.withColumn("source_path", F.when(F.col("name").isin("a.jpg", "b.jpg"), F.concat("source_path", F.lit(".gone"))).otherwise(F.col("source_path")))
+
+    monkeypatch.setattr(ingest, "planned", lose)
+    out = commands.run_ingest(spark, store, str(source), archive, commands.IngestOptions(ledger=False))
+    rows = {r["id"]: r for r in store.files.collect()}
+    assert [(r["status"], r["is_duplicate"]) for _, r in sorted(rows.items())] == [("failed", False), ("failed", False), ("complete", False), ("complete", True), ("complete", False)]
+    assert rows[3]["dest_rel"].startswith("duplicates/") is False and rows[4]["dest_rel"].startswith("duplicates/")
+    assert os.path.exists(rows[3]["dest_path"]) and os.path.exists(rows[4]["dest_path"])
+    size = sum(os.path.getsize(r["dest_path"]) for r in rows.values() if r["status"] == "complete")
+    assert (out["files_observed"], out["bytes_observed"], out["failed_observed"], out["errors"], out["duplicates"]) == (5, size, 2, 2, 1)
+
+
+def test_observed_counters(spark, tmp_path):
+    told = []
+    seen = progress.Observed(lambda stage, counters: told.append((stage, counters)))
+    for k in range(3):
+        seen.watch("s", spark.range(10 * k + 1), {"n": F.count("*"), "sum": F.sum("id")}).write.parquet(str(tmp_path / str(k)))
+    assert seen.totals("s") == {"n": 33, "sum": sum(sum(range(10 * k + 1)) for k in range(3))} and len(told) == 3 and seen.totals("other") == {}
 
 
 def test_plan_order_of_decisions(spark, tmp_path):

@@ -79,3 +79,25 @@ def test_completion_deals_the_hot_checksum(no_broadcast, hot_files, monkeypatch)
     monkeypatch.setattr(store, "with_known", lambda *a, **b: seen.append(skew.with_known(*a, **b)) or seen[-1])
     store.completed(hot_files, hot_files.where("status = 'verified'").select("id", "checksum"))
     assert largest_share(seen[0]) < 0.1
+
+
+def test_index_is_not_shuffled(spark, tmp_path, no_broadcast):
+    """A catalogue a hundred times the batch: no exchange above the index, and nearly none of its rows pass the filter."""
+    from stratalog.sources import index
+
+    files = spark.range(100000).select("id", F.sha1(F.col("id").cast("string")).alias("checksum"), F.lit("complete").alias("status"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("dest_rel"))
+    batch = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.sha1((F.col("id") + 99500).cast("string"))).alias("checksum"))
+    index.write(files, "checksum_index_test", str(tmp_path / "index"), 8)
+    try:
+        got = index.lookup(spark, batch, "checksum_index_test", 8)
+        assert sorted(map(str, got.collect())) == sorted(map(str, catalog.known_copies(batch, files).select(*got.columns).collect())) and got.where("existing is not null").count() == 450
+        text = got._jdf.queryExecution().executedPlan().toString()
+        scan = text.index("checksum_index_test")
+        branch = text[text.rindex("Range (", 0, scan) : scan]  # below the join, after the batch's own branch
+        assert "getbit" in branch and "Exchange" not in branch and "Bucketed: true" in text[scan:]
+        bits = index.bloom_filter(batch, "checksum")
+        assert files.where(index.may_hold(bits, F.col("checksum"))).count() < 600
+        asked = batch.where("checksum is not null")
+        assert asked.where(index.may_hold(bits, F.col("checksum"))).count() == asked.count() == 900
+    finally:
+        spark.sql("DROP TABLE checksum_index_test")
