@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -40,7 +41,11 @@ class StreamProgress(StreamingQueryListener):
 
     def __init__(self, name: str, told: Callable[[dict], None] | None = None):
         self.name, self.totals, self._told, self._seen = name, {}, told, set()
-        self.ended = False
+        self._ended = threading.Event()
+
+    def wait(self, seconds: float = 60) -> None:
+        """Until the stream has ended and all of its batches were heard of; listeners are told a moment later."""
+        self._ended.wait(seconds)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -49,7 +54,7 @@ class StreamProgress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended = True
+        self._ended.set()
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress

@@ -6,13 +6,14 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, formats, globs, hashing, paths, text, xmp
 from ..operators import catalog, doctor, ledger, sidecars
 from ..sources import index, store
 from ..streaming import events as streams
+from ..streaming import state
 from ..workdir import shared_folder, tables
 from . import execute, ingest, progress, verify, views
 from .views import CANDIDATES_SQL, FILES_SQL, LEDGER_SQL, RUNS_SQL, files, runs, table
@@ -545,10 +546,61 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "dedup")
     stream = _event_stream(spark, sf_dir).select("event_id", F.concat_ws("/", "event_type", "user_id").alias("checksum"))
-    streams.stream_catalog(stream, f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    state.into_table(state.first_seen(stream), f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/table").select("checksum", "event_id")
 
 
+def _in_batches(spark: SparkSession, rows: DataFrame, out: str, batch: Column, batches: int) -> DataFrame:
+    """A stream that reads ``rows`` in so many micro-batches, in the order of their number ``batch``."""
+    for k in range(batches):  # a file each, so that their times of writing follow the number
+        rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{out}/source")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+
+
+_WORKERS_SQL = "WITH l AS (SELECT user_id, max_by(event_type, event_id) AS kind, max_by(ts, event_id) AS ts FROM events GROUP BY user_id)"
+
+
+@query("worker_states_streamed", _WORKERS_SQL + " SELECT user_id AS worker_id, kind, ts FROM l WHERE kind <> 'error' AND ts + INTERVAL 6 HOUR > (SELECT max(ts) - INTERVAL 10 SECOND FROM events)")
+def _streamed_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers by a stream of three micro-batches; those that were silent for six hours have expired."""
+    out = shared_folder(spark, "workers")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("kind"), F.col("user_id").alias("worker_id"), F.lit(None).cast("string").alias("path"))
+    stream = _in_batches(spark, rows, out, F.pmod(F.xxhash64("event_id"), F.lit(3)), 3)
+    state.into_table(state.worker_changes(stream, "6 hours"), f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return state.current_workers(spark.read.parquet(f"{out}/table")).select("worker_id", "kind", "ts")
+
+
+@query("byte_progress_streamed", """WITH e AS (SELECT ts, 'user_' || user_id AS path, event_id, event_id % 50 = 7 AS late FROM events), w AS (SELECT *, time_bucket(INTERVAL 100 MILLISECONDS, ts) AS start FROM e)
+ SELECT start, path, max(event_id) AS bytes_done FROM w WHERE NOT late OR start + INTERVAL 100 MILLISECONDS > (SELECT max(ts) - INTERVAL 1 HOUR FROM e WHERE NOT late AND event_id % 2 = 1) GROUP BY 1, 2""")
+def _streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals in append mode. One of fifty events comes after all others: what is more than an hour late is dropped, by the
+    watermark of the last micro-batch but one. A last event, a day later, closes the remaining intervals."""
+    out = shared_folder(spark, "progress")
+    rows = table(spark, sf_dir, "events").select("ts", F.concat(F.lit("user_"), "user_id").alias("path"), F.col("event_id").alias("bytes_done"), F.lit(1 << 40).alias("bytes_total"))
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select("ts", F.lit("").alias("path"), F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("bytes_done"), F.lit(1 << 40).alias("bytes_total"))
+    batch = F.when(F.col("path") == "", F.col("bytes_done") + 3).when(F.col("bytes_done") % 50 == 7, 2).otherwise((F.col("bytes_done") + 1) % 2)
+    stream = _in_batches(spark, rows.unionByName(end), out, batch, 5)
+    done = streams.byte_progress(stream, late="1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "path", "bytes_done")
+    state.into_table(done, f"{out}/table", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    # Not before: a filter on the key is pushed below the watermark, and the last events wouldn't move that.
+    return spark.read.parquet(f"{out}/table").where("path != ''").select("start", "path", "bytes_done")
+
+
+@query("observed_stream", "SELECT count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events")
+def _observed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that a listener sums up batch by batch while a stream runs."""
+    out = shared_folder(spark, "observed")
+    listener = progress.StreamProgress("counted")
+    spark.streams.addListener(listener)
+    try:
+        watched = _event_stream(spark, sf_dir).observe("counted", F.count("*").alias("events"), F.sum("event_id").alias("ids"), F.count_if(F.col("event_type") == "error").alias("errors"))
+        state.into_table(watched.select("event_id"), f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        listener.wait()
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(listener.totals["events"], listener.totals["ids"], listener.totals["errors"])], "events bigint, ids bigint, errors bigint")
+
+
 query("worker_states", "WITH l AS (SELECT user_id, max_by(event_type, event_id) AS kind, max_by(ts, event_id) AS ts FROM events GROUP BY user_id) SELECT user_id AS worker_id, kind, ts FROM l WHERE kind <> 'error'")(
     lambda s, d: streams.worker_states(table(s, d, "events").select("event_id", F.col("ts"), F.col("event_type").alias("kind"), F.col("user_id").alias("worker_id"), F.lit(None).cast("string").alias("path"))).select("worker_id", "kind", "ts")
 )

@@ -21,7 +21,11 @@ def worker_states(events: DataFrame) -> DataFrame:
 
 
 def byte_progress(events: DataFrame, every: str = "100 milliseconds", late: str | None = None) -> DataFrame:
-    """The furthest byte of each file per interval; the interval that holds the total is the final one."""
+    """The furthest byte of each file per interval; the interval that holds the total is the final one.
+
+    As a stream it needs ``late``: in append mode an interval comes out once, when no event of the last micro-batch is more than
+    that before its end, and events of intervals that are out already are dropped.
+    """
     rows = events.where("bytes_done is not null").withColumn("at", F.col("ts").cast("timestamp"))
     if late:
         rows = rows.withWatermark("at", late)
@@ -34,26 +38,6 @@ def first_of_checksum(events: DataFrame) -> DataFrame:
     return events.where("checksum is not null").dropDuplicates(["checksum"])
 
 
-def stream_catalog(stream: DataFrame, table: str, checkpoint: str, key: str = "checksum"):
-    """Append each micro-batch's new files to a Parquet table once, across restarts.
-
-    A batch is marked by its number, so one that is replayed after a failure first loses what its earlier try wrote; of
-    equal keys in a batch the smallest ``event_id`` counts, and keys that the table holds are left out.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*batch.columns), "event_id").alias("r")).select("r.*")
-        if there:
-            old = spark.read.parquet(table).where(F.col("batch") != number)
-            first = first.join(old.select(key), key, "left_anti").select(batch.columns)
-        first.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
-
 def plain_lines(events: DataFrame) -> DataFrame:
     """A line of text per event."""
     return events.select(F.format_string("%s %-10s %s%s", F.date_format("ts", "HH:mm:ss"), F.upper("kind"), F.coalesce("path", F.lit("")), F.coalesce(F.concat(F.lit(": "), "message"), F.lit(""))).alias("line"))

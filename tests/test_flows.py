@@ -15,6 +15,7 @@ from stratalog.sources import ledger as ledger_files
 from stratalog.sources import store as stores
 from stratalog.sources import tree as trees
 from stratalog.streaming import events as streams
+from stratalog.streaming import state
 
 JPEG = b"\xff\xd8\xff\xe0rest of "
 
@@ -229,15 +230,55 @@ def test_plan_order_of_decisions(spark, tmp_path):
     assert got == {1: ("error", None), 2: ("skip", None), 3: ("copy", None), 4: ("duplicate", "2024/01-Jan/20240101_000000-1-c.jpg"), 5: ("duplicate", "there.jpg"), 6: ("skip", None)}
 
 
-def test_stream_catalog_survives_restart(spark, tmp_path):
-    source, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
-    put = lambda name, *rows: spark.createDataFrame(list(rows), "event_id bigint, checksum string").coalesce(1).write.mode("append").parquet(str(source))
-    go = lambda: streams.stream_catalog(spark.readStream.schema("event_id bigint, checksum string").parquet(str(source)), table, state).trigger(availableNow=True).start().awaitTermination()
-    put("1", (1, "a"), (2, "a"), (3, "b"))
-    go()
-    put("2", (4, "b"), (5, "c"), (6, None))
-    go()
-    assert sorted((r["event_id"], r["checksum"]) for r in spark.read.parquet(table).collect()) == [(1, "a"), (3, "b"), (5, "c")]
+def fed(spark, source, schema, *batches):
+    """Appends files to a folder and reads it as a stream, a file per micro-batch."""
+    for rows in batches:
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(source))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+
+def test_first_seen_survives_restart(spark, tmp_path):
+    table, checkpoint, kind = str(tmp_path / "table"), str(tmp_path / "state"), "event_id bigint, checksum string"
+    go = lambda stream: state.into_table(state.first_seen(stream), table, checkpoint).trigger(availableNow=True).start().awaitTermination(60)
+    found = lambda: sorted((r["event_id"], r["checksum"]) for r in spark.read.parquet(table).collect())
+    go(fed(spark, tmp_path / "in", kind, [(2, "a"), (1, "a"), (3, "b")]))
+    assert found() == [(1, "a"), (3, "b")]
+    go(fed(spark, tmp_path / "in", kind, [(4, "b"), (5, "c"), (6, None)], [(0, "a"), (7, "c"), (8, "d")]))
+    assert found() == [(1, "a"), (3, "b"), (5, "c"), (8, "d")]
+    # What is written a second time, after a failure, replaces the first try; no other batch is touched.
+    before = {r["f"] for r in spark.read.parquet(table).where("batch < 2").select(F.input_file_name().alias("f")).collect()}
+    batch = spark.createDataFrame([(8, "d")], kind).withColumn("batch", F.lit(2).cast("bigint"))
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+    assert found() == [(1, "a"), (3, "b"), (5, "c"), (8, "d")] and before == {r["f"] for r in spark.read.parquet(table).where("batch < 2").select(F.input_file_name().alias("f")).collect()}
+
+
+def test_first_seen_forgets(spark, tmp_path):
+    """A key that comes again within the time it is kept for is kept on; one that was silent for longer is new."""
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    stream = fed(spark, tmp_path / "in", "event_id bigint, ts timestamp_ntz, checksum string", [(1, at(0), "a"), (2, at(0), "a"), (3, at(0), "b")], [(4, at(8), "b")], [(5, at(15), "c")], [(6, at(16), "b"), (7, at(16), "a")])
+    state.into_table(state.first_seen(stream, keep_for="10 seconds", late="1 second"), str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r["event_id"], r["checksum"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (3, "b"), (5, "c"), (7, "a")]
+
+
+def test_worker_changes(spark, tmp_path):
+    """Terminal events end a worker's state, late ones change nothing, and silence expires by event time."""
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    kind = "event_id bigint, ts timestamp_ntz, kind string, worker_id bigint, path string"
+    batches = [
+        [(1, at(0), "hash", 1, "a"), (2, at(1), "copy", 1, "a"), (3, at(1), "hash", 2, "b"), (9, at(2), "hash", 3, None)],
+        [(4, at(2), "complete", 1, "a"), (0, at(0), "hash", 2, "old"), (5, at(50), "hash", 4, "d")],
+        [(6, at(100), "copy", 4, "d"), (7, at(101), "hash", 1, "e")],
+        [(8, at(103), "copy", 1, "e")],
+    ]
+    stream = fed(spark, tmp_path / "in", kind, *batches)
+    state.into_table(state.worker_changes(stream, "60 seconds", "1 second"), str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    got = sorted((r["worker_id"], r["batch"], r["kind"], r["change"]) for r in rows.collect())
+    assert [(w, k, c) for w, _, k, c in got] == [
+        (1, "copy", "working"), (1, "complete", "ended"), (1, "hash", "working"), (1, "copy", "working"), (2, "hash", "working"), (2, "hash", "expired"),
+        (3, "hash", "working"), (3, "hash", "expired"), (4, "hash", "working"), (4, "copy", "working"),
+    ]
+    assert sorted(tuple(r) for r in state.current_workers(rows).collect()) == [(1, "copy", "e", at(103)), (4, "copy", "d", at(100))]
 
 
 def test_worker_states_and_progress(spark):

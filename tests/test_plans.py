@@ -9,7 +9,7 @@ from stratalog.plans import registry, views
 LEAVES_JVM = {"content_hash_xxh64"}
 #: One row meets many: totals and counts.
 ONE_ROW_JOINS = {"archive_stats", "format_share"}
-STREAMED = {"stream_counters", "stream_dedup"}
+STREAMED = {"stream_counters", "stream_dedup", "worker_states_streamed", "byte_progress_streamed", "observed_stream", "observed_counters"}
 #: Bytes of rows whose algorithm has no native form go to Python, null for all others.
 PARTLY = {"verify_archive", "verify_counters", "verify_tree"}
 
