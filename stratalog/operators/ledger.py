@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 SUCCESS = ("copy", "duplicate")
 
 
-def with_runs(lines: DataFrame, ledger: str = "ledger", seq: str = "seq") -> DataFrame:
+#: Line numbers that one task adds up: a ledger's lines are cut into parts of so many.
+PART = 1 << 14
+
+
+def with_runs(lines: DataFrame, ledger: str = "ledger", seq: str = "seq", part: int = PART) -> DataFrame:
     """Lines with ``run_seq``: how many headers (``version > 0``) stand at or before the line, 0 for entries before any.
 
-    One window per ledger file: a ledger is written by one process, so its lines are bounded by that process's work.
+    A running sum in two levels, so that one long ledger isn't one task: within parts of ``part`` line numbers, and over the
+    parts' sums, of which a ledger has a row per part.
     """
-    upto = Window.partitionBy(ledger).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("run_seq", F.sum(F.when(F.coalesce("version", F.lit(0)) > 0, 1).otherwise(0)).over(upto))
+    header = F.when(F.coalesce("version", F.lit(0)) > 0, 1).otherwise(0)
+    cut = lines.withColumns({"_part": F.floor(F.col(seq) / part), "_header": header})
+    earlier = Window.partitionBy(ledger).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(ledger, "_part").agg(F.sum("_header").alias("_n")).select(ledger, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    upto = Window.partitionBy(ledger, "_part").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = cut.withColumn("_own", F.sum("_header").over(upto))
+    return counted.join(starts, [ledger, "_part"]).withColumn("run_seq", F.col("_start") + F.col("_own")).select(*lines.columns, "run_seq")
 
 
 def entries(lines: DataFrame) -> DataFrame:

@@ -214,6 +214,13 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.with_runs(lines).select("ledger", "seq", "run_seq")
 
 
+@query("ledger_run_assignment_single", "SELECT event_id AS seq, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS run_seq FROM events")
+def _assigned_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one ledger, cut into parts of 1,024 lines."""
+    lines = table(spark, sf_dir, "events").select(F.lit("all").alias("ledger"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", 4).alias("version"))
+    return ledger.with_runs(lines, part=1 << 10).select("seq", "run_seq")
+
+
 @query("ledger_latest_entries", "WITH l AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), m AS (SELECT user_id, max(r) AS r FROM l GROUP BY user_id) SELECT 'user_' || l.user_id AS ledger, l.event_id AS seq FROM l JOIN m ON l.user_id = m.user_id AND l.r = m.r WHERE l.event_type <> 'signup'")
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(F.concat(F.lit("user_"), "user_id").alias("ledger"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", 4).alias("version"))

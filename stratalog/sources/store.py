@@ -15,20 +15,25 @@ from ..schemas import FILES, RUNS
 from ..skew import with_known
 from ..workdir import numbered, tables
 
-VERSION = 4
+VERSION = 5
+#: Columns that a table's folders are named by: what changes in one run leaves the others' files alone.
+PARTITIONED = {"runs": (), "files": ("run_id",)}
 
 
 class Store:
     """Tables ``runs``, ``files`` and ``schema_version`` under one folder.
 
-    Rows are only ever appended or rewritten as a whole: a rewrite goes to a new generation folder, and the pointer file
-    is replaced last, so readers see either the old or the new table.
+    ``files`` has a folder per run. Rows are appended, or the folders of the runs that an update touches are overwritten, or a
+    table is rewritten as a whole: that goes to a new generation folder, and the pointer file is replaced last, so readers
+    see either the old or the new table. Ids are given out in order and a run's files have ids of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = spark, path
         if create:
             os.makedirs(path, exist_ok=True)
+            if not any(os.path.exists(self._pointer(name)) for name in PARTITIONED):
+                replace_text(os.path.join(path, "schema_version"), str(VERSION))
             for name, schema in (("runs", RUNS), ("files", FILES)):
                 if not os.path.exists(self._pointer(name)):
                     self.replace(name, spark.createDataFrame([], schema))
@@ -44,7 +49,10 @@ class Store:
             return os.path.join(self.path, f.read())
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._folder(name))
+        schema = {"runs": RUNS, "files": FILES}[name]
+        if not self._current():
+            return self.spark.read.parquet(self._folder(name))  # what an older catalogue lacks is seen by its columns
+        return self.spark.read.schema(schema).parquet(self._folder(name)).select(*schema.names)  # names of folders are no numbers
 
     @property
     def runs(self) -> DataFrame:
@@ -55,13 +63,24 @@ class Store:
         return self.read("files")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._folder(name))
+        self._writer(name, rows).mode("append").parquet(self._folder(name))
+
+    @staticmethod
+    def _writer(name: str, rows: DataFrame):
+        return rows.write.partitionBy(*PARTITIONED[name]) if PARTITIONED[name] else rows.write
+
+    def _current(self) -> bool:
+        try:
+            with open(os.path.join(self.path, "schema_version"), encoding="utf-8") as f:
+                return int(f.read()) >= VERSION
+        except FileNotFoundError:
+            return False
 
     def replace(self, name: str, rows: DataFrame) -> None:
         number = 0
         while os.path.exists(os.path.join(self.path, f"{name}-{number}")):
             number += 1
-        rows.write.parquet(os.path.join(self.path, f"{name}-{number}"))
+        self._writer(name, rows).parquet(os.path.join(self.path, f"{name}-{number}"))
         replace_text(self._pointer(name), f"{name}-{number}")
 
     def insert_files(self, rows: DataFrame, order: str) -> None:
@@ -80,8 +99,21 @@ class Store:
         self.replace("runs", self.runs.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), "finished_at": F.when(hit, F.lit(finished_at).cast("timestamp_ntz")).otherwise(F.col("finished_at"))}))
 
     def update_files(self, events: DataFrame) -> None:
-        """Fold status events ``(id, seq, status, at, ...)`` into the files; see ``applied``."""
-        self.replace("files", applied(self.files, events))
+        """Fold status events ``(id, seq, status, at, ...)`` into the files; see ``applied``. Only the touched runs are rewritten."""
+        table = tables(self.spark, "update")
+        events = table("events", events)
+        runs = table("runs", self.files.join(events.select("id").distinct(), "id", "left_semi").select("run_id").distinct())
+        changed = table("changed", applied(self.files.join(runs, "run_id", "left_semi").select(FILES.names), events))
+        self._writer("files", changed).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._folder("files"))
+
+    def complete_files(self, finishing: DataFrame) -> None:
+        """Complete ``finishing(id, checksum)``, of equal checksums only the first as an original; see ``completed``. Only the
+        touched runs are rewritten; the others are read for their checksums."""
+        table = tables(self.spark, "complete")
+        finishing = table("finishing", finishing)
+        runs = table("runs", self.files.join(finishing.select("id").distinct(), "id", "left_semi").select("run_id").distinct())
+        changed = table("changed", completed(self.files, finishing).join(runs, "run_id", "left_semi").select(FILES.names))
+        self._writer("files", changed).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._folder("files"))
 
     def compact(self) -> None:
         """Rewrite both tables into as few files as their size needs, unless a run is active."""
@@ -89,22 +121,19 @@ class Store:
             raise RuntimeError("a run is active")
         for name in ("runs", "files"):
             old = self._folder(name)
-            self.replace(name, self.read(name).repartition(1 if name == "runs" else max(1, self.read(name).rdd.getNumPartitions() // 8)))
+            rows = self.read(name)
+            self.replace(name, rows.hint("rebalance", *PARTITIONED[name]) if PARTITIONED[name] else rows.repartition(1))
             shutil.rmtree(old)
 
     def migrate(self) -> None:
         """Add what older catalogues lack; a catalogue of the current version is left alone."""
-        marker = os.path.join(self.path, "schema_version")
-        if os.path.exists(marker):
-            with open(marker, encoding="utf-8") as f:
-                if int(f.read()) >= VERSION:
-                    return
+        if self._current():
+            return
         runs, files = migrated(self.runs, self.files)
         if runs.columns != self.runs.columns:
             self.replace("runs", runs)
-        if files.columns != self.files.columns:
-            self.replace("files", files)
-        replace_text(marker, str(VERSION))
+        self.replace("files", files)  # into a folder per run
+        replace_text(os.path.join(self.path, "schema_version"), str(VERSION))
 
 
 #: The time column that a status sets.

@@ -1,6 +1,7 @@
 """Catalogue operators on small literal relations."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import Row
@@ -177,3 +178,42 @@ def test_violations(spark):
     r = runs(spark, run("a"), run("a"), run("b", status="odd"))
     f = files(spark, {"run_id": "a"}, {"run_id": "zz"}, {"run_id": "a", "status": "odd"})
     assert sorted(x["kind"] for x in schemas.violations(f, r).collect()) == ["file status", "repeated run", "run status", "unknown run"]
+
+
+def listed(folder):
+    return {os.path.relpath(os.path.join(at, n), folder) for at, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+
+
+def test_updates_leave_other_runs_files_alone(spark, tmp_path):
+    """Run ids that look like numbers, dates and null keep their text; what an update doesn't touch stays byte by byte."""
+    s = store.Store(spark, str(tmp_path / "catalog"))
+    for run in ("007", "2026-01-01", "a/b=c"):
+        s.insert_files(spark.createDataFrame([Row(run_id=run, source_path=f"/{run}/{k}") for k in range(3)]), "source_path")
+    assert sorted((r["id"], r["run_id"]) for r in s.files.collect()) == [(k + 1, ("007", "2026-01-01", "a/b=c")[k // 3]) for k in range(9)]
+    before = listed(s._folder("files"))
+    at = dt.datetime(2026, 2, 2)
+    s.update_files(spark.createDataFrame([(4, 1, "hashed", at, "x"), (5, 2, "hashed", at, "x"), (4, 3, "verified", at, None), (99, 4, "failed", at, None)], "id bigint, seq bigint, status string, at timestamp_ntz, checksum string"))
+    gone = before - listed(s._folder("files"))
+    assert gone and {os.path.dirname(f) for f in gone} == {"run_id=2026-01-01"}
+    got = {r["id"]: r for r in s.files.collect()}
+    assert len(got) == 9 and (got[4]["status"], got[4]["checksum"], got[4]["verified_at"], got[5]["status"], got[6]["status"]) == ("verified", "x", at, "hashed", "pending")
+    before = listed(s._folder("files"))
+    s.complete_files(spark.createDataFrame([(5, "x"), (4, "x"), (7, "y")], "id bigint, checksum string"))
+    got = {r["id"]: (r["status"], r["is_duplicate"]) for r in s.files.collect()}
+    assert {k: got[k] for k in (4, 5, 7)} == {4: ("complete", False), 5: ("complete", True), 7: ("complete", False)} and got[1] == ("pending", False)
+    assert {f for f in before if f.startswith("run_id=007")} <= listed(s._folder("files"))
+    s.complete_files(spark.createDataFrame([(1, "x")], "id bigint, checksum string"))
+    assert {r["id"]: r["is_duplicate"] for r in s.files.where("status = 'complete'").collect()} == {1: True, 4: False, 5: True, 7: False}
+    s.compact()
+    assert len(s.files.collect()) == 9
+
+
+def test_older_catalogue_gets_a_folder_per_run(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "catalog"))
+    s.insert_files(spark.createDataFrame([Row(run_id="r1", source_path="/1"), Row(run_id="r2", source_path="/2")]), "source_path")
+    s.files.drop("algorithm").write.parquet(str(tmp_path / "catalog" / "files-9"))
+    store.replace_text(s._pointer("files"), "files-9")
+    store.replace_text(str(tmp_path / "catalog" / "schema_version"), "4")
+    new = store.Store(spark, str(tmp_path / "catalog"))
+    assert sorted((r["run_id"], r["source_path"], r["algorithm"]) for r in new.files.collect()) == [("r1", "/1", None), ("r2", "/2", None)]
+    assert {os.path.dirname(f) for f in listed(new._folder("files"))} == {"run_id=r1", "run_id=r2"}
