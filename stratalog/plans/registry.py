@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, formats, globs, hashing, paths, text, xmp
-from ..operators import catalog, doctor, ledger, sidecars
+from ..operators import catalog, doctor, ledger, rules, sidecars
 from ..sources import index, store
 from ..streaming import events as streams
 from ..streaming import state
@@ -344,6 +344,43 @@ def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(globs.hidden_file(F.col("name"), F.col("rel"), scopes), F.lit(False)).alias("hidden"), F.coalesce(globs.hidden_folder(F.col("source"), F.col("source"), scopes), F.lit(False)).alias("folder_hidden"))
 
 
+_LANGS = ("en", "de", "fr", "es")
+
+
+@query(
+    "ignore_scopes_joined",
+    """WITH t AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.' || lang AS rel, 'doc_' || doc_id || '.' || lang AS name FROM documents),
+ s AS (SELECT k, CASE WHEN k < 9000 THEN 'src' || k ELSE 'src' || (k % 40) || '/' || ['en', 'de', 'fr', 'es'][1 + k % 4] END AS scope,
+   CASE WHEN k < 9000 THEN '7\\.' || ['en', 'de', 'fr', 'es'][1 + k % 4] || '$' ELSE '^doc_[^/]*' || (k % 100) || '[^/]\\.[^/]*$' END AS regex FROM range(10000) r(k)),
+ found AS (SELECT DISTINCT t.doc_id FROM t JOIN s ON starts_with(t.rel, s.scope || '/') AND regexp_matches(t.name, s.regex))
+ SELECT doc_id, doc_id IN (SELECT doc_id FROM found) AS hidden FROM t""",
+)
+def _scopes_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of 10,000 scopes with a pattern each."""
+    k, lang = F.col("id"), views._pick(F.col("id"), *_LANGS)
+    scope = F.when(k < 9000, F.concat(F.lit("src"), k)).otherwise(F.concat(F.lit("src"), k % 40, F.lit("/"), lang))
+    pattern = F.when(k < 9000, F.concat(F.lit("*7."), lang)).otherwise(F.concat(F.lit("doc_*"), k % 100, F.lit("?.*")))
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), F.col("lang"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.concat("source", F.lit("/"), "lang", F.lit("/"), name).alias("rel"))
+    return rules.hidden(rows, spark.range(10000).select(scope.alias("scope"), pattern.alias("pattern"))).select("doc_id", "hidden")
+
+
+@query(
+    "doctor_rules_joined",
+    f"""WITH {FILES_SQL}, m AS (SELECT id, status, coalesce(error, skip_reason) || ' at ' || source_path AS message FROM files WHERE status IN ('failed', 'mismatch', 'tag_failed', 'skipped')),
+ r(rule_order, status, pattern) AS (SELECT k, 'failed', 'doc_' || k || '.' FROM range(10000) t(k) UNION ALL VALUES (300, 'failed', 'promote:'), (400, 'failed', 'dedup check:'), (20000, 'failed', 'at'), (20001, 'mismatch', 'checksum'), (20002, 'tag_failed', ''), (20003, 'skipped', 'unsupported format:')),
+ found AS (SELECT m.id, min(r.rule_order) AS rule_order FROM m JOIN r ON m.status = r.status AND contains(lower(m.message), r.pattern) GROUP BY m.id)
+ SELECT m.id, coalesce(f.rule_order, -1) AS rule_order FROM m LEFT JOIN found f ON m.id = f.id""",
+)
+def _rules_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of 10,000 rules and some more."""
+    bad = files(spark, sf_dir).where(F.col("status").isin("failed", "mismatch", "tag_failed", "skipped"))
+    rows = bad.select("id", "status", F.concat(F.coalesce("error", "skip_reason"), F.lit(" at "), "source_path").alias("message"))
+    few = [(300, "failed", "Promote:"), (400, "failed", "dedup check:"), (20000, "failed", "at"), (20001, "mismatch", "checksum"), (20002, "tag_failed", ""), (20003, "skipped", "unsupported format:")]
+    many = spark.range(10000).select(F.col("id").alias("rule_order"), F.lit("failed").alias("status"), F.concat(F.lit("doc_"), "id", F.lit(".")).alias("pattern"))
+    return rules.first_rules(rows, many.unionByName(spark.createDataFrame(few, many.schema))).select("id", F.coalesce("rule_order", F.lit(-1).cast("bigint")).alias("rule_order"))
+
+
 @query(
     "path_display",
     f"""WITH {FILES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN dest_rel ELSE 'A/' || dest_rel END AS shown,

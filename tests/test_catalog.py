@@ -5,9 +5,11 @@ import os
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from stratalog import schemas
-from stratalog.operators import catalog
+from stratalog.functions import globs
+from stratalog.operators import catalog, doctor, rules
 from stratalog.sources import store
 
 AT = dt.datetime(2026, 1, 1, 10)
@@ -217,3 +219,23 @@ def test_older_catalogue_gets_a_folder_per_run(spark, tmp_path):
     new = store.Store(spark, str(tmp_path / "catalog"))
     assert sorted((r["run_id"], r["source_path"], r["algorithm"]) for r in new.files.collect()) == [("r1", "/1", None), ("r2", "/2", None)]
     assert {os.path.dirname(f) for f in listed(new._folder("files"))} == {"run_id=r1", "run_id=r2"}
+
+
+def test_scopes_by_join_equal_the_compiled_ones(spark):
+    scopes = {"": ["*.tmp", "  x/**/y.jpg ", "deep/", "[broken", ""], "a": ["b*.png", "c/*.gif", "**/z"], "a/b": ["?.jpg", "/q"], "none": ["*"]}
+    rels = ["k.tmp", "x/y.jpg", "x/1/2/y.jpg", "a/b1.png", "b1.png", "a/c/d.gif", "a/x/c/d.gif", "a/b/c/z", "z", "a/b/1.jpg", "a/1.jpg", "a/b/12.jpg", "deep", "deep/f", "a", "", None, "none", "none/x", "ab/b1.png"] * 2
+    rows = spark.createDataFrame([(k, None if r is None else r.rsplit("/", 1)[-1], r) for k, r in enumerate(rels)], "id int, name string, rel string").withColumn("hidden_before", F.lit(1))
+    table = spark.createDataFrame([(s, p) for s, patterns in scopes.items() for p in patterns] + [(None, "*"), ("a", None)], "scope string, pattern string")
+    for folders, compiled in ((False, globs.hidden_file), (True, globs.hidden_folder)):
+        want = {r["id"]: bool(r["h"]) for r in rows.select("id", F.coalesce(compiled(F.col("name"), F.col("rel"), scopes), F.lit(False)).alias("h")).collect()}
+        got = {r["id"]: r["hidden"] for r in rules.hidden(rows, table, folders).collect()}
+        assert got == want and any(got.values())
+
+
+def test_rules_by_join_equal_the_compiled_ones(spark):
+    table = spark.createDataFrame([(k, s, p) for k, r in enumerate(doctor.RULES, 1) for s in r.statuses for p in r.patterns] + [(0, None, "x"), (0, "failed", None)], "rule_order int, status string, pattern string")
+    messages = [m.upper() + " tail" for r in doctor.RULES for m in r.patterns] + ["", None, "verify: copy: write x", "nothing known", "tag", "tag x"] + ["hot copy: message"] * 400
+    rows = spark.createDataFrame([(k, s, m) for k, m in enumerate(messages) for s in ("failed", "error", "mismatch", "skip", "complete", None)], "id int, status string, message string")
+    key = lambda r: (r["id"], r["status"] or "")
+    assert {key(r): r["rule_order"] for r in rules.first_rules(rows, table).collect()} == {key(r): r["rule_order"] for r in doctor.classified(rows).collect()}
+    assert {r["rule_order"] for r in rules.first_rules(rows.limit(5), table.limit(0)).collect()} == {None}
