@@ -101,7 +101,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     ``positions`` has a training time in 0..1 for every copy that the mix takes, so its length is 0, 1 or ``passes``.
     A null or word-less text has size 0 and takes nothing. A null source is a source of its own, the last. Ids may be null
     or repeat: only rows with equal id and text share a place in the order, stand in either order and lie in one slice.
-    Texts are read for their sizes and hashes alone, unless they are kept.
+    Texts are read for their sizes and hashes alone, unless they are kept; very long ones may exceed what is left of a target and
+    are then taken or not by their middle. An empty table gives an empty one; columns come back in ``row``, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     id_, text, source = docs[id_col], docs[text_col], docs[source_col]

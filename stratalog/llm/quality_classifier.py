@@ -122,7 +122,8 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     """The columns of ``docs`` but the text as the struct ``row``, with ``score``: the probability of label 1 for every whole text.
 
     A null, empty or word-less text gets the bias's probability (0.5 for a model learnt from nothing). Rows are scored one by
-    one: repeated rows and null ids come out as they went in, equal texts with equal scores.
+    one: repeated rows and null ids come out as they went in, equal texts with equal scores. Very long texts are read whole; an
+    empty table gives an empty one; columns come back in ``row``, whatever their names.
     """
     return scored(docs, text_col, weights, probability)
 

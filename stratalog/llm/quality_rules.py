@@ -41,7 +41,8 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` as the struct ``row`` with counts, ``base_failed``, ``kept`` and ``clean_text``.
 
     A null or word-less text counts zero everywhere, fails the base rules and isn't kept; rows are judged one by one, so
-    repeated rows and null ids come out as they went in.
+    repeated rows and null ids come out as they went in. Very long texts are judged whole; an empty table gives an empty one;
+    other columns come back in ``row``, whatever their names.
     """
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.select("row", "text", F.expr(f"regexp_extract_all(text, {_WORD}, 0)").alias("words"))

@@ -48,7 +48,8 @@ def attribute(text: Text, ids: np.ndarray, lengths: np.ndarray, starts: np.ndarr
 def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``(id_col, section, char_start, char_end, n_tokens, n_crossing)`` for each line of each whole text.
 
-    A null or empty text is one empty section with no tokens; repeated rows and null ids come out as they went in.
+    A null or empty text is one empty section with no tokens; repeated rows and null ids come out as they went in. Very long texts are encoded whole; an empty table gives an empty one;
+    other columns are ignored, whatever their names.
     ``vocabulary`` is the path of a byte-level vocabulary in ranks form.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -254,12 +254,14 @@ class Forest:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots to interpolate between, never decreasing."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators: knots to interpolate between, never decreasing. Equal ``x`` are one point, their weighted mean."""
+    points, of = np.unique(x, return_inverse=True)
+    sums = np.bincount(of, weights=weight, minlength=len(points))
+    means = np.bincount(of, weights=weight * y, minlength=len(points)) / sums
     blocks: list[list[float]] = []  # mean, weight, first x, last x
-    for xi, yi, wi in zip(x[order], y[order], weight[order], strict=True):
+    for xi, yi, wi in zip(points, means, sums, strict=True):
         blocks.append([yi, wi, xi, xi])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m, w, _, last = blocks.pop()
             b = blocks[-1]
             b[0], b[1], b[3] = (b[0] * b[1] + m * w) / (b[1] + w), b[1] + w, last
@@ -320,6 +322,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     """The columns of ``docs`` as the struct ``row`` (the text among them with ``keep_text``), with ``score`` for every whole text.
 
     A null text counts as empty; a text without words has no hits and gets the score that such texts have. Rows are scored one
-    by one: repeated rows and null ids come out as they went in, equal texts with equal scores.
+    by one: repeated rows and null ids come out as they went in, equal texts with equal scores. Very long texts are read whole;
+    an empty table gives an empty one; columns come back in ``row``, whatever their names.
     """
     return scored(docs, text_col, model, Model.probability, keep_text)
