@@ -53,7 +53,7 @@ def _now() -> dt.datetime:
 
 
 def _source(spark: SparkSession, source: str, options: IngestOptions) -> DataFrame:
-    tree = trees.read_tree(spark, source, recursive=options.recursive, scopefile=IGNORE, prune=options.ignore)
+    tree = trees.walk_tree(spark, source, recursive=options.recursive, scopefile=IGNORE, prune=options.ignore)
     rows = trees.classified(tree, ignore=options.ignore, always=ALWAYS, carry_sidecars=options.carry_sidecars)
     return rows.join(options.only, "path", "left_semi") if options.only is not None else rows
 
@@ -121,12 +121,12 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
 
 def run_verify(spark: SparkSession, archive: str, default: str = "sha1") -> DataFrame:
     """Every visible file of an archive with its status; see ``verify.whole_tree``."""
-    rows = trees.classified(trees.read_tree(spark, archive).where(~F.col("name").startswith(".")))
+    rows = trees.classified(trees.walk_tree(spark, archive).where(~F.col("name").startswith(".")))
     return verify.whole_tree(rows.select("path", "dir", "name", "format"), verify.verified_files, default)
 
 
 def run_status(spark: SparkSession, source: str, recursive: bool = True, ignore: list[str] | None = None) -> DataFrame:
-    tree = trees.classified(trees.read_tree(spark, source, recursive=recursive, scopefile=IGNORE, prune=ignore or []), ignore=ignore, always=ALWAYS, carry_sidecars=False)
+    tree = trees.classified(trees.walk_tree(spark, source, recursive=recursive, scopefile=IGNORE, prune=ignore or []), ignore=ignore, always=ALWAYS, carry_sidecars=False)
     lines = ledger_files.read_ledger(spark, os.path.join(source, LEDGER))
     if lines is None:
         lines = ledger_files.parsed(spark.createDataFrame([], "ledger string, seq bigint, value string"))
@@ -162,7 +162,7 @@ def run_stats(store: Store) -> dict[str, DataFrame]:
 
 def run_clean(spark: SparkSession, archive: str, store: Store | None = None, dry_run: bool = False) -> dict:
     """Remove leftover temporary files and orphaned sidecars; compact the catalogue unless a run is active."""
-    tree = trees.read_tree(spark, archive, dotdirs=True).select("path", "name")
+    tree = trees.walk_tree(spark, archive, dotdirs=True).select("path", "name")
     paths = lambda df: (r["path"] for r in df.select("path").toLocalIterator())
     out = {
         "temporary": execute.cleaned(paths(tree.where(is_temporary(F.col("name"), execute.TEMPORARY))), dry_run),
@@ -192,7 +192,7 @@ def run_retry(spark: SparkSession, store: Store, archive: str, run_prefix: str |
     row = run.collect()[0]
     options = options or IngestOptions()
     bad = catalog.errors(store.files, store.runs, row["id"])
-    there = trees.read_tree(spark, row["source"], recursive=True).select("path")
+    there = trees.walk_tree(spark, row["source"], recursive=True).select("path")
     kept = catalog.retryable(bad, there, ~F.lower(extension(F.col("source_path"))).isin(*SIDECARS))
     only = kept.select(F.col("source_path").alias("path")).distinct()
     options.algorithm, options.only = row["algorithm"], tables(spark, "retry")("only", only)  # the run itself appends to the catalogue

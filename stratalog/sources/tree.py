@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.formats import HEADER_BYTES, SIDECARS, Registry
 from ..functions.globs import cleaned, ignored_file, to_regex
 from ..functions.paths import extension
+from ..workdir import tables
 
 FORMAT = "stratalog_tree"
 SCHEMA = "path string, rel_path string, dir string, name string, is_symlink boolean, length bigint, header binary, unreadable string, content binary"
@@ -67,6 +70,24 @@ def scope_rules(scope: str, text: str) -> tuple[tuple[str, str], ...]:
     return tuple((scope, p) for p in cleaned(text.split("\n")) if not p.startswith("#"))
 
 
+def opened(root: str, rel: str, whole: bool = False) -> tuple:
+    """A file's row of ``SCHEMA``: what can't be read says so, links aren't followed."""
+    path = os.path.join(root, rel)
+    linked, header, error, size, content = os.path.islink(path), None, None, None, None
+    try:
+        size = os.lstat(path).st_size
+        if not linked:
+            with open(path, "rb") as f:
+                header = f.read(HEADER_BYTES)
+                if whole:
+                    content = header + f.read()
+            if not header:
+                error = "EOF"
+    except OSError as e:
+        error = e.strerror or str(e)
+    return path, rel, os.path.dirname(rel), os.path.basename(rel), linked, size, header, error, content
+
+
 class TreeReader(DataSourceReader):
     """Options: path, recursive, dotdirs (enter them), content (read bytes), files (a partition's files), prune (globs), scopefile.
 
@@ -125,21 +146,9 @@ class TreeReader(DataSourceReader):
                 yield rel
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for rel in (rel for span in partition.spans for rel in self._files(span)):
-            path = os.path.join(self.root, rel)
-            linked, header, error, size, content = os.path.islink(path), None, None, None, None
-            try:
-                size = os.lstat(path).st_size
-                if not linked:
-                    with open(path, "rb") as f:
-                        header = f.read(HEADER_BYTES)
-                        if self.content:
-                            content = header + f.read()
-                    if not header:
-                        error = "EOF"
-            except OSError as e:
-                error = e.strerror or str(e)
-            yield path, rel, os.path.dirname(rel), os.path.basename(rel), linked, size, header, error, content
+        for span in partition.spans:
+            for rel in self._files(span):
+                yield opened(self.root, rel, self.content)
 
 
 class TreeSource(DataSource):
@@ -162,6 +171,57 @@ def read_tree(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load()
 
 
+#: What a listing finds: a file, or a folder with the rules that hold in it.
+LISTED = "is_folder boolean, rel string, rules array<struct<scope: string, pattern: string>>"
+
+
+def walk_tree(spark: SparkSession, path: str, recursive: bool = True, dotdirs: bool = False, content: bool = False, prune: list[str] | None = None, scopefile: str = "", files: int = 2000) -> DataFrame:
+    """``read_tree`` for trees of many folders: they are listed by tasks, a level of the tree at a time, each folder once.
+
+    A level's folders are a table, and so are the files found; the driver sees their numbers only. Each task then opens about
+    ``files`` files. The folders must be there for all executors.
+    """
+    root, table = os.path.abspath(path), tables(spark, "walk")
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for folder, given in zip(part["rel"], part["rules"], strict=True):
+                rules, found = tuple((r["scope"], r["pattern"]) for r in given), []
+                if scopefile:
+                    try:
+                        with open(os.path.join(root, folder, scopefile), encoding="utf-8", errors="replace") as f:
+                            rules += scope_rules(folder, f.read())
+                    except OSError:
+                        pass
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for e in entries:
+                        rel = f"{folder}/{e.name}" if folder else e.name
+                        if not e.is_dir(follow_symlinks=False):
+                            if not file_ignored(rel, rules):
+                                found.append((False, rel, None))
+                        elif recursive and (dotdirs or not e.name.startswith(".")) and not folder_ignored(rel, rules):
+                            found.append((True, rel, [{"scope": s, "pattern": p} for s, p in rules]))
+                        if len(found) >= 10000:
+                            yield pd.DataFrame(found, columns=["is_folder", "rel", "rules"])
+                            found = []
+                yield pd.DataFrame(found, columns=["is_folder", "rel", "rules"])
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for part in parts:
+            for k in range(0, len(part), 64 if content else len(part)):
+                yield pd.DataFrame([opened(root, rel, content) for rel in part["rel"][k : k + (64 if content else len(part))]], columns=names)
+
+    folders = spark.createDataFrame([("", [("", p) for p in prune or []])], "rel string, rules array<struct<scope: string, pattern: string>>")
+    levels, n, most = [], 1, 4 * spark.sparkContext.defaultParallelism
+    while n:
+        levels.append(table(f"level-{len(levels)}", folders.repartition(min(n, most)).mapInPandas(listed, LISTED)))
+        folders = levels[-1].where("is_folder").select("rel", "rules")
+        n = folders.count()
+    found = reduce(DataFrame.unionByName, levels).where("not is_folder").select("rel")
+    return found.repartition(max(1, -(-found.count() // files)), "rel").mapInPandas(read, SCHEMA)
+
+
 def classified(tree: DataFrame, registry: Registry | None = None, ignore: list[str] | None = None, always: tuple[str, ...] = (), carry_sidecars: bool = True) -> DataFrame:
     """``tree`` with ``ext``, ``format`` and ``reason``; ignored files are gone.
 

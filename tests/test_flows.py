@@ -323,6 +323,28 @@ def test_ignore_files_hide_files(spark, tmp_path):
     assert found(recursive=False) == {"a.jpg", "keep.txt"} and found(prune=["*.txt", "other/"]) == {"a.jpg"}
 
 
+def test_walk_by_levels_equals_the_reader(spark, tmp_path):
+    """Ignore files at three levels, hidden folders, links, empty and unreadable files, folders without files."""
+    for k in range(6):
+        folder = tmp_path.joinpath(*("abcdef"[:k]))
+        folder.mkdir(exist_ok=True)
+        for n in range(7):
+            (folder / f"{n}.jpg").write_bytes(JPEG + bytes([n]) if n else b"")
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "x.jpg").write_bytes(JPEG)
+    (tmp_path / "empty" / "folder").mkdir(parents=True)
+    (tmp_path / "gone" / "deep").mkdir(parents=True)
+    (tmp_path / "gone" / "deep" / "y.jpg").write_bytes(JPEG)
+    os.symlink(tmp_path / "a", tmp_path / "linked")
+    os.symlink(tmp_path / "nowhere", tmp_path / "a" / "broken")
+    (tmp_path / commands.IGNORE).write_text("1.jpg\ngone/\n")
+    (tmp_path / "a" / "b" / commands.IGNORE).write_text("c/2.jpg\n3.*\n")
+    for options in ({}, {"recursive": False}, {"dotdirs": True}, {"prune": ["e/**", "6.jpg"]}, {"scopefile": commands.IGNORE}, {"scopefile": commands.IGNORE, "content": True, "files": 5}):
+        want = sorted(map(str, trees.read_tree(spark, str(tmp_path), **options).collect()))
+        got = trees.walk_tree(spark, str(tmp_path), **options)
+        assert sorted(map(str, got.collect())) == want and want
+
+
 def test_spans_cover_a_tree(spark, tmp_path):
     names = [f"{d}/{k:03d}.jpg" for d in ("a", "b", "b/c") for k in range(25)] + ["z.jpg"]
     for n in names:
