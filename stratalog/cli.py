@@ -17,6 +17,7 @@ from .functions.paths import resolve_alias
 from .operators import catalog
 from .plans import commands, verify
 from .sources.store import Store, locate
+from .streaming import log as event_log
 
 VERSION = "0.1"
 
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = command("sort", "--dry-run", "--no-recursive", "--skip-duplicates", "--no-carry-sidecars", "--overwrite-sidecar-tags", "--no-ledger")
-    for f in ("--source", "--copyright", "--camera-owner", "--path-template"):
+    for f in ("--source", "--copyright", "--camera-owner", "--path-template", "--events"):
         p.add_argument(f, default="")
     p.add_argument("--ignore", action="append", default=[])
     p.add_argument("--since", type=_day)
@@ -64,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     for f in ("--from", "--to", "--imported-from", "--imported-to"):
         p.add_argument(f, type=_day, dest=f.strip("-").replace("-", "_") + ("_" if f == "--from" else ""))
     sub.add_parser("version")
+    sub.add_parser("events").add_argument("--events", required=True)
     return top
 
 
@@ -113,6 +115,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "version":
         print(VERSION)
         return 0
+    if a.command == "events":
+        spark = spark or SparkSession.builder.appName("stratalog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        for line in event_log.lines(spark, a.events):
+            print(line)
+        return 0
     a = with_settings(a)
     if getattr(a, "json", False) and getattr(a, "list", False):
         raise SystemExit("--list and --json exclude each other")
@@ -125,7 +132,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "sort":
         options = commands.IngestOptions(
             algorithm=a.algorithm, recursive=not a.no_recursive, since=a.since, before=a.before, skip_duplicates=a.skip_duplicates, dry_run=a.dry_run, ledger=not a.no_ledger,
-            carry_sidecars=not a.no_carry_sidecars, overwrite_sidecar_tags=a.overwrite_sidecar_tags, copyright=a.copyright, owner=a.camera_owner, ignore=a.ignore,
+            carry_sidecars=not a.no_carry_sidecars, overwrite_sidecar_tags=a.overwrite_sidecar_tags, copyright=a.copyright, owner=a.camera_owner, ignore=a.ignore, events=a.events or None,
             **({"template": a.path_template} if a.path_template else {}),
         )
         out = commands.run_ingest(spark, store, a.source, a.dest, options)

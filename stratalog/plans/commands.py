@@ -20,6 +20,7 @@ from ..settings import LOCAL
 from ..sources import ledger as ledger_files
 from ..sources import tree as trees
 from ..sources.store import Store, folder_size
+from ..streaming import log as event_log
 from ..workdir import numbered, tables
 from . import execute, ingest, verify
 from .progress import Observed
@@ -44,6 +45,8 @@ class IngestOptions:
     copyright: str = ""
     owner: str = ""
     ignore: list[str] = field(default_factory=list)
+    #: Folder of the event log that progress is appended to; none without it.
+    events: str | None = None
     #: Paths to take, ``(path)``; all others are left alone.
     only: DataFrame | None = None
 
@@ -71,8 +74,11 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     )
     table = tables(spark, "ingest")  # neither a lost executor nor the catalogue's growth changes what was decided
     dated = table("dated", dated.withColumn("error", F.when(F.col("checksum").isNull(), F.lit("open hashable reader: the file can't be read"))))
+    tell = lambda rows: event_log.append(event_log.of_files(rows, _now()), options.events) if options.events and not options.dry_run else None
     ids = store.files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).collect()[0]["n"]
     numbered_ = table("numbered", numbered(table, dated, ["rel_path"]).withColumn("id", F.col("seq") + 1 + ids))
+    unknown = F.lit(None).cast("string")
+    tell(numbered_.select("id", F.col("rel_path").alias("path"), "checksum", F.col("length").alias("bytes_total"), F.lit(None).cast("bigint").alias("bytes_copied"), unknown.alias("ended"), unknown.alias("message")))
     plan = ingest.planned(numbered_, store.files, stamp, options.algorithm, options.template, options.language, options.since, options.before, options.skip_duplicates)
     found_sidecars = rows.where("format = 'sidecar'").select("path", "dir", "name")
     attached = sidecars.attached_on_ingest(numbered_, found_sidecars)
@@ -97,6 +103,8 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
         "final": F.coalesce("status", F.when(F.col("outcome") == "error", "failed").when(F.col("outcome") == "skip", "skipped").otherwise("complete")),
         "problem": F.coalesce(done["error"], plan["error"]),
     })
+    ended = F.when(F.col("final").isin("failed", "mismatch"), "error").when(F.col("final") == "skipped", "skip").otherwise(F.when(F.col("is_duplicate"), "duplicate").otherwise("complete"))
+    tell(result.select("id", F.col("rel_path").alias("path"), unknown.alias("checksum"), F.col("length").alias("bytes_total"), F.col("copied_bytes").alias("bytes_copied"), ended.alias("ended"), F.coalesce("problem", "reason").alias("message")))
     at = F.lit(_now()).cast("timestamp_ntz")
     taken = F.col("final") == "complete"
     new = result.select(

@@ -15,6 +15,7 @@ from stratalog.sources import ledger as ledger_files
 from stratalog.sources import store as stores
 from stratalog.sources import tree as trees
 from stratalog.streaming import events as streams
+from stratalog.streaming import log as event_log
 from stratalog.streaming import state
 
 JPEG = b"\xff\xd8\xff\xe0rest of "
@@ -213,6 +214,25 @@ def test_ingest_replaces_a_copy_that_fails(spark, tmp_path, monkeypatch):
     assert (out["files_observed"], out["bytes_observed"], out["failed_observed"], out["errors"], out["duplicates"]) == (5, size, 2, 2, 1)
 
 
+def test_ingest_tells_of_every_file(spark, card, tmp_path):
+    """The log's events equal what the catalogue says; streams follow it, and a second ingest is read from where the first ended."""
+    archive, log, store = str(tmp_path / "archive"), str(tmp_path / "log"), stores.Store(spark, str(tmp_path / "catalog"))
+    count = lambda: state.into_table(event_log.follow(spark, log), str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination(60)
+    out = commands.run_ingest(spark, store, str(card), archive, commands.IngestOptions(ignore=["*.tmp"], ledger=False, events=log))
+    count()
+    seen = spark.read.parquet(str(tmp_path / "t"))
+    kinds = {r["kind"]: r["events"] for r in streams.counters(seen).collect()}
+    assert kinds == {"hash": 3, "copy": 3, "complete": 2, "duplicate": 1} and seen.select("event_id").distinct().count() == 9
+    assert {r["path"]: r["bytes_done"] for r in seen.where("kind = 'copy'").collect()} == {os.path.relpath(r["source_path"], card): r["file_size"] for r in store.files.collect()}
+    assert streams.worker_states(seen.withColumn("worker_id", F.floor(F.col("event_id") / event_log.STAGES))).count() == 0 and out["bytes_observed"] == seen.where("kind = 'copy'").agg(F.sum("bytes_done")).collect()[0][0]
+    commands.run_ingest(spark, store, str(card), archive, commands.IngestOptions(ignore=["*.tmp"], ledger=False, events=log))
+    count()
+    assert spark.read.parquet(str(tmp_path / "t")).where("kind = 'skip' and message = 'previously imported'").count() == 3
+    assert len(list(event_log.lines(spark, log))) == 15
+    commands.run_ingest(spark, store, str(card), archive, commands.IngestOptions(dry_run=True, events=log))
+    assert event_log.read(spark, log).count() == 15
+
+
 def test_observed_counters(spark, tmp_path):
     told = []
     seen = progress.Observed(lambda stage, counters: told.append((stage, counters)))
