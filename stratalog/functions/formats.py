@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -13,12 +14,20 @@ SIDECARS = (".aae", ".xmp")
 
 @dataclass(frozen=True)
 class Format:
-    """A format by name; ``magic`` holds (offset, bytes), any of which identifies it; ``dates`` names its date reader."""
+    """A format by name; ``magic`` holds (offset, bytes), any of which identifies it; ``dates`` names its date reader.
+
+    ``tags`` says where its tags go: into a sidecar, into the file itself by ``write_tags(path, rights, owner)``, or nowhere.
+    ``digest(path, algorithm)`` hashes what counts as its content, the whole file without it. Both run in tasks. Archives are verified
+    by whole files, so one that holds files with a digest of their own is the caller's to verify.
+    """
 
     name: str
     extensions: tuple[str, ...]
     magic: tuple[tuple[int, bytes], ...]
     dates: str = "tiff"
+    tags: str = "sidecar"
+    write_tags: Callable[[str, str, str], None] | None = None
+    digest: Callable[[str, str], str] | None = None
 
 
 _LE, _BE, _FTYP = (0, b"II*\x00"), (0, b"MM\x00*"), (4, b"ftyp")
@@ -51,6 +60,9 @@ class Registry:
         """A later format takes over its extensions; the order of magic tests stays the order of registration."""
         self.formats.append(new)
 
+    def by_name(self) -> dict[str, Format]:
+        return {f.name: f for f in self.formats}
+
     def by_extension(self) -> dict[str, Format]:
         return {e: f for f in self.formats for e in f.extensions}
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media, xmp
-from ..functions.formats import SIDECARS
-from ..functions.hashing import file_digest
+from ..functions.formats import SIDECARS, Registry
+from ..functions.hashing import digest_by_format, file_digest
 from ..functions.paths import DEFAULT_TEMPLATE, extension, is_temporary, parse_copyright
 from ..operators import catalog, doctor, ledger, sidecars
 from ..settings import LOCAL
@@ -45,6 +45,7 @@ class IngestOptions:
     copyright: str = ""
     owner: str = ""
     ignore: list[str] = field(default_factory=list)
+    registry: Registry = field(default_factory=Registry)
     #: Folder of the event log that progress is appended to; none without it.
     events: str | None = None
     #: Paths to take, ``(path)``; all others are left alone.
@@ -57,7 +58,7 @@ def _now() -> dt.datetime:
 
 def _source(spark: SparkSession, source: str, options: IngestOptions) -> DataFrame:
     tree = trees.walk_tree(spark, source, recursive=options.recursive, scopefile=IGNORE, prune=options.ignore)
-    rows = trees.classified(tree, ignore=options.ignore, always=ALWAYS, carry_sidecars=options.carry_sidecars)
+    rows = trees.classified(tree, options.registry, ignore=options.ignore, always=ALWAYS, carry_sidecars=options.carry_sidecars)
     return rows.join(options.only, "path", "left_semi") if options.only is not None else rows
 
 
@@ -68,9 +69,12 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     stamp = f"{started:%Y%m%d_%H%M%S}"
     rows = _source(spark, source, options)
     found = rows.where("reason is null and format != 'sidecar'")
+    kinds = options.registry.by_name()
+    hooks = {k: f.digest for k, f in kinds.items() if f.digest}
+    digest = digest_by_format(hooks)(F.col("path"), F.lit(options.algorithm), F.col("format")) if hooks else file_digest(F.col("path"), F.lit(options.algorithm))
     dated = found.select(
-        "path", "rel_path", "dir", "name", F.col("path").alias("source_path"), "ext", "length",
-        media.captured_in(F.col("format"), F.col("path")).alias("capture_date"), file_digest(F.col("path"), F.lit(options.algorithm)).alias("checksum"),
+        "path", "rel_path", "dir", "name", F.col("path").alias("source_path"), "ext", "length", "format",
+        media.captured_in(F.col("format"), F.col("path"), options.registry).alias("capture_date"), digest.alias("checksum"),
     )
     table = tables(spark, "ingest")  # neither a lost executor nor the catalogue's growth changes what was decided
     dated = table("dated", dated.withColumn("error", F.when(F.col("checksum").isNull(), F.lit("open hashable reader: the file can't be read"))))
@@ -85,7 +89,7 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
     of_media = attached.where("media_path is not null").groupBy(F.col("media_path").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("sidecars"))
     date = F.col("capture_date")
     rights = parse_copyright(options.copyright).column(date, None, options.language) if options.copyright else F.lit("")
-    plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": xmp.packet(rights, F.lit(options.owner)), "rights": rights, "owner": F.lit(options.owner)})
+    plan = plan.join(of_media, "path", "left").withColumns({"sidecars": F.coalesce("sidecars", F.array().cast("array<string>")), "packet": F.when(F.col("format").isin(*(k for k, f in kinds.items() if f.tags == "sidecar")), xmp.packet(rights, F.lit(options.owner))), "rights": rights, "owner": F.lit(options.owner)})
     skipped = rows.where("reason is not null").select("path", "rel_path", "reason").unionByName(sidecars.orphans(attached).join(rows.select("path", "rel_path"), "path").select("path", "rel_path", "reason"))
     plan = table("plan", plan)
     n_skipped = skipped.count()
@@ -94,7 +98,7 @@ def run_ingest(spark: SparkSession, store: Store, source: str, archive: str, opt
         return {"run_id": run_id, **counts, "skipped": counts["skipped"] + n_skipped, "plan": plan}
 
     copied = Observed()
-    attempt = lambda rows: copied.watch("copy", execute.executed(rows, archive, options.algorithm, options.overwrite_sidecar_tags), execute.counters())
+    attempt = lambda rows: copied.watch("copy", execute.executed(rows, archive, options.algorithm, options.overwrite_sidecar_tags, kinds), execute.counters())
     plan, done = ingest.settled(plan, attempt, table)
     counts = ingest.counters(plan).collect()[0].asDict()
     counts["skipped"] += n_skipped

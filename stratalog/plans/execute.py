@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import shutil
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formats import Format
 from ..functions.hashing import file_hash
 from ..functions.xmp import merged_text
 from ..sources.store import replace_text
@@ -27,7 +28,7 @@ def _synced(path: str) -> None:
         os.fsync(f.fileno())
 
 
-def copy_file(source: str, dest: str, checksum: str, algorithm: str) -> tuple[str, str | None, int]:
+def copy_file(source: str, dest: str, checksum: str, algorithm: str, digest: Callable[[str, str], str] = file_hash) -> tuple[str, str | None, int]:
     """(status, error, bytes). The source's modification time is kept; a wrong copy is removed."""
     temporary = os.path.join(os.path.dirname(dest), f".{os.path.basename(dest)}{TEMPORARY}")
     try:
@@ -38,7 +39,7 @@ def copy_file(source: str, dest: str, checksum: str, algorithm: str) -> tuple[st
     except OSError as e:
         return "failed", f"copy: {e}", 0
     try:
-        actual = file_hash(temporary, algorithm)
+        actual = digest(temporary, algorithm)
         if actual != checksum:
             os.remove(temporary)
             return "mismatch", f"verify: checksum {actual}, expected {checksum}", 0
@@ -64,10 +65,13 @@ def copy_sidecars(sidecars: list[str], dest: str) -> list[str]:
     return done
 
 
-def tag(dest: str, carried: list[str], packet: str | None, rights: str, owner: str, overwrite: bool) -> str | None:
-    """Tags beside a media file: merged into its carried XMP sidecar, else a packet of its own. Returns what went wrong."""
+def tag(dest: str, carried: list[str], packet: str | None, rights: str, owner: str, overwrite: bool, embed: Callable[[str, str, str], None] | None = None) -> str | None:
+    """Tags inside a media file by ``embed``, or beside a media file: merged into its carried XMP sidecar, else a packet of its own. Returns what went wrong."""
     try:
-        if ".xmp" in carried and (rights or owner):
+        if embed:
+            if rights or owner:
+                embed(dest, rights, owner)
+        elif ".xmp" in carried and (rights or owner):
             with open(dest + ".xmp", encoding="utf-8") as f:
                 old = f.read()
             new = merged_text(old, rights, owner, overwrite)
@@ -80,9 +84,13 @@ def tag(dest: str, carried: list[str], packet: str | None, rights: str, owner: s
     return None
 
 
-def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_tags: bool = False) -> DataFrame:
-    """``RESULT`` for the rows of ``plan`` that have a ``dest_rel``; ``sidecars``, ``packet``, ``rights`` and ``owner`` may be missing."""
-    defaults = {"sidecars": F.array().cast("array<string>"), "packet": F.lit(None).cast("string"), "rights": F.lit(""), "owner": F.lit("")}
+def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_tags: bool = False, formats: dict[str, Format] | None = None) -> DataFrame:
+    """``RESULT`` for the rows of ``plan`` that have a ``dest_rel``; ``sidecars``, ``packet``, ``rights``, ``owner`` and ``format`` may be missing.
+
+    What is copied is verified by the format's own digest, if it has one; a format that keeps tags in the file writes them there.
+    """
+    defaults = {"sidecars": F.array().cast("array<string>"), "packet": F.lit(None).cast("string"), "rights": F.lit(""), "owner": F.lit(""), "format": F.lit(None).cast("string")}
+    own = formats or {}
     rows = plan.withColumns({k: v for k, v in defaults.items() if k not in plan.columns}).where("dest_rel is not null").select("id", "source_path", "dest_rel", "checksum", *defaults)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,10 +98,11 @@ def executed(plan: DataFrame, archive: str, algorithm: str = "sha1", overwrite_t
             out = []
             for r in part.itertuples(index=False):
                 dest = os.path.join(archive, r.dest_rel)
-                status, error, size = copy_file(r.source_path, dest, r.checksum, algorithm)
+                kind = own.get(r.format)
+                status, error, size = copy_file(r.source_path, dest, r.checksum, algorithm, kind.digest if kind and kind.digest else file_hash)
                 carried = copy_sidecars(list(r.sidecars), dest) if status == "complete" else []
                 if status == "complete":
-                    error = tag(dest, carried, r.packet, r.rights or "", r.owner or "", overwrite_tags)
+                    error = tag(dest, carried, r.packet, r.rights or "", r.owner or "", overwrite_tags, kind.write_tags if kind and kind.tags == "embed" else None)
                 out.append((r.id, status, error, size, carried))
             yield pd.DataFrame(out, columns=["id", "status", "error", "copied_bytes", "carried"])
 

@@ -1,6 +1,7 @@
 """Ledgers, diagnosis, sidecars, trees, whole commands and streams."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import os
@@ -8,7 +9,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import hashing
+from stratalog.functions import formats, hashing
 from stratalog.operators import doctor, ledger, sidecars
 from stratalog.plans import commands, execute, ingest, progress, verify
 from stratalog.sources import ledger as ledger_files
@@ -214,6 +215,31 @@ def test_ingest_replaces_a_copy_that_fails(spark, tmp_path, monkeypatch):
     assert (out["files_observed"], out["bytes_observed"], out["failed_observed"], out["errors"], out["duplicates"]) == (5, size, 2, 2, 1)
 
 
+def test_formats_bring_their_own_digest_and_tags(spark, tmp_path):
+    """Two files that differ in their tags alone are copies; one format keeps tags inside, one beside, one nowhere."""
+
+    def digest(path, algorithm):
+        with open(path, "rb") as f:
+            return hashlib.sha1(f.read().split(b"#")[0]).hexdigest()
+
+    def embed(path, rights, owner):
+        with open(path, "ab") as f:
+            f.write(f"#{rights}|{owner}".encode())
+
+    registry = formats.Registry()
+    registry.register(formats.Format("OWN", (".own",), ((0, b"OWN"),), tags="embed", write_tags=embed, digest=digest))
+    registry.register(formats.Format("PLAIN", (".pla",), ((0, b"PLA"),), tags="none"))
+    source, archive, store = tmp_path / "card", str(tmp_path / "archive"), stores.Store(spark, str(tmp_path / "catalog"))
+    source.mkdir()
+    for name, body in (("a.own", b"OWN x#old tags"), ("b.own", b"OWN x#other tags"), ("c.pla", b"PLA y"), ("d.jpg", JPEG)):
+        (source / name).write_bytes(body)
+    out = commands.run_ingest(spark, store, str(source), archive, commands.IngestOptions(ledger=False, owner="me", registry=registry))
+    rows = {os.path.basename(r["source_path"]): r for r in store.files.collect()}
+    assert (out["processed"], out["duplicates"], out["errors"]) == (4, 1, 0) and rows["b.own"]["is_duplicate"] and rows["a.own"]["checksum"] == hashlib.sha1(b"OWN x").hexdigest()
+    assert open(rows["a.own"]["dest_path"], "rb").read() == b"OWN x#old tags#|me" and open(rows["c.pla"]["dest_path"], "rb").read() == b"PLA y"
+    assert {n: os.path.exists(r["dest_path"] + ".xmp") for n, r in rows.items()} == {"a.own": False, "b.own": False, "c.pla": False, "d.jpg": True}
+
+
 def test_ingest_tells_of_every_file(spark, card, tmp_path):
     """The log's events equal what the catalogue says; streams follow it, and a second ingest is read from where the first ended."""
     archive, log, store = str(tmp_path / "archive"), str(tmp_path / "log"), stores.Store(spark, str(tmp_path / "catalog"))
