@@ -611,7 +611,7 @@ def _streamed_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("kind"), F.col("user_id").alias("worker_id"), F.lit(None).cast("string").alias("path"))
     stream = _in_batches(spark, rows, out, F.pmod(F.xxhash64("event_id"), F.lit(3)), 3)
     state.into_table(state.worker_changes(stream, "6 hours"), f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return state.current_workers(spark.read.parquet(f"{out}/table")).select("worker_id", "kind", "ts")
+    return state.current_workers(spark.read.parquet(f"{out}/table"), "6 hours").select("worker_id", "kind", "ts")
 
 
 @query("byte_progress_streamed", """WITH e AS (SELECT ts, 'user_' || user_id AS path, event_id, event_id % 50 = 7 AS late FROM events), w AS (SELECT *, time_bucket(INTERVAL 100 MILLISECONDS, ts) AS start FROM e)

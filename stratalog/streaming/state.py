@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,32 +67,39 @@ def into_table(stream: DataFrame, table: str, checkpoint: str):
 def worker_changes(stream: DataFrame, silence: str | None = None, late: str = "10 seconds") -> DataFrame:
     """``(worker_id, kind, path, ts, change)``: each worker's latest event of a micro-batch, or that it fell silent.
 
-    A worker's latest event is the largest by (ts, event_id) that ever came; older ones that come late change nothing. An event
-    that ends a file ends the worker's state. With ``silence`` a worker without an event for that long expires once the
-    watermark, ``late`` behind the latest event, has passed that time.
+    A worker's latest event is the largest by (ts, event_id) that ever came, however late; older ones that come late change
+    nothing, nor do events without a time or an id. An event that ends a file ends the worker's state. With ``silence`` a worker
+    without an event for that long expires once the time ``late`` behind the latest event of all has passed that, by a timer or,
+    where its events come when it has passed already, at once. Events are dropped only that are older than both together: a
+    worker whose latest one is such has expired. Spark's watermark is in whole milliseconds; ``current_workers`` settles the last one.
     """
     gap = None if silence is None else int(pd.Timedelta(silence).total_seconds() * 1000)
-    rows = stream.select("worker_id", "event_id", "kind", "path", F.col("ts").cast("timestamp").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = stream.where("ts is not null and event_id is not null")
+    rows = rows.select("worker_id", "event_id", "kind", "path", F.col("ts").cast("timestamp").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     if gap is not None:
-        rows = rows.withWatermark("at", late)
+        # Spark drops what is older than the watermark, so that stands where a worker has been silent for too long.
+        rows = rows.withWatermark("at", f"{int(pd.Timedelta(late).total_seconds() * 1000) + gap} milliseconds")
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         us, event, kind, path, change = state.get if state.exists else (-(1 << 63), -(1 << 63), None, None, "ended")
+        before = (us, event, change)
         if state.hasTimedOut:
-            state.update((us, event, kind, path, "expired"))
-            yield pd.DataFrame({"worker_id": [key[0]], "kind": [kind], "path": [path], "us": [us], "change": ["expired"]})
-            return
-        before = (us, event)
-        for part in parts:
-            newest = part.sort_values(["us", "event_id"]).iloc[-1] if len(part) else None
-            if newest is not None and (newest["us"], newest["event_id"]) > (us, event):
-                us, event, kind, path = int(newest["us"]), int(newest["event_id"]), newest["kind"], newest["path"]
-        if (us, event) != before:
-            change = "ended" if kind in TERMINAL else "working"
+            change = "expired"
+        for part in parts if not state.hasTimedOut else ():
+            if len(part):
+                times, ids = part["us"].to_numpy(), part["event_id"].to_numpy()
+                newest = np.lexsort((ids, times))[-1]
+                if (times[newest], ids[newest]) > (us, event):
+                    us, event, kind, path = int(times[newest]), int(ids[newest]), part["kind"].iloc[newest], part["path"].iloc[newest]
+                    change = "ended" if kind in TERMINAL else "working"
+        if gap is not None and change == "working":
+            if us // 1000 < state.getCurrentWatermarkMs():
+                change = "expired"
+            else:
+                state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs() + 1))
+        if (us, event, change) != before:
             state.update((us, event, kind, None if pd.isna(path) else path, change))
             yield pd.DataFrame({"worker_id": [key[0]], "kind": [kind], "path": [path], "us": [us], "change": [change]})
-        if gap is not None and change == "working":
-            state.setTimeoutTimestamp(max(us // 1000 + gap, state.getCurrentWatermarkMs() + 1))
 
     timeout = GroupStateTimeout.NoTimeout if gap is None else GroupStateTimeout.EventTimeTimeout
     kept = "us bigint, event bigint, kind string, path string, change string"
@@ -99,7 +107,14 @@ def worker_changes(stream: DataFrame, silence: str | None = None, late: str = "1
     return changes.select("worker_id", "kind", "path", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "change")
 
 
-def current_workers(changes: DataFrame) -> DataFrame:
-    """Of the table that ``into_table`` keeps of ``worker_changes``: the workers that are at work, as ``events.worker_states`` has them."""
+def current_workers(changes: DataFrame, silence: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """Of the table that ``into_table`` keeps of ``worker_changes``: the workers that are at work, as ``events.worker_states`` has them.
+
+    With the ``silence`` and ``late`` of the stream, silence is told to the microsecond: the latest event of all is in the table.
+    """
     last = changes.groupBy("worker_id").agg(F.max_by(F.struct("kind", "path", "ts", "change"), F.struct("batch", "ts")).alias("last"))
-    return last.where("last.change = 'working'").select("worker_id", "last.kind", "last.path", "last.ts")
+    working = last.where("last.change = 'working'").select("worker_id", "last.kind", "last.path", "last.ts")
+    if silence is None:
+        return working
+    wait = sum(pd.Timedelta(t) // pd.Timedelta("1us") for t in (silence, late))
+    return working.where(F.unix_micros(F.col("ts").cast("timestamp")) + wait > changes.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar())

@@ -7,11 +7,12 @@ import json
 import os
 
 import pytest
+from conftest import compare
 from pyspark.sql import functions as F
 
 from stratalog.functions import formats, hashing
 from stratalog.operators import doctor, ledger, sidecars
-from stratalog.plans import commands, execute, ingest, progress, verify
+from stratalog.plans import commands, execute, ingest, progress, registry, verify
 from stratalog.sources import ledger as ledger_files
 from stratalog.sources import store as stores
 from stratalog.sources import tree as trees
@@ -327,6 +328,31 @@ def test_worker_changes(spark, tmp_path):
     assert sorted(tuple(r) for r in state.current_workers(rows).collect()) == [(1, "copy", "e", at(103)), (4, "copy", "d", at(100))]
 
 
+def test_worker_changes_of_late_events(spark, tmp_path):
+    """The latest event of all comes first: later ones count though they are older, and silence expires though no watermark moves."""
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    kind = "event_id bigint, ts timestamp_ntz, kind string, worker_id bigint, path string"
+    batches = [
+        [(1, at(100), "hash", 1, "a"), (2, at(10), "hash", 2, "b"), (3, at(0), "hash", 3, "c"), (4, at(80), "hash", 5, "e"), (5, at(1), "hash", 7, "g"), (6, at(39), "hash", 6, "f")],
+        [(7, at(20), "hash", 2, "b"), (8, at(1), "hash", 3, "c"), (9, None, "complete", 2, "b"), (10, at(38) + dt.timedelta(microseconds=999900), "hash", 8, "h")],
+        [(11, at(90), "copy", 2, "b"), (12, at(95), "hash", 4, "d"), (13, at(85), "complete", 5, "e"), (14, at(39) + dt.timedelta(microseconds=1), "hash", 9, "i")],
+    ]
+    stream = fed(spark, tmp_path / "in", kind, *batches)
+    state.into_table(state.worker_changes(stream, "60 seconds", "1 second"), str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    last = {r["worker_id"]: r["change"] for r in rows.orderBy("batch").collect()}
+    assert {w: c for w, c in last.items() if w != 6} == {1: "working", 2: "working", 3: "expired", 4: "working", 5: "ended", 7: "expired", 8: "expired", 9: "working"}
+    # Worker 6 is silent for exactly as long, within the millisecond of the watermark.
+    want = [(1, "hash", "a", at(100)), (2, "copy", "b", at(90)), (4, "hash", "d", at(95)), (9, "hash", "i", at(39) + dt.timedelta(microseconds=1))]
+    assert sorted(tuple(r) for r in state.current_workers(rows, "60 seconds", "1 second").collect()) == want
+
+
+def test_workers_streamed_on_more_events(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got, want = compare(registry.QUERIES["worker_states_streamed"](spark, sf_dir), registry.ORACLE_SQL["worker_states_streamed"], sf_dir)
+    assert got == want and len(want) > 50
+
+
 def test_worker_states_and_progress(spark):
     at = dt.datetime(2026, 1, 1)
     rows = [(1, at, "hash", 1, "x", None, 10, 100, None), (2, at.replace(second=1), "copy", 1, "x", None, 100, 100, None), (3, at, "hash", 2, "y", None, None, None, None), (4, at.replace(second=2), "complete", 2, "y", None, None, None, "done")]
