@@ -22,20 +22,37 @@ CHANGES = ("working", "ended", "expired")
 def first_seen(stream: DataFrame, key: str = "checksum", order: str = "event_id", at: str = "ts", keep_for: str | None = None, late: str = "10 seconds") -> DataFrame:
     """The first row of each key, in order of arrival and within a micro-batch by ``order``; null keys are left out.
 
+    A stream in update mode, as ``into_table`` writes it. The state is an aggregate per key: the least ``order``, with the other
+    columns of its row, and when the first and the last micro-batch began that the key came in. It comes out as new where these are
+    the same one. Rows are reduced before they are shuffled and no row passes through Python.
+
     With ``keep_for``, a duration like ``30 days``, a key is forgotten once the watermark, ``late`` behind the latest time ``at``, is
-    that far beyond the last row it came in, so that the state is bounded; if it comes again it counts as new.
+    that far beyond the last row it came in, so that the state is bounded; if it comes again it counts as new. Keys then have a
+    timer each.
     """
-    columns, timed = stream.columns, keep_for is not None
-    lifetime = 0 if keep_for is None else int(pd.Timedelta(keep_for).total_seconds() * 1000)
+    rows = stream.where(F.col(key).isNotNull())
+    if keep_for is not None:
+        return _first_seen_for(rows, key, order, at, keep_for, late)
+    others = [c for c in stream.columns if c not in (key, order)]
+    began = F.current_timestamp()  # the micro-batch's, also where it is replayed
+    least = [F.min(order).alias(order), F.min("_began").alias("_first"), F.max("_began").alias("_last")]
+    if others:
+        least.append(F.min_by(F.struct(*others), F.struct(F.col(order).isNull(), F.col(order))).alias("_row"))
+    new = rows.withColumn("_began", began).groupBy(key).agg(*least).where("_first = _last")
+    return new.select(*(F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in stream.columns))
+
+
+def _first_seen_for(rows: DataFrame, key: str, order: str, at: str, keep_for: str, late: str) -> DataFrame:
+    columns, lifetime = rows.columns, int(pd.Timedelta(keep_for).total_seconds() * 1000)
 
     def first(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         best, last = None, state.get[0] if state.exists else 0
-        known = state.exists and not (timed and state.getCurrentWatermarkMs() > last + lifetime)  # rows come before timeouts
+        known = state.exists and not state.getCurrentWatermarkMs() > last + lifetime  # rows come before timeouts
         for part in parts:
-            if timed and len(part):
+            if len(part):
                 last = max(last, int(part["_at"].max().timestamp() * 1000))
             if not known and len(part):
                 row = part.nsmallest(1, order)
@@ -44,24 +61,20 @@ def first_seen(stream: DataFrame, key: str = "checksum", order: str = "event_id"
         if best is not None:
             yield best[columns]
         state.update((last,))
-        if timed:
-            state.setTimeoutTimestamp(max(last + lifetime, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last + lifetime, state.getCurrentWatermarkMs() + 1))
 
-    rows = stream.where(F.col(key).isNotNull())
-    if timed:
-        rows = rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
-    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(first, stream.schema, "last bigint", "append", timeout)
+    timed = rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(first, rows.schema, "last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def into_table(stream: DataFrame, table: str, checkpoint: str):
     """Append a stream of new rows to a Parquet table, once across restarts: a micro-batch that is replayed overwrites what its
-    earlier try wrote. The table isn't read."""
+    earlier try wrote. The table isn't read. Rows are written as each micro-batch gives them (update mode)."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
 
 
 def worker_changes(stream: DataFrame, silence: str | None = None, late: str = "10 seconds") -> DataFrame:
@@ -103,7 +116,7 @@ def worker_changes(stream: DataFrame, silence: str | None = None, late: str = "1
 
     timeout = GroupStateTimeout.NoTimeout if gap is None else GroupStateTimeout.EventTimeTimeout
     kept = "us bigint, event bigint, kind string, path string, change string"
-    changes = rows.groupBy("worker_id").applyInPandasWithState(step, "worker_id bigint, kind string, path string, us bigint, change string", kept, "append", timeout)
+    changes = rows.groupBy("worker_id").applyInPandasWithState(step, "worker_id bigint, kind string, path string, us bigint, change string", kept, "update", timeout)
     return changes.select("worker_id", "kind", "path", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "change")
 
 

@@ -299,6 +299,17 @@ def test_first_seen_survives_restart(spark, tmp_path):
     assert found() == [(1, "a"), (3, "b"), (5, "c"), (8, "d")] and before == {r["f"] for r in spark.read.parquet(table).where("batch < 2").select(F.input_file_name().alias("f")).collect()}
 
 
+def test_first_seen_without_python(spark, tmp_path):
+    """Keys are told apart in the JVM; the other columns are those of the first row, one without an order comes last."""
+    kind = "event_id bigint, checksum string, tags map<string, int>, path string"
+    batches = [[(None, "a", None, "n"), (5, "a", {"x": 1}, None), (7, "a", {"x": 2}, "late"), (None, "b", {"y": 1}, "only"), (1, None, None, "none")], [(1, "a", None, "again"), (2, "b", None, "again"), (3, "c", {}, "c")]]
+    new = state.first_seen(fed(spark, tmp_path / "in", kind, *batches))
+    assert new.columns == ["event_id", "checksum", "tags", "path"] and "pandas" not in new._jdf.queryExecution().analyzed().toString().lower()
+    state.into_table(new, str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination(60)
+    got = sorted((r["checksum"], r["event_id"], r["tags"], r["path"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert got == [("a", 5, {"x": 1}, None, 0), ("b", None, {"y": 1}, "only", 0), ("c", 3, {}, "c", 1)]
+
+
 def test_first_seen_forgets(spark, tmp_path):
     """A key that comes again within the time it is kept for is kept on; one that was silent for longer is new."""
     at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
