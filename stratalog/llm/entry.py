@@ -69,8 +69,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = line_dedup.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
-    return clean.select("row.doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+    clean = line_dedup.without_repeated_passages(_documents(spark, sf_dir).select("doc_id", "text"))
+    return clean.select("row.doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"), "n_removed_sentences", F.md5("passages_text").alias("passages_md5"))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@ known by two 64-bit hashes of its trimmed lines. Over all documents, the first o
 stays and every later one covers its lines; covered lines are merged per document and removed. Each distinct line therefore
 stays where it stands first.
 
+A passage on one line or two has no such window. Windows of three sentences, of all lines alike, find it: ``without_repeated_passages``
+gives both results.
+
 Windows are first counted; only the repeated ones' first places are written, and the windows, read again from the texts, meet them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,37 @@ def windows(docs: DataFrame, sentences: bool = False) -> DataFrame:
     return lines.select("id", "text_key", each).select("id", "text_key", "w.*")
 
 
+def _covers(rows: DataFrame, scratch: Scratch, levels: list[bool]) -> DataFrame:
+    """``(of_id, of_key, lines, sentences)``: the units that each of ``rows(id, text)`` loses by the windows of each of ``levels``, else null."""
+    place, kind = F.struct("id", "text_key", "start"), ["level", "h1", "h2"]
+    found = reduce(DataFrame.unionByName, [windows(rows, level).withColumn("level", F.lit(level)) for level in levels])
+    firsts = found.groupBy(*kind).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*kind, "first")
+    # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
+    firsts = scratch.table("firsts", firsts)
+    later = found.join(firsts, kind).where(place > F.col("first"))
+    spans = [F.sort_array(F.collect_set(F.when(F.col("level") == level, F.struct("start", "end")))).alias(name) for name, level in (("lines", False), ("sentences", True))]
+    each = "CASE WHEN size({0}) > 0 THEN array_distinct(flatten(transform({0}, s -> sequence(s.start, s.end)))) END AS {0}"
+    return later.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(*spans).selectExpr("of_id", "of_key", *(each.format(name) for name in ("lines", "sentences")))
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, levels: list[bool]) -> DataFrame:
+    """``docs`` as ``row`` and per level, its name before each, what is covered, which units are kept and the text of these."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    covers = _covers(rows.select("id", "text"), scratch, levels)
+    joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
+    n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0)).cast("bigint")
+    for level in levels:
+        name = "sentences" if level else "lines"
+        covered = F.col(name).isNotNull()
+        joined = joined.withColumn("units", F.when(covered, F.expr(_units(level))))
+        joined = joined.withColumn(f"{name}_kept", F.when(covered, F.expr(f"transform(array_except(sequence(0, size(units) - 1), {name}), k -> get(units, k))")))
+        whole = f"array_join(transform({name}_kept, (x, k) -> concat(CASE WHEN k > 0 AND x.i != get({name}_kept, k - 1).i THEN '\\n' ELSE '' END, x.unit)), '')"
+        joined = joined.withColumn(f"{name}_text", F.when(covered, F.expr(whole)).otherwise(F.col("text")))
+        joined = joined.withColumn(f"{name}_removed", F.coalesce(F.size(name), F.lit(0)).cast("bigint"))
+    return joined.withColumn("n_lines", n_lines)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
     """``docs`` as the struct ``row``, with ``n_lines``, ``n_removed`` (lines) and the cleaned ``text``.
 
@@ -51,27 +87,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With ``sentences`` every line is taken apart at ``. ! ?`` before a space or tab, and windows are of three sentences: then
     ``n_removed_sentences`` counts these, and ``n_removed`` the lines that lose all of theirs.
     """
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    place = F.struct("id", "text_key", "start")
-    found = windows(rows.select("id", "text"), sentences)
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
-    # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
-    firsts = scratch.table("firsts", firsts)
-    later = found.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
-    covers = later.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    covers = covers.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.start, s.end))))").alias("covered"))
-    joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
-    n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0)).cast("bigint")
-    kept = F.when(F.col("covered").isNotNull(), F.expr("transform(array_except(sequence(0, size(units) - 1), covered), k -> get(units, k))"))
-    joined = joined.withColumn("units", F.when(F.col("covered").isNotNull(), F.expr(_units(sentences)))).withColumn("kept", kept)
-    whole = "array_join(transform(kept, (x, k) -> concat(CASE WHEN k > 0 AND x.i != get(kept, k - 1).i THEN '\\n' ELSE '' END, x.unit)), '')"
-    clean = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.expr(whole))
-    n_units = F.coalesce(F.size("covered"), F.lit(0)).cast("bigint")
+    clean = _cleaned(docs, id_col, text_col, [sentences])
     if not sentences:
-        return joined.select("row", n_lines.alias("n_lines"), n_units.alias("n_removed"), clean.alias("text"))
-    n_gone = F.coalesce(n_lines - F.expr("size(array_distinct(transform(kept, x -> x.i)))"), F.lit(0)).cast("bigint")
-    return joined.select("row", n_lines.alias("n_lines"), n_gone.alias("n_removed"), n_units.alias("n_removed_sentences"), clean.alias("text"))
+        return clean.select("row", "n_lines", F.col("lines_removed").alias("n_removed"), F.col("lines_text").alias("text"))
+    n_gone = F.coalesce(F.col("n_lines") - F.expr("size(array_distinct(transform(sentences_kept, x -> x.i)))"), F.lit(0)).cast("bigint")
+    return clean.select("row", "n_lines", n_gone.alias("n_removed"), F.col("sentences_removed").alias("n_removed_sentences"), F.col("sentences_text").alias("text"))
+
+
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``without_repeats`` by lines, and beside it ``n_removed_sentences`` and ``passages_text``, what is left by sentences.
+
+    Windows of three lines don't see a passage that stands on one line or two; windows of three sentences do, whatever a line's
+    length, and what repeated lines lose they lose too. Both are found in one pass, and the texts are shuffled once.
+    """
+    clean = _cleaned(docs, id_col, text_col, [False, True])
+    return clean.select("row", "n_lines", F.col("lines_removed").alias("n_removed"), F.col("lines_text").alias("text"), F.col("sentences_removed").alias("n_removed_sentences"), F.col("sentences_text").alias("passages_text"))
 
 
 ORACLE_SQL = f"""
@@ -91,8 +121,29 @@ WITH units AS (
 ), per_doc AS (
   SELECT u.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed, string_agg(u.unit, chr(10) ORDER BY u.pos) FILTER (WHERE c.pos IS NULL) AS kept
   FROM units u LEFT JOIN covered c ON u.doc_id = c.doc_id AND u.pos = c.pos GROUP BY u.doc_id
+), parts AS (
+  SELECT doc_id, pos AS line_at, string_split(regexp_replace(unit, '([.!?])([ \\t])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS parts FROM units
+), sentences AS (
+  SELECT doc_id, line_at, unit, row_number() OVER (PARTITION BY doc_id ORDER BY line_at, unit_at) AS pos
+  FROM (SELECT doc_id, line_at, generate_subscripts(parts, 1) AS unit_at, unnest(parts) AS unit FROM parts)
+), sentence_body AS (
+  SELECT doc_id, pos, trim(unit, {ORACLE_BLANKS}) AS line FROM sentences WHERE trim(unit, {ORACLE_BLANKS}) <> ''
+), sentence_windows AS (
+  SELECT doc_id, pos AS first_at, lead(pos, 2) OVER w AS last_at, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+  FROM sentence_body WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), sentence_ranked AS (
+  SELECT doc_id, first_at, last_at, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, first_at) AS n
+  FROM sentence_windows WHERE last_at IS NOT NULL
+), sentence_covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(first_at, last_at)) AS pos FROM sentence_ranked WHERE n > 1
+), left_over AS (
+  SELECT u.doc_id, u.line_at, string_agg(u.unit, '' ORDER BY u.pos) FILTER (WHERE c.pos IS NULL) AS line, count(c.pos) AS n_removed
+  FROM sentences u LEFT JOIN sentence_covered c ON u.doc_id = c.doc_id AND u.pos = c.pos GROUP BY u.doc_id, u.line_at
+), passages AS (
+  SELECT doc_id, sum(n_removed) AS n_removed, string_agg(line, chr(10) ORDER BY line_at) FILTER (WHERE line IS NOT NULL) AS kept FROM left_over GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_removed, 0)::BIGINT AS n_removed,
-       CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(p.kept, '')) END AS text_md5
-FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+       CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(p.kept, '')) END AS text_md5,
+       coalesce(s.n_removed, 0)::BIGINT AS n_removed_sentences, CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(s.kept, '')) END AS passages_md5
+FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id LEFT JOIN passages s ON d.doc_id = s.doc_id
 """

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out labels, and on awkward rows."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -757,6 +758,24 @@ def test_line_dedup_of_sentences(spark):
     assert whole == brute_lines(list(enumerate(made))) == dict(enumerate(made))
 
 
+def test_line_dedup_of_lines_and_passages(spark, tmp_path):
+    """Passages on one line go where they come again, and so do repeated lines; the columns of the lines stay theirs."""
+    rng = random.Random(15)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passage = ". ".join(words(20) for _ in range(5)) + "."
+    made = [f"{words(60)}. {passage}", f"{passage}\t{words(20)}.", f"{words(9)}\n{passage}\n{words(9)}", "a\nb. c\n \nd", "x\na\nb. c\n \nd", None, "", "a. b. c.", "a. b. c."]
+    made += ["\n".join(rng.choice(["a b.", "c d! e f?", "g.h  i. j", "", "..."]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = {r["row"]["doc_id"]: r for r in line_dedup.without_repeated_passages(docs(spark, *made)).collect()}
+    by_line, by_sentence = brute_lines(list(enumerate(made))), brute_lines(list(enumerate(made)), True)
+    assert {k: r["text"] for k, r in rows.items()} == by_line and {k: r["passages_text"] for k, r in rows.items()} == by_sentence
+    assert [passage in rows[k]["passages_text"] for k in range(3)] == [True, False, False] and all(rows[k]["text"] == made[k] for k in range(3))
+    assert [(rows[k]["n_removed"], rows[k]["n_removed_sentences"]) for k in (2, 4, 5, 6, 8)] == [(0, 5), (4, 5), (0, 0), (0, 0), (0, 3)]
+    # The query takes both: no passage that its SQL of round 2 removed, of long lines only, may stay.
+    docs(spark, *made).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["passages_md5"] for r in entry.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else hashlib.md5(t.encode()).hexdigest() for k, t in by_sentence.items()}
+
+
 def test_line_dedup_of_ids_with_several_texts(spark):
     """Rows with one id and different texts are documents of their own; repeated rows are one."""
     rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc"), (3, "u\nv\nw"), (3, "u\nv\nw"), (None, "k\nl\nm"), (None, "k\nl\nm\nn")]
