@@ -47,7 +47,7 @@ def windows(docs: DataFrame, sentences: bool = False) -> DataFrame:
 
 def _covers(rows: DataFrame, scratch: Scratch, levels: list[bool]) -> DataFrame:
     """``(of_id, of_key, lines, sentences)``: the units that each of ``rows(id, text)`` loses by the windows of each of ``levels``, else null."""
-    place, kind = F.struct("id", "text_key", "start"), ["level", "h1", "h2"]
+    place, kind = F.struct("id", "text_key", "start"), ["h1", "h2", "level"]  # rows are sorted by the first alone where it tells them apart
     found = reduce(DataFrame.unionByName, [windows(rows, level).withColumn("level", F.lit(level)) for level in levels])
     firsts = found.groupBy(*kind).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*kind, "first")
     # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
