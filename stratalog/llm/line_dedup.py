@@ -9,6 +9,8 @@ A passage on one line or two has no such window. Windows of three sentences, of
 gives both results.
 
 Windows are first counted; only the repeated ones' first places are written, and the windows, read again from the texts, meet them.
+What each text loses is written, then the texts meet it. Each step's shuffles are deleted when it is written, so that no two
+of the three large ones (first places, windows, texts) lie on disk together.
 """
 
 from __future__ import annotations
@@ -21,49 +23,55 @@ from pyspark.sql import functions as F
 from .lines import ORACLE_BLANKS, trimmed
 from .scratch import Scratch
 
-_LINES = "split(coalesce(text, ''), '\\n', -1)"
-_SENTENCES = r"split(regexp_replace(x, '([.!?])([ \t])', '$1\n$2'), '\n', -1)"
+_TEXT = "coalesce(text, '')"
+_LINES = f"split({_TEXT}, '\\n', -1)"
+
+
+def _sentences(of: str) -> str:
+    return rf"split(regexp_replace({of}, '([.!?])([ \t])', '$1\n$2'), '\n', -1)"
 
 
 def _units(sentences: bool) -> str:
     """The text's lines, or every line's sentences, with their line's number."""
     if not sentences:
         return f"transform({_LINES}, (x, i) -> struct(i as i, x as unit))"
-    return f"flatten(transform({_LINES}, (x, i) -> transform({_SENTENCES}, s -> struct(i as i, s as unit))))"
+    return f"flatten(transform({_LINES}, (x, i) -> transform({_sentences('x')}, s -> struct(i as i, s as unit))))"
 
 
 def windows(docs: DataFrame, sentences: bool = False) -> DataFrame:
-    """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``."""
-    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(_units(sentences)).alias("units"))
-    lines = lines.select("id", "text_key", F.expr(f"filter(transform(units, (x, i) -> struct(i as at, {trimmed('x.unit')} as line)), x -> x.line != '')").alias("body"))
-    each = F.expr(
-        """explode(CASE WHEN size(body) < 3 THEN array() ELSE transform(slice(body, 1, size(body) - 2), (x, i) -> struct(
-            x.at as start, get(body, i + 2).at as end,
-            xxhash64(x.line, get(body, i + 1).line, get(body, i + 2).line) as h1,
-            xxhash64(get(body, i + 2).line, 3, x.line, get(body, i + 1).line) as h2)) END)"""
-    ).alias("w")
-    return lines.select("id", "text_key", each).select("id", "text_key", "w.*")
+    """``(id, text_key, start, end, h1, h2)`` for each window of ``docs(id, text)``; places are those of ``_units``."""
+    # No sentence spans a line, so the whole text is split at once; hashes are taken of rows, where Spark compiles them.
+    units = _sentences(_TEXT) if sentences else _LINES
+    lines = docs.select("id", F.xxhash64("text").alias("text_key"), F.expr(units).alias("units"))
+    lines = lines.select("id", "text_key", F.expr(f"filter(transform(units, (x, i) -> struct(i as at, {trimmed('x')} as line)), x -> x.line != '')").alias("body"))
+    threes = ", ".join(f"slice(body, {k}, greatest(size(body) - 2, 0))" for k in (1, 2, 3))
+    each = lines.select("id", "text_key", F.expr(f"explode(arrays_zip({threes}))").alias("w")).selectExpr("id", "text_key", "w.`0` AS a", "w.`1` AS b", "w.`2` AS c")
+    return each.selectExpr("id", "text_key", "a.at AS start", "c.at AS end", "xxhash64(a.line, b.line, c.line) AS h1", "xxhash64(c.line, 3, a.line, b.line) AS h2")
 
 
 def _covers(rows: DataFrame, scratch: Scratch, levels: list[bool]) -> DataFrame:
     """``(of_id, of_key, lines, sentences)``: the units that each of ``rows(id, text)`` loses by the windows of each of ``levels``, else null."""
     place, kind = F.struct("id", "text_key", "start"), ["h1", "h2", "level"]  # rows are sorted by the first alone where it tells them apart
     found = reduce(DataFrame.unionByName, [windows(rows, level).withColumn("level", F.lit(level)) for level in levels])
-    firsts = found.groupBy(*kind).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*kind, "first")
+    firsts = found.groupBy(*kind).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(*kind, "first")
     # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
-    firsts = scratch.table("firsts", firsts)
+    firsts = scratch.table("firsts", firsts, free_shuffles=True)
     later = found.join(firsts, kind).where(place > F.col("first"))
     spans = [F.sort_array(F.collect_set(F.when(F.col("level") == level, F.struct("start", "end")))).alias(name) for name, level in (("lines", False), ("sentences", True))]
     each = "CASE WHEN size({0}) > 0 THEN array_distinct(flatten(transform({0}, s -> sequence(s.start, s.end)))) END AS {0}"
-    return later.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(*spans).selectExpr("of_id", "of_key", *(each.format(name) for name in ("lines", "sentences")))
+    covers = later.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(*spans).selectExpr("of_id", "of_key", *(each.format(name) for name in ("lines", "sentences")))
+    covers = scratch.table("covers", covers, free_shuffles=True)
+    scratch.drop("firsts")
+    return covers
 
 
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, levels: list[bool]) -> DataFrame:
     """``docs`` as ``row`` and per level, its name before each, what is covered, which units are kept and the text of these."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    covers = _covers(rows.select("id", "text"), scratch, levels)
-    joined = rows.join(covers, F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key")), "left")
+    covers = _covers(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), scratch, levels)
+    # The text is shuffled once, in its row. Covers grow with the texts, so they aren't broadcast where they happen to be small.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_key"))
+    joined = rows.join(covers.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left").withColumn("text", F.col("row").getField(text_col))
     n_lines = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0)).cast("bigint")
     for level in levels:
         name = "sentences" if level else "lines"

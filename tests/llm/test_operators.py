@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -17,6 +18,7 @@ from conftest import compare
 from pyspark.sql import functions as F
 
 from stratalog.llm import ann, entry, labelled, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, textarrays, token_counts, tokens, toxicity, url_filter
+from stratalog.llm.scratch import FREE_SHUFFLES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -776,6 +778,25 @@ def test_line_dedup_of_lines_and_passages(spark, tmp_path):
     assert got == {k: None if t is None else hashlib.md5(t.encode()).hexdigest() for k, t in by_sentence.items()}
 
 
+def test_line_dedup_keeps_one_step_on_disk(spark):
+    """What first places and windows shuffled is gone before the texts are shuffled, and these are shuffled once."""
+    def shuffled():
+        paths = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {p: Path(p).stat().st_size for p in paths if re.search(r"shuffle_[^/]*\.data$", p) and Path(p).exists()}
+
+    rng = random.Random(16)
+    made = [f"{rng.randbytes(30000).hex()}" for _ in range(40)] + ["a. b. c. d\nb\nc"] * 40
+    before, ran = set(shuffled()), spark.conf.get(FREE_SHUFFLES, None)
+    clean = line_dedup.without_repeated_passages(docs(spark, *made))
+    until = time.monotonic() + 20  # files are deleted soon, not at once
+    while set(shuffled()) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not set(shuffled()) - before and spark.conf.get(FREE_SHUFFLES, None) == ran
+    rows = clean.collect()
+    assert 0 < sum(n for p, n in shuffled().items() if p not in before) < 1.5 * sum(map(len, made))
+    assert {r["row"]["doc_id"]: r["passages_text"] for r in rows} == brute_lines(list(enumerate(made)), True)
+
+
 def test_line_dedup_of_ids_with_several_texts(spark):
     """Rows with one id and different texts are documents of their own; repeated rows are one."""
     rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc"), (3, "u\nv\nw"), (3, "u\nv\nw"), (None, "k\nl\nm"), (None, "k\nl\nm\nn")]
