@@ -8,9 +8,9 @@ stays where it stands first.
 A passage on one line or two has no such window. Windows of three sentences, of all lines alike, find it: ``without_repeated_passages``
 gives both results.
 
-Windows are first counted; only the repeated ones' first places are written, and the windows, read again from the texts, meet them.
+Windows are written; then the repeated ones' first places are counted out and written, and the windows, read again, meet them.
 What each text loses is written, then the texts meet it. Each step's shuffles are deleted when it is written, so that no two
-of the three large ones (first places, windows, texts) lie on disk together.
+of the three large ones (first places, windows, texts) lie on disk together; the written windows, half the texts' size, go before the last.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ def _covers(rows: DataFrame, scratch: Scratch, levels: list[bool]) -> DataFrame:
     """``(of_id, of_key, lines, sentences)``: the units that each of ``rows(id, text)`` loses by the windows of each of ``levels``, else null."""
     place, kind = F.struct("id", "text_key", "start"), ["h1", "h2", "level"]  # rows are sorted by the first alone where it tells them apart
     found = reduce(DataFrame.unionByName, [windows(rows, level).withColumn("level", F.lit(level)) for level in levels])
+    # Written once: texts are dear to take apart, and the windows are read twice.
+    found = scratch.table("windows", found)
     firsts = found.groupBy(*kind).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(*kind, "first")
     # Written, so that the join meets a plain table: adaptive execution can then split a window that very many texts share.
     firsts = scratch.table("firsts", firsts, free_shuffles=True)
@@ -61,7 +63,7 @@ def _covers(rows: DataFrame, scratch: Scratch, levels: list[bool]) -> DataFrame:
     each = "CASE WHEN size({0}) > 0 THEN array_distinct(flatten(transform({0}, s -> sequence(s.start, s.end)))) END AS {0}"
     covers = later.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(*spans).selectExpr("of_id", "of_key", *(each.format(name) for name in ("lines", "sentences")))
     covers = scratch.table("covers", covers, free_shuffles=True)
-    scratch.drop("firsts")
+    scratch.drop("windows", "firsts")
     return covers
 
 

@@ -797,6 +797,24 @@ def test_line_dedup_keeps_one_step_on_disk(spark):
     assert {r["row"]["doc_id"]: r["passages_text"] for r in rows} == brute_lines(list(enumerate(made)), True)
 
 
+def test_line_dedup_takes_texts_apart_once(spark):
+    """Once for lines and once for sentences; first places and covers come from the written windows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    made = ["a\nb\nc. d. e. f", "x\na\nb\nc. d. e. f", "a. b. c. d\n", None, "c. d. e"]
+    frame = docs(spark, *made)
+    clean = line_dedup.without_repeated_passages(frame.mapInArrow(counted, frame.schema))
+    assert read.value == 2 * len(made)
+    rows = {r["row"]["doc_id"]: r for r in clean.collect()}
+    assert {k: r["text"] for k, r in rows.items()} == brute_lines(list(enumerate(made))) and {k: r["passages_text"] for k, r in rows.items()} == brute_lines(list(enumerate(made)), True)
+    assert read.value == 3 * len(made)
+
+
 def test_line_dedup_of_ids_with_several_texts(spark):
     """Rows with one id and different texts are documents of their own; repeated rows are one."""
     rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc"), (3, "u\nv\nw"), (3, "u\nv\nw"), (None, "k\nl\nm"), (None, "k\nl\nm\nn")]
