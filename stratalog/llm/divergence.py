@@ -4,7 +4,7 @@
    that stop at ``LEAST``. Sketches are cut into blocks that Spark deals by number, added up and stopped again: a cell never
    holds less than any of its terms' frequency, nor less than ``LEAST`` if that is reached.
 2. Tasks read the merged sketch, whose size is fixed, and send on only terms whose every cell reaches ``LEAST``, as counts by
-   (language, source, term) of a chunk of documents. The exact frequencies then decide.
+   (language, source, term) of some chunks of documents, dealt by (language, term). The exact frequencies then decide.
 3. A pair's sum over all terms is split: as if a term were in one source only (by histograms of the sources' values), or in none
    (by number), and a correction for terms in both, by a join of the sparse values on (language, term). Both sides have a
    row per source and term at most, so no key is hot.
@@ -29,6 +29,8 @@ from .textarrays import ASCII_LOWER, Text, mix, texts
 LEAST, WIDTH, DEPTH, BLOCK = 3, 1 << 20, 4, 1 << 16
 #: Bytes of a chunk whose terms are counted together.
 CHUNK = 1 << 21
+#: Counts of chunks that a task holds at most before it adds them up and sends them on.
+HELD = 1 << 19
 #: Bytes past which a term is hashed on its own: running sums tell most long spans apart, but not those made to fool them.
 LONG = 512
 #: Unit of p, and the most terms that are listed per source.
@@ -79,19 +81,28 @@ def _keys(text: Text, langs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _distinct(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of the first of each (row, key); rows ascend."""
-    order = np.lexsort((keys, rows))
+    order = np.argsort(keys, kind="stable")
     r, k = rows[order], keys[order]
     new = np.ones(len(order), bool)
     new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
     return order[new]
 
 
+def _runs(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (group, key) stand together, otherwise as they came, and where each one's run begins."""
+    order = np.argsort(mix(groups + keys), kind="stable")
+    g, k = groups[order], keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    return order, new
+
+
 def sketch(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
     """``(block, cells)`` of the merged sketch over ``docs(lang, source, text)``; blocks of zeros are left out."""
     block = min(BLOCK, width)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(DEPTH * width, np.uint8)
+        own, added = np.zeros(DEPTH * width, np.uint8), np.zeros(width, np.int64)
         for batch in batches:
             langs = _hashed(batch.column(0))
             for text in texts(batch.column(2), CHUNK):
@@ -99,7 +110,9 @@ def sketch(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = W
                 at = cells(keys[_distinct(rows, keys)], width)
                 for k in range(DEPTH):
                     row = own[k * width : (k + 1) * width]
-                    row[:] = np.minimum(row + np.bincount(at[k], minlength=width), least)
+                    np.add.at(added, at[k], 1)
+                    row[at[k]] = np.minimum(row[at[k]] + added[at[k]], least)  # only touched cells; repeats of one get the same value
+                    added[at[k]] = 0
         yield from _blocks(own.reshape(-1, block))
 
     def _blocks(own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,16 +139,25 @@ def sketch(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = W
 
 
 def counts(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
-    """``(lang, source, term, count, docs)`` of all kept terms: occurrences in the source and documents of it that hold the term."""
+    """``(lang, source, term, count, in_lang, first)`` of all kept terms: occurrences in the source and in the language, and whether the
+    source is the first of the language's that hold the term, so that one row per (language, term) is marked."""
     spark, block = docs.sparkSession, min(BLOCK, width)
     table = np.zeros((DEPTH * width // block, block), np.uint8)
     for r in sketch(scratch, docs, least, width).toLocalIterator():  # of fixed size
         table[r["block"]] = np.frombuffer(r["cells"], np.uint8)
     enough = spark.sparkContext.broadcast(np.packbits(table.reshape(-1) >= least))
 
+    def added_up(held: list[tuple]) -> pa.RecordBatch:
+        *numbers, langs, sources, words = zip(*held, strict=True)
+        group, keys, n, n_docs = map(np.concatenate, numbers)
+        order, new = _runs(group, keys)
+        first = np.flatnonzero(new)
+        named = [pa.concat_arrays(x).take(pa.array(order[first])) for x in (langs, sources, words)]
+        return pa.RecordBatch.from_arrays([*named, *(pa.array(np.add.reduceat(x[order], first)) for x in (n, n_docs))], ["lang", "source", "term", "count", "docs"])
+
     def surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(enough.value).astype(bool)
-        names = ["lang", "source", "term", "count", "docs"]
+        held: list[tuple] = []
         for batch in batches:
             langs, sources = _hashed(batch.column(0)), _hashed(batch.column(1))
             groups = mix(mix(langs + np.uint64(1)) + sources)
@@ -147,10 +169,8 @@ def counts(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = W
                 if not len(keys):
                     continue
                 group = groups[rows + text.first_row]
-                order = np.lexsort((rows, keys, group))
-                g, k, r = group[order], keys[order], rows[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+                order, new = _runs(group, keys)
+                r = rows[order]  # ascending in each run
                 of_doc = new.copy()
                 of_doc[1:] |= r[1:] != r[:-1]
                 first = np.flatnonzero(new)
@@ -161,19 +181,26 @@ def counts(scratch: Scratch, docs: DataFrame, least: int = LEAST, width: int = W
                 body = data[np.repeat(starts[place] - edges[:-1], size) + np.arange(edges[-1])]
                 words = pa.StringArray.from_buffers(len(place), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(body))
                 row = pa.array(rows[place] + text.first_row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), words, pa.array(n), pa.array(n_docs)], names)
+                held.append((group[place], keys[place], n, n_docs, batch.column(0).take(row), batch.column(1).take(row), words))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield added_up(held)
+                    held = []
+        if held:
+            yield added_up(held)
 
     found = docs.select("lang", "source", "text").mapInArrow(surviving, "lang string, source string, term string, count bigint, docs bigint")
-    exact = scratch.table("exact", found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
-    kept = exact.groupBy("lang", "term").agg(F.sum("docs").alias("all")).where(F.col("all") >= least).select("lang", "term")
-    kept = scratch.table("kept", exact.join(kept, ["lang", "term"], "left_semi"))
-    scratch.drop("exact")
-    return kept
+    # One shuffle, by term, serves the counts of sources and of the language: a task sends a source's term once or a few times.
+    exact = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("term", "lang")  # rows are sorted by the first, which tells them apart
+    all_docs, in_lang, first = F.sum("docs").over(of_term), F.sum("count").over(of_term), F.col("source") == F.min("source").over(of_term)
+    known = exact.select("lang", "source", "term", "count", all_docs.alias("all"), in_lang.alias("in_lang"), first.alias("first"))
+    return scratch.table("kept", known.where(F.col("all") >= least).drop("all"))
 
 
 def _p(count: str, total: str, terms_: str) -> Column:
-    """p = 1 + floor(UNIT * (count + 1) / (total + V)) of exact integers."""
-    return F.expr(f"1 + (CAST({UNIT} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST({total} + {terms_} AS DECIMAL(20,0))")
+    """p = 1 + floor(UNIT * (count + 1) / (total + V)) of exact integers; decimals, which are slow, where 64 bits don't hold the product."""
+    wide = f"(CAST({UNIT} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST({total} + {terms_} AS DECIMAL(20,0))"
+    return F.expr(f"1 + CASE WHEN {count} < {(1 << 63) // UNIT - 1} THEN ({UNIT}L * ({count} + 1)) div ({total} + {terms_}) ELSE {wide} END")
 
 
 def _f(p: str, q: str) -> str:
@@ -196,15 +223,14 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     docs = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), docs[text_col].alias("text"))
     kept = counts(scratch, docs, least, width)
 
-    of_lang = kept.groupBy("lang", "term").agg(F.sum("count").alias("count"))
-    sizes = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("count").alias("n_lang"))
-    held = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("m"))
+    held = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("m"), F.count_if("first").alias("n_first"))
+    sizes = held.groupBy("lang").agg(F.sum("n_first").alias("v"), F.sum("n").alias("n_lang"))
     groups = docs.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "m", "v", "n_lang")))
     groups = scratch.table("groups", groups.withColumn("p0", F.when(F.col("v") > 0, _p("0", "n", "v"))))
 
-    in_source = salted(kept.select("lang", "source", "term", "count"), groups, ["lang", "source"], ["term"], SALTS, "inner")
-    in_source = scratch.table("shares", in_source.select("lang", "source", "term", "v", "n_lang", "p0", _p("count", "n", "v").alias("p"), "count"))
+    in_source = salted(kept.select("lang", "source", "term", "count", "in_lang"), groups, ["lang", "source"], ["term"], SALTS, "inner")
+    in_source = scratch.table("shares", in_source.select("lang", "source", "term", "p0", _p("count", "n", "v").alias("p"), _p("in_lang", "n_lang", "v").alias("q")))
 
     a, b = (groups.select("lang", F.col("source").alias(f"source_{x}"), F.col("p0").alias(f"p0_{x}"), F.col("m").alias(f"m_{x}"), *(["v"] if x == "a" else [])) for x in "ab")
     pairs = scratch.table("pairs", salted(a, b, ["lang"], ["source_a"], SALTS, "inner").where("source_a != source_b"))  # as many rows as the result has
@@ -213,9 +239,10 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     alone = salted(histogram.select("lang", "source", "p", "k"), others, ["lang"], ["source", "p"], SALTS, "inner").where("source != other")
     alone = alone.groupBy("lang", "source", "other").agg(F.expr(f"sum(k * {_f('p', 'q')})").alias("up"), F.expr(f"sum(k * {_f('q', 'p')})").alias("down"))
     left, right = (in_source.select("lang", "term", F.col("source").alias(f"source_{x}"), F.col("p").alias(f"p_{x}"), F.col("p0").alias(f"p0_{x}")) for x in "ab")
-    both = left.join(right, ["lang", "term"]).where("source_a != source_b")
-    change = f"{_f('p_a', 'p_b')} - {_f('p_a', 'p0_b')} - {_f('p0_a', 'p_b')} + {_f('p0_a', 'p0_b')}"
-    both = both.groupBy("lang", "source_a", "source_b").agg(F.expr(f"sum({change})").alias("both"))
+    both = left.join(right, ["term", "lang"]).where("source_a < source_b")  # each pair once, for both directions
+    change = lambda a, b: f"sum({_f(f'p_{a}', f'p_{b}')} - {_f(f'p_{a}', f'p0_{b}')} - {_f(f'p0_{a}', f'p_{b}')} + {_f(f'p0_{a}', f'p0_{b}')})"
+    both = both.groupBy("lang", "source_a", "source_b").agg(F.expr(change("a", "b")).alias("ab"), F.expr(change("b", "a")).alias("ba"))
+    both = both.selectExpr("lang", "stack(2, source_a, source_b, ab, source_b, source_a, ba) AS (source_a, source_b, both)")
     ups = alone.select("lang", F.col("source").alias("source_a"), F.col("other").alias("source_b"), "up")
     downs = alone.select("lang", F.col("other").alias("source_a"), F.col("source").alias("source_b"), "down")
     keys = ["lang", "source_a", "source_b"]
@@ -223,8 +250,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     value = F.expr(f"coalesce(up, 0) + coalesce(down, 0) + coalesce(both, 0) + CASE WHEN v > 0 THEN (v - m_a - m_b) * {_f('p0_a', 'p0_b')} ELSE 0 END")
     by_pair = summed.select("lang", F.col("source_a").alias("source"), F.lit("pair").alias("part"), F.col("source_b").alias("item"), value.cast("bigint").alias("value"))
 
-    by_term = in_source.join(of_lang.select("lang", "term", F.col("count").alias("c")), ["lang", "term"]).withColumn("q", _p("c", "n_lang", "v")).where("p > q")
-    by_term = by_term.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
+    by_term = in_source.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))
     return ranked(by_pair).unionByName(ranked(by_term).where(F.col("rank") <= top))

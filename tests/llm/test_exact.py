@@ -219,6 +219,45 @@ def test_divergence_against_brute_force(spark, monkeypatch, seed):
     assert sorted(map(tuple, got.collect())) == brute_divergence(rows, 7)
 
 
+def test_divergence_shuffles_terms_once(spark, monkeypatch):
+    """Exact counts, documents of the language and its counts come from one shuffle by term, and each task adds its chunks up."""
+    plans, write = {}, Scratch.table
+
+    def table(self, name, df, **more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, name, df, **more)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rows = made_texts(3)
+    frame = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
+    assert sorted(map(tuple, divergence.divergence(frame).collect())) == brute_divergence(rows)
+    assert plans["kept"].count("Exchange hashpartitioning") == 1 and "Join" not in plans["kept"]
+
+
+def test_divergence_adds_chunks_up(spark):
+    """Texts of several chunks, and more counts than are held at once, of terms that all chunks share."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40000)]
+    rows = [("en", f"s{k % 3}", " ".join(rng.sample(words, 36000))) for k in range(36)]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    kept = {(r["source"], r["term"]): (r["count"], r["in_lang"], r["first"]) for r in divergence.counts(Scratch(spark, "counts"), frame).collect()}
+    found, held = Counter(), Counter()
+    for _, source, text in rows:
+        found.update((source, t) for t in text.split())
+        held.update(set(text.split()))
+    in_lang = Counter()
+    for (_, t), n in found.items():
+        in_lang[t] += n
+    assert kept == {(s, t): (n, in_lang[t], s == min(x for x in ("s0", "s1", "s2") if found[x, t])) for (s, t), n in found.items() if held[t] >= 3}
+
+
+def test_shares_beyond_64_bits(spark):
+    """Counts whose product with the unit needs more than 64 bits are exact too."""
+    made = [(c, c + d, v) for c in (0, 1, 9223372034, 9223372035, 9223372036, 9223372037, 1 << 40, 1 << 61) for d in (0, 12345, 1 << 33) for v in (1, 999)]
+    got = spark.createDataFrame(made, "c bigint, n bigint, v bigint").select("c", "n", "v", divergence._p("c", "n", "v").alias("p")).collect()
+    assert len(got) == len(made) and all(r["p"] == 1 + 10**9 * (r["c"] + 1) // (r["n"] + r["v"]) for r in got)
+
+
 def test_sketch_never_underestimates(spark):
     rows = made_texts(9)
     frame = spark.createDataFrame(rows, "lang string, source string, text string").repartition(6)
